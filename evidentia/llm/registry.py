@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, repetition, sharding
+from . import language_id, mixing, packing, repetition, sharding
 
 QUERIES = {
     "op3_histogram_shards": sharding.op3_histogram_shards,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_quality_rules": repetition.op7_quality_rules,
+    "op8_pack_sequences": packing.op8_pack_sequences,
     "op10_language_id": language_id.op10_language_id,
 }
 SQL: dict[str, str] = {}
