@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, packing, repetition, sharding
+from . import gif, language_id, mixing, ordinal_quality, packing, repetition, sharding
 
 QUERIES = {
     "op3_histogram_shards": sharding.op3_histogram_shards,
+    "op4_ordinal_quality": ordinal_quality.op4_ordinal_quality,
+    "op5_gif_media": gif.op5_gif_media,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_quality_rules": repetition.op7_quality_rules,
     "op8_pack_sequences": packing.op8_pack_sequences,
