@@ -21,6 +21,8 @@ from .spark_util import documents
 from .words import LOWER, WS, Words, chunks, mix
 
 BITS = 18
+#: Least probability of the top grade that keeps a document.
+KEEP_FROM = 0.25
 #: Classes of bytes for word shapes: lower, upper, digit, multi-byte, and the other bytes as they are.
 SHAPE = np.arange(256, dtype=np.uint8)
 SHAPE[97:123], SHAPE[65:91], SHAPE[48:58], SHAPE[128:] = 97, 65, 48, 97
@@ -30,7 +32,7 @@ def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """CSR rows of the texts: offsets, hashed indices, values.
 
     Each distinct word (ASCII lower case, outer punctuation dropped) has value
-    1 over the square root of 1 + words / 64.  Each word shape, and a word
+    1.  Each word shape, and a word
     equal to the one before, has 4 times its share of the words.
     """
     counts, indices, values = [], [], []
@@ -67,7 +69,7 @@ def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 key, n = np.unique(d << BITS | g, return_counts=True)
                 kd = key >> BITS
                 rows_d.append(kd), rows_i.append(key & ((1 << BITS) - 1))
-                rows_v.append(1.0 / np.sqrt(1.0 + cnt[kd] / 64.0) if kind == "word" else n * share[kd])
+                rows_v.append(np.ones(len(kd)) if kind == "word" else n * share[kd])
             d = np.concatenate(rows_d)
             o = np.argsort(d, kind="stable")
             counts.append(np.bincount(d, minlength=n_docs))
@@ -93,9 +95,12 @@ class OrdinalModel:
         return 1.0 / (1.0 + np.exp(np.clip(self.thresholds[None, :] - margin[:, None], -40, 40)))
 
 
-def fit_ordinal(off: np.ndarray, idx: np.ndarray, val: np.ndarray, grade: np.ndarray, n_grades: int, rounds: int = 200, l2: float = 2e-4, step: float = 0.3) -> OrdinalModel:
-    """Maximum likelihood by full-batch AdaGrad; each grade has equal weight."""
+def fit_ordinal(off: np.ndarray, idx: np.ndarray, val: np.ndarray, grade: np.ndarray, n_grades: int, rounds: int = 300, l1: float = 1e-3, step: float = 0.3, min_rows: int = 8) -> OrdinalModel:
+    """Maximum likelihood less ``l1`` times the weights' absolute sum, by
+    full-batch proximal AdaGrad; each grade has equal weight.  Features of fewer than ``min_rows`` rows keep weight 0."""
     size = 1 << BITS
+    common = np.bincount(idx, minlength=size) >= min_rows
+    val = np.where(common[idx], val, 0.0)
     w, g2 = np.zeros(size), np.full(size, 1e-8)
     # theta_0, then log-steps: thresholds stay ordered
     a, a2 = np.concatenate([[-0.5], np.zeros(n_grades - 2)]), np.full(n_grades - 1, 1e-8)
@@ -112,7 +117,7 @@ def fit_ordinal(off: np.ndarray, idx: np.ndarray, val: np.ndarray, grade: np.nda
         p = np.maximum(hi - lo, 1e-12)
         d = full * (1 - full)
         dm = -weight * (-(d[at, grade + 1] - d[at, grade])) / p  # of minus log-likelihood by the margin
-        gw = np.bincount(idx, dm[row] * val, minlength=size) + l2 * w
+        gw = np.bincount(idx, dm[row] * val, minlength=size)
         dth = np.zeros((len(m), n_grades + 1))
         dth[at, grade + 1] -= weight * d[at, grade + 1] / p
         dth[at, grade] += weight * d[at, grade] / p
@@ -120,7 +125,9 @@ def fit_ordinal(off: np.ndarray, idx: np.ndarray, val: np.ndarray, grade: np.nda
         ga = np.concatenate([[gth.sum()], [gth[k + 1 :].sum() * np.exp(a[k + 1]) for k in range(n_grades - 2)]])
         g2 += gw * gw
         a2 += ga * ga
-        w -= step * gw / np.sqrt(g2)
+        rate = step / np.sqrt(g2)
+        w -= rate * gw
+        w = np.sign(w) * np.maximum(np.abs(w) - rate * l1, 0.0)
         a -= step * ga / np.sqrt(a2)
     return OrdinalModel(w, a[0] + np.concatenate([[0.0], np.cumsum(np.exp(a[1:]))]))
 
@@ -187,9 +194,9 @@ def grade_of(quality: Column, toxic: Column) -> Column:
 
 def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade and tail probabilities of every document; kept are those
-    whose grade is more likely the top one than not."""
+    with at least KEEP_FROM probability of the top grade."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = train(labels.select("doc_id", grade_of(F.col("quality"), F.col("toxic")).alias("grade")), docs, 3)
     out = score(docs, model)
-    return out.select("doc_id", "expected_grade", "tail_1", "tail_2", (F.col("tail_2") >= 0.5).alias("kept"))
+    return out.select("doc_id", "expected_grade", "tail_1", "tail_2", (F.col("tail_2") >= KEEP_FROM).alias("kept"))
