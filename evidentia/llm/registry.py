@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import gif, language_id, mixing, ordinal_quality, packing, repetition, sharding
+from . import gif, language_id, mixing, ordinal_quality, packing, repetition, sharding, substring_dedup
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op3_histogram_shards": sharding.op3_histogram_shards,
     "op4_ordinal_quality": ordinal_quality.op4_ordinal_quality,
     "op5_gif_media": gif.op5_gif_media,
