@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import gif, language_id, mixing, ordinal_quality, packing, repetition, sharding, substring_dedup
+from . import gif, language_id, line_templates, mixing, ngram_join, ordinal_quality, packing, repetition, sharding, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_line_templates": line_templates.op2_line_templates,
     "op3_histogram_shards": sharding.op3_histogram_shards,
     "op4_ordinal_quality": ordinal_quality.op4_ordinal_quality,
     "op5_gif_media": gif.op5_gif_media,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_quality_rules": repetition.op7_quality_rules,
     "op8_pack_sequences": packing.op8_pack_sequences,
+    "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_language_id": language_id.op10_language_id,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_line_templates": line_templates.OP2_SQL}
