@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,3 +34,15 @@ def n_words(text: Column) -> Column:
 def text_chars(docs: DataFrame) -> int:
     """Characters of all texts (one cheap JVM aggregate)."""
     return int(docs.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0])
+
+
+def table_cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a Parquet table into the checkpoint folder and read it
+    again: for wide rows, which a checkpoint would store uncompressed."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evidentia-"))
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
