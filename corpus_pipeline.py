@@ -1,11 +1,72 @@
-"""The corpus pipeline; its stages follow."""
+"""Corpus pipeline: from documents to packed training sequences.
 
-STAGES: list = []
+quality rules -> line dedup -> n-gram Jaccard join -> source mix -> packing.
+Every stage takes (spark, docs, sf_dir), works on all rows it is given, and
+returns a DataFrame; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evidentia.llm.line_templates import drop_recurring_lines
+from evidentia.llm.mixing import mix_sources, quality_weight
+from evidentia.llm.ngram_join import one_of_each
+from evidentia.llm.packing import pack_documents
+from evidentia.llm.repetition import quality_rules
+from evidentia.llm.spark_util import n_words, table_cut
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop what the quality rules reject: too short or too repetitive."""
+    return quality_rules(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take recurring lines out of the texts; a document that had nothing else
+    goes."""
+    out = drop_recurring_lines(docs.select(*COLUMNS))
+    out = out.filter((F.col("n_dropped") == 0) | (F.col("n_dropped") < F.col("n_lines")))
+    return out.select("doc_id", F.when(F.col("text").isNotNull(), F.col("kept_text")).alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the smallest id."""
+    return one_of_each(docs.select(*COLUMNS))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The source mix: a document is there as often as the mix takes it."""
+    mixed = mix_sources(docs.select(*COLUMNS), n_words(F.col("text")), quality_weight(F.col("text")))
+    times = (F.col("taken") / F.col("size")).cast("int")
+    return mixed.filter("taken > 0").withColumn("_t", F.explode(F.sequence(F.lit(1), times))).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokens in sequences of at most 2048."""
+    return pack_documents(docs.select("doc_id", "text"))
+
+
+STAGES = [
+    ("quality_rules", rules),
+    ("line_dedup", lines),
+    ("ngram_join", near_duplicates),
+    ("source_mix", mix),
+    ("packing", pack),
+]
+
+#: Hashed sampling keys and the genetic search have no SQL form; the tests
+#: hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = table_cut(docs)
     return docs
