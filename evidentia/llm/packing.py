@@ -33,37 +33,91 @@ END_ID = 0
 class WordTokens:
     """Token ids of texts through a cache of words.
 
-    The vocabulary's pre-tokenizer drops white space and its normalizer works
-    on single characters and on combining sequences, none of which crosses an
+    The vocabulary's pre-tokenizer drops white space and parts letters from
+    punctuation, and its normalizer lower-cases and composes, neither across an
     ASCII separator, so a text's ids are the ids of its words, one after the
-    other.  Texts that hold a special token's string, or a separator that isn't
-    plain for the tokenizer, are encoded whole.  The cache is emptied when it
-    holds ``most`` words.
+    other, and a letter or digit before a last mark may be cut there.  Words
+    seen for the first time are encoded together, between marks of their own.
+    Texts that hold a special token's string are encoded whole.
+
+    The cache lives as long as the worker process.  It has two generations of
+    at most ``most`` words; the older one goes when the younger is full.
     """
 
+    MARK = b"|"
+
     def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.most, self.cache = most, {}
+        self.most, self.young, self.old = most, {}, {}
         self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        self.mark_id = self._encode(self.MARK)[0]
+        self.ends = {p: self._encode(p).tobytes() for p in (b".", b",", b";", b":", b"!", b"?")}
+
+    def _encode(self, raw: bytes) -> np.ndarray:
+        return np.asarray(self.tok.encode_batch_fast([raw.decode()], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        young, old, ends = self.young, self.old, self.ends
+        cores: dict[bytes, list[tuple[bytes, bytes]]] = {}
+        for w in words:
+            got = old.get(w)
+            if got is not None:
+                young[w] = got
+                continue
+            end = ends.get(w[-1:])
+            if end is not None and len(w) > 1 and (w[-2:-1].isalnum() or w[-2] >= 128 and w[:-1].decode()[-1].lower()[-1].isalpha()):
+                core = w[:-1]
+                got = young.get(core) or old.get(core)
+                if got is not None:
+                    young[w] = got + end
+                else:
+                    cores.setdefault(core, []).append((w, end))
+            else:
+                cores.setdefault(w, []).append((w, b""))
+        plain = [c for c in cores if self.MARK not in c]
+        for c in cores.keys() - plain:
+            ids = self._encode(c).tobytes()
+            young.update((w, ids + end) for w, end in cores[c])
+        for k in range(0, len(plain), 2000):
+            part = plain[k : k + 2000]
+            ids = self._encode(b" | ".join(part))
+            at = np.flatnonzero(ids == self.mark_id).tolist()
+            raw, first = ids.tobytes(), 0
+            for c, stop in zip(part, [*at, len(ids)]):
+                got = raw[4 * first : 4 * stop]
+                first = stop + 1
+                young[c] = got
+                for w, end in cores[c]:
+                    young[w] = got + end
 
     def ids(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        if any(s in text for s in self.special):
-            return np.asarray(self.tok.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        cache, words = self.cache, text.split()
+        if b"<|" in text and any(s in text for s in self.special):
+            return self._encode(text).tobytes()
+        words, young = text.lower().split(), self.young
         try:
-            return b"".join([cache[w] for w in words])
+            return b"".join([young[w] for w in words])
         except KeyError:
-            if len(cache) > self.most:
-                cache.clear()
-            new = list({w for w in words if w not in cache})
-            for k in range(0, len(new), 1000):
-                part = new[k : k + 1000]
-                for w, e in zip(part, self.tok.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                    cache[w] = np.asarray(e.ids, "<u4").tobytes()
-            return b"".join([cache[w] for w in words])
+            self._learn({w for w in words if w not in young})
+            young = self.young
+            try:
+                return b"".join([young[w] for w in words])
+            except KeyError:  # a generation ended between
+                self._learn({w for w in words if w not in young})
+                return b"".join([self.young[w] for w in words])
+
+
+_tokens: dict[str, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    if path not in _tokens:
+        _tokens[path] = WordTokens(path)
+    return _tokens[path]
 
 
 def tokenizer_path() -> str:
@@ -87,7 +141,7 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, path: str | None = None,
     end = np.asarray([END_ID], "<u4").tobytes()
 
     def run(batches):
-        words = WordTokens(path or tokenizer_path())
+        words = word_tokens(path or tokenizer_path())
         for batch in batches:
             rows, piece, start, length, crc, blobs = [], [], [], [], [], []
             data, off = buffers(batch.column("text"))
