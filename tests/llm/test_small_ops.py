@@ -2,7 +2,6 @@
 
 import hashlib
 import random
-import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,7 +14,8 @@ from pyspark.sql import functions as F
 
 from evidentia.llm import gif, language_id, line_templates, mixing, ngram_join, ordinal_quality, packing, repetition, sharding, substring_dedup, words
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+from tests_llm_helpers import WORD, brute_components, brute_targets, corpus
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -23,33 +23,6 @@ def table(spark, rows):
     return spark.createDataFrame([(i, t, "en", s, None if t is None else len(t)) for i, t, s in rows], SCHEMA)
 
 
-def corpus(n=120, seed=5):
-    """Copies, near copies, shared passages, repeated lines, nulls, empty and long texts."""
-    rnd = random.Random(seed)
-    vocab = ["w%d" % i for i in range(400)] + ["ção", "Ünï", "the", "of", "12", "a.b,"]
-    make = lambda k: [rnd.choice(vocab) for _ in range(k)]
-    passage, base, rows = make(40), make(90), []
-    for i in range(n):
-        kind = i % 9
-        if kind == 0:
-            w = base[:]
-        elif kind == 1:
-            w = base[:]
-            w[rnd.randrange(len(w))] = "edit%d" % i
-        elif kind == 2:
-            w = make(rnd.randint(5, 50)) + passage + make(10)
-        elif kind == 3:
-            w = make(3) * rnd.randint(1, 12)
-        else:
-            w = make(rnd.randint(0, 120))
-        text = " ".join(w)
-        if kind == 4:
-            text = text.replace(" ", "\n", 4) + "\nBoiler plate line number %d\nlast words %d here" % (i, i)
-        rows.append((i, text, "s%d" % (i % 4)))
-    rows += [(n, None, "s0"), (n + 1, "", None), (n + 2, " \t\n", "s1"), (n + 3, "one", None), (n + 4, " ".join(make(6000)), "s0"), (n + 5, "One", "s2")]
-    return rows
-
-
 @pytest.fixture(scope="module")
 def docs(spark):
     return table(spark, corpus()).repartition(3).cache()
@@ -107,28 +80,6 @@ def test_substring_repeated_rows_nulls_and_empty(spark, docs):
 # ---------------------------------------------------------------- n-gram join
 
 
-def brute_components(rows, k=5):
-    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    sets = {}
-    for i, t, _ in rows:
-        w = WORD.findall((t or "").translate(low))
-        sets[i] = {tuple(w[a : a + k]) for a in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
-    par = {i: i for i in sets}
-
-    def find(a):
-        while par[a] != a:
-            a = par[a]
-        return a
-
-    ids = sorted(sets)
-    for x, a in enumerate(ids):
-        for b in ids[x + 1 :]:
-            if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                p, q = find(a), find(b)
-                par[max(p, q)] = min(p, q)
-    return {i: (len(sets[i]), find(i)) for i in ids}
-
-
 def test_ngram_components(spark, docs):
     out = ngram_join.ngram_components(docs.select("doc_id", "text"), block_bytes=4000)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == brute_components(corpus())
@@ -202,20 +153,6 @@ def test_shards(spark, docs):
     assert len(got) == 55 and sharding.shard_by_bytes(same.limit(0), size, [F.col("doc_id")]).count() == 0
 
 
-def brute_targets(sizes, share=1.5, most=2.0):
-    names = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
-    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
-    total, fixed = share * sum(sizes.values()), {}
-    while True:
-        free = [s for s in names if s not in fixed]
-        rest = total - sum(fixed.values())
-        t = {s: rest * weight[s] / sum(weight[x] for x in free) for s in free}
-        over = [s for s in free if t[s] > most * sizes[s] + 1e-9]
-        if not over:
-            return fixed | t
-        fixed |= {s: most * sizes[s] for s in over}
-
-
 def test_mix(spark, docs):
     d = docs.withColumns({"w": F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)), "q": mixing.quality_weight(F.col("text"))})
     for bins in (5, 20_000):
