@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from evidentia.functions.text import dense_excerpt, tokens
 
 K1, B, LEAST_IDF, RRF_K = 1.2, 0.75, 1e-6, 60
+MAX_TERMS = 10_000
 
 
 # ---------------------------------------------------------------- index
@@ -74,21 +75,27 @@ def bm25(
     A query without a letter or digit gives nothing.  ``index`` and ``stats``
     are prebuilt postings and corpus statistics.
 
-    The few query terms are joined to the postings before anything is
-    aggregated: the postings of other terms don't leave the scan (they are
-    built once where an index is kept).
+    Without an index the texts are scanned once: of each unit only its length
+    and the query's terms leave the scan, and counts, document frequencies and
+    corpus statistics come from the same exchange.  The distinct terms of the
+    query set go into the plan up to ``MAX_TERMS``; a larger query set is
+    joined to the postings.
     """
     g = list(group)
-    stats = stats if stats is not None else corpus_stats(units, text, g)
     q = queries.select(*g, "query_id", F.posexplode(tokens("query")).alias("_p", "term"))
     qt = q.groupBy(*g, "query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
     shape = qt.groupBy(*g, "query_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("qf").alias("n_tokens"))
-    if index is None:
-        wanted = qt.select(*g, "term").distinct()
-        index = postings(units, id_col, text, g).join(wanted, [*g, "term"], "left_semi")
-    hits = index.join(qt, [*g, "term"])
-    df = index.join(qt.select(*g, "term").distinct(), [*g, "term"], "left_semi").groupBy(*g, "term").agg(F.count(F.lit(1)).alias("df"))
-    scored = hits.join(df, [*g, "term"])
+    terms = [] if index is not None else [r["term"] for r in qt.select("term").distinct().limit(MAX_TERMS + 1).collect()]
+    if index is None and len(terms) <= MAX_TERMS:
+        index, made = _term_counts(units, terms, id_col, text, g)
+        stats = stats if stats is not None else made
+    elif index is None:
+        index = postings(units, id_col, text, g).join(qt.select(*g, "term").distinct(), [*g, "term"], "left_semi")
+    stats = stats if stats is not None else corpus_stats(units, text, g)
+    # tf and dl are carried so that this aggregate reads the same exchange as the hits
+    df = index.groupBy(*g, "term").agg(F.struct(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("dl").alias("dl")).alias("_t"))
+    df = df.filter(F.col("_t.cf") + F.col("_t.dl") > 0).select(*g, "term", F.col("_t.df").alias("df"))
+    scored = index.join(qt, [*g, "term"]).join(df, [*g, "term"])
     scored = _with_stats(scored, stats, g)
     part = idf(F.col("n_docs"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
     per = scored.groupBy(*g, "query_id", id_col).agg((-F.sum(F.col("qf") * part)).alias("score"), F.count(F.lit(1)).alias("matched"))
@@ -102,6 +109,18 @@ def bm25(
     return ranked.filter(F.col("rank") <= k).select(*g, "query_id", id_col, "mode", "score", "rank")
 
 
+def _term_counts(units: DataFrame, terms: list[str], id_col: str, text: str, g: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Postings of ``terms`` alone, and the corpus statistics: each unit has a
+    row with an empty term for the latter."""
+    toks = units.select(*g, id_col, F.coalesce(tokens(text), F.array().cast("array<string>")).alias("_t"))
+    wanted = F.filter("_t", lambda x: x.isin(terms)) if terms else F.array().cast("array<string>")
+    rows = toks.select(*g, id_col, F.size("_t").alias("dl"), F.explode(F.concat(wanted, F.array(F.lit("")))).alias("_x"))
+    counts = rows.select(*g, id_col, "dl", F.coalesce("_x", F.lit("")).alias("term")).groupBy(*g, id_col, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    none = F.col("term") == ""
+    stats = counts.groupBy(*g).agg(F.count_if(none).alias("n_docs"), F.avg(F.when(none, F.col("dl"))).alias("avg_dl"))
+    return counts, stats
+
+
 def _with_stats(df: DataFrame, stats: DataFrame, g: list[str]) -> DataFrame:
     """Statistics beside every row; without groups they are one row."""
     if g:
