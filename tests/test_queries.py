@@ -1,6 +1,7 @@
 """The driver's queries against their SQL at the smallest scale."""
 
 import glob
+import numbers
 import os
 
 import pytest
@@ -13,7 +14,7 @@ def rows(df):
     import pandas as pd
 
     df = df[sorted(df.columns)]
-    cell = lambda x: None if pd.isna(x) else round(float(x), 6) if isinstance(x, float) else str(x)
+    cell = lambda x: None if pd.isna(x) else round(float(x), 6) if isinstance(x, numbers.Number) and not isinstance(x, bool) else str(x)
     return sorted(([cell(x) for x in r] for r in df.itertuples(index=False)), key=str)
 
 
