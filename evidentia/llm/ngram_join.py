@@ -36,6 +36,8 @@ from .words import Words, chunks, mix, ranges, sequence_hashes
 U64 = np.uint64
 ORDER_SALTS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 SIG_BITS = 16
+#: Bits of a class's bitmap of shared shingles; see ``link_components``.
+BITMAP = 2048
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,16 +149,18 @@ SURVIVORS = T.StructType(
         T.StructField("toks", T.ArrayType(T.LongType())),
         T.StructField("sig2", T.ArrayType(T.IntegerType())),
         T.StructField("sig3", T.ArrayType(T.IntegerType())),
+        T.StructField("bits", T.ArrayType(T.LongType())),
     ]
 )
 
 
 def _survivors(sk: Sketch, k: int, percent: int):
     """Classes that may have a partner: size, shared shingles in the first
-    order, prefix length, and 16-bit hashes of the other orders' prefixes."""
+    order, prefix length, 16-bit hashes of the other orders' prefixes, and a
+    bitmap of the shared shingles."""
 
     def run(key, table, side):
-        none = pa.table({f.name: pa.array([], t) for f, t in zip(SURVIVORS, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())))})
+        none = pa.table({f.name: pa.array([], t) for f, t in zip(SURVIVORS, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())))})
         if not table.num_rows or not side.num_rows:
             return none
         reps = side.filter(pa.array([x == "rep" for x in side.column("kind").to_pylist()]))
@@ -180,7 +184,10 @@ def _survivors(sk: Sketch, k: int, percent: int):
             q = int(n[d] - (percent * n[d] + 99) // 100 + 1 - (n[d] - shared[d]))
             order = [np.lexsort((mix(x ^ U64(salt)), lv)) for salt in ORDER_SALTS]
             sig = [np.unique((x[o[:q]] >> U64(7)) & U64((1 << SIG_BITS) - 1)).astype(np.int32).tolist() for o in order[1:]]
-            rows.append((int(ids[d]), int(n[d]), q, x[order[0]].view(np.int64).tolist(), *sig))
+            marks = np.zeros(BITMAP, bool)
+            marks[x >> U64(64 - BITMAP.bit_length() + 1)] = True
+            bits = np.packbits(marks, bitorder="little").view("<i8").tolist()
+            rows.append((int(ids[d]), int(n[d]), q, x[order[0]].view(np.int64).tolist(), *sig, bits))
         if not rows:
             return none
         cols = list(zip(*rows))
@@ -192,24 +199,33 @@ def _survivors(sk: Sketch, k: int, percent: int):
 # ---------------------------------------------------------------- components
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes (id), edges (u, v): (id, label), the smallest id of each node's
+def connected_components(edges: DataFrame) -> DataFrame:
+    """edges (u, v): (id, label) of each end, label the smallest id of its
     component.  Minimum labels pass along edges and labels are shortcut, until
     nothing changes; the rounds grow with the logarithm of the longest path."""
     both = cut(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = cut(nodes.select("id", F.col("id").alias("label")))
+    labels = both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("label")).select("id", F.least("id", "label").alias("label"))
     while True:
         near = both.join(labels.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "id", "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        # shortcut: the label of the label, by the step just made
-        up = step.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        new = cut(step.join(up, "label", "left").select("id", "old", F.least("label", F.coalesce("up", "label")).alias("label")))
-        changed = new.filter(F.col("old") != F.col("label")).limit(1).count()
+        step = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        # shortcut: the label of the label, as it was
+        up = labels.select(F.col("id").alias("label"), F.col("label").alias("up"))
+        new = cut(step.join(up, "label").select("id", "old", F.least("label", "up").alias("label")))
         labels = new.select("id", "label")
-        if not changed:
+        if new.filter(F.col("old") != F.col("label")).isEmpty():
             return labels
 
 
+def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (id, label) after ``links`` (u, v) of ids joined components: the
+    components of the graph of labels, which is as small as the links are new."""
+    a = labels.select(F.col("id").alias("u"), F.col("label").alias("lu"))
+    b = labels.select(F.col("id").alias("v"), F.col("label").alias("lv"))
+    between = links.join(a, "u").join(b, "v").filter(F.col("lu") != F.col("lv")).select(F.col("lu").alias("u"), F.col("lv").alias("v"))
+    up = connected_components(between).select(F.col("id").alias("label"), F.col("label").alias("up"))
+    return cut(labels.join(up, "label", "left").select("id", F.coalesce("up", "label").alias("label")))
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """pairs (u, v) of different classes: those that link.  Size and the other
     orders' prefixes are looked at before the sets are moved."""
@@ -224,39 +240,49 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.withColumn("x", both).filter(F.col("x") * 100 >= (F.col("nu") + F.col("nv") - F.col("x")) * percent).select("u", "v")
 
 
-def link_components(sets: DataFrame, percent: int, star_rounds: int = 6, pairs_per_class: int = 4) -> DataFrame:
-    """sets: the surviving classes.  (id, label) of each."""
-    nodes = cut(sets.select(F.col("rep").alias("id")))
-    post = sets.select("rep", F.explode(F.slice("toks", F.lit(1), F.col("q"))).alias("token"))
+def link_components(sets: DataFrame, percent: int, star_rounds: int = 3, pairs_per_class: int = 32) -> DataFrame:
+    """sets: the surviving classes.  (id, label) of each.
+
+    A pair of a posting list is a candidate only if its sizes, the token's two
+    places and the bitmaps leave the threshold possible: a bit of one side only
+    is a shingle that isn't shared, so the overlap is at most the size less
+    those bits.  None of these bounds loses a link.
+    """
+    labels = cut(sets.select(F.col("rep").alias("id"), F.col("rep").alias("label")))
+    post = sets.select("rep", "n", F.size("toks").alias("m"), F.posexplode(F.slice("toks", F.lit(1), F.col("q"))).alias("at", "token"))
     # lists of equal members are one; lists of one member say nothing
     lists = post.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
     keep = lists.filter("c > 1").groupBy("c", "s", "lo", "hi").agg(F.min("token").alias("token")).select("token")
-    post = cut(post.join(keep, "token").distinct())
-    labels = nodes.select("id", F.col("id").alias("label"))
-    links = None
-    n_nodes = nodes.count()
+    post = cut(post.join(keep, "token").dropDuplicates(["rep", "token"]))
+    # what a shared token at its two places leaves possible: sizes, and the overlap before, at and after it
+    most = F.least("au", "av") + 1 + F.least(F.col("mu") - F.col("au"), F.col("mv") - F.col("av")) - 1
+    possible = (F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent) & (most * (100 + percent) >= (F.col("nu") + F.col("nv")) * percent)
+    one = lambda df, x: df.select("token", F.col("rep").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}"), F.col("at").alias(f"a{x}"))
+    n_nodes = labels.count()
     for r in range(star_rounds + 1):
-        marked = cut(post.join(labels.withColumnRenamed("id", "rep"), "rep"))
+        marked = post.join(labels.withColumnRenamed("id", "rep"), "rep")
         per = marked.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
         mixed = per.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("c2")).filter("labels > 1")
-        mixed = cut(mixed)
-        left = mixed.agg(F.coalesce(F.sum((F.col("c") * F.col("c") - F.col("c2")) / 2), F.lit(0.0)).alias("p")).first()["p"]
+        open_ = cut(marked.join(mixed.select("token", ((F.col("c") * F.col("c") - F.col("c2")) / 2 / F.col("c")).alias("w")), "token"))
+        left = open_.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]  # pairs of different components in one list
         if not left:
             break
-        open_ = marked.join(mixed.select("token"), "token")
         last = left <= pairs_per_class * n_nodes or r == star_rounds
         if last:
-            x = open_.select("token", F.col("rep").alias("u"), F.col("label").alias("lu"))
-            y = open_.select("token", F.col("rep").alias("v"), F.col("label").alias("lv"))
-            pairs = x.join(y, "token").filter((F.col("lu") != F.col("lv")) & (F.col("u") < F.col("v")))
+            wide = open_.join(sets.select("rep", "bits"), "rep")
+            x, y = (one(wide.withColumn("label", F.struct("label", "bits")), c) for c in "uv")
+            differ = lambda a, b: sum((F.bit_count(F.col(f"l{a}.bits")[i].bitwiseAND(F.bitwise_not(F.col(f"l{b}.bits")[i]))) for i in range(BITMAP // 64)), F.lit(0))
+            need = (F.col("nu") + F.col("nv")) * percent
+            close = ((F.col("mu") - differ("u", "v")) * (100 + percent) >= need) & ((F.col("mv") - differ("v", "u")) * (100 + percent) >= need)
+            pairs = x.join(y, (x["token"] == y["token"]) & (F.col("lu.label") != F.col("lv.label")) & (F.col("u") < F.col("v")) & possible & close)
         else:
             # the hub of a list: its member with the smallest hash of this round (the smallest id at first)
             key = F.col("rep") if r == 0 else F.xxhash64("rep", F.lit(r))
-            hub = open_.groupBy("token").agg(F.min_by(F.struct("rep", "label"), key).alias("h")).select("token", F.col("h.rep").alias("u"), F.col("h.label").alias("lu"))
-            pairs = open_.select("token", F.col("rep").alias("v"), F.col("label").alias("lv")).join(hub, "token").filter(F.col("lu") != F.col("lv"))
+            hub = open_.groupBy("token").agg(F.min_by(F.struct("rep", "label", "n", "m", "at"), key).alias("h")).select("token", "h.*")
+            pairs = one(open_, "v").join(one(hub, "u"), "token").filter((F.col("lu") != F.col("lv")) & possible)
         found = cut(_verify(pairs.select("u", "v").distinct(), sets, percent))
-        links = found if links is None else links.unionByName(found)
-        labels = connected_components(nodes, links)
+        if not found.isEmpty():
+            labels = relabel(labels, found)
         if last:
             break
     return labels
