@@ -121,8 +121,14 @@ def _em(like: np.ndarray, doc: np.ndarray, first: np.ndarray, start: np.ndarray,
     return pi, ll
 
 
-def infer(texts: pa.Array, langs: Sequence[str], table: np.ndarray, rounds: int = 6, most: int = 3, penalty: float = 6.0):
-    """Language set, its first language and that one's proportion for each text."""
+def infer(texts: pa.Array, langs: Sequence[str], table: np.ndarray, rounds: int = 6, penalty: float = 6.0):
+    """Language set, its first language and that one's proportion for each text.
+
+    Tried are the languages of the largest proportions, in every number up to
+    all of them.  A likelihood is at most 1, so a text is done when the penalty
+    alone makes any larger set worse than its best: no set that could win is
+    left out.
+    """
     n = len(texts)
     pred, score, sets = np.full(n, None, object), np.zeros(n), np.full(n, None, object)
     k = len(langs)
@@ -148,13 +154,23 @@ def infer(texts: pa.Array, langs: Sequence[str], table: np.ndarray, rounds: int
         pi, _ = _em(like, doc, first, np.ones((len(some), k)), rounds)
         rank = np.argsort(-pi, axis=1, kind="stable")
         best, best_pi, best_n = np.full(len(some), -np.inf), pi.copy(), np.ones(len(some), int)
-        for size in range(1, min(most, k) + 1):
-            allowed = np.zeros_like(pi)
-            np.put_along_axis(allowed, rank[:, :size], 1.0, axis=1)
-            p, l2 = _em(like, doc, first, allowed * (pi + 0.01), rounds // 2 if size > 1 else 0)
+        n_words, left = np.diff(np.append(first, len(like))), np.arange(len(some))
+        for size in range(1, k + 1):
+            more = best[left] < -penalty * size
+            if not more.any():
+                break
+            if not more.all():
+                rows = more[doc]
+                like, doc = like[rows], (np.cumsum(more) - 1)[doc[rows]]
+                left, n_words = left[more], n_words[more]
+                first = np.cumsum(n_words) - n_words
+            allowed = np.zeros((len(left), k))
+            np.put_along_axis(allowed, rank[left, :size], 1.0, axis=1)
+            p, l2 = _em(like, doc, first, allowed * (pi[left] + 0.01), rounds // 2 if size > 1 else 0)
             l2 = l2 - penalty * size
-            win = l2 > best
-            best[win], best_pi[win], best_n[win] = l2[win], p[win], size
+            win = l2 > best[left]
+            at = left[win]
+            best[at], best_pi[at], best_n[at] = l2[win], p[win], size
         order = np.argsort(-best_pi, axis=1, kind="stable")
         for d, s in enumerate(some):
             if has[s]:

@@ -290,6 +290,20 @@ def test_language_mixture(spark):
     assert {r.lang_pred for r in language_id.identify(test, *none).collect()} == {"und"}
 
 
+def test_language_sets_of_any_size():
+    """A text of all learned languages has all of them in its set."""
+    rnd = random.Random(4)
+    langs = {"vv": "abc", "ww": "def", "xx": "ghi", "yy": "jkl", "zz": "mno"}
+    text = lambda k, n: " ".join("".join(rnd.choices(langs[k], k=6)) for _ in range(n))
+    names = sorted(langs)
+    counts = language_id.count_table(pa.array([text(k, 2000) for k in names]), np.arange(5), 5) + 0.1
+    tab = np.log(counts / counts.sum(1, keepdims=True)).T.astype(np.float32)
+    texts = [" ".join(text(k, 30 + 10 * (k == "xx")) for k in names[:n]) for n in (1, 2, 3, 4, 5)]
+    pred, score, sets = language_id.infer(pa.array([*texts, None, "a"]), names, tab)
+    assert [set(x) for x in sets[:5]] == [set(names[:n]) for n in (1, 2, 3, 4, 5)] and sets[5] is None and sets[6] == ["vv"]
+    assert [pred[n] for n in (2, 3, 4)] == ["xx"] * 3 and np.abs(score[2:5] - [0.4, 40 / 130, 0.25]).max() < 0.02
+
+
 def test_ordinal_gradient_and_order():
     rnd = np.random.default_rng(2)
     texts, grades = [], []
