@@ -64,6 +64,15 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], np.cumsum(n)]).astype(np.int64), h
 
 
+def _keys_of(off: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
+    """The two halves of each set's 128-bit key."""
+    keys = []
+    for salt in (0x9E37, 0x79B9):
+        c = np.concatenate([np.zeros(1, U64), np.cumsum(mix(h ^ U64(salt)), dtype=U64)])
+        keys.append((c[off[1:]] - c[off[:-1]]).view(np.int64))
+    return keys
+
+
 def set_keys(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles and a 128-bit key of each row's set."""
     fields = [docs.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType())]
@@ -71,24 +80,30 @@ def set_keys(docs: DataFrame, k: int) -> DataFrame:
     def run(batches):
         for b in batches:
             off, h = shingle_sets(b.column("text"), k)
-            keys = []
-            for salt in (0x9E37, 0x79B9):
-                c = np.concatenate([np.zeros(1, U64), np.cumsum(mix(h ^ U64(salt)), dtype=U64)])
-                keys.append(pa.array((c[off[1:]] - c[off[:-1]]).view(np.int64)))
+            keys = [pa.array(x) for x in _keys_of(off, h)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(off), pa.int64()), *keys], names=[f.name for f in fields])
 
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType(fields))
 
 
 def _class_sets(table: pa.Table, reps: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block: the classes' ids, offsets and shingles.  Each class once,
-    also where rows repeat."""
+    """Of a block: the classes' ids, offsets and shingles.  Each set of an id
+    once, also where rows repeat; an id with different texts has several."""
     ids = table.column("doc_id").to_numpy()
     want = np.sort(reps.column("rep").to_numpy())
     at = np.flatnonzero(np.isin(ids, want))
     at = at[np.argsort(ids[at], kind="stable")]
     off, h = shingle_sets(table.column("text").combine_chunks().take(pa.array(at)), k)
-    return ids[at], off, h
+    ids = ids[at]
+    if (ids[1:] == ids[:-1]).any():
+        n, (k1, k2) = np.diff(off), _keys_of(off, h)
+        o = np.lexsort((k2, k1, n, ids))
+        new = np.ones(len(o), bool)
+        new[1:] = np.any([x[o[1:]] != x[o[:-1]] for x in (ids, n, k1, k2)], axis=0)
+        o = o[new]
+        h = h[ranges(off[:-1][o], n[o])]
+        ids, off = ids[o], np.concatenate([[0], np.cumsum(n[o])]).astype(np.int64)
+    return ids, off, h
 
 
 def _send_counts(sk: Sketch, k: int):
@@ -144,6 +159,7 @@ def _merge_counts(sk: Sketch):
 SURVIVORS = T.StructType(
     [
         T.StructField("rep", T.LongType()),
+        T.StructField("s", T.IntegerType()),
         T.StructField("n", T.LongType()),
         T.StructField("q", T.IntegerType()),
         T.StructField("toks", T.ArrayType(T.LongType())),
@@ -155,12 +171,13 @@ SURVIVORS = T.StructType(
 
 
 def _survivors(sk: Sketch, k: int, percent: int):
-    """Classes that may have a partner: size, shared shingles in the first
+    """Classes that may have a partner: number among the id's sets (0 unless
+    it has different texts), size, shared shingles in the first
     order, prefix length, 16-bit hashes of the other orders' prefixes, and a
     bitmap of the shared shingles."""
 
     def run(key, table, side):
-        none = pa.table({f.name: pa.array([], t) for f, t in zip(SURVIVORS, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())))})
+        none = pa.table({f.name: pa.array([], t) for f, t in zip(SURVIVORS, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())))})
         if not table.num_rows or not side.num_rows:
             return none
         reps = side.filter(pa.array([x == "rep" for x in side.column("kind").to_pylist()]))
@@ -175,6 +192,7 @@ def _survivors(sk: Sketch, k: int, percent: int):
                     got[at[s] : at[s + 1]] = _un_nibbles(p, int(at[s + 1] - at[s]))
             level = np.minimum(level, got[inv])
         n = np.diff(off)
+        nth = np.arange(len(ids)) - np.searchsorted(ids, ids)
         c = np.concatenate([[0], np.cumsum(level > 0)])
         shared = c[off[1:]] - c[off[:-1]]
         rows = []
@@ -187,7 +205,7 @@ def _survivors(sk: Sketch, k: int, percent: int):
             marks = np.zeros(BITMAP, bool)
             marks[x >> U64(64 - BITMAP.bit_length() + 1)] = True
             bits = np.packbits(marks, bitorder="little").view("<i8").tolist()
-            rows.append((int(ids[d]), int(n[d]), q, x[order[0]].view(np.int64).tolist(), *sig, bits))
+            rows.append((int(ids[d]), int(nth[d]), int(n[d]), q, x[order[0]].view(np.int64).tolist(), *sig, bits))
         if not rows:
             return none
         cols = list(zip(*rows))
@@ -227,37 +245,38 @@ def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs (u, v) of different classes: those that link.  Size and the other
+    """pairs (u, su, v, sv) of sets of different ids: (u, v) of those that link.  Size and the other
     orders' prefixes are looked at before the sets are moved."""
-    small = sets.select("rep", "n", "sig2", "sig3")
-    a = small.select(F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("sig2").alias("a2"), F.col("sig3").alias("a3"))
-    b = small.select(F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("sig2").alias("b2"), F.col("sig3").alias("b3"))
+    small = sets.select("rep", "s", "n", "sig2", "sig3")
+    a = small.select(F.col("rep").alias("u"), F.col("s").alias("su"), F.col("n").alias("nu"), F.col("sig2").alias("a2"), F.col("sig3").alias("a3"))
+    b = small.select(F.col("rep").alias("v"), F.col("s").alias("sv"), F.col("n").alias("nv"), F.col("sig2").alias("b2"), F.col("sig3").alias("b3"))
     close = (F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent) & F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")
-    cand = pairs.join(a, "u").join(b, "v").filter(close).select("u", "v", "nu", "nv")
-    toks = sets.select("rep", "toks")
-    full = cand.join(toks.select(F.col("rep").alias("v"), F.col("toks").alias("tv")), "v").join(toks.select(F.col("rep").alias("u"), F.col("toks").alias("tu")), "u")
+    cand = pairs.join(a, ["u", "su"]).join(b, ["v", "sv"]).filter(close).select("u", "su", "v", "sv", "nu", "nv")
+    toks = lambda x: sets.select(F.col("rep").alias(x), F.col("s").alias(f"s{x}"), F.col("toks").alias(f"t{x}"))
+    full = cand.join(toks("v"), ["v", "sv"]).join(toks("u"), ["u", "su"])
     both = F.size(F.array_intersect("tu", "tv"))
     return full.withColumn("x", both).filter(F.col("x") * 100 >= (F.col("nu") + F.col("nv") - F.col("x")) * percent).select("u", "v")
 
 
 def link_components(sets: DataFrame, percent: int, star_rounds: int = 3, pairs_per_class: int = 32) -> DataFrame:
-    """sets: the surviving classes.  (id, label) of each.
+    """sets: the surviving classes.  (id, label) of each id among them; the
+    sets of one id (rep, s) are one node.
 
     A pair of a posting list is a candidate only if its sizes, the token's two
     places and the bitmaps leave the threshold possible: a bit of one side only
     is a shingle that isn't shared, so the overlap is at most the size less
     those bits.  None of these bounds loses a link.
     """
-    labels = cut(sets.select(F.col("rep").alias("id"), F.col("rep").alias("label")))
-    post = sets.select("rep", "n", F.size("toks").alias("m"), F.posexplode(F.slice("toks", F.lit(1), F.col("q"))).alias("at", "token"))
+    labels = cut(sets.select(F.col("rep").alias("id"), F.col("rep").alias("label")).distinct())
+    post = sets.select("rep", "s", "n", F.size("toks").alias("m"), F.posexplode(F.slice("toks", F.lit(1), F.col("q"))).alias("at", "token"))
     # lists of equal members are one; lists of one member say nothing
-    lists = post.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
-    keep = lists.filter("c > 1").groupBy("c", "s", "lo", "hi").agg(F.min("token").alias("token")).select("token")
-    post = cut(post.join(keep, "token").dropDuplicates(["rep", "token"]))
+    lists = post.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("rep", "s").cast("decimal(38,0)")).alias("h"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
+    keep = lists.filter("c > 1").groupBy("c", "h", "lo", "hi").agg(F.min("token").alias("token")).select("token")
+    post = cut(post.join(keep, "token"))
     # what a shared token at its two places leaves possible: sizes, and the overlap before, at and after it
     most = F.least("au", "av") + 1 + F.least(F.col("mu") - F.col("au"), F.col("mv") - F.col("av")) - 1
     possible = (F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent) & (most * (100 + percent) >= (F.col("nu") + F.col("nv")) * percent)
-    one = lambda df, x: df.select("token", F.col("rep").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}"), F.col("at").alias(f"a{x}"))
+    one = lambda df, x: df.select("token", F.col("rep").alias(x), F.col("s").alias(f"s{x}"), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}"), F.col("at").alias(f"a{x}"))
     n_nodes = labels.count()
     for r in range(star_rounds + 1):
         marked = post.join(labels.withColumnRenamed("id", "rep"), "rep")
@@ -269,7 +288,7 @@ def link_components(sets: DataFrame, percent: int, star_rounds: int = 3, pairs_p
             break
         last = left <= pairs_per_class * n_nodes or r == star_rounds
         if last:
-            wide = open_.join(sets.select("rep", "bits"), "rep")
+            wide = open_.join(sets.select("rep", "s", "bits"), ["rep", "s"])
             x, y = (one(wide.withColumn("label", F.struct("label", "bits")), c) for c in "uv")
             differ = lambda a, b: sum((F.bit_count(F.col(f"l{a}.bits")[i].bitwiseAND(F.bitwise_not(F.col(f"l{b}.bits")[i]))) for i in range(BITMAP // 64)), F.lit(0))
             need = (F.col("nu") + F.col("nv")) * percent
@@ -278,9 +297,9 @@ def link_components(sets: DataFrame, percent: int, star_rounds: int = 3, pairs_p
         else:
             # the hub of a list: its member with the smallest hash of this round (the smallest id at first)
             key = F.col("rep") if r == 0 else F.xxhash64("rep", F.lit(r))
-            hub = open_.groupBy("token").agg(F.min_by(F.struct("rep", "label", "n", "m", "at"), key).alias("h")).select("token", "h.*")
+            hub = open_.groupBy("token").agg(F.min_by(F.struct("rep", "s", "label", "n", "m", "at"), key).alias("h")).select("token", "h.*")
             pairs = one(open_, "v").join(one(hub, "u"), "token").filter((F.col("lu") != F.col("lv")) & possible)
-        found = cut(_verify(pairs.select("u", "v").distinct(), sets, percent))
+        found = cut(_verify(pairs.select("u", "su", "v", "sv").distinct(), sets, percent))
         if not found.isEmpty():
             labels = relabel(labels, found)
         if last:
@@ -318,7 +337,14 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, block_bytes
     )
     left = cut(blocks.groupBy("_block").cogroup(side.groupBy("block")).applyInArrow(_survivors(sk, k, percent), SURVIVORS))
     labels = link_components(left, percent)
-    # several classes of one doc_id (equal ids) share it as their rep
+    # rows of equal doc_id and different texts are one document: their classes link
+    varied = cut(real.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "k1", "k2")).alias("a"), F.max(F.struct("n_shingles", "k1", "k2")).alias("b")).filter("a != b").select("doc_id"))
+    if not varied.isEmpty():
+        of_id = cut(real.join(varied, "doc_id").join(classes, ["n_shingles", "k1", "k2"]).select("doc_id", "rep").distinct())
+        ties = of_id.join(of_id.groupBy("doc_id").agg(F.min("rep").alias("u")), "doc_id").filter("rep > u").select("u", F.col("rep").alias("v"))
+        ends = of_id.select(F.col("rep").alias("id")).distinct().join(labels, "id", "left_anti")
+        labels = relabel(cut(labels.unionByName(ends.select("id", F.col("id").alias("label")))), ties)
+    # several classes of one doc_id share it as their rep
     of_class = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "k1", "k2", F.coalesce("label", "rep").alias("component_id"))
     out = sets.join(of_class, ["n_shingles", "k1", "k2"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     per_row = out.select("doc_id", "n_shingles", "component_id")

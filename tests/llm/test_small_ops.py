@@ -114,6 +114,20 @@ def test_ngram_edges_of_input(spark, docs):
     assert ngram_join.ngram_components(docs.limit(0).select("doc_id", "text")).count() == 0
 
 
+def test_ngram_equal_ids(spark):
+    """Repeated rows with partners aren't multiplied, and different texts of
+    one id are one document with the links of all of them."""
+    near = lambda c, j=None: " ".join("%s%d" % (c, i) if i != j else "edit" for i in range(60))
+    rows = [(1, near("a")), (1, near("a")), (1, near("a")), (2, near("a", 20))]
+    rows += [(10, near("b")), (10, near("c")), (10, near("c")), (11, near("b", 0)), (12, near("c", 59))]
+    rows += [(20, near("d")), (21, near("e")), (22, near("d")), (22, near("e")), (23, near("e", 0))]
+    rows += [(30, near("f")), (30, near("g"))]
+    df = table(spark, [(i, t, "s") for i, t in rows]).select("doc_id", "text")
+    got = sorted((r.doc_id, r.component_id) for r in ngram_join.ngram_components(df).collect())
+    assert got == [(i, i // 10 * 10 or 1) for i, _ in rows]
+    assert sorted(r.doc_id for r in ngram_join.one_of_each(df).collect()) == [1, 1, 1, 10, 10, 10, 20, 30, 30]
+
+
 # ---------------------------------------------------------------- repetition
 
 
