@@ -1,5 +1,6 @@
 """Text functions as Column builders: folding, tokens, quality, stamps,
-personal data, secrets, literals, dates, money.  No Python UDFs.
+personal data, secrets, literals, dates, money.  Built-in functions, but for
+the character counts of a page's quality, which are one Arrow pass.
 
 JavaScript's white space, used by the rules this follows, is Java's `\\s` with
 Unicode classes; digits stay ASCII.
@@ -14,6 +15,8 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evidentia.functions.text_counts import character_counts
+
 ColumnOrName = Column | str
 SPACE = r"(?U)\s"
 
@@ -89,9 +92,8 @@ STAMPS = (
 )
 MIN_BEYOND_STAMPS = 120
 MIN_USEFUL = 20
+#: Fixed value: letters and digits.
 USEFUL_RE = r"[\p{L}\p{N}]"
-CONTROL_RE = "\\\\u(?:FFFD|0000|0001)|[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F�]"
-SYMBOL_RE = r"(?U)[^\p{L}\p{N}\s.,;:()/%-]"
 
 
 def strip_stamps(c: ColumnOrName, stamps: tuple[str, ...] = STAMPS) -> Column:
@@ -118,22 +120,15 @@ def page_yield(c: ColumnOrName, stamps: tuple[str, ...] = STAMPS) -> Column:
 def text_quality(c: ColumnOrName) -> Column:
     """struct(score, needs_enrichment, reasons) of a page's text; a null text
     is judged as the empty one."""
-    raw = F.coalesce(col(c), F.lit(""))
-    norm = collapse(raw)
-    n = F.length(norm)
+    k = character_counts(F.coalesce(col(c), F.lit("")))
+    n, useful, control = k["n"], k["useful"], k["control"]
     total = F.greatest(n, F.lit(1))
-    useful = n_useful(norm)
-    control = F.regexp_count(raw, F.lit(CONTROL_RE))
-    spaces = F.regexp_count(norm, F.lit(SPACE))
-    long_n = F.regexp_count(norm, F.lit(r"(?U)\S{45,}"))
-    long_chars = n - F.length(F.regexp_replace(norm, r"(?U)\S{45,}", ""))
-    symbols = F.regexp_count(norm, F.lit(SYMBOL_RE)) + control
     tests = [
         ("too_few_useful_chars", useful < MIN_USEFUL),
         ("low_alnum_density", useful / total < 0.45),
-        ("low_space_ratio", (n > 20) & (spaces / total < 0.04)),
-        ("long_unseparated_sequence", (long_chars / total > 0.3) | ((long_n > 0) & (useful < 200))),
-        ("gibberish_ratio_high", (symbols / total > 0.15) | (control >= 2)),
+        ("low_space_ratio", (n > 20) & (k["spaces"] / total < 0.04)),
+        ("long_unseparated_sequence", (k["long_chars"] / total > 0.3) | ((k["long_n"] > 0) & (useful < 200))),
+        ("gibberish_ratio_high", ((k["symbols"] + control) / total > 0.15) | (control >= 2)),
     ]
     reasons = F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in tests)))
     size = F.size(reasons)
@@ -172,12 +167,20 @@ def python_fold(s: str) -> str:
     return "".join(x for x in unicodedata.normalize("NFD", s) if not "̀" <= x <= "ͯ").lower()
 
 
+def _masked(c: Column, masks: tuple[tuple[str, str], ...]) -> Column:
+    """Masks in their order.  A pattern with an @ is tried only on texts that
+    hold one: masks don't bring any."""
+    has_at, out = F.contains(c, F.lit("@")), c
+    for pattern, mask in masks:
+        made = F.regexp_replace(out, pattern, mask)
+        out = F.when(has_at, made).otherwise(out) if "@" in pattern else made
+    return out
+
+
 def strip_personal(c: ColumnOrName, names: list[str] | tuple[str, ...] = (), masks=PERSONAL) -> Column:
     """Numbers and addresses of persons masked, then ``names`` of 4 characters
     or more in any case, as given and folded; white space runs collapsed."""
-    c = col(c)
-    for pattern, mask in masks:
-        c = F.regexp_replace(c, pattern, mask)
+    c = _masked(col(c), masks)
     for name in names:
         name = name.strip()
         if len(name) >= 4:
@@ -188,9 +191,7 @@ def strip_personal(c: ColumnOrName, names: list[str] | tuple[str, ...] = (), mas
 
 def strip_personal_names(c: ColumnOrName, names: Column, masks=PERSONAL) -> Column:
     """As ``strip_personal``, with an array column of names for each row."""
-    c = col(c)
-    for pattern, mask in masks:
-        c = F.regexp_replace(c, pattern, mask)
+    c = _masked(col(c), masks)
     esc = lambda s: F.concat(F.lit("(?iu)"), F.regexp_replace(s, r"([.*+?^${}()|\[\]\\])", r"\\$1"))
     long = F.filter(F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda n: F.trim(n)), lambda n: F.length(n) >= 4)
     both = F.flatten(F.transform(long, lambda n: F.array_distinct(F.array(n, fold(n)))))

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from evidentia.functions.text import brl
 from evidentia.operators.events import is_critical
+from evidentia.operators.search import missing_vectors
 from evidentia.rules import PT_LEGAL, RulePack
 
 READ = ("native_extracted", "ocr_done", "done", "failed_permanent", "skipped_no_key")
@@ -33,6 +34,30 @@ def is_visual(state: Column, yielded: Column) -> Column:
     return in_queue(state) | (state == "failed_permanent") | ((state == "ocr_done") & (F.coalesce(yielded, F.lit("")) == "stamp_only"))
 
 
+def visual_queue(ledger: DataFrame, embedded: DataFrame, case: str = "case_id") -> DataFrame:
+    """Visual pages without a vector of their own: embedded (case, page)."""
+    seen = F.col("ocr_yield") if "ocr_yield" in ledger.columns else F.lit(None).cast("string")
+    return ledger.filter(is_visual(F.col("state"), seen)).join(embedded.select(case, "page"), [case, "page"], "left_anti")
+
+
+def textual_queue(units: DataFrame, ledger: DataFrame, vectors: DataFrame, model: str, case: str = "case_id") -> DataFrame:
+    """Units with text whose page isn't visual and that lack a vector of the
+    model."""
+    visual = visual_queue(ledger, ledger.limit(0), case).select(case, "page")
+    todo = missing_vectors(units, vectors, model, "evidence_id", "evidence_id")
+    return todo.join(visual, [case, "page"], "left_anti")
+
+
+def ledger_evidence(ledger: DataFrame, units: DataFrame, case: str = "case_id") -> DataFrame:
+    """Units that the ledger's rows name, (case, position, evidence_id, ...),
+    each once per case where it is named first, in the ledger's order.  Ids
+    without a unit are left out; positions count them."""
+    named = ledger.select(case, "page", F.posexplode("evidence_ids").alias("at", "evidence_id"))
+    first = named.groupBy(case, "evidence_id").agg(F.min(F.struct("page", "at")).alias("at"))
+    n = F.row_number().over(W.partitionBy(case).orderBy("at", "evidence_id"))
+    return first.select(case, "evidence_id", n.cast("long").alias("position")).join(units.drop(case, "position"), "evidence_id")
+
+
 def skip_extracted(pages: DataFrame, ledger: DataFrame, case: str = "case_id") -> DataFrame:
     """``pages`` (case, page, hash, ...) that have to be done: no settled
     ledger row with the same hash."""
@@ -213,9 +238,11 @@ def final_status(ledger: DataFrame, cases: DataFrame, estimate: DataFrame, area_
 
 
 def requeue_stamp_only(ledger: DataFrame, prompt_version: int) -> DataFrame:
-    """Pages that gave only stamps go back to the queue once per prompt version."""
-    again = (F.col("state") == "ocr_done") & (F.col("ocr_yield") == "stamp_only") & (F.coalesce("ocr_prompt_version", F.lit(0)) < prompt_version)
-    return ledger.withColumns({"state": F.when(again, "ocr_needed").otherwise(F.col("state")), "ocr_prompt_version": F.when(again, F.lit(prompt_version)).otherwise(F.col("ocr_prompt_version"))})
+    """Pages read under an older prompt (the first, if none is named) are looked
+    at once per version: those that gave only stamps go back to the queue."""
+    old = (F.col("state") == "ocr_done") & F.col("ocr_yield").isNotNull() & (F.coalesce("ocr_prompt_version", F.lit(1)) < prompt_version)
+    again = old & (F.col("ocr_yield") == "stamp_only")
+    return ledger.withColumns({"state": F.when(again, "ocr_needed").otherwise(F.col("state")), "ocr_prompt_version": F.when(old, F.lit(prompt_version)).otherwise(F.col("ocr_prompt_version"))})
 
 
 # ---------------------------------------------------------------- panels

@@ -154,6 +154,20 @@ def radar(events: DataFrame, side: str, deadlines: DataFrame | None = None, trig
     return out.join(ref, "_id", "left").drop("_id")
 
 
+def radar_union(items: DataFrame, case: str = "case_id") -> DataFrame:
+    """(case, itens): both lists of a case's radar as one, deadlines first."""
+    first = F.when(F.col("lista") == "prazo", 0).otherwise(1)
+    cols = [c for c in ("lista", "radar_id", "tipo", "status", "hipotese") if c in items.columns]
+    return items.groupBy(case).agg(F.array_sort(F.collect_list(F.struct(first.alias("o"), F.col("radar_id").alias("r"), F.struct(*cols).alias("item")))).alias("i")).select(case, F.transform("i", lambda x: x["item"]).alias("itens"))
+
+
+def head_units(units: DataFrame, n: int = 10, case: str = "case_id") -> DataFrame:
+    """The first ``n`` native pages with text of each case."""
+    u = units.filter((F.col("unit_type") == "page_text") & (F.length(F.coalesce("text", F.lit(""))) > 0))
+    order = [c for c in ("page", "unit_id") if c in u.columns]
+    return u.withColumn("_r", F.row_number().over(W.partitionBy(case).orderBy(*order))).filter(F.col("_r") <= n).drop("_r")
+
+
 def phase(ledger: DataFrame, documents: DataFrame | None = None, area: str | Column = "civil", pack: RulePack = PT_LEGAL, case: str = "case_id") -> DataFrame:
     """The phase that a case's pieces show, from the most advanced rule, with
     its anchor pages and the document that holds the last of them.
@@ -211,8 +225,7 @@ def header_facts(units: DataFrame, case: str = "case_id", first_units: int = 10)
     of the highest confidence in the first ten native pages with text, the
     earliest page and rule on ties; role ``valor`` is the first claim value."""
     text = F.col("text")
-    heads = units.filter((F.col("unit_type") == "page_text") & (F.length(F.coalesce(text, F.lit(""))) > 0))
-    heads = heads.withColumn("_r", F.row_number().over(W.partitionBy(case).orderBy("page", "unit_id"))).filter(F.col("_r") <= first_units)
+    heads = head_units(units, first_units, case)
     cands = []
     for i, (role, conf, pattern) in enumerate(HEADER_RULES):
         if pattern is None:

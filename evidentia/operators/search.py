@@ -10,6 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,8 @@ from evidentia.functions.text import dense_excerpt, tokens
 
 K1, B, LEAST_IDF, RRF_K = 1.2, 0.75, 1e-6, 60
 MAX_TERMS = 10_000
+#: Hits of about 50 bytes that are broadcast to the texts.
+MAX_HITS_SENT = 200_000
 
 
 # ---------------------------------------------------------------- index
@@ -189,6 +192,24 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(F.slice(a.cast("array<double>"), F.lit(1), n), F.slice(b.cast("array<double>"), F.lit(1), n), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def _sizes(lists: pa.Array) -> np.ndarray:
+    return np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0), np.int64)
+
+
+def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
+    """Rows of norm 1 of a list array, cut or filled with 0 to ``dim``; a row of
+    norm 0 or not finite is unchanged, a null one 0."""
+    sizes = _sizes(lists)
+    flat = np.asarray(lists.flatten().fill_null(0.0), np.float64)
+    row, first = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+    norm = np.sqrt(np.bincount(row, flat * flat, len(sizes)))
+    scale = np.where((norm > 0) & (norm < np.inf), norm, 1.0)
+    place = np.arange(len(flat)) - np.repeat(first, sizes)
+    out, inside = np.zeros((len(sizes), dim)), place < dim
+    out[row[inside], place[inside]] = (flat / scale[row])[inside]
+    return out
+
+
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vec: str = "embedding", query_block: int = 256, max_query_bytes: int = 256 << 20) -> DataFrame:
     """queries (query_id, qvec) against all ``vectors``: the ``k`` largest dot
     products of normalised vectors per query, (query_id, id, score, rank),
@@ -215,19 +236,14 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, id_col: str
         def run(batches: Iterator[pa.RecordBatch], bc=bc) -> Iterator[pa.RecordBatch]:
             ids, m = bc.value
             for b in batches:
-                vs, keys = b.column(vec).to_pylist(), b.column(id_col).to_pylist()
-                ok = [i for i, v in enumerate(vs) if v]
-                if not ok or not ids:
+                x, keys = _matrix(b.column(vec), m.shape[1]), b.column(id_col)
+                if not len(x) or not ids:
+                    continue
+                order = np.argsort(keys.to_numpy(zero_copy_only=False), kind="stable")
+                order = order[_sizes(b.column(vec))[order] > 0]
+                x, key = x[order], keys.take(pa.array(order)).to_pylist()
+                if not key:
                     continue
-                x = np.zeros((len(ok), m.shape[1]))
-                for i, j in enumerate(ok):
-                    v = np.asarray(vs[j], np.float64)
-                    norm = np.sqrt((v * v).sum())
-                    v = v / norm if 0 < norm < np.inf else v
-                    x[i, : min(len(v), m.shape[1])] = v[: m.shape[1]]
-                key = [keys[j] for j in ok]
-                order = np.argsort(np.array(key), kind="stable")
-                x, key = x[order], [key[j] for j in order]
                 oq, ok_, os = [], [], []
                 for a in range(0, len(ids), query_block):
                     s = np.round(m[a : a + query_block] @ x.T, 9)
@@ -275,9 +291,11 @@ def hybrid(queries: DataFrame, units: DataFrame, vectors: DataFrame | None, k: i
         sem = vector_topk(queries.filter(F.col("qvec").isNotNull()).select("query_id", "qvec"), vectors, k, id_col)
         have = queries.select("query_id", F.when(F.col("qvec").isNotNull(), "hybrid").otherwise("lexical").alias("_mode"))
         fused = rrf(lex, sem, k, id_col).join(have, "query_id")
-    unit = units.select(id_col, dense_excerpt(text).alias("excerpt"))
-    out = fused.join(unit, id_col)
-    return out.select("query_id", "rank", id_col, F.round("score", 9).alias("score"), F.col("_mode").alias("mode"), "excerpt")
+    # a query has k hits: few enough to send to the texts, unless there are very many queries
+    if queries.count() * k <= MAX_HITS_SENT:
+        fused = F.broadcast(fused)
+    out = units.select(id_col, F.col(text).alias("_text")).join(fused, id_col)
+    return out.select("query_id", "rank", id_col, F.round("score", 9).alias("score"), F.col("_mode").alias("mode"), dense_excerpt("_text").alias("excerpt"))
 
 
 def missing_vectors(units: DataFrame, vectors: DataFrame, space: str | None = None, id_col: str = "doc_id", vec_id: str = "vec_id", text: str = "text") -> DataFrame:

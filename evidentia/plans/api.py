@@ -21,9 +21,10 @@ from evidentia.operators import search as se
 from evidentia.operators import verify as vf
 from evidentia.rules import PT_LEGAL, RulePack
 from evidentia.sources.pages import PageSource, page_counts
-from evidentia.sources.store import Store, append_findings, merge_registry
+from evidentia.sources.files import contained
+from evidentia.sources.store import Store, append_findings, merge_registry, usage_totals
 from evidentia.sources.tables import find_deadlines, load_deadlines, load_phases, pieces_of_phase
-from evidentia.streaming.ingest import Budget, Embedder, Enricher, Lease, embed, enrich, ingest_batch
+from evidentia.streaming.ingest import Budget, Embedder, Enricher, Lease, embed, enrich, ingest_batch, requeue
 
 
 def between(name: str, value: int, low: int, high: int) -> int:
@@ -52,8 +53,12 @@ class Engine:
         self.store = Store(self.spark, self.root)
 
     def _t(self, table: str, case_id: str | None = None) -> DataFrame:
-        df = self.store.read(table)
-        return df if case_id is None else df.filter(F.col("case_id") == case_id)
+        """A table's rows, of one case if given, without those of deleted cases."""
+        df = self.store.read(table, case_id)
+        if table == "cases":
+            return df.filter("deleted_at IS NULL")
+        gone = self.store.read("cases", case_id).filter("deleted_at IS NOT NULL").select("case_id")
+        return df.join(gone, "case_id", "left_anti")
 
     def _now(self):
         return F.current_timestamp()
@@ -67,27 +72,35 @@ class Engine:
         at = F.lit(now).cast("timestamp") if now else self._now()
         counts = page_counts(pages)
         cases = counts.select("case_id", F.lit(area).alias("area"), "total_pages", at.alias("created_at"), at.alias("updated_at"))
-        self.store.upsert("cases", cases)
+        self.store.upsert("cases", cases)  # a case that was deleted is there again
         job = F.concat(F.lit("job-"), F.col("case_id"), F.lit("-"), F.date_format("created_at", "yyyyMMddHHmmss"))
         jobs = self._t("cases").join(counts.select("case_id"), "case_id", "left_semi").select(job.alias("job_id"), "case_id", F.lit("running").alias("status"), "area", "total_pages", "created_at", F.col("created_at").alias("last_heartbeat_at"), F.lit(cov.DEADLINE_MS).cast("long").alias("heartbeat_deadline_ms"))
         self.store.upsert("ingest_jobs", jobs)
         ingest_batch(self.store, pages, self.pack)
         return self.finish()
 
-    def finish(self) -> DataFrame:
-        """Final states of the latest jobs, written back."""
-        led, cases = self._t("page_ledger"), self._t("cases")
-        fin = cov.final_status(led, cases, cov.ocr_estimate(led, self._t("approvals")))
-        jobs = cov.latest_job(self._t("ingest_jobs")).select("case_id", "job_id").join(fin, "case_id").select("job_id", F.col("final_status").alias("status"), "alerts")
+    def finish(self, case_id: str | None = None) -> DataFrame:
+        """Final states of the latest jobs and estimates, written back."""
+        led, cases = self._t("page_ledger", case_id), self._t("cases", case_id)
+        est = cov.ocr_estimate(led, self._t("approvals", case_id))
+        fin = cov.final_status(led, cases, est)
+        jobs = cov.latest_job(self._t("ingest_jobs", case_id)).select("case_id", "job_id").join(fin, "case_id").select("job_id", F.col("final_status").alias("status"), "alerts")
         self.store.patch("ingest_jobs", jobs)
-        return cov.latest_job(self._t("ingest_jobs"))
+        self.store.merge("approvals", est, lambda cur: merge_registry(cur, est.select("case_id", F.col("pending").cast("int").alias("estimated_pages")), ["case_id"]))
+        return cov.latest_job(self._t("ingest_jobs", case_id))
 
     def status(self, case_id: str | None = None) -> DataFrame:
-        return cov.status_view(cov.status_summary(self._t("ingest_jobs", case_id), self._t("page_ledger", case_id)), self._now())
+        """State, progress, costs and tokens of each case."""
+        s = cov.status_view(cov.status_summary(self._t("ingest_jobs", case_id), self._t("page_ledger", case_id)), self._now())
+        used = usage_totals(self._t("ocr_usage", case_id))
+        est = self._t("approvals", case_id).select("case_id", "estimated_pages")
+        return s.join(used, "case_id", "left").join(est, "case_id", "left")
+
+    def job(self, job_id: str) -> DataFrame:
+        return self._t("ingest_jobs").filter(F.col("job_id") == job_id)
 
     def list_cases(self) -> DataFrame:
-        live = self._t("cases").filter("deleted_at IS NULL")
-        return cov.case_listing(live, ev.header_facts(self._t("evidence_units")), self._t("ingest_jobs"), self._t("findings"))
+        return cov.case_listing(self._t("cases"), ev.header_facts(self._t("evidence_units")), self._t("ingest_jobs"), self._t("findings"))
 
     def remove_case(self, case_id: str, confirm: str) -> None:
         """A soft delete; ``confirm`` must repeat the id."""
@@ -98,27 +111,70 @@ class Engine:
     def approve(self, case_id: str, max_pages: int, max_calls: int) -> None:
         between("max_pages", max_pages, 1, 10**6), between("max_calls", max_calls, 1, 10**7)
         row = self.spark.createDataFrame([(case_id, True, max_pages, max_calls)], "case_id string, approved boolean, max_pages int, max_calls int").withColumn("approved_at", self._now())
-        self.store.upsert("approvals", row)
+        self.store.merge("approvals", row, lambda cur: merge_registry(cur, row, ["case_id"]))
         self.store.patch("ingest_jobs", cov.latest_job(self._t("ingest_jobs", case_id)).select("job_id", F.lit("running").alias("status")))
 
-    def resume(self, case_id: str, budget: Budget = Budget()) -> DataFrame:
-        """Read what waits for the enricher, under a lease: refuses while
-        another worker is live."""
+    def resume(self, case_id: str, budget: Budget = Budget(), source: PageSource | None = None) -> DataFrame:
+        """Go on with a case under a lease; refuses while another worker is live.
+
+        Pages of ``source`` that aren't settled are read first; pages that gave
+        only stamps go back to the queue once per prompt version; then the queue
+        is read as far as approval and budget go.  A job that is done stays so
+        unless there is something to do.
+        """
         if self.enricher is None:
             raise ValueError("no enricher is configured")
         lease = Lease(self.spark, self.root, case_id)
         if not lease.acquire():
             raise RuntimeError("another worker is live on this case")
         try:
-            enrich(self.store, self.enricher, budget, self.pack)
-            return self.finish()
+            if source is not None:
+                ingest_batch(self.store, source.pages(self.spark).filter(F.col("case_id") == case_id), self.pack)
+            again = requeue(self.store, self.enricher.prompt_version, case_id)
+            latest = cov.latest_job(self._t("ingest_jobs", case_id))
+            waiting = not self._t("page_ledger", case_id).filter(cov.in_queue(F.col("state"))).isEmpty()
+            if not (again or waiting or source is not None) and not latest.filter("status = 'done'").isEmpty():
+                return latest
+            lease.renew()
+            enrich(self.store, self.enricher, budget, self.pack, case_id=case_id, owns=lease.owns)
+            return self.finish(case_id)
         finally:
             lease.release()
 
-    def embed(self, max_calls: int = 2000) -> int:
+    def resume_interrupted(self, budget: Budget = Budget(), most: int = 1000) -> dict[str, str]:
+        """At start: the cases whose latest job broke off, each resumed under its
+        lease, ``most`` at a time; their outcome.  Those that another worker has
+        are left to it."""
+        jobs = cov.interrupted(cov.latest_job(self._t("ingest_jobs")), self._now())
+        told = {}
+        for r in jobs.select("case_id").orderBy("case_id").limit(most).collect():
+            try:
+                told[r.case_id] = self.resume(r.case_id, budget).first().status
+            except RuntimeError:
+                told[r.case_id] = "another worker"
+        return told
+
+    def embed(self, max_calls: int = 2000, time_budget_s: float | None = 20.0) -> int:
         if self.embedder is None:
             raise ValueError("no embedder is configured")
-        return embed(self.store, self.embedder, between("max_calls", max_calls, 1, 2000))
+        return embed(self.store, self.embedder, between("max_calls", max_calls, 1, 2000), time_budget_s=time_budget_s)
+
+    def evidence(self, case_id: str | None = None) -> DataFrame:
+        """The units that the ledger names, in its order."""
+        return cov.ledger_evidence(self._t("page_ledger", case_id), self._t("evidence_units", case_id))
+
+    def write_artifacts(self, folder: str) -> None:
+        """Status, jobs, ledger and coverage, documents, events and radar as
+        JSON lines, partitioned by case, below ``folder`` of the store."""
+        root = contained(self.root, folder)
+        civil = self._t("cases").filter("area <> 'penal'").select("case_id")
+        events = self.events()
+        tables = {
+            "status": self.status(), "job": cov.latest_job(self._t("ingest_jobs")), "ledger": self._t("page_ledger"), "coverage": self.coverage(), "documents": self.documents(),
+            "events": events, "raw_events": ev.extract_events(self._t("evidence_units").filter("text IS NOT NULL"), self.pack), "radar": ev.radar_union(ev.radar(events.join(civil, "case_id", "left_semi"), "autor")),
+        }
+        for name, df in tables.items():
+            df.write.mode("overwrite").partitionBy("case_id").json(f"{root}/{name}")
 
     # 4-6, 16: panels
 
@@ -175,7 +231,7 @@ class Engine:
         if set(evidence_ids) - known:
             raise ValueError("unknown evidence: " + ", ".join(sorted(set(evidence_ids) - known)))
         new = self.spark.createDataFrame([(case_id, achado, evidence_ids)], "case_id string, achado string, evidence_ids array<string>")
-        self.store.write("findings", append_findings(self._t("findings"), new, units, self._now()))
+        self.store.merge("findings", new, lambda cur: append_findings(cur, new, units, self._now()))
         return self.dossier(case_id)
 
     def dossier(self, case_id: str) -> DataFrame:
@@ -260,7 +316,7 @@ class Engine:
             raise ValueError("every document needs a doc_id")
         cols = ("doc_id", "titulo", "ementa", "tribunal", "url")
         new = self.spark.createDataFrame([(case_id, *(d.get(c) for c in cols)) for d in docs], "case_id string, " + ", ".join(f"{c} string" for c in cols))
-        self.store.write("registry", merge_registry(self._t("registry"), new, ["case_id", "doc_id"]))
+        self.store.merge("registry", new, lambda cur: merge_registry(cur, new, ["case_id", "doc_id"]))
         return self._t("registry", case_id)
 
     def verify(self, case_id: str, evidence_ids: list[str] = (), doc_ids: list[str] = (), claims: list[dict] | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ benchmark is a list of claims.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,9 +22,10 @@ from evidentia.operators import matrix as mx
 from evidentia.operators import search as se
 from evidentia.operators import verify as vf
 from evidentia.plans.sql import SEARCHES, TOPICS
-from evidentia.rules import RulePack, first_rule
+from evidentia.rules import RulePack
 from evidentia.sources import store as st
 from evidentia.sources.pages import html_pages
+from evidentia.sources.shared import shared_folder
 from evidentia.sources.tables import find_deadlines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,8 +65,7 @@ def bm25_or_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bm25_and(spark: SparkSession, d: str) -> DataFrame:
-    q = searches(spark).filter("query_id IN ('q1', 'q3', 'q4')")
-    out = se.bm25(q, t(spark, d, "documents"), 25).filter("mode = 'and'")
+    out = se.bm25(searches(spark), t(spark, d, "documents"), 25).filter("mode = 'and'")
     return out.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
@@ -138,7 +138,7 @@ def quality_confusion(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def ocr_yield(spark: SparkSession, d: str) -> DataFrame:
-    stamped = F.concat(F.substring("text", 1, (F.col("doc_id") % 300 + 1).cast("int")), F.lit(" Num. "), F.col("doc_id").cast("string"), F.lit(" - Pág. 3 https://pje.example/x?y Fls. 12"))
+    stamped = F.concat("text", F.lit(" Num. "), F.col("doc_id").cast("string"), F.lit(" - Pág. 3 https://pje.example/x?y Fls. 12"))
     x = t(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.col("text")).otherwise(stamped).alias("s"))
     y = tx.page_yield("s")
     return x.select("doc_id", y["yield"].alias("ocr_yield"), y["useful"].cast("long").alias("useful"))
@@ -146,7 +146,8 @@ def ocr_yield(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def pii_strip(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "documents").select("doc_id", F.md5(tx.strip_personal("text", ["Licensed under"])).alias("stripped_md5"), F.regexp_count(tx.strip_personal("text"), F.lit(r"\[(cpf|cnpj|email|processo)\]")).cast("long").alias("masks"))
+    x = t(spark, d, "documents").select("doc_id", tx.strip_personal("text", ["Licensed under"]).alias("s"))
+    return x.select("doc_id", F.md5("s").alias("stripped_md5"), F.regexp_count("s", F.lit(r"\[(cpf|cnpj|email|processo)\]")).cast("long").alias("masks"))
 
 
 @query
@@ -391,7 +392,7 @@ def latest_job(spark: SparkSession, d: str) -> DataFrame:
 def status_summary(spark: SparkSession, d: str) -> DataFrame:
     _, led = order_ledger(spark, d)
     s = cov.status_view(cov.status_summary(event_jobs(spark, d), led), F.lit("2024-06-01 00:00:00").cast("timestamp"))
-    return s.select("case_id", "status", "total_pages", "processed", F.col("n_needs_ocr").cast("long").alias("n_needs_ocr"), "proxima_acao", "custo_estimado")
+    return s.select("case_id", "status", "total_pages", "processed", F.col("n_needs_ocr").cast("long").alias("n_needs_ocr"), "proxima_acao", "custo_estimado", "execucao")
 
 
 @query
@@ -422,14 +423,24 @@ def topic_matrix(spark: SparkSession, d: str) -> DataFrame:
     return m.select("topic", "role", F.col("position").cast("long").alias("position"), "doc_id", "source_kind")
 
 
-@query
-def claims_verify(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark items as claims on the documents whose text may hold them."""
-    b = t(spark, d, "benchmark")
-    claims = b.select(
+def claims_of_items(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items as claims on documents of the whole id range: the whole
+    passage, or in every other item the document's own whole text with wider spaces."""
+    docs, n = t(spark, d, "documents"), F.col("n")
+    size = docs.agg((F.max("doc_id") + 1).alias("n"))  # one row
+    b = t(spark, d, "benchmark").join(F.broadcast(size)).withColumn("e", F.when(F.col("item_id") % 10 == 0, n + F.col("item_id")).otherwise(F.col("item_id") * 7919 % n))
+    b = b.join(docs.select(F.col("doc_id").alias("e"), F.replace("text", F.lit(" "), F.lit("  ")).alias("own")), "e", "left")
+    return b.select(
         F.col("item_id").cast("string").alias("claim_id"), F.concat(F.lit("item "), F.when(F.col("item_id") % 3 == 0, "12%").otherwise("")).alias("afirmacao"),
-        F.array(F.struct((F.col("item_id") * 7 % 1200).cast("string").alias("evidence_id"), F.substring("text", 1, 8).alias("trecho_base"))).alias("supports"), F.when(F.col("item_id") % 2 == 0, F.array(F.lit("d0"), F.concat(F.lit("d"), (F.col("item_id") % 4).cast("string")))).alias("doc_ids"),
+        F.array(F.struct(F.col("e").cast("string").alias("evidence_id"), F.when(F.col("item_id") % 2 == 1, F.col("own")).otherwise(F.col("text")).alias("trecho_base"))).alias("supports"),
+        F.when(F.col("item_id") % 2 == 0, F.array(F.lit("d0"), F.concat(F.lit("d"), (F.col("item_id") % 4).cast("string")))).alias("doc_ids"),
     )
+
+
+@query
+def claims_verify(spark: SparkSession, d: str) -> DataFrame:
+    """Whole passages and whole texts looked for in the documents they name."""
+    claims = claims_of_items(spark, d)
     units = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("evidence_id"), "text")
     reg = spark.createDataFrame([("d0",), ("d1",)], "doc_id string")
     v = vf.verify_claims(claims, units, reg)
@@ -473,9 +484,10 @@ def registry_merge(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def dossier_append(spark: SparkSession, d: str) -> DataFrame:
-    b = t(spark, d, "benchmark")
-    units = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("evidence_id"))
-    new = b.select((F.col("item_id") % 3).cast("string").alias("case_id"), F.col("text").alias("achado"), F.array((F.col("item_id") * 31 % 1300).cast("string"), F.lit("1")).alias("evidence_ids"))
+    docs = t(spark, d, "documents")
+    units = docs.select(F.col("doc_id").cast("string").alias("evidence_id"))
+    b = t(spark, d, "benchmark").join(F.broadcast(docs.agg((F.max("doc_id") + 1).alias("n"))))  # one row
+    new = b.select((F.col("item_id") % 3).cast("string").alias("case_id"), F.col("text").alias("achado"), F.array((F.col("item_id") * 7919 % (F.col("n") * 2)).cast("string"), F.lit("1")).alias("evidence_ids"))
     now = F.lit("2024-01-01 00:00:00").cast("timestamp")
     empty = spark.createDataFrame([], "case_id string, achado_id string, achado string, evidence_ids array<string>, registrado_em timestamp")
     out = st.append_findings(st.append_findings(empty, new.limit(0), units, now), new, units, now)
@@ -492,13 +504,9 @@ def stream_ingest_counts(spark: SparkSession, d: str) -> DataFrame:
     """The events file as a stream, read to its end."""
     from evidentia.streaming.ingest import event_counts
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evidentia-stream-")
-    import uuid
-
-    run = f"{base}/stream-{uuid.uuid4().hex}"
+    run = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = t(spark, d, "events").schema
     return event_counts(spark, f"{d}/event[s].parquet", f"{run}/checkpoint", f"{run}/out", schema)
 
 
-def rules_of(c: Column) -> Column:
-    return first_rule(tx.fold(c), GENERIC.pieces)
+from evidentia.plans import case_queries  # noqa: E402, F401 - adds its queries

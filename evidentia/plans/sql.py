@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from evidentia.functions import text
+
 SEARCHES = (
     ("q1", "the of that"),
     ("q2", "der und zzzabsent"),
@@ -62,20 +64,9 @@ ql AS (SELECT doc_id, list_filter([CASE WHEN useful < 20 THEN 'too_few_useful_ch
   CASE WHEN n > 20 AND spaces / total < 0.04 THEN 'low_space_ratio' END, CASE WHEN lc / total > 0.3 OR (len(lt) > 0 AND useful < 200) THEN 'long_unseparated_sequence' END,
   CASE WHEN (sym + control) / total > 0.15 OR control >= 2 THEN 'gibberish_ratio_high' END], lambda x: x IS NOT NULL) AS r FROM n2)"""
 
-STAMPS = (
-    r"(?i)Num\.\s*\d+\s*-\s*P[áa]g\.\s*\d+",
-    r"(?:Documento\s+)?[Aa]ssinado eletronicamente por:?\s*.{0,80}?\d{2}/\d{2}/\d{4}(?:,?\s*(?:[àa]s\s*)?\d{2}:\d{2}(?::\d{2})?)?(?:\s*-\s*[0-9a-f]{4,12})?",
-    r"(?i)Este documento foi gerado pelo usu[áa]rio\s*[\d.*-]{0,24}(?:\s*em\s*\d{2}/\d{2}/\d{4}(?:\s*\d{2}:\d{2}(?::\d{2})?)?)?",
-    r"(?i)N[úu]mero do (?:documento|processo):?\s*[\d.\-]+",
-    r"(?i)https?://\S+",
-    r"(?i)Fls\.?\s*:?\s*\d+",
-)
-MASKS = (
-    (r"\d{7}-?\d{2}\.?\d{4}\.?\d\.?\d{2}\.?\d{4}", "[processo]"),
-    (r"\d{2}\.?\d{3}\.?\d{3}/?\d{4}-?\d{2}", "[cnpj]"),
-    (r"\d{3}\.?\d{3}\.?\d{3}-?\d{2}", "[cpf]"),
-    (r"[\w.+-]+@[\w-]+\.[\w.-]+", "[email]"),
-)
+#: The operators' patterns; this dialect has Unicode rules without a flag.
+STAMPS = tuple(p.replace("(?iu)", "(?i)") for p in text.STAMPS)
+MASKS = text.PERSONAL
 
 
 def replaced(c: str, pairs) -> str:
@@ -155,7 +146,7 @@ GEN = (("license", r"\blicen[sc]e"), ("german", r"\b(und|der)\b"), ("french", r"
 
 SQL: dict[str, str] = {
     "bm25_or_fallback": f"WITH {bm25(SEARCH, 10)} SELECT query_id, doc_id, mode, rank, round(score, 6) AS score FROM lex",
-    "bm25_and": f"WITH {bm25(SEARCH, 25)} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM lex WHERE mode = 'and' AND query_id IN ('q1', 'q3', 'q4')",
+    "bm25_and": f"WITH {bm25(SEARCH, 25)} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM lex WHERE mode = 'and'",
     "term_stats": f"WITH p AS (SELECT doc_id, unnest({tok('text')}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS n FROM p GROUP BY ALL) SELECT term, count(*) AS df, sum(n)::BIGINT AS cf FROM tf GROUP BY term",
     "vector_topk": f"""WITH {NORM} SELECT a.vec_id AS query_id, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_inner_product(a.v, b.v), 9) DESC, b.vec_id) AS rank, round(list_inner_product(a.v, b.v), 6) AS score
       FROM nv a, nv b WHERE a.vec_id % 50 = 0 QUALIFY rank <= 10""",
@@ -163,10 +154,24 @@ SQL: dict[str, str] = {
     "hybrid_search": f"""WITH {bm25(SEARCH, 10)}, {SEM}, {FUSED}, x AS (SELECT doc_id, {collapsed(stripped('text'))} AS a, {collapsed('text')} AS b FROM documents WHERE doc_id IN (SELECT doc_id FROM fused)),
       y AS (SELECT doc_id, CASE WHEN length(a) >= 40 THEN a ELSE b END AS e FROM x)
       SELECT query_id, rank, doc_id, round(score, 9) AS score, 'hybrid' AS mode, CASE WHEN length(e) > 240 THEN substr(e, 1, 240) || ' …' WHEN e <> '' THEN e END AS excerpt FROM fused JOIN y USING (doc_id)""",
+    "snippet_topk": f"""WITH {bm25(SEARCH, 5)},
+      h AS (SELECT query_id, lex.doc_id, rank, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS tk, regexp_split_to_array(text, '[\\p{{L}}\\p{{N}}]+') AS sep, {tok('text')} AS f FROM lex JOIN documents ON documents.doc_id = lex.doc_id),
+      w AS (SELECT query_id, list(term) AS want FROM qt GROUP BY query_id),
+      g AS (SELECT h.*, want, list_transform(f, lambda x: list_contains(want, x)) AS hit, len(f) AS n FROM h JOIN w USING (query_id)),
+      places AS (SELECT query_id, doc_id, unnest(generate_series(1, n)) AS i, f, hit, want FROM g),
+      c AS (SELECT query_id, doc_id, i, len(list_distinct(list_filter(f[i:i + 23], lambda x: list_contains(want, x)))) AS m FROM places WHERE hit[i]),
+      s AS (SELECT query_id, doc_id, arg_min(i, (-m, i)) AS i FROM c GROUP BY ALL),
+      b AS (SELECT g.*, greatest(0, least(i - 1, n - 24)) AS a FROM g JOIN s USING (query_id, doc_id)),
+      y AS (SELECT *, least(n, a + 24) AS z FROM b)
+      SELECT query_id, doc_id, rank, CASE WHEN a > 0 THEN '… ' ELSE sep[1] END || array_to_string(list_transform(generate_series(a + 1, z), lambda j: CASE WHEN j > a + 1 THEN sep[j] ELSE '' END || CASE WHEN hit[j] THEN '«' || tk[j] || '»' ELSE tk[j] END), '')
+        || CASE WHEN z = n THEN sep[n + 1] ELSE ' … ' END AS snippet FROM y""",
+    "html_page_source": f"""WITH h AS (SELECT page_id, {replaced('html', [(f"(?is)<{x}\\b.*?</{x}\\s*>", " ") for x in ("script", "style", "noscript")] + [("(?s)<!--.*?-->", " "), ("(?s)<[^>]*>", " ")])} AS s FROM pages),
+      e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(s, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS s FROM h), c AS (SELECT page_id, {collapsed('s')} AS s FROM e)
+      SELECT page_id, length(s) AS n_chars, md5(s) AS text_md5, length(s) < 20 AS needs_enrichment FROM c""",
     "missing_vectors": "SELECT doc_id, source FROM documents ANTI JOIN embeddings ON doc_id = vec_id WHERE trim(coalesce(text, '')) <> ''",
     "text_quality": f"WITH {QUALITY} SELECT doc_id, greatest(0.0::DOUBLE, round(1.0::DOUBLE - len(r) * 0.22::DOUBLE, 2)) AS score, len(r) > 0 AS needs_ocr, array_to_string(r, ',') AS reasons FROM ql",
     "quality_confusion": f"WITH {QUALITY} SELECT count(*) FILTER (WHERE len(r) > 0 AND quality = 0) AS tp, count(*) FILTER (WHERE len(r) = 0 AND quality <> 0) AS tn, count(*) FILTER (WHERE len(r) > 0 AND quality <> 0) AS fp, count(*) FILTER (WHERE len(r) = 0 AND quality = 0) AS fn FROM ql JOIN labels USING (doc_id)",
-    "ocr_yield": f"""WITH s AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text ELSE substr(text, 1, doc_id % 300 + 1) || ' Num. ' || doc_id || ' - Pág. 3 https://pje.example/x?y Fls. 12' END AS s FROM documents), x AS (SELECT doc_id, s, {stripped('s')} AS c FROM s)
+    "ocr_yield": f"""WITH s AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text ELSE text || ' Num. ' || doc_id || ' - Pág. 3 https://pje.example/x?y Fls. 12' END AS s FROM documents), x AS (SELECT doc_id, coalesce(s, '') AS s, {stripped("coalesce(s, '')")} AS c FROM s)
       SELECT doc_id, CASE WHEN c <> s AND len(regexp_extract_all(c, '[\\p{{L}}\\p{{N}}]')) < 120 THEN 'stamp_only' ELSE 'content' END AS ocr_yield, len(regexp_extract_all(c, '[\\p{{L}}\\p{{N}}]')) AS useful FROM x""",
     "pii_strip": f"SELECT doc_id, md5({masked('text', True)}) AS stripped_md5, len(regexp_extract_all({masked('text', False)}, '\\[(cpf|cnpj|email|processo)\\]')) AS masks FROM documents",
     "secret_redact": r"""SELECT doc_id, md5(replace(regexp_replace(regexp_replace(text || ' https://x.example/a?key=abc' || doc_id || '&z=1 AIzaSyA0123456789_abcdefghijk s3cretvalue', 'AIza[0-9A-Za-z_-]{20,}', '[REDACTED]', 'g'),
@@ -229,9 +234,10 @@ SQL: dict[str, str] = {
       coalesce(n, 0) AS n_gaps, coalesce(m, 0) AS never_extracted, coalesce(n, 0) = 0 AS global_analysis_allowed FROM cases LEFT JOIN l USING (case_id) LEFT JOIN g USING (case_id)""",
     "latest_job": f"WITH {JOBS} SELECT case_id, job_id, status, total_pages FROM last",
     "status_summary": f"""WITH {JOBS}, {LEDGER}, l AS (SELECT case_id, count(*) AS r, count(*) FILTER (WHERE state IN ('done', 'ocr_done')) AS p, count(*) FILTER (WHERE state = 'ocr_needed') AS o FROM led GROUP BY case_id),
-      x AS (SELECT last.case_id, status, greatest(total_pages, coalesce(r, 0)) AS total_pages, coalesce(p, 0) AS processed, coalesce(o, 0) AS o, epoch_ms(TIMESTAMP '2024-06-01') - epoch_ms(ts) <= 120000 AS live FROM last LEFT JOIN l USING (case_id))
+      x AS (SELECT last.case_id, status, greatest(total_pages, coalesce(r, 0)) AS total_pages, coalesce(p, 0) AS processed, coalesce(o, 0) AS o, epoch_ms(TIMESTAMP '2024-06-01') - epoch_ms(ts) AS age, age <= 120000 AS live FROM last LEFT JOIN l USING (case_id))
       SELECT case_id, status, total_pages, processed, o AS n_needs_ocr, CASE WHEN status IN ('running', 'queued') AND NOT live THEN 'retomar_ingestao (interrompida)' WHEN status = 'running' AND live THEN 'aguardar' WHEN status = 'paused_awaiting_ocr_approval' THEN 'autorizar_ocr'
-      WHEN status = 'error' THEN 'retomar_ingestao' WHEN o > 0 THEN 'retomar_ingestao (paginas pendentes)' END AS proxima_acao, CASE WHEN o > 0 THEN {cost('o')} END AS custo_estimado FROM x""",
+      WHEN status = 'error' THEN 'retomar_ingestao' WHEN o > 0 THEN 'retomar_ingestao (paginas pendentes)' END AS proxima_acao, CASE WHEN o > 0 THEN {cost('o')} END AS custo_estimado,
+      CASE WHEN status IN ('running', 'queued') THEN CASE WHEN live THEN 'preparação em andamento (último sinal há ' || greatest(1, round(age / 1000.0)::BIGINT) || 's)' ELSE 'preparação INTERROMPIDA há ~' || round(age / 60000.0)::BIGINT || ' min' END END AS execucao FROM x""",
     "ocr_estimates": f"WITH {LEDGER}, l AS (SELECT case_id, count(*) FILTER (WHERE state IN ('ocr_needed', 'failed_retryable')) AS pending FROM led GROUP BY case_id) SELECT case_id, pending, pending > 2 AS requires_approval, pending <= 2 AS may_run FROM l",
     "resume_pages": f"""WITH {LEDGER} SELECT l_orderkey AS case_id, l_linenumber AS page FROM lineitem ANTI JOIN (SELECT * FROM led WHERE state IN ('done', 'ocr_done')) x
       ON x.case_id = l_orderkey AND x.page = l_linenumber AND x.h = sha256((l_partkey + CASE WHEN l_suppkey % 10 = 0 THEN 1 ELSE 0 END)::VARCHAR)""",
@@ -239,7 +245,8 @@ SQL: dict[str, str] = {
       h AS (SELECT split_part(query_id, '#', 1) AS topic, split_part(query_id, '#', 2)::INT AS qi, rank, doc_id FROM lex), u AS (SELECT topic, doc_id, min(ROW(qi, rank)) AS first_at FROM h GROUP BY ALL),
       r AS (SELECT topic, u.doc_id, first_at, CASE lang WHEN 'en' THEN 'inicial' WHEN 'de' THEN 'contestacao' WHEN 'fr' THEN 'atos_judiciais' ELSE 'fontes_primarias' END AS role FROM u JOIN documents ON documents.doc_id = u.doc_id)
       SELECT topic, role, row_number() OVER (PARTITION BY topic, role ORDER BY first_at, doc_id) AS position, doc_id, CASE role WHEN 'inicial' THEN 'alegacao_autor' WHEN 'contestacao' THEN 'alegacao_reu' WHEN 'atos_judiciais' THEN 'ato_judicial' ELSE 'prova_primaria' END AS source_kind FROM r QUALIFY position <= 4""",
-    "claims_verify": f"""WITH c AS (SELECT item_id, (item_id * 7 % 1200) AS e, substr(text, 1, 8) AS s FROM benchmark),
+    "claims_verify": f"""WITH n AS (SELECT max(doc_id) + 1 AS n FROM documents), b AS (SELECT item_id, text, CASE WHEN item_id % 10 = 0 THEN n + item_id ELSE item_id * 7919 % n END AS e FROM benchmark, n),
+      c AS (SELECT item_id, e, coalesce(CASE WHEN item_id % 2 = 1 THEN replace(d.text, ' ', '  ') ELSE b.text END, '') AS s FROM b LEFT JOIN documents d ON d.doc_id = e),
       j AS (SELECT c.*, d.doc_id IS NOT NULL AS known, {collapsed('lower(strip_accents(s))')} AS ex, contains({collapsed("lower(strip_accents(coalesce(text, '')))")}, {collapsed('lower(strip_accents(s))')}) AS ok FROM c LEFT JOIN documents d ON d.doc_id = c.e),
       k AS (SELECT *, CASE WHEN item_id % 3 = 0 AND NOT (known AND ok AND contains(ex, '12%')) THEN '12%' ELSE '' END AS ml, CASE WHEN item_id % 4 = 2 THEN 'd2' ELSE '' END AS md FROM j)
       SELECT item_id::VARCHAR AS claim_id, CASE WHEN NOT known THEN 'evidencia_inexistente' WHEN NOT ok OR ex = '' THEN 'trecho_nao_encontrado' WHEN ml <> '' THEN 'literal_nao_suportado' WHEN md <> '' THEN 'doc_id_nao_registrado' ELSE 'ok' END AS status,
@@ -251,9 +258,13 @@ SQL: dict[str, str] = {
     "job_patch": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 8 = 0 THEN '9-NEW' ELSE o_orderpriority END AS o_orderpriority FROM orders",
     "registry_merge": """WITH n AS (SELECT p_partkey + CASE WHEN p_partkey % 2 = 0 THEN 5000000 ELSE 0 END AS k, CASE WHEN p_partkey % 3 = 0 THEN 'renamed' END AS nm, 'B#0' AS b FROM part WHERE p_partkey % 5 = 0)
       SELECT coalesce(p_partkey, k) AS p_partkey, coalesce(nm, p_name) AS p_name, coalesce(b, p_brand) AS p_brand FROM part FULL JOIN n ON p_partkey = k""",
-    "dossier_append": """WITH b AS (SELECT (item_id % 3)::VARCHAR AS case_id, CASE WHEN length(trim(text)) > 600 THEN substr(trim(text), 1, 600) || ' …' ELSE trim(text) END AS a, (item_id * 31 % 1300)::VARCHAR AS e FROM benchmark),
+    "dossier_append": """WITH n AS (SELECT max(doc_id) + 1 AS n FROM documents), b AS (SELECT (item_id % 3)::VARCHAR AS case_id, CASE WHEN length(trim(text)) > 600 THEN substr(trim(text), 1, 600) || ' …' ELSE trim(text) END AS a, (item_id * 7919 % (n * 2))::VARCHAR AS e FROM benchmark, n),
       x AS (SELECT DISTINCT case_id, 'ach-' || substr(sha256(a || '|' || e || ',1'), 1, 12) AS achado_id, length(a) AS n_chars, e || ',1' AS evidence_ids FROM b WHERE e IN (SELECT doc_id::VARCHAR FROM documents))
       SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY achado_id) <= 500""",
     "deadline_lookup": "SELECT p_partkey, p_type FROM part WHERE contains(lower(strip_accents(p_type)), 'economy') OR contains(lower(strip_accents(p_name)), 'economy')",
     "stream_ingest_counts": "SELECT event_type, count(*) AS n_events, round(sum(value), 4) AS sum_value FROM events GROUP BY 1",
 }
+
+from evidentia.plans import case_sql  # noqa: E402
+
+SQL |= case_sql.SQL

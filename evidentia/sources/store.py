@@ -1,21 +1,29 @@
-"""A store of tables on plain Parquet: snapshots and a pointer.
-
-Each write makes a new snapshot directory and then replaces the table's
-pointer, a one-row Parquet table that names the current one; readers never see
-half a write.  Paths go through Spark only.
+"""A store of tables on plain Parquet: buckets of cases, a log of versions.
+
+The rows of a table are dealt to BUCKETS by a hash of their case; a version
+names the folders that make up each bucket.  A write makes new folders for the
+buckets it touches and then creates the next version's log file, which only one
+writer can: the others read the new version and try again, so no update is
+lost.  New rows are added beside what is there; a bucket is rewritten only
+where rows are replaced or deleted, or when it has many folders.  Readers take
+one version and never see half a write.  Paths go through Spark only.
 """
 
 from __future__ import annotations
 
-import time
+import json
 import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions.identity import finding_id
 from evidentia.schemas import TABLES
+from evidentia.sources.files import Files
 
+#: Buckets of a table, folders of a bucket before it is rewritten, versions that stay for running readers.
+BUCKETS, MAX_FOLDERS, KEPT_VERSIONS = 64, 24, 8
 MAX_FINDINGS, MAX_FINDING_CHARS = 500, 600
 
 
@@ -57,6 +65,8 @@ def valid_offsets(units: DataFrame) -> Column:
 
 def check_units(units: DataFrame) -> DataFrame:
     """``units``; the write fails as a whole at a row with bad offsets."""
+    if "start_offset" not in units.columns:
+        return units
     ok = F.coalesce(valid_offsets(units), F.lit(False))
     told = F.when(ok, F.col("evidence_id")).otherwise(F.raise_error(F.concat(F.lit("bad offsets: "), F.col("evidence_id"))).cast("string"))
     return units.withColumn("evidence_id", told)
@@ -101,59 +111,131 @@ def usage_totals(usage: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the store
 
 
-class Store:
-    """Tables under ``root``; see ``evidentia.schemas.TABLES``."""
+Entry = dict[str, list[str]]
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
 
-    def _fs(self, path: str):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+def bucket(case: Column) -> Column:
+    return F.pmod(F.xxhash64(case), F.lit(BUCKETS)).cast("int")
 
-    def _pointers(self, table: str) -> list[str]:
-        fs, p = self._fs(f"{self.root}/{table}/_current")
-        if not fs.exists(p):
-            return []
-        return sorted(s.getPath().getName() for s in fs.listStatus(p))
 
-    def read(self, table: str) -> DataFrame:
-        """The current snapshot; empty if nothing was written."""
+class Store:
+    """Tables under ``root``; see ``evidentia.schemas.TABLES``."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark)
+
+    # versions
+
+    def _versions(self, table: str) -> list[int]:
+        return [int(x) for x in self.files.names(f"{self.root}/{table}/log") if x.isdigit()]
+
+    def _entry(self, table: str) -> tuple[int, Entry]:
+        """The current version and its folders by bucket; 0 before any write."""
+        while True:
+            n = max(self._versions(table), default=0)
+            raw = self.files.read(f"{self.root}/{table}/log/{n:012d}") if n else "{}"
+            if raw is not None:
+                return n, json.loads(raw)
+
+    def _commit(self, table: str, n: int, entry: Entry) -> bool:
+        entry = {b: f for b, f in entry.items() if f}
+        if not self.files.create(f"{self.root}/{table}/log/{n:012d}", json.dumps(entry, sort_keys=True)):
+            return False
+        self._tidy(table, n)
+        return True
+
+    def _tidy(self, table: str, n: int) -> None:
+        """Drop old versions, and folders that only those name."""
+        old = [v for v in self._versions(table) if v <= n - KEPT_VERSIONS]
+        if len(old) < KEPT_VERSIONS:
+            return
+        load = lambda v: json.loads(self.files.read(f"{self.root}/{table}/log/{v:012d}") or "{}")
+        folders = lambda vs: {f"{x}/_b={b}" for v in vs for b, xs in load(v).items() for x in xs}
+        for f in folders(old) - folders(v for v in self._versions(table) if v > n - KEPT_VERSIONS):
+            self.files.delete(f"{self.root}/{table}/data/{f}")
+        for v in old:
+            self.files.delete(f"{self.root}/{table}/log/{v:012d}")
+
+    def _frame(self, table: str, entry: Entry, buckets: Iterable[int] | None = None) -> DataFrame:
         schema, _ = TABLES[table]
-        names = self._pointers(table)
-        if not names:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/{names[-1]}")
+        wanted = entry if buckets is None else {str(b): entry.get(str(b), []) for b in buckets}
+        paths = [f"{self.root}/{table}/data/{x}/_b={b}" for b, xs in sorted(wanted.items()) for x in xs]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def write(self, table: str, df: DataFrame) -> None:
-        """A new snapshot, partitioned by case where the table has one."""
+    def _put(self, table: str, df: DataFrame) -> tuple[str, set[str]]:
+        """Rows as a new folder by bucket; its name and the buckets it has."""
         schema, _ = TABLES[table]
         have = set(df.columns)
-        out = df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
-        name = f"v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-        out.write.parquet(f"{self.root}/{table}/{name}")
-        # the pointer appears in one step after the data is complete: the empty file's creation
-        fs, p = self._fs(f"{self.root}/{table}/_current/{name}")
-        fs.create(p, False).close()
-        for old in self._pointers(table)[:-2]:  # one earlier snapshot stays for running readers
-            f, q = self._fs(f"{self.root}/{table}/_current/{old}")
-            f.delete(q, False)
-            f, q = self._fs(f"{self.root}/{table}/{old}")
-            f.delete(q, True)
+        cols = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+        name = uuid.uuid4().hex
+        path = f"{self.root}/{table}/data/{name}"
+        df.select(*cols).withColumn("_b", bucket(F.col("case_id"))).repartition("_b").write.partitionBy("_b").parquet(path)
+        return name, {x[3:] for x in self.files.names(path) if x.startswith("_b=")}
+
+    def _buckets(self, df: DataFrame) -> set[int]:
+        return {r[0] for r in df.select(bucket(F.col("case_id"))).distinct().collect()}  # at most BUCKETS
+
+    # reading and writing
+
+    def read(self, table: str, case_id: str | None = None) -> DataFrame:
+        """The current version; of one case only its bucket is read."""
+        _, entry = self._entry(table)
+        if case_id is None:
+            return self._frame(table, entry)
+        own = self.spark.range(1).select(bucket(F.lit(case_id))).first()[0]
+        return self._frame(table, entry, [own]).filter(F.col("case_id") == case_id)
+
+    def change(self, table: str, touched: Callable[[DataFrame], set[int]], rows: Callable[[DataFrame], DataFrame], beside: Callable[[DataFrame], set[int]] = lambda _: set()) -> None:
+        """Rewrite the buckets ``touched(current)`` as ``rows(current rows of
+        those buckets)``; what it gives for ``beside(current)`` is added to
+        theirs.  If another writer was faster, the same again on its version,
+        unless that left the same buckets alone."""
+        while True:
+            n, entry = self._entry(table)
+            whole = self._frame(table, entry)
+            old = touched(whole)
+            new = beside(whole) - old
+            old |= {b for b in new if len(entry.get(str(b), [])) >= MAX_FOLDERS}
+            new -= old
+            if not old and not new:
+                return
+            name, have = self._put(table, rows(self._frame(table, entry, sorted(old))))
+            looked_at = dict(entry)
+            while True:
+                made = {str(b): [name] * (str(b) in have) for b in old} | {str(b): [*entry.get(str(b), []), *[name] * (str(b) in have)] for b in new}
+                if self._commit(table, n + 1, entry | made):
+                    return
+                n, entry = self._entry(table)
+                if any(entry.get(str(b), []) != looked_at.get(str(b), []) for b in old | new):
+                    break
+
+    def write(self, table: str, df: DataFrame) -> None:
+        """``df`` in place of all rows."""
+        self.change(table, lambda _: set(range(BUCKETS)), lambda _: df)
+
+    def _holding(self, current: DataFrame, keys: DataFrame, names: list[str]) -> set[int]:
+        return self._buckets(current.join(keys.select(*names).distinct(), names, "left_semi"))
 
     def upsert(self, table: str, new: DataFrame) -> None:
-        _, keys = TABLES[table]
+        """New rows; those with a key that is there are replaced."""
+        names = list(TABLES[table][1])
         if table == "evidence_units":
             new = check_units(new)
-        self.write(table, upsert(self.read(table), new, list(keys)))
+        if "case_id" not in new.columns:
+            new = new.withColumn("case_id", F.lit(None).cast("string"))
+        self.change(table, lambda cur: self._holding(cur, new, names), lambda cur: upsert(cur, new, names), lambda _: self._buckets(new))
 
     def delete(self, table: str, gone: DataFrame, keys: list[str]) -> None:
-        self.write(table, delete(self.read(table), gone, keys))
+        self.change(table, lambda cur: self._holding(cur, gone, keys), lambda cur: delete(cur, gone, keys))
 
     def patch(self, table: str, changes: DataFrame) -> None:
-        _, keys = TABLES[table]
-        self.write(table, patch(self.read(table), changes, list(keys)))
+        names = list(TABLES[table][1])
+        self.change(table, lambda cur: self._holding(cur, changes, names), lambda cur: patch(cur, changes, names))
 
     def append(self, table: str, rows: DataFrame) -> None:
-        self.write(table, self.read(table).unionByName(rows, allowMissingColumns=True))
+        """Rows beside those that are there: nothing is read."""
+        self.change(table, lambda _: set(), lambda cur: cur.unionByName(rows, allowMissingColumns=True), lambda _: self._buckets(rows))
+
+    def merge(self, table: str, cases: DataFrame, rows: Callable[[DataFrame], DataFrame]) -> None:
+        """The rows of the buckets of ``cases`` (case_id) as ``rows(current)``."""
+        self.change(table, lambda _: self._buckets(cases), rows)

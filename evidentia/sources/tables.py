@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 from pyspark.errors import AnalysisException
 
 from evidentia.functions.text import fold, python_fold
@@ -50,13 +49,3 @@ def pieces_of_phase(phases: DataFrame, area: str, fase_id: str | None = None) ->
     if fase_id is None:
         return p.select("fase_id", "fase", "ordem").orderBy("ordem")
     return p.filter(F.col("fase_id") == fase_id).select("fase_id", F.posexplode("pecas").alias("ordem", "p")).select("fase_id", "ordem", "p.*")
-
-
-def head_units(units: DataFrame, n: int = 10, case: str = "case_id") -> DataFrame:
-    """The first ``n`` native pages with text of each case."""
-    u = units.filter((F.col("unit_type") == "page_text") & (F.length(F.coalesce("text", F.lit(""))) > 0))
-    return u.withColumn("_r", F.row_number().over(W.partitionBy(case).orderBy("page"))).filter(F.col("_r") <= n).drop("_r")
-
-
-def deadline_schema() -> T.StructType:
-    return DEADLINE

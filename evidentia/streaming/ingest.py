@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -13,11 +14,12 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.identity import evidence_id, sha256
 from evidentia.functions.text import page_yield, text_quality
-from evidentia.operators.coverage import DEADLINE_MS, STALE_FACTOR, in_queue, is_visual, ocr_estimate, skip_extracted
+from evidentia.operators.coverage import DEADLINE_MS, STALE_FACTOR, in_queue, ocr_estimate, requeue_stamp_only, skip_extracted, textual_queue, visual_queue
 from evidentia.operators.events import classify
-from evidentia.operators.search import missing_vectors, retrieval_text
+from evidentia.operators.search import retrieval_text
 from evidentia.rules import PT_LEGAL, RulePack
 from evidentia.schemas import PAGES
+from evidentia.sources.files import Files, contained, safe_name
 from evidentia.sources.store import Store
 
 
@@ -33,7 +35,8 @@ class Enricher(Protocol):
 
 
 class Embedder(Protocol):
-    """Vectors of texts.  Runs on executors."""
+    """Vectors of texts, and of pages if it has ``embed_pages(list of (case,
+    page))``.  Runs on executors."""
 
     model: str
 
@@ -93,7 +96,7 @@ def ingest_batch(store: Store, pages: DataFrame, pack: RulePack = PT_LEGAL) -> N
     todo = skip_extracted(rows, store.read("page_ledger")).drop("hash").dropDuplicates(["case_id", "page"])
     units, ledger = page_rows(todo, pack)
     old = store.read("evidence_units").select("evidence_id", F.col("hash").alias("_h"))
-    changed = units.join(old, "evidence_id").filter(F.col("hash") != F.col("_h")).select("evidence_id")
+    changed = units.select("evidence_id", "hash").join(old, "evidence_id").filter(F.col("hash") != F.col("_h")).select("evidence_id")
     store.delete("evidence_vectors", changed, ["evidence_id"])
     store.upsert("evidence_units", units)
     # the ledger is still the old one here, so these rows are the same as those of the units
@@ -121,16 +124,37 @@ class Budget:
     backoff_ms: int = 250
 
 
-def enrich(store: Store, enricher: Enricher, budget: Budget = Budget(), pack: RulePack = PT_LEGAL, concurrency: int = 2) -> DataFrame:
-    """Read the queue of pages with the enricher, as far as approval and
-    budget go; returns the outcome rows.
+class LeaseLost(RuntimeError):
+    """Another worker has taken the case over; nothing was stored."""
+
+
+def requeue(store: Store, prompt_version: int, case_id: str | None = None) -> int:
+    """Pages that gave only stamps under an older prompt go back to the queue,
+    once per prompt version; the number of pages looked at."""
+    ledger = store.read("page_ledger", case_id).select("case_id", "page", "state", "ocr_yield", "ocr_prompt_version")
+    new = requeue_stamp_only(ledger.withColumn("_v", F.col("ocr_prompt_version")), prompt_version)
+    changed = new.filter(~F.col("_v").eqNullSafe(F.col("ocr_prompt_version"))).select("case_id", "page", "state", "ocr_prompt_version")
+    n = changed.count()
+    if n:
+        store.patch("page_ledger", changed)
+    return n
+
+
+def enrich(store: Store, enricher: Enricher, budget: Budget = Budget(), pack: RulePack = PT_LEGAL, concurrency: int = 2, case_id: str | None = None, owns: Callable[[], bool] = lambda: True) -> DataFrame:
+    """Read the queue of pages (of one case, if given) with the enricher, as
+    far as approval and budget go; returns the outcome rows.
+
+    ``owns`` tells whether the lease is still held; it is asked before the
+    calls and again before anything is stored, and raises LeaseLost if not.
 
     The ceilings are applied to the queue before a call is made: with
     ``retries`` attempts each, at most max_calls // retries pages are taken,
     so that retries can't overshoot either.  A page whose text is empty at
     every attempt has failed for good; an error can be tried again.
     """
-    ledger = store.read("page_ledger")
+    if not owns():
+        raise LeaseLost
+    ledger = store.read("page_ledger", case_id)
     est = ocr_estimate(ledger, store.read("approvals"), budget.threshold)
     may = est.filter("may_run").select("case_id", F.col("max_pages").alias("_mp"), F.col("max_calls").alias("_mc"))
     from pyspark.sql import Window as W
@@ -169,6 +193,8 @@ def enrich(store: Store, enricher: Enricher, budget: Budget = Budget(), pack: Ru
     got = queue.select("case_id", "page").repartition(concurrency).mapInPandas(run, "case_id string, page int, text string, tokens_in long, tokens_out long, error string, attempts int, all_empty boolean")
     path = f"{store.root}/_enriched/{uuid.uuid4().hex}"
     got.write.parquet(path)  # calls are made once; what follows reads the table
+    if not owns():
+        raise LeaseLost
     done = store.spark.read.parquet(path)
     ok = done.filter("error IS NULL")
     eid = evidence_id("case_id", "page", F.lit("ocr001"))
@@ -188,30 +214,58 @@ def enrich(store: Store, enricher: Enricher, budget: Budget = Budget(), pack: Ru
     return done
 
 
-def embed(store: Store, embedder: Embedder, max_calls: int = 2000, batch: int = 32, concurrency: int = 4) -> int:
-    """Vectors for the units that lack one in the embedder's space, at most
-    ``max_calls`` batches; running it again does nothing.  Visual pages are
-    left out.  Returns the number of vectors made."""
-    units = store.read("evidence_units")
-    ledger = store.read("page_ledger")
-    visual = ledger.filter(is_visual(F.col("state"), F.col("ocr_yield"))).select("case_id", "page")
-    todo = missing_vectors(units.filter(F.col("text").isNotNull()), store.read("evidence_vectors"), embedder.model, "evidence_id", "evidence_id").join(visual, ["case_id", "page"], "left_anti")
-    todo = todo.orderBy("case_id", "page", "unit_id").limit(max_calls * batch)
+def embed(
+    store: Store, embedder: Embedder, max_calls: int = 2000, batch: int = 32, visual_batch: int = 4, concurrency: int = 4, case_id: str | None = None,
+    time_budget_s: float | None = None, calls_per_round: int = 64, clock: Callable[[], float] = time.monotonic,
+) -> int:
+    """Vectors for the units that lack one in the embedder's space: texts, and
+    visual pages if the embedder has ``embed_pages``.
 
+    At most ``max_calls`` batches are sent, in rounds of ``calls_per_round``; a
+    round is stored before the next begins.  With a time budget no round begins
+    after it, but one always does, so that every call makes progress.  Running
+    it again when all is done does nothing.  Returns the number of vectors.
+    """
+    began, left, made = clock(), max_calls, 0
+    while left > 0 and (not made or time_budget_s is None or clock() - began < time_budget_s):
+        n, calls = _embed_round(store, embedder, min(left, calls_per_round), batch, visual_batch, concurrency, case_id)
+        if not n:
+            break
+        made, left = made + n, left - calls
+    return made
+
+
+def _embed_round(store: Store, embedder: Embedder, calls: int, batch: int, visual_batch: int, concurrency: int, case_id: str | None) -> tuple[int, int]:
+    """Vectors made and calls spent; texts first."""
+    units, ledger, vectors = (store.read(x, case_id) for x in ("evidence_units", "page_ledger", "evidence_vectors"))
+    vectors = vectors.filter(F.col("model") == embedder.model)
+    todo = textual_queue(units.filter(F.col("text").isNotNull()), ledger, vectors, embedder.model).orderBy("case_id", "page", "unit_id").limit(calls * batch)
+    rows = todo.select("evidence_id", "case_id", "page", retrieval_text(F.col("text"), "document").alias("t"))
+    n = _store_vectors(store, rows, embedder.model, lambda p: embedder.embed(p.t.tolist()), batch, concurrency)
+    spent = -(-n // batch)
+    if hasattr(embedder, "embed_pages") and spent < calls:
+        seen = vectors.select("case_id", F.regexp_extract("evidence_id", r":page:(\d+):", 1).cast("int").alias("page"))
+        pages = visual_queue(ledger, seen).orderBy("case_id", "page").limit((calls - spent) * visual_batch)
+        rows = pages.select(evidence_id("case_id", "page", F.lit("img001")).alias("evidence_id"), "case_id", "page", F.lit("").alias("t"))
+        m = _store_vectors(store, rows, embedder.model, lambda p: embedder.embed_pages(list(zip(p.case_id, p.page))), visual_batch, concurrency)
+        n, spent = n + m, spent - (-m // visual_batch)
+    return n, spent
+
+
+def _store_vectors(store: Store, rows: DataFrame, model: str, call, batch: int, concurrency: int) -> int:
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
             for i in range(0, len(pdf), batch):
                 part = pdf.iloc[i : i + batch]
-                vs = embedder.embed(part.t.tolist())
+                vs = call(part)
                 if len(vs) != len(part):
                     raise ValueError("the embedder gave another number of vectors")
-                yield pd.DataFrame({"evidence_id": part.evidence_id, "case_id": part.case_id, "model": embedder.model, "dim": [len(v) for v in vs], "vector": vs})
+                yield pd.DataFrame({"evidence_id": part.evidence_id, "case_id": part.case_id, "model": model, "dim": [len(v) for v in vs], "vector": vs})
 
-    rows = todo.select("evidence_id", "case_id", retrieval_text(F.col("text"), "document").alias("t")).repartition(concurrency).mapInPandas(run, "evidence_id string, case_id string, model string, dim int, vector array<float>")
     path = f"{store.root}/_embedded/{uuid.uuid4().hex}"
-    rows.write.parquet(path)
+    rows.repartition(concurrency).mapInPandas(run, "evidence_id string, case_id string, model string, dim int, vector array<float>").write.parquet(path)
     made = store.spark.read.parquet(path)
     n = made.count()
     if n:
@@ -223,60 +277,64 @@ def embed(store: Store, embedder: Embedder, max_calls: int = 2000, batch: int =
 
 
 class Lease:
-    """One worker per case: a lock file that is created exclusively, with its
-    owner and time; one older than four deadlines may be taken over."""
+    """One worker per case: numbered lock files, the highest of which counts.
+
+    A file names its owner and time and is created exclusively; the owner's
+    signs of life are kept beside it.  A lock whose last sign is older than
+    four deadlines is taken over by creating the next number, which one taker
+    only can, so a slow owner finds that the lock isn't its own any more.
+    """
 
     def __init__(self, spark: SparkSession, root: str, case_id: str, deadline_ms: int = DEADLINE_MS):
-        self.store, self.path = Store(spark, root), f"{root.rstrip('/')}/_locks/{case_id}"
+        self.files, self.folder = Files(spark), contained(root, "_locks", safe_name(case_id))
         self.owner, self.deadline_ms = f"worker-{uuid.uuid4()}", deadline_ms
 
-    def _state(self) -> tuple[str, int] | None:
-        fs, p = self.store._fs(self.path)
-        if not fs.exists(p):
-            return None
-        try:
-            s = fs.open(p)
-            raw = self.store.spark._jvm.org.apache.commons.io.IOUtils.toString(s, "UTF-8")
-            s.close()
-            owner, at = raw.split(" ")
-            return owner, int(at)
-        except Exception:  # noqa: BLE001 - a corrupt lock is a stale one
-            return "", 0
-
-    def _put(self, overwrite: bool) -> bool:
-        fs, p = self.store._fs(self.path)
-        try:
-            s = fs.create(p, overwrite)
-        except Exception as e:  # noqa: BLE001
-            if "AlreadyExists" in str(e):
-                return False
-            raise
-        s.write(bytearray(f"{self.owner} {int(time.time() * 1000)}".encode()))
-        s.close()
-        return True
+    def _numbers(self) -> list[int]:
+        return sorted(int(x) for x in self.files.names(self.folder) if x.isdigit())
+
+    def _file(self, n: int) -> str:
+        return f"{self.folder}/{n:08d}"
+
+    def _state(self) -> tuple[int, str, int]:
+        """Number, owner and last sign; 0 without a lock.  A lock that can't be
+        read has no owner and no sign."""
+        numbers = self._numbers()
+        if not numbers:
+            return 0, "", 0
+        said = [self.files.read(self._file(numbers[-1]) + x) or "" for x in ("", ".sign")]
+        words = [x.split(" ") for x in said]
+        times = [int(w[1]) for w in words if len(w) == 2 and w[1].isdigit()]
+        return numbers[-1], words[0][0], max(times, default=0)
+
+    def _said(self) -> str:
+        return f"{self.owner} {int(time.time() * 1000)}"
 
     def acquire(self) -> bool:
-        state = self._state()
-        if state is None:
-            return self._put(False)
-        if state[0] == self.owner:
+        n, owner, at = self._state()
+        if n and owner == self.owner:
             return self.renew()
-        if int(time.time() * 1000) - state[1] > STALE_FACTOR * self.deadline_ms:
-            self._put(True)
-            return self.owns()
-        return False
+        if n and int(time.time() * 1000) - at <= STALE_FACTOR * self.deadline_ms:
+            return False
+        return self.files.create(self._file(n + 1), self._said())
 
     def owns(self) -> bool:
-        state = self._state()
-        return state is not None and state[0] == self.owner
+        n, owner, _ = self._state()
+        return n > 0 and owner == self.owner
 
     def renew(self) -> bool:
-        return self.owns() and self._put(True)
+        n, owner, _ = self._state()
+        if not n or owner != self.owner:
+            return False
+        self.files.write(self._file(n) + ".sign", self._said())
+        return True
 
     def release(self) -> None:
-        if self.owns():
-            fs, p = self.store._fs(self.path)
-            fs.delete(p, False)
+        n, owner, _ = self._state()
+        if n and owner == self.owner:
+            for k in self._numbers():  # its own last: until then it counts
+                if k <= n:
+                    self.files.delete(self._file(k) + ".sign")
+                    self.files.delete(self._file(k))
 
 
 def event_counts(spark: SparkSession, path: str, checkpoint: str, out: str, schema) -> DataFrame:

@@ -76,6 +76,85 @@ def test_resume_reads_the_queue_once(engine):
     assert engine.search("caso", "pix").first().page == 4
 
 
+def test_done_is_done_until_the_prompt_changes(engine):
+    led = lambda: engine.store.read("page_ledger", "caso").filter("page = 4").first()
+    before = led().updated_at
+    assert engine.resume("caso").first().status == "done" and led().updated_at == before
+    engine.store.patch("page_ledger", engine.spark.createDataFrame([("caso", 4, "stamp_only")], "case_id string, page int, ocr_yield string"))
+    engine.enricher.__class__.prompt_version = 2
+    engine.resume("caso", Budget(backoff_ms=1))
+    assert led().ocr_yield == "content" and led().ocr_prompt_version == 2 and led().updated_at > before
+
+
+def test_status_has_tokens_and_estimates(engine):
+    s = engine.status("caso").first()
+    assert s.tokens_in == 20 and s.tokens_out == 40 and s.estimated_pages == 0
+    assert engine.job(engine.store.read("ingest_jobs").first().job_id).first().case_id == "caso"
+
+
+def test_evidence_in_the_ledgers_order(engine):
+    got = [(r.position, r.page, r.unit_id) for r in engine.evidence("caso").orderBy("position").collect()]
+    assert got == [(1, 1, "p001"), (2, 2, "p001"), (3, 3, "p001"), (4, 4, "p001"), (5, 4, "ocr001")]
+
+
+def test_artifacts(engine, spark):
+    engine.write_artifacts("artifacts")
+    read = lambda x: spark.read.json(f"{engine.root}/artifacts/{x}")
+    assert read("ledger").count() == 4 and read("raw_events").first().tipo == "citacao" and read("coverage").first().case_id == "caso" and read("radar").count() == 1
+    with pytest.raises(ValueError):
+        engine.write_artifacts("../out")
+
+
+def test_interrupted_jobs_go_on_and_deleted_cases_are_gone(engine, spark, tmp_path):
+    spark.createDataFrame([("dois", 1, ""), ("dois", 2, "PETIÇÃO INICIAL de outro processo com texto bastante para a leitura.")], "case_id string, page int, text string").write.parquet(str(tmp_path / "in"))
+    engine.create_case(TableSource(str(tmp_path / "in")), now="2024-05-02 00:00:00")
+    job = engine.store.read("ingest_jobs", "dois").select("job_id")
+    engine.store.patch("ingest_jobs", job.selectExpr("job_id", "'running' AS status"))  # its last sign is old
+    busy = Lease(engine.spark, engine.root, "dois")
+    assert busy.acquire() and engine.resume_interrupted(Budget(backoff_ms=1)) == {"dois": "another worker"}
+    busy.release()
+    assert engine.resume_interrupted(Budget(backoff_ms=1)) == {"dois": "done"} and engine.resume_interrupted() == {}
+    assert engine.list_cases().count() == 2 and engine.search("dois", "inicial").count() == 1
+    engine.remove_case("dois", "dois")
+    assert engine.list_cases().count() == 1 and engine.search("dois", "inicial").count() == 0 and engine.status("dois").count() == 0 and engine.evidence("dois").count() == 0
+    assert engine.search("caso", "citacao").count() > 0
+
+
+def test_a_lost_lease_stores_nothing(engine, spark, tmp_path):
+    from evidentia.streaming.ingest import LeaseLost, enrich
+
+    store = Store(spark, str(tmp_path))
+    store.upsert("page_ledger", spark.createDataFrame([("a", 1, "ocr_needed")], "case_id string, page int, state string"))
+    asked = iter([True, False])
+    with pytest.raises(LeaseLost):
+        enrich(store, reader(), Budget(backoff_ms=1), owns=lambda: next(asked))
+    assert store.read("page_ledger").first().state == "ocr_needed" and store.read("evidence_units").count() == 0
+
+
+def test_embedding_in_rounds(spark, tmp_path):
+    from evidentia.streaming.ingest import embed
+
+    class Pages:  # local, so that it travels to the workers by value
+        model = "m"
+
+        def embed(self, texts):
+            return [[1.0, float(len(t))] for t in texts]
+
+        def embed_pages(self, pages):
+            assert len(pages) <= 4
+            return [[2.0, float(p)] for _, p in pages]
+
+    store = Store(spark, str(tmp_path))
+    store.upsert("evidence_units", spark.createDataFrame([(f"case:a:page:{p}:unit:p001", "a", p, "p001", "t" * p) for p in range(1, 8)], "evidence_id string, case_id string, page int, unit_id string, text string"))
+    store.upsert("page_ledger", spark.createDataFrame([("a", p, "done" if p < 6 else "ocr_needed") for p in range(1, 8)], "case_id string, page int, state string"))
+    late = iter([0.0, 100.0])
+    assert embed(store, Pages(), batch=2, calls_per_round=1, time_budget_s=5.0, clock=lambda: next(late)) == 2
+    assert embed(store, Pages(), max_calls=1, batch=2) == 2
+    assert embed(store, Pages(), batch=2) == 3 and embed(store, Pages()) == 0
+    got = {r.evidence_id.split(":page:")[1]: list(r.vector) for r in store.read("evidence_vectors").collect()}
+    assert got["6:unit:img001"] == [2.0, 6.0] and "6:unit:p001" not in got and len(got) == 7
+
+
 def test_arguments(engine):
     for f in (lambda: engine.search("caso", "x", 51), lambda: engine.open("caso"), lambda: engine.remove_case("caso", "x"), lambda: engine.radar("caso", "z"), lambda: engine.topic_matrix("caso", {})):
         with pytest.raises(ValueError):

@@ -7,7 +7,12 @@ import os
 import pytest
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["bm25_or_fallback", "vector_topk", "rrf_fusion", "text_quality", "pii_strip", "page_to_document", "page_citation", "event_reconcile", "timeline_union", "coverage_manifest", "topic_matrix", "claims_verify", "registry_merge"]
+
+
+def names():
+    import __spark_entry__ as e
+
+    return sorted(n for n in e.oracle_sql() if not n.startswith("op") and n != "pipeline")
 
 
 def rows(df):
@@ -19,7 +24,7 @@ def rows(df):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", names())
 def test_query_equals_sql(spark, name):
     import duckdb
 
@@ -35,3 +40,21 @@ def test_every_sql_has_a_query():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_without_the_training_data_operators(tmp_path):
+    """Both llm folders and the pipeline deleted: the rest imports, and a
+    missing module elsewhere isn't taken for them."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    ask = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); print(len(q), any(n.startswith('op') for n in q), 'pipeline' in q)"
+    run = lambda: subprocess.run([sys.executable, "-c", ask], cwd=copy, capture_output=True, text=True)
+    n, *rest = run().stdout.split()
+    assert int(n) > 80 and rest == ["False", "False"]
+    (copy / "evidentia" / "rules.py").unlink()
+    assert "No module named 'evidentia.rules'" in run().stderr

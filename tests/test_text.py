@@ -85,3 +85,42 @@ def test_identity(spark):
     assert r.e == "case:c:page:12:unit:p001" and r.p == 12
     assert r.s == ["case:c:page:2:unit:ocr001", "case:c:page:2:unit:p001", "case:c:page:10:unit:p001"]
     assert r.a == "ev, fl" and r.b == "pagina 3 do PDF"
+
+
+def test_character_counts_equal_regular_expressions():
+    import random
+    import re
+    import unicodedata
+
+    import pyarrow as pa
+
+    from evidentia.functions import text_counts as tc
+
+    rnd = random.Random(6)
+    alphabet = "aB1é漢٣.,;%-#$\u2014\ufffd\x00\x1b\u00a0\u3000 \n\t\\uD"
+    texts = ["".join(rnd.choices(alphabet, k=rnd.randint(0, 80))) for _ in range(300)] + [None, "", "x" * 44, "x" * 45, "a " + "y" * 50 + " b\\uFFFD", "\n \n", "𝒜" * 46]
+    space = "[" + tc.SPACE_CHARS + "]"
+    for step in (1, 4 << 20):
+        got = tc.count_characters(pa.array(texts, pa.string()), step)
+        for i, t in enumerate(texts):
+            raw = t or ""
+            norm = re.sub(space + "+", " ", raw).strip(" ")
+            long = re.findall(r"[^ ]{45,}", norm)
+            kinds = [unicodedata.category(c)[0] in "LN" for c in norm]
+            want = (len(norm), sum(kinds), len(re.findall(r"\\u(?:FFFD|0000|0001)|[\x00-\x08\x0b\x0c\x0e-\x1f\ufffd]", raw)), norm.count(" "), len(long), sum(map(len, long)), sum(not k and c != " " and c not in tc.PLAIN_CHARS for c, k in zip(norm, kinds)))
+            assert tuple(int(got[c][i]) for c in tc.COUNTS) == want, repr(t)
+
+
+def test_markdown_blocks(spark):
+    from evidentia.operators.markdown import markdown_blocks, parse
+
+    text = "\n\n## Head *x*\r\n---\n| a | b |\n|---|:-:|\n| 1 | 2 |\n- one\n* two\n> said\n>more\nfirst line\nsecond\n1. numbered\ngoes on\n| no table\nlast"
+    got = list(parse(text, "T"))
+    assert [b[0] for b in got] == ["heading", "table", "bullet", "bullet", "quote", "paragraph", "paragraph", "paragraph"]
+    assert got[0][1:3] == (2, "Head *x*") and got[1][3] == [["a", "b"], ["1", "2"]] and got[4][2] == "said more"
+    assert [b[2] for b in got[5:]] == ["first line second", "1. numbered goes on", "| no table last"]
+    assert [b[:3] for b in parse("### low\n", "T")] == [("title", 0, "T"), ("heading", 3, "low")]
+    df = spark.createDataFrame([(1, text, "T"), (2, None, "T"), (3, "", "T")], "doc_id long, text string, t string")
+    rows = markdown_blocks(df, title="t").collect()
+    assert [r.kind for r in rows if r.doc_id == 1] == [b[0] for b in got] and [r.kind for r in rows if r.doc_id != 1] == ["title"]
+    assert markdown_blocks(df.limit(0)).count() == 0
