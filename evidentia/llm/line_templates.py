@@ -1,207 +1,193 @@
-"""Line dedup with a log-template tree.
-
-Lines are parsed by a tree of fixed depth: the first level is the number of
-tokens, the next ones the leading tokens; a token with a digit is a variable
-field from the start.  Within a leaf, a token stays literal at its position if
-it makes up a large enough share of the leaf's lines there; any other becomes
-a field.  What comes out is the line's template.  Templates that recur in
-enough contexts are dropped from all documents.
-
-A context is the pair of neighbouring lines.  Copies of a document repeat a
-line between the same neighbours and count once, so whole copies are left to
-document dedup, while boilerplate set into different documents is found.
-
-All counts are sums over distinct lines, so a leaf or line of any frequency is
-aggregated before it is shuffled, and no leaf is ever gathered.
+r"""Line dedup with a log-template tree.
+
+Lines (between ``\n``) are parsed by a tree of fixed depth: the first level is
+the number of tokens, the next ones the leading tokens; a token with a digit is
+a variable field from the start.  A leaf holds the templates of its lines: each
+line as it is and, if it has ``parts`` tokens or more after the leading ones,
+the line with one of ``parts`` equal parts of those tokens made fields.  So a
+line belongs to a template if it equals it outside the fields, and whether it
+does depends on no other line.  A template recurs if it is found in enough
+documents; its lines are dropped from all documents.
+
+Documents with equal texts count as one, and a line counts once for a document,
+so whole copies and repeats inside one text are left to other operators.  The
+counts only grow with the input: what is dropped from a table is dropped from
+any larger one.
+
+Templates are counted over blocks of documents (see block_lists): a leaf or
+template of any frequency is one entry per block, and no leaf is gathered.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .block_lists import block_column, n_blocks_for
-from .spark_util import cut, documents, text_chars
-from .words import buffers
+from .block_lists import LIST, answers, count_answers, lists_of, n_blocks_for, slices_for, sorted_counts
+from .spark_util import cut, documents
+from .words import SEQ_BASES, Words, chunks, mix, powers
 
+U64 = np.uint64
 FIELD = "<*>"
-_FIELD_RE = re.compile(rb"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
-_DIGIT_RE = re.compile(rb"[0-9]")
-
-NARROW = "block int, doc int, line int, leaf long, hash long, ctx long"
-STRINGS = "leaf long, hash long, c long, masked string"
-
-
-def masked(line: bytes) -> bytes:
-    """Tokens joined by one space, those with a digit as fields."""
-    if _DIGIT_RE.search(line):
-        line = _FIELD_RE.sub(FIELD.encode(), line)
-    return b" ".join(line.split())
-
-
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
-
-
-def _ordered(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
-    """The block's rows in an order that doesn't depend on their arrival:
-    places in the table, texts."""
-    data, off = buffers(table.column("text").combine_chunks())
-    raw = data.tobytes()
-    texts = [raw[off[i] : off[i + 1]] for i in range(len(off) - 1)]
-    ids = table.column("doc_id").to_pylist()
-    order = sorted(range(len(texts)), key=lambda i: (ids[i] is not None, ids[i], texts[i]) if ids[i] is not None else (False, 0, texts[i]))
-    return np.array(order, np.int64), [texts[i] for i in order]
-
-
-def _parse(depth: int):
-    def run(key, table):
-        out = []
-        block = key[0].as_py()
-        _, texts = _ordered(table)
-        for d, text in enumerate(texts):
-            lines = [(k, m) for k, x in enumerate(text.split(b"\n")) if (m := masked(x))]
-            for i, (k, m) in enumerate(lines):
-                tokens = m.split(b" ", depth)[:depth]
-                leaf = xxhash.xxh64_intdigest(b"%d " % (m.count(b" ") + 1) + b" ".join(tokens), 1)
-                before = lines[i - 1][1] if i else b"\n"
-                after = lines[i + 1][1] if i + 1 < len(lines) else b"\n"
-                ctx = xxhash.xxh64_intdigest(b"%d " % len(before) + before + after, 2)
-                out.append((d, k, _signed(leaf), _signed(xxhash.xxh64_intdigest(m, 3)), _signed(ctx)))
-        cols = list(zip(*out)) or [()] * 5
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("doc", "line", "leaf", "hash", "ctx"), cols, kinds)} | {"block": pa.array([block] * len(out), pa.int32())}).select(["block", "doc", "line", "leaf", "hash", "ctx"])
+FIELD_HASH = Words(np.frombuffer(FIELD.encode(), np.uint8), np.array([0, len(FIELD)])).hashes()[0]
+MADE = ("n_lines", "n_dropped", "n_words", "n_words_dropped", "kept_text")
+
+
+class Lines:
+    """The lines with a token of a run of texts: text ``doc``, place ``at`` in
+    it, number ``n`` of tokens, and the hashes of their templates (line,
+    1 + parts), 0 for none."""
+
+    def __init__(self, data: np.ndarray, off: np.ndarray, depth: int, parts: int):
+        w = Words(data, off)
+        n_words = len(w.starts)
+        doc = np.repeat(np.arange(w.n_docs), w.counts())
+        breaks = np.concatenate([[0], np.cumsum(w.buf == 0x0A)])
+        line = breaks[w.starts] + doc  # unlike in unlike texts
+        first = np.flatnonzero(np.diff(line, prepend=-1)) if n_words else np.zeros(0, np.int64)
+        self.doc = doc[first]
+        self.at = breaks[w.starts[first]] - breaks[w.doc_start[self.doc]]
+        self.n = n = np.diff(np.append(first, n_words))
+        digits = np.concatenate([[0], np.cumsum((w.buf >= 48) & (w.buf < 58))])
+        h = w.hashes()
+        h[digits[w.ends] > digits[w.starts]] = FIELD_HASH
+        # sums of token * base**place, over the tokens and over as many fields
+        fwd, back = powers(SEQ_BASES[0], n_words + 1)
+        tokens, fields = np.zeros(n_words + 1, U64), np.zeros(n_words + 1, U64)
+        np.cumsum(h * fwd[:n_words], out=tokens[1:])
+        np.cumsum(FIELD_HASH * fwd[:n_words], out=fields[1:])
+        literal = np.concatenate([[0], np.cumsum(h != FIELD_HASH)])
+        self.templates = np.zeros((len(first), 1 + parts), U64)
+        for q in range(1 + parts):
+            # tokens i to j, of which a to b are made fields
+            k = np.flatnonzero(n - depth >= parts) if q else np.arange(len(first))
+            i, j, tail = first[k], first[k] + n[k], n[k] - depth
+            a, b = (i + depth + tail * (q - 1) // parts, i + depth + tail * q // parts) if q else (i, i)
+            # a template needs literal tokens, half of all at least
+            good = 2 * (literal[j] - literal[i] - literal[b] + literal[a]) >= n[k]
+            total = tokens[j] - tokens[i] - tokens[b] + tokens[a] + fields[b] - fields[a]
+            key = mix(total * back[i] + n[k].astype(U64) * U64(0xD1342543DE82EF95))
+            self.templates[k[good], q] = np.maximum(key, U64(1))[good]
+
+
+def _parsed(texts: pa.Array, depth: int, parts: int):
+    """Of a block: text, place and tokens of each line, its templates."""
+    cols = [(x.doc + i, x.at, x.n, x.templates) for i, _, data, off in chunks(texts) for x in [Lines(data, off, depth, parts)]]
+    if not cols:
+        return *(np.zeros(0, np.int64),) * 3, np.zeros((0, 1 + parts), U64)
+    return tuple(map(np.concatenate, zip(*cols)))
+
+
+def _send(depth: int, parts: int, n_slices: int):
+    """The block's templates and in how many of its documents each is; of equal
+    texts one counts, and none of those that count in another block."""
+
+    def run(key, table, skip):
+        if not table.num_rows:
+            return lists_of([])
+        doc, _, _, templates = _parsed(table.column("text").combine_chunks(), depth, parts)
+        ids = np.stack([table.column(c).to_numpy() for c in ("_t1", "_t2")], axis=1)
+        seen = set(zip(skip.column("_t1").to_pylist(), skip.column("_t2").to_pylist()))
+        counts = np.zeros(len(ids), bool)
+        for d, t in enumerate(map(tuple, ids.tolist())):
+            if t not in seen:
+                seen.add(t)
+                counts[d] = True
+        # a template once for each document
+        t, d = templates.reshape(-1), np.repeat(doc, 1 + parts)
+        t, d = t[t > 0], d[t > 0]
+        order = np.lexsort((d, t))
+        t, d = t[order], d[order]
+        new = np.ones(len(t), bool)
+        new[1:] = (t[1:] != t[:-1]) | (d[1:] != d[:-1])
+        keys, n = sorted_counts(t[new], counts[d[new]])
+        return lists_of([(key[0].as_py(), "n", keys, n)], 64, n_slices)
 
     return run
 
 
-def _fetch(key, table, wanted):
-    out = []
-    if table.num_rows and wanted.num_rows:
-        _, texts = _ordered(table)
-        split: dict[int, list[bytes]] = {}
-        for d, k, leaf, h, c in zip(*(wanted.column(n).to_pylist() for n in ("doc", "line", "leaf", "hash", "c"))):
-            if d not in split:
-                split = {d: texts[d].split(b"\n")}
-            out.append((leaf, h, c, masked(split[d][k]).decode()))
-    cols = list(zip(*out)) or [()] * 4
-    return pa.table({n: pa.array(x, t) for n, x, t in zip(("leaf", "hash", "c", "masked"), cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()))})
-
-
-def _rewrite(names: list[str]):
-    def run(key, table, drops):
-        if not table.num_rows:
-            kept, n_lines, n_dropped, order = [], [], [], np.zeros(0, np.int64)
-        else:
-            order, texts = _ordered(table)
-            gone: dict[int, set[int]] = {}
-            for d, k in zip(drops.column("doc").to_pylist(), drops.column("line").to_pylist()):
-                gone.setdefault(d, set()).add(k)
-            kept, n_lines, n_dropped = [], [], []
-            for d, text in enumerate(texts):
-                lines = text.split(b"\n")
-                n_lines.append(sum(1 for x in lines if x.strip()))
-                g = gone.get(d, ())
-                n_dropped.append(len(g))
-                kept.append((b"\n".join(x for k, x in enumerate(lines) if k not in g) if g else text).decode())
-        out = table.select(names).take(pa.array(order, pa.int64()))
-        for n, x, t in (("n_lines", n_lines, pa.int64()), ("n_dropped", n_dropped, pa.int64()), ("kept_text", kept, pa.string())):
-            out = out.append_column(n, pa.array(x, t))
+def _rewrite(names: list[str], depth: int, parts: int):
+    def run(key, table, side):
+        texts = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
+        doc, at, n, templates = _parsed(texts, depth, parts)
+        keys, inverse = np.unique(templates, return_inverse=True)
+        none = int(len(keys) > 0 and keys[0] == 0)
+        often = np.concatenate([np.zeros(none, bool), answers(side, "n") > 0])
+        gone = often[inverse.reshape(templates.shape)].any(axis=1) if len(templates) else np.zeros(0, bool)
+        kept = texts.to_pylist()
+        for d, lines in _by_doc(doc[gone], at[gone]):
+            kept[d] = "\n".join([x for k, x in enumerate(kept[d].split("\n")) if k not in lines])
+        sums = [np.bincount(doc[x], n[x] if words else None, len(texts)).astype(np.int64) for words in (False, True) for x in (slice(None), gone)]
+        out = table.select(names)
+        for c, x in zip(MADE, (*map(pa.array, sums), pa.array([x or "" for x in kept], pa.string()))):
+            out = out.append_column(c, x)
         return out
 
     return run
 
 
-def recurring_lines(distinct: DataFrame, min_contexts: int, min_tokens: int, literal_percent: int) -> DataFrame:
-    """distinct: (leaf, hash, c, masked), a row for each distinct line of the
-    leaves that matter.  (leaf, hash, template) of those to be dropped."""
-    words = distinct.select("leaf", "hash", "c", F.posexplode(F.split("masked", " ")).alias("pos", "token"))
-    total = distinct.groupBy("leaf").agg(F.sum("c").alias("total"))
-    literal = (
-        words.filter(F.col("token") != FIELD)
-        .groupBy("leaf", "pos", "token")
-        .agg(F.sum("c").alias("n"))
-        .join(total, "leaf")
-        .filter(F.col("n") * 100 >= F.col("total") * literal_percent)
-        .select("leaf", "pos", "token", F.lit(1).alias("lit"))
-    )
-    parsed = words.join(literal, ["leaf", "pos", "token"], "left").groupBy("leaf", "hash", "c").agg(
-        F.sort_array(F.collect_list(F.struct("pos", F.when(F.col("lit") == 1, F.col("token")).otherwise(F.lit(FIELD)).alias("t")))).alias("ts"),
-        F.count("lit").alias("lits"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    parsed = parsed.withColumn("template", F.array_join("ts.t", " "))
-    good = parsed.filter((F.col("n") >= min_tokens) & (F.col("lits") * 2 >= F.col("n")))
-    often = good.groupBy("leaf", "template").agg(F.sum("c").alias("contexts")).filter(F.col("contexts") >= min_contexts)
-    return good.join(often, ["leaf", "template"]).select("leaf", "hash", "template")
-
-
-def drop_recurring_lines(
-    docs: DataFrame,
-    depth: int = 3,
-    min_contexts: int = 5,
-    min_tokens: int = 4,
-    literal_percent: int = 30,
-    block_bytes: int = 6 << 20,
-) -> DataFrame:
+def _by_doc(doc: np.ndarray, at: np.ndarray):
+    first = np.flatnonzero(np.diff(doc, prepend=-1))
+    for i, j in zip(first, np.append(first[1:], len(doc))):
+        yield int(doc[i]), set(at[i:j].tolist())
+
+
+def drop_recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 5, parts: int = 4, block_bytes: int = 6 << 20) -> DataFrame:
     """All rows and columns of ``docs`` (doc_id, text, ...) plus ``n_lines``
-    (with a token), ``n_dropped`` and ``kept_text``, the other lines as they
-    were.
-
-    Dropped is each line whose template has at least ``min_tokens`` tokens,
-    half of them literal, and recurs in ``min_contexts`` contexts or more (a
-    sum over its distinct lines).  Lines without a token stay.  A null text has
-    no lines and gives an empty ``kept_text``.  Repeated rows are treated alike;
-    input columns of those names are replaced.
+    (with a token), ``n_dropped``, the tokens of those as ``n_words`` and
+    ``n_words_dropped``, and ``kept_text``, the other lines as they were.
+
+    Dropped is each line one of whose templates is found in ``min_docs``
+    documents of different texts or more.  At least half of a template's tokens
+    are literal; lines of ``depth`` tokens or fewer, and those with fewer than
+    ``parts`` after them, have only their exact template (numbers are fields).
+    Lines without a token stay.  A null text has no lines and gives an empty
+    ``kept_text``, an empty table an empty result.  doc_id may be null or
+    repeated: every row is a document, and rows of equal text count as one and
+    are treated alike.  Input columns named like a result are replaced; other
+    columns may have any name that doesn't begin with ``_t`` or ``_block``.
     """
-    made = ("n_lines", "n_dropped", "kept_text")
-    names = [c for c in docs.columns if c not in made]
-    n_blocks = n_blocks_for(text_chars(docs), block_bytes)
-    blocks = docs.select(*names).withColumn("_block", block_column(F.col("doc_id"), n_blocks)).repartition("_block")
-    narrow = blocks.groupBy("_block").applyInArrow(_parse(depth), NARROW)
-    hot = narrow.select("leaf", "ctx").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_contexts).select("leaf")
-    lines = cut(narrow.join(hot, "leaf", "left_semi"))
-    per_ctx = lines.groupBy("leaf", "hash", "ctx").agg(F.min(F.struct("block", "doc", "line")).alias("at"))
-    wanted = per_ctx.groupBy("leaf", "hash").agg(F.count(F.lit(1)).alias("c"), F.min("at").alias("at")).select("leaf", "hash", "c", "at.*")
-    strings = cut(blocks.groupBy("_block").cogroup(wanted.groupBy("block")).applyInArrow(_fetch, STRINGS))
-    drops = lines.join(recurring_lines(strings, min_contexts, min_tokens, literal_percent).select("leaf", "hash"), ["leaf", "hash"]).select("block", "doc", "line")
-    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())])
-    return blocks.groupBy("_block").cogroup(drops.groupBy("block")).applyInArrow(_rewrite(names), schema)
+    names = [c for c in docs.columns if c not in MADE]
+    digest = {"_t1": F.xxhash64("text", F.lit(1)), "_t2": F.xxhash64("text", F.lit(2))}
+    narrow = cut(docs.select("doc_id", F.length("text").cast("long").alias("n"), *(c.alias(k) for k, c in digest.items())))
+    chars = narrow.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n_slices, n_blocks = slices_for(max(1, chars // 20)), n_blocks_for(chars, block_bytes)
+    block = F.pmod(F.xxhash64("doc_id", "_t1"), F.lit(n_blocks)).cast("int").alias("_block")
+    # texts that are in several blocks count in the first of them
+    where = narrow.select(block, "_t1", "_t2").distinct()
+    home = where.groupBy("_t1", "_t2").agg(F.min("_block").alias("home"), F.max("_block").alias("last")).filter("home < last")
+    skip = where.join(home, ["_t1", "_t2"]).filter("_block > home").select("_block", "_t1", "_t2")
+    rows = docs.select(*names).withColumns(digest)
+    rows = rows.select("*", block).repartition("_block")
+    sent = rows.groupBy("_block").cogroup(skip.groupBy("_block")).applyInArrow(_send(depth, parts, n_slices), LIST)
+    often = count_answers(sent, 64, n_slices, lambda n: n >= min_docs)
+    schema = T.StructType([*(docs.schema[c] for c in names), *(T.StructField(c, T.StringType() if c == "kept_text" else T.LongType()) for c in MADE)])
+    return rows.groupBy("_block").cogroup(often.groupBy("block")).applyInArrow(_rewrite(names, depth, parts), schema)
 
 
 def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without lines of recurring templates."""
     out = drop_recurring_lines(documents(spark, sf_dir).select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.md5("kept_text").alias("kept_md5"))
+    return out.select("doc_id", "n_lines", "n_dropped", "n_words", "n_words_dropped", F.md5("kept_text").alias("kept_md5"))
 
 
 #: The same by joins over whole lines.  {docs} has doc_id and text.
 LINES_SQL = r"""
-raw AS (SELECT doc_id, md5(coalesce(text, '')) AS th, string_split(coalesce(text, ''), chr(10)) AS ls FROM {docs}),
-doc AS (SELECT row_number() OVER () AS rid, doc_id, ls FROM raw),
-ln AS (SELECT rid, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM doc),
-tok AS (SELECT rid, doc_id, line, k, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM ln),
-wl AS (SELECT rid, doc_id, k, t, array_to_string(t, ' ') AS m FROM tok WHERE len(t) > 0),
-cx AS (SELECT *, len(t) || ' ' || array_to_string(t[1:3], ' ') AS leaf,
-  struct_pack(a := lag(m) OVER (PARTITION BY rid ORDER BY k), b := lead(m) OVER (PARTITION BY rid ORDER BY k)) AS ctx FROM wl),
-hot AS (SELECT leaf FROM cx GROUP BY leaf HAVING count(DISTINCT ctx) >= 5),
-d AS (SELECT leaf, m, any_value(t) AS t, count(DISTINCT ctx) AS c FROM cx WHERE leaf IN (SELECT leaf FROM hot) GROUP BY leaf, m),
-w AS (SELECT leaf, m, c, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM d),
-tot AS (SELECT leaf, sum(c) AS total FROM d GROUP BY leaf),
-lit AS (SELECT w.leaf, pos, token FROM w JOIN tot USING (leaf) WHERE token <> '<*>' GROUP BY w.leaf, pos, token, total HAVING sum(c) * 100 >= total * 30),
-p AS (SELECT w.leaf, w.m, any_value(w.c) AS c, string_agg(CASE WHEN lit.token IS NULL THEN '<*>' ELSE w.token END, ' ' ORDER BY w.pos) AS template,
-  count(lit.token) AS lits, count(*) AS n FROM w LEFT JOIN lit ON w.leaf = lit.leaf AND w.pos = lit.pos AND w.token = lit.token GROUP BY w.leaf, w.m),
-good AS (SELECT * FROM p WHERE n >= 4 AND lits * 2 >= n),
-often AS (SELECT leaf, template FROM good GROUP BY leaf, template HAVING sum(c) >= 5),
-bad AS (SELECT DISTINCT m FROM good SEMI JOIN often ON good.leaf = often.leaf AND good.template = often.template),
-kept AS (SELECT tok.rid, string_agg(line, chr(10) ORDER BY k) FILTER (WHERE bad.m IS NULL) AS kept_text, count(*) FILTER (WHERE len(t) > 0) AS n_lines, count(bad.m) AS n_dropped
-  FROM tok LEFT JOIN bad ON len(t) > 0 AND array_to_string(t, ' ') = bad.m GROUP BY tok.rid),
-line_dedup AS (SELECT doc.doc_id, n_lines, n_dropped, coalesce(kept_text, '') AS kept_text FROM doc JOIN kept USING (rid))
+doc AS (SELECT row_number() OVER () AS rid, doc_id, md5(coalesce(text, '')) AS th, string_split(coalesce(text, ''), chr(10)) AS ls FROM {docs}),
+ln AS (SELECT rid, th, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM doc),
+tok AS (SELECT *, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM ln),
+dl AS (SELECT DISTINCT t, len(t) AS n, th FROM tok WHERE len(t) > 0),
+pat AS (SELECT t, th, t AS p FROM dl UNION ALL
+  SELECT t, th, list_transform(t, lambda x, i: CASE WHEN i > 3 + (n - 3) * (q - 1) // 4 AND i <= 3 + (n - 3) * q // 4 THEN '<*>' ELSE x END) FROM dl, generate_series(1, 4) g(q) WHERE n >= 7),
+good AS (SELECT * FROM pat WHERE 2 * len(list_filter(p, lambda x: x <> '<*>')) >= len(p)),
+often AS (SELECT p FROM good GROUP BY p HAVING count(DISTINCT th) >= 5),
+bad AS (SELECT DISTINCT t FROM good SEMI JOIN often USING (p)),
+kept AS (SELECT tok.rid, string_agg(line, chr(10) ORDER BY k) FILTER (WHERE bad.t IS NULL) AS kept_text, count(*) FILTER (WHERE len(tok.t) > 0) AS n_lines, count(bad.t) AS n_dropped,
+  coalesce(sum(len(tok.t)), 0)::BIGINT AS n_words, coalesce(sum(len(bad.t)), 0)::BIGINT AS n_words_dropped
+  FROM tok LEFT JOIN bad ON tok.t = bad.t GROUP BY tok.rid),
+line_dedup AS (SELECT doc.doc_id, n_lines, n_dropped, n_words, n_words_dropped, coalesce(kept_text, '') AS kept_text FROM doc JOIN kept USING (rid))
 """
-OP2_SQL = "WITH " + LINES_SQL.replace("{docs}", "documents") + " SELECT doc_id, n_lines, n_dropped, md5(kept_text) AS kept_md5 FROM line_dedup"
+OP2_SQL = "WITH " + LINES_SQL.replace("{docs}", "documents") + " SELECT doc_id, n_lines, n_dropped, n_words, n_words_dropped, md5(kept_text) AS kept_md5 FROM line_dedup"

@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.sources.shared import shared_folder
+
 #: The separators of the word rule `[^\x20\x09-\x0D]+`.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` with a reliable checkpoint in the folder that
-    ``spark.checkpoint.dir`` names; a temporary one only where none is named."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evidentia-"))
+    """Materialise ``df`` with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -39,10 +36,28 @@ def text_chars(docs: DataFrame) -> int:
 def table_cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table into the checkpoint folder and read it
     again: for wide rows, which a checkpoint would store uncompressed."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evidentia-"))
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Keys that get salts of their own in ``salted_join``, at most.
+MOST_HOT = 100_000
+
+
+def salted_join(big: DataFrame, small: DataFrame, on: list[str], n: str, salt_by: list[str], how: str = "inner", floor: int = 1000) -> DataFrame:
+    """``big`` joined with ``small``, which has one row for each key and in
+    ``n`` the number of its rows in ``big``; no task gets many rows of one key.
+
+    A key with more rows than ``floor`` and than a MOST_HOT-th of all is dealt
+    by a hash of ``salt_by`` to parts of that many rows, and its row in
+    ``small`` is repeated for each.  By that rule there are fewer than MOST_HOT
+    such keys, so their list is broadcast.
+    """
+    total = small.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    most = max(floor, int(total) // MOST_HOT)
+    parts = F.greatest(F.ceil(F.col(n) / F.lit(most)), F.lit(1)).cast("long")
+    hot = small.filter(F.col(n) > most).select(*on, parts.alias("_parts"))
+    a = big.join(F.broadcast(hot), on, "left").withColumn("_salt", F.pmod(F.xxhash64(*salt_by, F.lit(23)), F.coalesce("_parts", F.lit(1).cast("long")))).drop("_parts")
+    b = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return a.join(b, [*on, "_salt"], how).drop("_salt")

@@ -21,13 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .block_lists import block_column, deltas, n_blocks_for, planes, side_rows, slice_bounds, slices_for, undeltas, unplanes
+from .block_lists import ANSWER, COARSE_BITS, FAN, LIST, answer_table, answers, count_answers, deltas, list_table, lists_of, n_blocks_for, planes, slice_runs, slices_for, small_numbers, undeltas, unplanes
 from .spark_util import documents, text_chars
 from .words import Words, chunks, mix, ranges, sequence_hashes
 
 U64 = np.uint64
-LIST = "block int, slice int, kind string, payload binary, extra binary"
-ANSWER = "block int, slice int, kind string, payload binary"
 LEAST = -(1 << 63)
 
 
@@ -75,9 +73,6 @@ class Sketch:
     def cells(self, h: np.ndarray, row: int) -> np.ndarray:
         return mix(h + U64(0x9E3779B97F4A7C15 * (row + 1) & (2**64 - 1))) >> U64(64 - self.bits)
 
-    def base(self, s: int) -> int:
-        return s << (self.bits - (self.n_slices.bit_length() - 1))
-
 
 def _block_cells(h: np.ndarray, copies: np.ndarray, sk: Sketch, row: int):
     """Distinct cells of a block's distinct windows, ascending; whether each
@@ -90,127 +85,111 @@ def _block_cells(h: np.ndarray, copies: np.ndarray, sk: Sketch, row: int):
 
 def _send_sketch(sk: Sketch, k: int):
     def run(key, table):
-        block = key[0].as_py()
         w = Windows(table, k)
-        out = []
-        for row in range(sk.depth):
-            u, many, _ = _block_cells(w.u1, w.size, sk, row)
-            at = slice_bounds(u, sk.bits, sk.n_slices)
-            for s in range(sk.n_slices):
-                a, b = at[s], at[s + 1]
-                if b > a:
-                    out.append((block, s, str(row), deltas(u[a:b], sk.base(s)), np.packbits(many[a:b]).tobytes()))
-        return _lists(out)
+        cells = ((str(row), *_block_cells(w.u1, w.size, sk, row)) for row in range(sk.depth))
+        return lists_of([(key[0].as_py(), kind, u, 1 + many) for kind, u, many, _ in cells], sk.bits, sk.n_slices)
 
     return run
 
 
-def _lists(rows: list[tuple]) -> pa.Table:
-    cols = list(zip(*rows)) or [()] * 5
-    return pa.table({"block": pa.array(cols[0], pa.int32()), "slice": pa.array(cols[1], pa.int32()), "kind": pa.array(cols[2], pa.string()), "payload": pa.array(cols[3], pa.binary()), "extra": pa.array(cols[4], pa.binary())})
+def _candidates(w: Windows, sk: Sketch, side: pa.Table) -> np.ndarray:
+    """Distinct windows of the block whose every cell is estimated repeated."""
+    ok = np.ones(len(w.u1), bool)
+    for row in range(sk.depth):
+        u, _, inv = _block_cells(w.u1, w.size, sk, row)
+        if len(u):
+            ok &= (answers(side, str(row)) > 0)[inv]
+    return np.flatnonzero(ok)
 
 
-def _answers(rows: list[tuple]) -> pa.Table:
-    cols = list(zip(*rows)) or [()] * 4
-    return pa.table({"block": pa.array(cols[0], pa.int32()), "slice": pa.array(cols[1], pa.int32()), "kind": pa.array(cols[2], pa.string()), "payload": pa.array(cols[3], pa.binary())})
+# ---------------------------------------------------------------- exact grouping
 
 
-def _merge_sketch(sk: Sketch):
-    """A cell's estimate is the sum over blocks; the answer is whether it is 2
-    or more."""
+def _place_lists(block: int, n_slices: int, h1, h2, doc, start) -> list[tuple]:
+    """Windows by ascending h1, with the place of each, as rows of LIST."""
+    out = []
+    for s, a, b in slice_runs(h1, 64, n_slices):
+        extra = [h2[a:b].tobytes(), planes(doc[a:b]), planes(start[a:b])]
+        head = np.array([len(x) for x in extra], "<u4").tobytes()
+        out.append((block, s, "exact", deltas(h1[a:b]), head + b"".join(extra)))
+    return out
 
-    def run(key, table):
-        s, kind = key[0].as_py(), key[1].as_py()
-        blocks = table.column("block").to_pylist()
-        cells = [undeltas(p, sk.base(s)) for p in table.column("payload").to_pylist()]
-        many = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(c)) for x, c in zip(table.column("extra").to_pylist(), cells)]
-        all_cells = np.concatenate(cells)
-        order = np.argsort(all_cells, kind="stable")
-        c = all_cells[order]
-        new = np.concatenate([[True], c[1:] != c[:-1]])
-        estimate = np.add.reduceat(1 + np.concatenate(many)[order].astype(np.int64), np.flatnonzero(new))
-        repeated = np.empty(len(c), bool)
-        repeated[order] = (estimate >= 2)[np.cumsum(new) - 1]
-        at = np.concatenate([[0], np.cumsum([len(x) for x in cells])])
-        return _answers([(b, s, kind, np.packbits(repeated[at[i] : at[i + 1]]).tobytes()) for i, b in enumerate(blocks)])
 
-    return run
+class _Places:
+    """The windows of several lists, in order of hashes, then of place."""
 
+    def __init__(self, table: pa.Table):
+        h1, h2, doc, start = [], [], [], []
+        for p, x in zip(table.column("payload").to_pylist(), table.column("extra").to_pylist()):
+            n = np.frombuffer(x, "<u4", 3)
+            a, b = 12 + int(n[0]), 12 + int(n[0]) + int(n[1])
+            h1.append(undeltas(p))
+            h2.append(np.frombuffer(x[12:a], U64))
+            doc.append(unplanes(x[a:b]))
+            start.append(unplanes(x[b:]))
+        self.at = np.concatenate([[0], np.cumsum([len(x) for x in h1])])
+        cols = [np.concatenate(x) for x in (h1, h2, doc, start)]
+        self.order = np.lexsort(cols[::-1])
+        self.cols = [x[self.order] for x in cols]
+        a, b, doc, start = self.cols
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        self.first, self.group = np.flatnonzero(new), np.cumsum(new) - 1
+        f = self.first[self.group]
+        self.later = (doc != doc[f]) | (start != start[f])
 
-def _candidates(w: Windows, sk: Sketch, side: pa.Table) -> np.ndarray:
-    """Distinct windows of the block whose every cell is estimated repeated."""
-    ok = np.ones(len(w.u1), bool)
-    for row in range(sk.depth):
-        u, _, inv = _block_cells(w.u1, w.size, sk, row)
-        at = slice_bounds(u, sk.bits, sk.n_slices)
-        got = side_rows(side, str(row))
-        flags = np.zeros(len(u), bool)
-        for s, raw in got.items():
-            flags[at[s] : at[s + 1]] = np.unpackbits(np.frombuffer(raw, np.uint8), count=int(at[s + 1] - at[s])).astype(bool)
-        ok &= flags[inv]
-    return np.flatnonzero(ok)
+    def answer(self, table: pa.Table, later: np.ndarray) -> pa.Table:
+        flags = np.empty(len(later), np.int64)
+        flags[self.order] = later
+        return answer_table([(b, s, "exact", small_numbers(flags[self.at[i] : self.at[i + 1]])) for i, (b, s) in enumerate(zip(table.column("block").to_pylist(), table.column("slice").to_pylist()))])
 
 
 def _send_candidates(sk: Sketch, k: int, n_slices: int):
     def run(key, table, side):
         if not table.num_rows:
-            return _lists([])
-        block = key[0].as_py()
+            return list_table([])
         w = Windows(table, k)
         c = _candidates(w, sk, side)
         first = w.by_hash[w.head[c]]
-        at = slice_bounds(w.u1[c], 64, n_slices)
-        out = []
-        step = 64 - (n_slices.bit_length() - 1)
-        for s in range(n_slices):
-            a, b = at[s], at[s + 1]
-            if b > a:
-                f = first[a:b]
-                doc = w.doc_id[w.doc[f]].astype(np.int64).view(U64) ^ U64(1 << 63)
-                extra = [w.u2[c][a:b].tobytes(), planes(doc), planes(w.start[f].astype(U64))]
-                head = np.array([len(x) for x in extra], "<u4").tobytes()
-                out.append((block, s, "exact", deltas(w.u1[c][a:b], s << step), head + b"".join(extra)))
-        return _lists(out)
+        doc = w.doc_id[w.doc[first]].astype(np.int64).view(U64) ^ U64(1 << 63)
+        return list_table(_place_lists(key[0].as_py(), min(n_slices, 1 << COARSE_BITS), w.u1[c], w.u2[c], doc, w.start[first].astype(U64)))
 
     return run
 
 
-def _merge_candidates(n_slices: int):
-    """The answer for each window sent: does it start earlier in another block?"""
-    step = 64 - (n_slices.bit_length() - 1)
+def _merge_candidates(sent: DataFrame, n_slices: int) -> DataFrame:
+    """The answer for each window sent: does it start earlier elsewhere?  In
+    two levels where there are many slices, as ``count_answers``."""
 
-    def run(key, table):
-        s = key[0].as_py()
-        blocks, h1, h2, doc, start = table.column("block").to_pylist(), [], [], [], []
-        for p, x in zip(table.column("payload").to_pylist(), table.column("extra").to_pylist()):
-            n = np.frombuffer(x, "<u4", 3)
-            a, b = 12 + int(n[0]), 12 + int(n[0]) + int(n[1])
-            h1.append(undeltas(p, s << step))
-            h2.append(np.frombuffer(x[12:a], U64))
-            doc.append(unplanes(x[a:b]))
-            start.append(unplanes(x[b:]))
-        at = np.concatenate([[0], np.cumsum([len(x) for x in h1])])
-        h1, h2, doc, start = map(np.concatenate, (h1, h2, doc, start))
-        order = np.lexsort((start, doc, h2, h1))
-        a, b = h1[order], h2[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        later = np.empty(len(order), bool)
-        later[order] = ~new
-        return _answers([(bl, s, "exact", np.packbits(later[at[i] : at[i + 1]]).tobytes()) for i, bl in enumerate(blocks)])
+    def merge(key, table):
+        x = _Places(table)
+        return x.answer(table, x.later)
 
-    return run
+    if n_slices <= 1 << COARSE_BITS:
+        return sent.groupBy("slice").applyInArrow(merge, ANSWER)
+
+    down = n_slices.bit_length() - 1 - COARSE_BITS
+
+    def earliest(key, table):
+        x = _Places(table)
+        return list_table(_place_lists(key[0].as_py(), n_slices, *(c[x.first] for c in x.cols)))
+
+    def hand_down(key, table, side):
+        x = _Places(table)
+        return x.answer(table, x.later | (answers(side, "exact") > 0)[x.group])
+
+    lists = sent.withColumn("g", F.floor(F.col("block") / F.lit(FAN)).cast("int"))
+    fine = lists.groupBy("g", "slice").applyInArrow(earliest, LIST).groupBy("slice").applyInArrow(merge, ANSWER)
+    back = fine.withColumn("coarse", F.shiftright("slice", down))
+    return lists.groupBy("g", "slice").cogroup(back.groupBy("block", "coarse")).applyInArrow(hand_down, ANSWER)
 
 
-def _remove(sk: Sketch, k: int, n_slices: int, names: list[str]):
+def _remove(sk: Sketch, k: int, names: list[str]):
     def run(key, table, side):
         if not table.num_rows:
             return table.select(names).append_column("n_words", pa.array([], pa.int64())).append_column("n_removed", pa.array([], pa.int64())).append_column("kept_text", pa.array([], pa.string()))
         w = Windows(table, k)
         c = _candidates(w, sk, side)
-        at = slice_bounds(w.u1[c], 64, n_slices)
-        later = np.zeros(len(c), bool)
-        for s, raw in side_rows(side, "exact").items():
-            later[at[s] : at[s + 1]] = np.unpackbits(np.frombuffer(raw, np.uint8), count=int(at[s + 1] - at[s])).astype(bool)
+        later = answers(side, "exact") > 0
         # of a distinct window: is its first occurrence here removed as well?
         first_goes = np.zeros(len(w.u1), bool)
         first_goes[c] = later
@@ -258,15 +237,15 @@ def substring_dedup(docs: DataFrame, k: int = 20, depth: int = 2, cells_per_wind
     sk = Sketch(windows, depth, cells_per_window)
     n_slices = slices_for(max(1, windows // 3))
     n_blocks = n_blocks_for(chars, block_bytes)
-    # one exchange of the texts, used by all three passes
-    rows = docs.select(*names).withColumn("_block", block_column(F.col("doc_id"), n_blocks)).repartition("_block")
+    # one exchange of the texts, used by all three passes; rows of one id are apart unless their texts are equal
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")
+    rows = docs.select(*names, block.alias("_block")).repartition("_block")
     sent = rows.groupBy("_block").applyInArrow(_send_sketch(sk, k), LIST)
-    repeated = sent.groupBy("slice", "kind").applyInArrow(_merge_sketch(sk), ANSWER)
+    repeated = count_answers(sent, sk.bits, sk.n_slices, lambda n: n >= 2)
     exact = rows.groupBy("_block").cogroup(repeated.groupBy("block")).applyInArrow(_send_candidates(sk, k, n_slices), LIST)
-    first = exact.groupBy("slice").applyInArrow(_merge_candidates(n_slices), ANSWER)
+    first = _merge_candidates(exact, n_slices)
     schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    answers = repeated.unionByName(first)
-    return rows.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(_remove(sk, k, n_slices, names), schema)
+    return rows.groupBy("_block").cogroup(repeated.unionByName(first).groupBy("block")).applyInArrow(_remove(sk, k, names), schema)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,12 +89,19 @@ class Words:
         return np.diff(self.woff)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, the same everywhere."""
-        fwd, back = powers(BYTE_BASE, len(self.buf) + 1)
-        pre = np.zeros(len(self.buf) + 1, U64)
-        np.cumsum(BYTE_VALUE[self.buf] * fwd[: len(self.buf)], out=pre[1:])
-        h = (pre[self.ends] - pre[self.starts]) * back[self.starts]
-        return mix(h + (self.ends - self.starts).astype(U64) * U64(0x9E3779B97F4A7C15))
+        """A 64-bit hash of each word, the same everywhere.  Sums run over
+        about 1 MB of bytes at a time."""
+        out, i = np.empty(len(self.starts), U64), 0
+        while i < len(out):
+            j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + (1 << 20), "right")))
+            s, e = self.starts[i:j] - self.starts[i], self.ends[i:j] - self.starts[i]
+            part = self.buf[self.starts[i] : self.ends[j - 1]]
+            fwd, back = powers(BYTE_BASE, len(part) + 1)
+            pre = np.zeros(len(part) + 1, U64)
+            np.cumsum(BYTE_VALUE[part] * fwd[: len(part)], out=pre[1:])
+            out[i:j] = mix((pre[e] - pre[s]) * back[s] + (e - s).astype(U64) * U64(0x9E3779B97F4A7C15))
+            i = j
+        return out
 
     def join_kept(self, keep: np.ndarray) -> pa.Array:
         """Per text, its kept words joined by one space."""
