@@ -15,9 +15,8 @@ Jaccard similarity reaches the threshold; linked classes form components.
    token under the others are dropped before verification.
 3. Verification intersects the sets exactly.  Within a posting list only
    pairs of different components matter: rounds of stars (one hub per list)
-   link what they can, and when few pairs of different components are left in
-   the lists, all of those are verified.  Nothing is capped: components are
-   exact.
+   link what they can, then all pairs left in the lists are looked at, dealt
+   out in cells of bounded size.  Nothing is capped: components are exact.
 """
 
 from __future__ import annotations
@@ -28,9 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .block_lists import block_column, deltas, n_blocks_for, slice_bounds, undeltas
-from .spark_util import cut, documents, text_chars
-from .substring_dedup import ANSWER, LIST, Sketch, _answers, _lists
+from .arrow_map import with_text_features
+from .block_lists import LIST, answers, count_answers, list_table, lists_of, n_blocks_for
+from .spark_util import cut, documents, salted_join, text_chars
+from .substring_dedup import Sketch
 from .words import Words, chunks, mix, ranges, sequence_hashes
 
 U64 = np.uint64
@@ -74,92 +74,51 @@ def _keys_of(off: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
 
 
 def set_keys(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles and a 128-bit key of each row's set."""
-    fields = [docs.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType())]
+    """doc_id, a hash of the text, n_shingles and a 128-bit key of each row's set."""
+    fields = [docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("s", "n_shingles", "k1", "k2"))]
 
     def run(batches):
         for b in batches:
             off, h = shingle_sets(b.column("text"), k)
             keys = [pa.array(x) for x in _keys_of(off, h)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(off), pa.int64()), *keys], names=[f.name for f in fields])
-
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType(fields))
-
-
-def _class_sets(table: pa.Table, reps: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block: the classes' ids, offsets and shingles.  Each set of an id
-    once, also where rows repeat; an id with different texts has several."""
-    ids = table.column("doc_id").to_numpy()
-    want = np.sort(reps.column("rep").to_numpy())
-    at = np.flatnonzero(np.isin(ids, want))
-    at = at[np.argsort(ids[at], kind="stable")]
-    off, h = shingle_sets(table.column("text").combine_chunks().take(pa.array(at)), k)
-    ids = ids[at]
-    if (ids[1:] == ids[:-1]).any():
-        n, (k1, k2) = np.diff(off), _keys_of(off, h)
-        o = np.lexsort((k2, k1, n, ids))
-        new = np.ones(len(o), bool)
-        new[1:] = np.any([x[o[1:]] != x[o[:-1]] for x in (ids, n, k1, k2)], axis=0)
-        o = o[new]
-        h = h[ranges(off[:-1][o], n[o])]
-        ids, off = ids[o], np.concatenate([[0], np.cumsum(n[o])]).astype(np.int64)
-    return ids, off, h
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("s"), pa.array(np.diff(off), pa.int64()), *keys], names=[f.name for f in fields])
+
+    return docs.select("doc_id", "s", "text").mapInArrow(run, T.StructType(fields))
+
+
+def _class_sets(table: pa.Table, reps: pa.Table, k: int) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """Of a block: the classes' names (doc_id and hash of the text), offsets
+    and shingles.  Each class once, also where rows repeat."""
+    want = set(zip(reps.column("rep").to_pylist(), reps.column("s").to_pylist()))
+    place: dict[tuple[int, int], int] = {}
+    for i, name in enumerate(zip(table.column("doc_id").to_pylist(), table.column("s").to_pylist())):
+        if name in want:
+            place.setdefault(name, i)
+    names = sorted(place)
+    off, h = shingle_sets(table.column("text").combine_chunks().take(pa.array([place[x] for x in names], pa.int64())), k)
+    return names, off, h
 
 
 def _send_counts(sk: Sketch, k: int):
     def run(key, table, reps):
         if not table.num_rows or not reps.num_rows:
-            return _lists([])
+            return list_table([])
         _, _, h = _class_sets(table, reps, k)
-        out = []
-        for row in range(sk.depth):
-            u, n = np.unique(sk.cells(h, row), return_counts=True)
-            at = slice_bounds(u, sk.bits, sk.n_slices)
-            for s in range(sk.n_slices):
-                a, b = at[s], at[s + 1]
-                if b > a:
-                    out.append((key[0].as_py(), s, str(row), deltas(u[a:b], sk.base(s)), n[a:b].astype("<u4").tobytes()))
-        return _lists(out)
+        cells = (np.unique(sk.cells(h, row), return_counts=True) for row in range(sk.depth))
+        return lists_of([(key[0].as_py(), str(row), *c) for row, c in enumerate(cells)], sk.bits, sk.n_slices)
 
     return run
 
 
-def _nibbles(x: np.ndarray) -> bytes:
-    x = np.append(x, np.zeros(len(x) % 2, x.dtype)).astype(np.uint8)
-    return (x[::2] | x[1::2] << 4).tobytes()
-
-
-def _un_nibbles(raw: bytes, n: int) -> np.ndarray:
-    x = np.frombuffer(raw, np.uint8)
-    return np.stack([x & 15, x >> 4], axis=1).reshape(-1)[:n]
-
-
-def _merge_counts(sk: Sketch):
-    """The answer for each cell: the magnitude of its count, 0 for 1, 1 for 2,
-    2 for 3 or 4, and so on to 15."""
-
-    def run(key, table):
-        s, kind = key[0].as_py(), key[1].as_py()
-        cells = [undeltas(p, sk.base(s)) for p in table.column("payload").to_pylist()]
-        n = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("extra").to_pylist()]).astype(np.int64)
-        flat = np.concatenate(cells)
-        order = np.argsort(flat, kind="stable")
-        c = flat[order]
-        new = np.concatenate([[True], c[1:] != c[:-1]])
-        total = np.add.reduceat(n[order], np.flatnonzero(new))
-        level = np.minimum(np.frexp(np.maximum(total - 1, 0))[1], 15)
-        out = np.empty(len(c), np.uint8)
-        out[order] = level[np.cumsum(new) - 1]
-        at = np.concatenate([[0], np.cumsum([len(x) for x in cells])])
-        return _answers([(b, s, kind, _nibbles(out[at[i] : at[i + 1]])) for i, b in enumerate(table.column("block").to_pylist())])
-
-    return run
+def _magnitude(n: np.ndarray) -> np.ndarray:
+    """0 for a count of 1, 1 for 2, 2 for 3 or 4, and so on to 15."""
+    return np.minimum(np.frexp(np.maximum(n - 1, 0).astype(np.float64))[1], 15)
 
 
 SURVIVORS = T.StructType(
     [
         T.StructField("rep", T.LongType()),
-        T.StructField("s", T.IntegerType()),
+        T.StructField("s", T.LongType()),
         T.StructField("n", T.LongType()),
         T.StructField("q", T.IntegerType()),
         T.StructField("toks", T.ArrayType(T.LongType())),
@@ -171,28 +130,22 @@ SURVIVORS = T.StructType(
 
 
 def _survivors(sk: Sketch, k: int, percent: int):
-    """Classes that may have a partner: number among the id's sets (0 unless
-    it has different texts), size, shared shingles in the first
+    """Classes that may have a partner: name, size, shared shingles in the first
     order, prefix length, 16-bit hashes of the other orders' prefixes, and a
     bitmap of the shared shingles."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+    none = pa.table({f.name: pa.array([], t) for f, t in zip(SURVIVORS, kinds)})
 
     def run(key, table, side):
-        none = pa.table({f.name: pa.array([], t) for f, t in zip(SURVIVORS, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())))})
         if not table.num_rows or not side.num_rows:
             return none
         reps = side.filter(pa.array([x == "rep" for x in side.column("kind").to_pylist()]))
-        ids, off, h = _class_sets(table, reps, k)
-        level = np.full(len(h), 15, np.uint8)
+        names, off, h = _class_sets(table, reps, k)
+        level = np.full(len(h), 15, np.int64)
         for row in range(sk.depth):
-            u, inv = np.unique(sk.cells(h, row), return_inverse=True)
-            at = slice_bounds(u, sk.bits, sk.n_slices)
-            got = np.zeros(len(u), np.uint8)
-            for s, kind, p in zip(side.column("slice").to_pylist(), side.column("kind").to_pylist(), side.column("payload").to_pylist()):
-                if kind == str(row):
-                    got[at[s] : at[s + 1]] = _un_nibbles(p, int(at[s + 1] - at[s]))
-            level = np.minimum(level, got[inv])
+            _, inv = np.unique(sk.cells(h, row), return_inverse=True)
+            level = np.minimum(level, answers(side, str(row))[inv]) if len(h) else level
         n = np.diff(off)
-        nth = np.arange(len(ids)) - np.searchsorted(ids, ids)
         c = np.concatenate([[0], np.cumsum(level > 0)])
         shared = c[off[1:]] - c[off[:-1]]
         rows = []
@@ -205,7 +158,7 @@ def _survivors(sk: Sketch, k: int, percent: int):
             marks = np.zeros(BITMAP, bool)
             marks[x >> U64(64 - BITMAP.bit_length() + 1)] = True
             bits = np.packbits(marks, bitorder="little").view("<i8").tolist()
-            rows.append((int(ids[d]), int(nth[d]), int(n[d]), q, x[order[0]].view(np.int64).tolist(), *sig, bits))
+            rows.append((*names[d], int(n[d]), q, x[order[0]].view(np.int64).tolist(), *sig, bits))
         if not rows:
             return none
         cols = list(zip(*rows))
@@ -258,7 +211,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.withColumn("x", both).filter(F.col("x") * 100 >= (F.col("nu") + F.col("nv") - F.col("x")) * percent).select("u", "v")
 
 
-def link_components(sets: DataFrame, percent: int, star_rounds: int = 3, pairs_per_class: int = 32) -> DataFrame:
+def link_components(sets: DataFrame, percent: int, star_rounds: int = 3, part: int = 256, pairs_per_task: int = 2_000_000) -> DataFrame:
     """sets: the surviving classes.  (id, label) of each id among them; the
     sets of one id (rep, s) are one node.
 
@@ -271,42 +224,50 @@ def link_components(sets: DataFrame, percent: int, star_rounds: int = 3, pairs_p
     post = sets.select("rep", "s", "n", F.size("toks").alias("m"), F.posexplode(F.slice("toks", F.lit(1), F.col("q"))).alias("at", "token"))
     # lists of equal members are one; lists of one member say nothing
     lists = post.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("rep", "s").cast("decimal(38,0)")).alias("h"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
-    keep = lists.filter("c > 1").groupBy("c", "h", "lo", "hi").agg(F.min("token").alias("token")).select("token")
-    post = cut(post.join(keep, "token"))
+    keep = cut(lists.filter("c > 1").groupBy("c", "h", "lo", "hi").agg(F.min("token").alias("token")).select("token", "c"))
+    post = cut(salted_join(post, keep, ["token"], "c", ["rep", "s"]).drop("c"))
     # what a shared token at its two places leaves possible: sizes, and the overlap before, at and after it
     most = F.least("au", "av") + 1 + F.least(F.col("mu") - F.col("au"), F.col("mv") - F.col("av")) - 1
     possible = (F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent) & (most * (100 + percent) >= (F.col("nu") + F.col("nv")) * percent)
-    one = lambda df, x: df.select("token", F.col("rep").alias(x), F.col("s").alias(f"s{x}"), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}"), F.col("at").alias(f"a{x}"))
-    n_nodes = labels.count()
+    member = ("rep", "s", "label", "n", "m", "at")
+    side = lambda x, of="": [F.col(of + c).alias({"rep": x, "at": f"a{x}"}.get(c, c[0] + x)) for c in member]
     for r in range(star_rounds + 1):
         marked = post.join(labels.withColumnRenamed("id", "rep"), "rep")
-        per = marked.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
-        mixed = per.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("c2")).filter("labels > 1")
-        open_ = cut(marked.join(mixed.select("token", ((F.col("c") * F.col("c") - F.col("c2")) / 2 / F.col("c")).alias("w")), "token"))
-        left = open_.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]  # pairs of different components in one list
-        if not left:
+        # the hub of a list: its member with the smallest hash of this round (the smallest id at first)
+        key = F.struct("rep", "s") if r == 0 else F.struct(F.xxhash64("rep", F.lit(r)), "rep", "s")
+        per = marked.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct(*member), key).alias("hub"))
+        mixed = cut(per.filter("lo < hi").select("token", "c", "hub"))
+        if mixed.isEmpty():
             break
-        last = left <= pairs_per_class * n_nodes or r == star_rounds
-        if last:
-            wide = open_.join(sets.select("rep", "s", "bits"), ["rep", "s"])
-            x, y = (one(wide.withColumn("label", F.struct("label", "bits")), c) for c in "uv")
-            differ = lambda a, b: sum((F.bit_count(F.col(f"l{a}.bits")[i].bitwiseAND(F.bitwise_not(F.col(f"l{b}.bits")[i]))) for i in range(BITMAP // 64)), F.lit(0))
-            need = (F.col("nu") + F.col("nv")) * percent
-            close = ((F.col("mu") - differ("u", "v")) * (100 + percent) >= need) & ((F.col("mv") - differ("v", "u")) * (100 + percent) >= need)
-            pairs = x.join(y, (x["token"] == y["token"]) & (F.col("lu.label") != F.col("lv.label")) & (F.col("u") < F.col("v")) & possible & close)
+        if r < star_rounds:
+            pairs = salted_join(marked, mixed, ["token"], "c", ["rep", "s"]).select(*side("u", "hub."), *side("v")).filter((F.col("lu") != F.col("lv")) & possible)
         else:
-            # the hub of a list: its member with the smallest hash of this round (the smallest id at first)
-            key = F.col("rep") if r == 0 else F.xxhash64("rep", F.lit(r))
-            hub = open_.groupBy("token").agg(F.min_by(F.struct("rep", "s", "label", "n", "m", "at"), key).alias("h")).select("token", "h.*")
-            pairs = one(open_, "v").join(one(hub, "u"), "token").filter((F.col("lu") != F.col("lv")) & possible)
+            pairs = _list_pairs(salted_join(marked, mixed.drop("hub"), ["token"], "c", ["rep", "s"]), mixed, sets, percent, part, pairs_per_task, side, possible)
         found = cut(_verify(pairs.select("u", "su", "v", "sv").distinct(), sets, percent))
         if not found.isEmpty():
             labels = relabel(labels, found)
-        if last:
-            break
     return labels
 
 
+def _list_pairs(members: DataFrame, lists: DataFrame, sets: DataFrame, percent: int, part: int, pairs_per_task: int, side, possible) -> DataFrame:
+    """All possible pairs of different components within the lists.  The
+    members of a list are dealt to parts of about ``part``; a pair of parts is a
+    cell, and cells are dealt to as many tasks as there are pairs to look at."""
+    work = lists.agg(F.sum(F.col("c") * F.col("c")).cast("double")).first()[0]
+    n_tasks = int(min(100_000, max(sets.sparkSession.sparkContext.defaultParallelism, work / 2 / pairs_per_task)))
+    parts = F.ceil(F.col("c") / F.lit(part)).cast("int")
+    wide = members.join(sets.select("rep", "s", "bits"), ["rep", "s"]).withColumns({"parts": parts, "g": F.pmod(F.xxhash64("rep", "s"), parts).cast("int")})
+    rows = wide.select("token", *side("u"), F.col("bits").alias("bu"), F.col("g").alias("i"), F.explode(F.sequence("g", F.col("parts") - 1)).alias("j"))
+    cols = wide.select("token", *side("v"), F.col("bits").alias("bv"), F.explode(F.sequence(F.lit(0), F.col("g"))).alias("i"), F.col("g").alias("j"))
+    cell = ["token", "i", "j"]
+    only = lambda a, b: sum((F.bit_count(F.col(a)[i].bitwiseAND(F.bitwise_not(F.col(b)[i]))) for i in range(BITMAP // 64)), F.lit(0))
+    need = (F.col("nu") + F.col("nv")) * percent
+    close = ((F.col("mu") - only("bu", "bv")) * (100 + percent) >= need) & ((F.col("mv") - only("bv", "bu")) * (100 + percent) >= need)
+    pairs = rows.repartition(n_tasks, *cell).join(cols.repartition(n_tasks, *cell), cell)
+    once = (F.col("i") < F.col("j")) | (F.struct("u", "su") < F.struct("v", "sv"))
+    return pairs.filter(once & (F.col("lu") != F.col("lv")) & possible & close)
+
+
 def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, block_bytes: int = 6 << 20) -> DataFrame:
     """docs (doc_id integer, text, ...): all rows and columns with
     ``n_shingles`` and ``component_id``, the smallest doc_id that links reach.
@@ -316,42 +277,48 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, block_bytes
     nothing and are their own component.  A row with a null doc_id has a null
     component and links with nothing.  Rows with equal doc_id are one document
     with the links of all its texts.  Input columns of those names are
-    replaced.
+    replaced; other columns may have any name that doesn't begin with ``_``.
     """
     names = [c for c in docs.columns if c not in ("n_shingles", "component_id")]
     rows = docs.select(*names).withColumn("_id", F.col("doc_id").cast("long"))
-    plain = rows.select(F.col("_id").alias("doc_id"), "text")
+    plain = rows.select(F.col("_id").alias("doc_id"), "text", F.xxhash64("text").alias("s"))
     sets = cut(set_keys(plain, k))
     real = sets.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = real.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"))
-    classes = cut(classes)
+    key = ["n_shingles", "k1", "k2"]
+    classes = cut(real.groupBy(*key).agg(F.min(F.struct("doc_id", "s")).alias("r"), F.count(F.lit(1)).alias("c")).select(*key, "c", F.col("r.doc_id").alias("rep"), "r.s"))
     chars = text_chars(docs)
     sk = Sketch(max(1, chars // 5), 1, 8)
-    n_blocks = n_blocks_for(chars, block_bytes)
-    blocks = plain.withColumn("_block", block_column(F.col("doc_id"), n_blocks)).repartition("_block")
-    reps = classes.select("rep").distinct().withColumn("block", block_column(F.col("rep"), n_blocks))
+    # rows of one id are apart unless their texts are equal
+    block = lambda *c: F.pmod(F.xxhash64(*c), F.lit(n_blocks_for(chars, block_bytes))).cast("int")
+    blocks = plain.filter("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("_block", block("doc_id", "s")).repartition("_block")
+    reps = classes.select("rep", "s", block("rep", "s").alias("block"))
     sent = blocks.groupBy("_block").cogroup(reps.groupBy("block")).applyInArrow(_send_counts(sk, k), LIST)
-    counted = sent.groupBy("slice", "kind").applyInArrow(_merge_counts(sk), ANSWER)
-    side = counted.withColumn("rep", F.lit(None).cast("long")).unionByName(
-        reps.select("block", F.lit(0).alias("slice"), F.lit("rep").alias("kind"), F.lit(None).cast("binary").alias("payload"), "rep")
+    counted = count_answers(sent, sk.bits, sk.n_slices, _magnitude)
+    null = F.lit(None)
+    side = counted.withColumns({"rep": null.cast("long"), "s": null.cast("long")}).unionByName(
+        reps.select("block", F.lit(0).alias("slice"), F.lit("rep").alias("kind"), null.cast("binary").alias("payload"), "rep", "s")
     )
     left = cut(blocks.groupBy("_block").cogroup(side.groupBy("block")).applyInArrow(_survivors(sk, k, percent), SURVIVORS))
     labels = link_components(left, percent)
     # rows of equal doc_id and different texts are one document: their classes link
-    varied = cut(real.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "k1", "k2")).alias("a"), F.max(F.struct("n_shingles", "k1", "k2")).alias("b")).filter("a != b").select("doc_id"))
+    varied = cut(real.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("a"), F.max(F.struct(*key)).alias("b")).filter("a != b").select("doc_id"))
     if not varied.isEmpty():
-        of_id = cut(real.join(varied, "doc_id").join(classes, ["n_shingles", "k1", "k2"]).select("doc_id", "rep").distinct())
+        of_id = cut(real.join(varied, "doc_id").join(classes, key).select("doc_id", "rep").distinct())
         ties = of_id.join(of_id.groupBy("doc_id").agg(F.min("rep").alias("u")), "doc_id").filter("rep > u").select("u", F.col("rep").alias("v"))
         ends = of_id.select(F.col("rep").alias("id")).distinct().join(labels, "id", "left_anti")
         labels = relabel(cut(labels.unionByName(ends.select("id", F.col("id").alias("label")))), ties)
     # several classes of one doc_id share it as their rep
-    of_class = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "k1", "k2", F.coalesce("label", "rep").alias("component_id"))
-    out = sets.join(of_class, ["n_shingles", "k1", "k2"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
-    per_row = out.select("doc_id", "n_shingles", "component_id")
+    of_class = cut(classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(*key, "c", F.coalesce("label", "rep").alias("component_id")))
+    linked = salted_join(real, of_class, key, "c", ["doc_id"]).select("doc_id", "n_shingles", "component_id")
+    alone = sets.filter(F.col("doc_id").isNull() | (F.col("n_shingles") == 0)).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    per_row = linked.unionByName(alone)
     if names == ["doc_id", "text"] or set(names) == {"doc_id"}:
         return per_row
-    small = per_row.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
-    return rows.join(small.withColumnRenamed("doc_id", "_d"), F.col("_id").eqNullSafe(F.col("_d"))).drop("_id", "_d")
+    known = per_row.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
+    named = rows.filter("_id IS NOT NULL").join(known, "_id").drop("_id")
+    size = lambda texts: {"n_shingles": pa.array(np.diff(shingle_sets(texts, k)[0]), pa.int64())}
+    unnamed = with_text_features(rows.filter("_id IS NULL").drop("_id"), size, [T.StructField("n_shingles", T.LongType())])
+    return named.unionByName(unnamed.withColumn("component_id", F.lit(None).cast("long")))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
