@@ -84,7 +84,8 @@ def _widths(n: int, min_size: int, after_full: bool) -> np.ndarray:
 
 
 def lzw_decode(stream: bytes, min_size: int, most: int) -> bytes:
-    """Samples of an LZW code stream, ``most`` at the longest."""
+    """Samples of an LZW code stream, ``most`` at the longest.  A stream that is
+    cut short, or that holds a code without a meaning, gives those before."""
     clear, end = 1 << min_size, (1 << min_size) + 1
     bits = np.unpackbits(np.frombuffer(stream, np.uint8), bitorder="little")
     base = [bytes([i]) for i in range(clear)] + [b"", b""]
@@ -102,17 +103,25 @@ def lzw_decode(stream: bytes, min_size: int, most: int) -> bytes:
         used = int(stops[0]) if len(stops) else n
         plain = codes[:used].tolist()
         if prev is None and plain:
+            if plain[0] >= clear:
+                break
             prev = table[plain[0]]
             out.append(prev)
             plain = plain[1:]
         have = len(table)
         growing = plain[: 4096 - have]
+        bad = False
         for c in growing:
+            if c > have:
+                bad = True
+                break
             entry = table[c] if c < have else prev + prev[:1]
             table.append(prev + entry[:1])
             have += 1
             out.append(entry)
             prev = entry
+        if bad:
+            break
         if len(growing) < len(plain):  # a full table: codes only
             out += [table[c] for c in plain[len(growing) :]]
             prev = out[-1]
@@ -169,14 +178,20 @@ def _rows_of_interlaced(h: int) -> np.ndarray:
 
 
 def decode(data: bytes, compose: bool = True) -> list[Frame]:
-    """The frames of a GIF; a truncated stream gives the frames it has."""
+    """The frames of a GIF.  A file that is cut short gives the frames that
+    have begun: those whose header and palette are whole; samples that are
+    missing count as index 0.  Anything but a GIF raises ValueError."""
     if data[:3] != b"GIF":
         raise ValueError("not a GIF")
+    if len(data) < 13:
+        return []
     width, height = int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little")
     flags, at = data[10], 13
     palette = None
     if flags & 0x80:
         n = 3 * (2 << (flags & 7))
+        if at + n > len(data):
+            return []
         palette, at = np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3), at + n
     canvas = np.zeros((height, width, 4), np.uint8) if compose else None
     frames: list[Frame] = []
@@ -190,20 +205,24 @@ def decode(data: bytes, compose: bool = True) -> list[Frame]:
         return b"".join(out), at + 1
 
     while at < len(data) and data[at] != 0x3B:
-        if data[at] == 0x21:
+        if data[at] == 0x21 and at + 1 < len(data):
             kind = data[at + 1]
             body, at = blocks(at + 2)
             if kind == 0xF9 and len(body) >= 4:
                 disposal, delay = (body[0] >> 2) & 7, int.from_bytes(body[1:3], "little")
                 transparent = body[3] if body[0] & 1 else None
-        elif data[at] == 0x2C:
+        elif data[at] == 0x2C and at + 10 < len(data):
             left, top, w, h = (int.from_bytes(data[at + k : at + k + 2], "little") for k in (1, 3, 5, 7))
             local, at = data[at + 9], at + 10
             colours = palette
             if local & 0x80:
                 n = 3 * (2 << (local & 7))
+                if at + n >= len(data):
+                    break
                 colours, at = np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3), at + n
             min_size = data[at]
+            if not 2 <= min_size <= 8:
+                break
             stream, at = blocks(at + 1)
             flat = np.frombuffer(lzw_decode(stream, min_size, w * h), np.uint8)
             if len(flat) < w * h:

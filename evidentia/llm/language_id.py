@@ -23,6 +23,8 @@ from .words import Words, chunks, mix
 
 TABLE_BITS = 16
 FOLDS = 5
+#: Tasks that a language's sample is dealt to, at most.
+SAMPLE_PARTS = 16
 
 
 def word_ngrams(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -61,45 +63,42 @@ def count_table(texts: pa.Array, lang: np.ndarray, n_langs: int) -> np.ndarray:
     return table
 
 
-def train(labelled: DataFrame, max_rows_per_lang: int = 2000, max_chars_per_row: int = 200_000) -> tuple[list[str], np.ndarray]:
+def train(labelled: DataFrame, max_rows_per_lang: int = 2000, max_chars_per_row: int = 200_000, max_langs: int = 256) -> tuple[list[str], np.ndarray]:
     """Languages and the table of log-likelihoods (n-gram, language).
 
-    labelled: (doc_id, text, lang).  The sample is bounded: the
-    ``max_rows_per_lang`` rows of each language with the smallest hash of
-    doc_id among those whose text isn't longer than ``max_chars_per_row``.
-    Counts are summed in one task per language on the executors; the driver
-    gets one table per language.
+    labelled: (doc_id, text, lang).  The sample is bounded: of each language
+    about ``max_rows_per_lang`` rows, those with the smallest hash of doc_id
+    and text, among those whose text isn't longer than ``max_chars_per_row``.
+    Rows with a null text or lang aren't used; repeated rows count as often as
+    they are there.  Counts are summed on the executors, at most SAMPLE_PARTS
+    tables to one of a language; the driver gets one table of 512 KB per
+    language, and more than ``max_langs`` languages raise ValueError.
     """
     rows = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= max_chars_per_row)).select("doc_id", "text", "lang")
-    keyed = rows.withColumn("_h", F.xxhash64("doc_id", F.lit(5)))
+    keyed = rows.withColumn("_h", F.xxhash64("doc_id", "text", F.lit(5)))
     # the sample's bound by hash: per language, the share of the hash space that holds the wanted rows
-    n = {r["lang"]: r["n"] for r in keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = {r["lang"]: r["n"] for r in keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_langs + 1).collect()}
+    if len(n) > max_langs:
+        raise ValueError(f"more than {max_langs} languages")
     langs = sorted(n)
     if not langs:
         return [], np.zeros((1 << TABLE_BITS, 0), np.float32)
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, max_rows_per_lang / n[lang]))])
     unit = F.pmod(F.col("_h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = keyed.filter(unit < F.element_at(share, F.col("lang")))
-    at = {lang: k for k, lang in enumerate(langs)}
-
-    def count(batches):
-        table = np.zeros((len(langs), 1 << TABLE_BITS), np.int64)
-        seen = False
-        for b in batches:
-            seen = True
-            which = np.array([at[x] for x in b.column("lang").to_pylist()], np.int64)
-            table += count_table(b.column("text"), which, len(langs))
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(langs)), pa.int32()), pa.array([t.tobytes() for t in table], pa.binary())], names=["k", "t"])
-
-    def add(pdf: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.int64) for x in pdf.column("t"))
-        return pa.table({"k": pa.array([pdf.column("k")[0].as_py()], pa.int32()), "t": pa.array([total.tobytes()], pa.binary())})
-
-    got = sample.select("text", "lang").mapInArrow(count, "k int, t binary").groupBy("k").applyInArrow(add, "k int, t binary").collect()
+    sample = keyed.filter(unit < F.element_at(share, F.col("lang"))).withColumn("_p", F.pmod(F.shiftright("_h", 32), F.lit(SAMPLE_PARTS)))
+
+    def count(key, rows):
+        t = count_table(rows.column("text").combine_chunks(), np.zeros(rows.num_rows, np.int64), 1)
+        return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "t": pa.array([t.tobytes()], pa.binary())})
+
+    def add(key, rows):
+        total = sum(np.frombuffer(x.as_py(), np.int64) for x in rows.column("t"))
+        return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "t": pa.array([total.tobytes()], pa.binary())})
+
+    parts = sample.select("lang", "_p", "text").groupBy("lang", "_p").applyInArrow(count, "lang string, t binary")
     counts = np.zeros((len(langs), 1 << TABLE_BITS))
-    for r in got:
-        counts[r["k"]] = np.frombuffer(r["t"], np.int64)
+    for r in parts.groupBy("lang").applyInArrow(add, "lang string, t binary").collect():
+        counts[langs.index(r["lang"])] = np.frombuffer(r["t"], np.int64)
     prior = counts.sum(0) + 0.5
     prior /= prior.sum()
     smooth = 2.0 * len(prior) ** 0.5

@@ -136,11 +136,13 @@ def train(rated: DataFrame, docs: DataFrame, n_grades: int, max_rows_per_grade:
     """Fit on a bounded sample of the rated documents.
 
     rated: (doc_id, grade); docs: (doc_id, text).  Of each grade about
-    ``max_rows_per_grade`` rows are used, those with the smallest hash of
+    ``max_rows_per_grade`` ratings are used, those with the smallest hash of
     doc_id, among texts of at most ``max_chars_per_row`` characters; that is
-    all the driver ever holds.  Rows with a null id, grade or text aren't used.
+    all the driver ever holds.  Rows with a null id, grade or text aren't used;
+    equal ratings count once, and a doc_id with several texts counts with the
+    first of them.  Without ratings the model has no weights.
     """
-    rated = rated.filter(F.col("doc_id").isNotNull() & F.col("grade").between(0, n_grades - 1)).select("doc_id", F.col("grade").cast("int").alias("grade"))
+    rated = rated.filter(F.col("doc_id").isNotNull() & F.col("grade").between(0, n_grades - 1)).select("doc_id", F.col("grade").cast("int").alias("grade")).distinct()
     n = {r["grade"]: r["n"] for r in rated.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
     unit = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.lit(0.0)
@@ -148,7 +150,7 @@ def train(rated: DataFrame, docs: DataFrame, n_grades: int, max_rows_per_grade:
         share = F.when(F.col("grade") == k, F.lit(min(1.0, max_rows_per_grade / c))).otherwise(share)
     sample = rated.filter(unit < share)
     texts = docs.filter(F.col("text").isNotNull() & (F.length("text") <= max_chars_per_row)).select("doc_id", "text")
-    rows = texts.join(F.broadcast(sample), "doc_id").select("grade", "text")
+    rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text")).select("grade", "text")
 
     def features(batches):
         for b in batches:

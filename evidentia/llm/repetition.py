@@ -1,8 +1,9 @@
 """Quality rules by suffix-array repetition.
 
 Per text a suffix array over its words is built by prefix doubling (many texts
-at once, numpy); the ranks of each doubling step give the longest common
-prefixes of neighbouring suffixes.  A suffix's larger neighbouring prefix is
+at once, numpy); the longest common prefixes of neighbouring suffixes are
+found by doubling steps over hashes of runs of words, in memory of a few
+numbers a word.  A suffix's larger neighbouring prefix is
 the longest LCP interval it lies in: a right-maximal repeat that starts there;
 those that can't be extended to the left are the maximal repeats.  The union
 of their spans and the longest of them are limited.
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 
 from .arrow_map import with_text_features
 from .spark_util import documents
-from .words import WS, Words, chunks
+from .words import SEQ_BASES, WS, Words, chunks, mix, powers
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -50,7 +51,6 @@ def suffix_repeats(ids: np.ndarray, doc: np.ndarray, doc_end: np.ndarray, min_le
     rank[order] = first[group]
     size = np.diff(np.append(first, n))
     active = order[size[group] > 1]
-    levels = [rank.copy()]
     h = 1
     while len(active):
         nxt = active + h
@@ -67,20 +67,26 @@ def suffix_repeats(ids: np.ndarray, doc: np.ndarray, doc_end: np.ndarray, min_le
         sizes = np.diff(np.append(np.flatnonzero(new_sub), len(active)))
         active = active[np.repeat(sizes > 1, sizes)]
         h *= 2
-        levels.append(rank.copy())
     # all ranks differ now: the suffix array is their inverse
     sa = np.empty(n, np.int64)
     sa[rank] = np.arange(n)
-    base = min(len(levels) - 1, max(0, min_len.bit_length() - 1))
-    at = np.flatnonzero(levels[base][sa[:-1]] == levels[base][sa[1:]])
+    del rank, order, group, sk, new
+    fwd, back = powers(SEQ_BASES[0], n + 1)
+    pre = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix(ids.astype(np.uint64)) * fwd[:n], out=pre[1:])
+    run = lambda at, k: (pre[at + k] - pre[at]) * back[at]
+    # neighbours of one text that share min_len words or more
+    last = np.maximum(sa[:-1], sa[1:])
+    at = np.flatnonzero((doc[sa[:-1]] == doc[sa[1:]]) & (last + min_len <= doc_end[last]))
+    at = at[run(sa[at], min_len) == run(sa[at + 1], min_len)]
     i, j = sa[at], sa[at + 1]
-    lcp = np.zeros(len(at), np.int64)
-    for m in range(len(levels) - 1, -1, -1):
-        a, b = i + lcp, j + lcp
-        ok = (a < n) & (b < n)
-        same = ok & (levels[m][np.minimum(a, n - 1)] == levels[m][np.minimum(b, n - 1)])
-        lcp[same] += 1 << m
-    lcp[lcp < min_len] = 0
+    del sa, last, at
+    lcp = np.full(len(i), min_len, np.int64)
+    room = doc_end[i] - np.maximum(i, j)
+    for m in range(int(room.max()).bit_length() if len(i) else 0, -1, -1):
+        more = np.flatnonzero(lcp + (1 << m) <= room)
+        more = more[run(i[more] + lcp[more], 1 << m) == run(j[more] + lcp[more], 1 << m)]
+        lcp[more] += 1 << m
     np.maximum.at(longest, i, lcp)
     np.maximum.at(longest, j, lcp)
     return longest

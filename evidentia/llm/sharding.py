@@ -78,10 +78,16 @@ def shard_by_bytes(
     The shards' sums of ``size`` differ from the mean by at most ``tolerance``
     of it and one row at either end; rows whose keys are equal in all columns
     stay in one cell.  Null keys hash as any other value; a null size counts
-    as 0; an empty table gives an empty result.
+    as 0; an empty table gives an empty result.  Columns of those two names are
+    replaced; others may have any name that doesn't begin with ``_``.
+
+    Slots are numbered within cells.  There are 2**20 cells at most (about 30
+    MB, which the driver collects and broadcasts), so a cell grows beyond
+    ``rows_per_cell`` rows from 5e10 rows on: 100,000 rows at 1e11.
     """
     size = F.coalesce(size.cast("long"), F.lit(0).cast("long"))
-    keyed = df.withColumns({"_key": F.shiftrightunsigned(F.xxhash64(*key), 1), "_size": size})
+    ties = [f"_k{i}" for i in range(len(key))]
+    keyed = df.withColumns({"_key": F.shiftrightunsigned(F.xxhash64(*key), 1), "_size": size, **dict(zip(ties, key))}).drop("shard", "slot")
     narrow = cut(keyed.select("_key", "_size"))
     at, cells, total = find_cells(narrow, n_shards, tolerance, first_bits, step_bits, rows_per_cell)
     table, below, shard, slot = [], 0, 0, 0
@@ -112,8 +118,8 @@ def shard_by_bytes(
         placed = keyed.withColumn("_c", chosen).withColumns({"_lv": F.col("_c._lv"), "_lo": F.col("_c._lo")}).drop("_c")
     # `small` has a row for each cell: bounded by the probing, not by the rows
     joined = placed.join(F.broadcast(small), ["_lo", "_lv"])
-    order = W.partitionBy("_lo", "_lv", "shard", "_slot0").orderBy("_key", *key)
-    return joined.withColumn("slot", F.col("_slot0") + F.row_number().over(order) - 1).drop("_key", "_size", "_lo", "_lv", "_slot0")
+    order = W.partitionBy("_lo", "_lv", "shard", "_slot0").orderBy("_key", *ties)
+    return joined.withColumn("slot", F.col("_slot0") + F.row_number().over(order) - 1).drop("_key", "_size", "_lo", "_lv", "_slot0", *ties)
 
 
 def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
