@@ -160,4 +160,17 @@ def quality_rules(
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition features and verdict of every document."""
     out = quality_rules(documents(spark, sf_dir).select("doc_id", "text"))
-    return out.drop("text")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+#: The same by grouping windows.  A repeat of more than a fifth of the words is
+#: a window of the next larger length that is there twice.
+OP7_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS s, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS t FROM documents),
+f AS (SELECT *, len(t) AS n, greatest(8, floor(0.2::DOUBLE * len(t))::BIGINT + 1) AS l, list_filter(string_split(s, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+win AS (SELECT rid, i, array_to_string(t[i:i + 7], ' ') AS w FROM (SELECT rid, t, unnest(generate_series(1, n - 7)) AS i FROM f WHERE n >= 8)),
+rep AS (SELECT rid, count(DISTINCT k) AS c FROM (SELECT rid, unnest(generate_series(i, i + 7)) AS k FROM win SEMI JOIN (SELECT rid, w FROM win GROUP BY ALL HAVING count(*) > 1) x USING (rid, w)) GROUP BY rid),
+b AS (SELECT f.*, coalesce(c, 0) AS c, n < 20 OR 100 * coalesce(c, 0) > 30 * n AS bad FROM f LEFT JOIN rep USING (rid)),
+long AS (SELECT DISTINCT rid FROM (SELECT rid, md5(array_to_string(t[i:i + l - 1], ' ')) AS w FROM (SELECT rid, t, l, unnest(generate_series(1, n - l + 1)) AS i FROM b WHERE NOT bad AND c >= l)) GROUP BY rid, w HAVING count(*) > 1)
+SELECT doc_id, n AS n_words, coalesce(list_sum(list_transform(t, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(s, '[#*$%&|<>]')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, c AS n_repeat_words,
+  bad AS base_failed, NOT bad AND long.rid IS NULL AS kept FROM b LEFT JOIN long USING (rid)"""
