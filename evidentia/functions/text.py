@@ -48,7 +48,8 @@ def fold(c: ColumnOrName) -> Column:
     """Lower case without diacritics.  Texts of ASCII alone skip the table."""
     c = col(c)
     src, dst = fold_table()
-    full = F.lower(F.regexp_replace(F.translate(c, src, dst), "[̀-ͯ]", ""))
+    # marks that stand alone come last, without a counterpart: they are deleted
+    full = F.lower(F.translate(c, src + "".join(map(chr, range(0x300, 0x370))), dst))
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(full)
 
 

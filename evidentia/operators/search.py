@@ -39,6 +39,20 @@ def postings(units: DataFrame, id_col: str = "doc_id", text: str = "text", group
     return term.groupBy(*keep, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def index_rows(units: DataFrame, id_col: str = "doc_id", text: str = "text", group: Sequence[str] = ()) -> DataFrame:
+    """Postings to be stored: (group..., id, term, tf, dl), with a row of an
+    empty term for each unit, which carries its length into the statistics."""
+    keep = [*group, id_col]
+    toks = units.select(*keep, F.coalesce(tokens(text), F.array().cast("array<string>")).alias("_t"))
+    term = toks.select(*keep, F.size("_t").alias("dl"), F.explode(F.concat("_t", F.array(F.lit("")))).alias("term"))
+    return term.groupBy(*keep, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def index_stats(index: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """(group..., n_docs, avg_dl) of a stored index."""
+    return index.filter(F.col("term") == "").groupBy(*group).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
+
+
 def corpus_stats(units: DataFrame, text: str = "text", group: Sequence[str] = ()) -> DataFrame:
     """(group..., n_docs, avg_dl) over all units, empty ones included."""
     dl = F.coalesce(F.size(tokens(F.coalesce(F.col(text), F.lit("")))), F.lit(0))
@@ -88,11 +102,14 @@ def bm25(
     q = queries.select(*g, "query_id", F.posexplode(tokens("query")).alias("_p", "term"))
     qt = q.groupBy(*g, "query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
     shape = qt.groupBy(*g, "query_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("qf").alias("n_tokens"))
-    terms = [] if index is not None else [r["term"] for r in qt.select("term").distinct().limit(MAX_TERMS + 1).collect()]
-    if index is None and len(terms) <= MAX_TERMS:
+    terms = [r["term"] for r in qt.select("term").distinct().limit(MAX_TERMS + 1).collect()]
+    if index is not None:
+        # of a stored index only the query's terms are read
+        index = index.filter(F.col("term").isin(terms)) if len(terms) <= MAX_TERMS else index.filter(F.col("term") != "")
+    elif len(terms) <= MAX_TERMS:
         index, made = _term_counts(units, terms, id_col, text, g)
         stats = stats if stats is not None else made
-    elif index is None:
+    else:
         index = postings(units, id_col, text, g).join(qt.select(*g, "term").distinct(), [*g, "term"], "left_semi")
     stats = stats if stats is not None else corpus_stats(units, text, g)
     # tf and dl are carried so that this aggregate reads the same exchange as the hits
@@ -277,14 +294,15 @@ def rrf(lexical: DataFrame, semantic: DataFrame, k: int = 10, id_col: str = "doc
     return fused.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("_first")
 
 
-def hybrid(queries: DataFrame, units: DataFrame, vectors: DataFrame | None, k: int = 10, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def hybrid(queries: DataFrame, units: DataFrame, vectors: DataFrame | None, k: int = 10, id_col: str = "doc_id", text: str = "text", index: DataFrame | None = None) -> DataFrame:
     """Lexical and vector search fused and hydrated: (query_id, rank, id,
     score, mode, excerpt).
 
     queries: query_id, query, qvec (null or absent: that query stays lexical,
     mode ``lexical``).  Ids without a unit are dropped after the limit.
+    ``index`` is a stored index of the units (``index_rows``).
     """
-    lex = bm25(queries, units, k, id_col, text)
+    lex = bm25(queries, units, k, id_col, text, index=index, stats=None if index is None else index_stats(index))
     if vectors is None or "qvec" not in queries.columns:
         fused = lex.withColumn("_mode", F.lit("lexical"))
     else:

@@ -1,8 +1,7 @@
 """The named queries as methods of an engine over a store of all cases.
 
-Arguments are checked on the driver; results are DataFrames.  The desktop
-functions (opening a file, writing a word-processor file) have no place in a
-query engine and raise ``NotImplementedError``.
+Arguments are checked on the driver; results are DataFrames.  Opening a file on
+a desktop has no place in a query engine and raises ``NotImplementedError``.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.functions.text import strip_personal
+from evidentia.functions.text import slug, strip_personal
 from evidentia.operators import coverage as cov
 from evidentia.operators import docmap as dm
 from evidentia.operators import events as ev
@@ -21,6 +20,7 @@ from evidentia.operators import search as se
 from evidentia.operators import verify as vf
 from evidentia.rules import PT_LEGAL, RulePack
 from evidentia.sources.pages import PageSource, page_counts
+from evidentia.sources.docx import docx_bytes
 from evidentia.sources.files import contained
 from evidentia.sources.store import Store, append_findings, merge_registry, usage_totals
 from evidentia.sources.tables import find_deadlines, load_deadlines, load_phases, pieces_of_phase
@@ -251,12 +251,16 @@ class Engine:
                 vs = self.embedder.embed([f"task: search result | query: {x[:6000]}" for x in queries])
                 q = self.spark.createDataFrame([(*r, v) for r, v in zip(rows, vs)], "query_id string, query string, qvec array<double>")
                 vectors = space.select("evidence_id", F.col("vector").alias("embedding"))
-        hits = se.hybrid(q, units, vectors, limit, "evidence_id")
+        hits = se.hybrid(q, units, vectors, limit, "evidence_id", index=self._t("postings", case_id))
         snip = se.snippets(hits.select("query_id", "evidence_id"), q.select("query_id", "query"), units, "evidence_id")
         cites = dm.page_citations(units.select("case_id", "page").distinct(), self.documents(case_id), self._stamped(case_id))
         u = units.select("evidence_id", "case_id", "page", "unit_id")
         return hits.join(snip, ["query_id", "evidence_id"]).join(u, "evidence_id").join(cites.select("case_id", "page", "num", "citacao"), ["case_id", "page"], "left").orderBy("query_id", "rank")
 
+    def units(self, case_id: str) -> DataFrame:
+        """A case's units in the order of its pages."""
+        return self._t("evidence_units", case_id).orderBy("page", "unit_id")
+
     def open(self, case_id: str, evidence_id: str | None = None, page: int | None = None) -> DataFrame:
         if (evidence_id is None) == (page is None):
             raise ValueError("give an evidence id or a page")
@@ -273,7 +277,8 @@ class Engine:
         rows = [(t, i, q, f"{t}#{i}") for t, qs in topics.items() for i, q in enumerate(qs or [t])]
         q = self.spark.createDataFrame(rows, "topic string, query_idx int, query string, query_id string")
         units = self._t("evidence_units", case_id).filter("text IS NOT NULL")
-        hits = se.bm25(q.select("query_id", "query"), units, limit * 6, "evidence_id").join(q.select("query_id", "topic", "query_idx"), "query_id")
+        index = self._t("postings", case_id)
+        hits = se.bm25(q.select("query_id", "query"), None, limit * 6, "evidence_id", index=index, stats=se.index_stats(index)).join(q.select("query_id", "topic", "query_idx"), "query_id")
         docs = self.documents(case_id)
         pages = dm.page_to_document(units.select("case_id", "page", "evidence_id"), docs, carry=("piece_type",))
         roles = pages.select("evidence_id", F.when(F.col("piece_type").isNull(), mx.OUTSIDE).otherwise(mx.role_of(F.col("piece_type"), self.pack)).alias("role"))
@@ -285,7 +290,8 @@ class Engine:
         searches = [f"{objective} {side}".strip(), *mx.FALLBACKS]
         units = self._t("evidence_units", case_id).filter("text IS NOT NULL")
         q = self.spark.createDataFrame([(str(i), s) for i, s in enumerate(searches)], "query_id string, query string")
-        hits = se.bm25(q, units, max_items, "evidence_id").withColumn("alt", F.col("query_id").cast("int")).withColumn("case_id", F.lit(case_id))
+        index = self._t("postings", case_id)
+        hits = se.bm25(q, None, max_items, "evidence_id", index=index, stats=se.index_stats(index)).withColumn("alt", F.col("query_id").cast("int")).withColumn("case_id", F.lit(case_id))
         hits = mx.first_with_hits(hits, "case_id")
         snip = se.snippets(hits.select("query_id", "evidence_id", "case_id", "rank"), q, units, "evidence_id").withColumnRenamed("snippet", "trecho")
         names = ev.header_facts(units).filter("papel <> 'valor'").groupBy("case_id").agg(F.collect_list("nome").alias("names"))
@@ -339,8 +345,15 @@ class Engine:
 
     # 12-13
 
-    def export_document(self, *_: object) -> None:
-        raise NotImplementedError("writing word-processor files is outside a query engine")
+    def export_document(self, title: str, text: str) -> str:
+        """A Markdown text as a word-processor file below the store's root; its
+        path."""
+        if not title.strip() or not text.strip():
+            raise ValueError("a document needs a title and a text")
+        name = self.spark.range(1).select(slug(F.lit(title), 60, "documento")).first()[0]
+        path = contained(self.root, "documents", f"{name}.docx")
+        self.store.files.write_bytes(path, docx_bytes(title, text))
+        return path
 
     def open_on_desktop(self, *_: object) -> None:
         raise NotImplementedError("opening files on a desktop is outside a query engine")

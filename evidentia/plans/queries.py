@@ -25,12 +25,14 @@ from evidentia.plans.sql import SEARCHES, TOPICS
 from evidentia.rules import RulePack
 from evidentia.sources import store as st
 from evidentia.sources.pages import html_pages
-from evidentia.sources.shared import shared_folder
+from evidentia.sources.shared import shared_folder, spread
 from evidentia.sources.tables import find_deadlines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+#: Tables of texts, which are worth spreading over all cores.
+TEXTS = ("documents", "pages", "conversations")
 #: A pack for the synthetic prose: its commonest words stand for pieces.
 GENERIC = RulePack(
     pieces=(("license", r"\blicen[sc]e"), ("german", r"\b(und|der)\b"), ("french", r"\b(les|est)\b"), ("spanish", r"\b(los|una)\b"), ("english", r"\b(the|and)\b")),
@@ -47,7 +49,8 @@ def query(f: Query) -> Query:
 
 
 def t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
 
 
 def searches(spark: SparkSession) -> DataFrame:

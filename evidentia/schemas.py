@@ -14,6 +14,8 @@ EVIDENCE = struct(
     image_ref=struct(page_image_path=S, page_pdf_path=S, region_path=S, bbox=T.ArrayType(D)), ocr=struct(provider=S, model=S, reading_confidence=D, warning=S),
 )
 VECTORS = struct(evidence_id=S, case_id=S, model=S, dim=I, vector=T.ArrayType(T.FloatType()))
+#: A row for each distinct term of a unit, and one with an empty term for its length.
+POSTINGS = struct(evidence_id=S, case_id=S, term=S, tf=L, dl=I)
 LEDGER = struct(
     case_id=S, page=I, page_hash=S, state=S, text_quality_score=D, text_quality_reasons=T.ArrayType(S), native_text_chars=I, native_text_hash=S, piece_type=S, piece_confidence=D,
     ocr_needed=B, ocr_attempts=I, ocr_last_error_kind=S, ocr_last_error_message=S, ocr_yield=S, ocr_prompt_version=I, evidence_ids=T.ArrayType(S), updated_at=TS,
@@ -30,6 +32,6 @@ PHASES = struct(area=S, fase_id=S, fase=S, ordem=I, pecas=T.ArrayType(struct(pec
 CLAIMS = struct(claim_id=S, afirmacao=S, supports=T.ArrayType(struct(evidence_id=S, trecho_base=S)), doc_ids=T.ArrayType(S))
 PAGES = struct(case_id=S, page=I, text=S, needs_enrichment=B)
 TABLES = {
-    "evidence_units": (EVIDENCE, ("evidence_id",)), "evidence_vectors": (VECTORS, ("evidence_id", "model")), "page_ledger": (LEDGER, ("case_id", "page")), "ingest_jobs": (JOBS, ("job_id",)),
+    "evidence_units": (EVIDENCE, ("evidence_id",)), "evidence_vectors": (VECTORS, ("evidence_id", "model")), "postings": (POSTINGS, ("evidence_id", "term")), "page_ledger": (LEDGER, ("case_id", "page")), "ingest_jobs": (JOBS, ("job_id",)),
     "ocr_usage": (USAGE, ()), "approvals": (APPROVALS, ("case_id",)), "cases": (CASES, ("case_id",)), "findings": (FINDINGS, ("case_id", "achado_id")), "registry": (REGISTRY, ("case_id", "doc_id")),
 }

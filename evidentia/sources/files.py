@@ -57,9 +57,12 @@ class Files:
 
     def write(self, path: str, text: str) -> None:
         """Create or replace a file."""
+        self.write_bytes(path, text.encode())
+
+    def write_bytes(self, path: str, raw: bytes) -> None:
         fs, p = self._fs(path)
         s = fs.create(p, True)
-        s.write(bytearray(text.encode()))
+        s.write(bytearray(raw))
         s.close()
 
     def create(self, path: str, text: str) -> bool:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,3 +24,11 @@ def shared_folder(spark: SparkSession) -> str:
             named = tempfile.mkdtemp(prefix="evidentia-")
         sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out to all cores if its scan has fewer than half as many
+    splits: a file of one row group is one task otherwise, whatever is computed
+    from its texts.  A large table has more splits and is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df

@@ -16,7 +16,7 @@ from evidentia.functions.identity import evidence_id, sha256
 from evidentia.functions.text import page_yield, text_quality
 from evidentia.operators.coverage import DEADLINE_MS, STALE_FACTOR, in_queue, ocr_estimate, requeue_stamp_only, skip_extracted, textual_queue, visual_queue
 from evidentia.operators.events import classify
-from evidentia.operators.search import retrieval_text
+from evidentia.operators.search import index_rows, retrieval_text
 from evidentia.rules import PT_LEGAL, RulePack
 from evidentia.schemas import PAGES
 from evidentia.sources.files import Files, contained, safe_name
@@ -99,10 +99,19 @@ def ingest_batch(store: Store, pages: DataFrame, pack: RulePack = PT_LEGAL) -> N
     changed = units.select("evidence_id", "hash").join(old, "evidence_id").filter(F.col("hash") != F.col("_h")).select("evidence_id")
     store.delete("evidence_vectors", changed, ["evidence_id"])
     store.upsert("evidence_units", units)
+    index_units(store, units)
     # the ledger is still the old one here, so these rows are the same as those of the units
     store.upsert("page_ledger", ledger)
 
 
+def index_units(store: Store, units: DataFrame) -> None:
+    """The stored text index of new or changed units: their old postings go,
+    the new ones are added beside the rest."""
+    units = units.select("evidence_id", "case_id", "text")
+    store.delete("postings", units, ["evidence_id"])
+    store.append("postings", index_rows(units.filter("text IS NOT NULL"), "evidence_id", "text", ("case_id",)))
+
+
 def ingest_stream(store: Store, path: str, checkpoint: str, fmt: str = "parquet", pack: RulePack = PT_LEGAL, files_per_batch: int = 50):
     """All files of a folder that weren't read before, in micro-batches, until
     none is left; a restart goes on from the checkpoint.  Returns the ended query."""
@@ -201,6 +210,7 @@ def enrich(store: Store, enricher: Enricher, budget: Budget = Budget(), pack: Ru
     units = ok.select(eid.alias("evidence_id"), "case_id", "page", F.lit("ocr001").alias("unit_id"), F.lit("ocr_paragraph").alias("unit_type"), F.lit(0).alias("start_offset"), F.length("text").alias("end_offset"), sha256("text").alias("hash"), "text")
     store.delete("evidence_vectors", done.select(eid.alias("evidence_id")), ["evidence_id"])
     store.upsert("evidence_units", units)
+    index_units(store, units)
     y = page_yield("text")["yield"]
     c = classify(F.col("text"), F.lit(True), pack=pack)
     state = F.when(F.col("error").isNull(), "ocr_done").when(F.col("all_empty"), "failed_permanent").otherwise("failed_retryable")

@@ -155,6 +155,33 @@ def test_embedding_in_rounds(spark, tmp_path):
     assert got["6:unit:img001"] == [2.0, 6.0] and "6:unit:p001" not in got and len(got) == 7
 
 
+def test_exported_document(engine, spark):
+    import io
+    import xml.etree.ElementTree as et
+    import zipfile
+
+    path = engine.export_document("Peça: réplica", "# Um **título**\n\ntexto & *mais* `x<y`\n- item\n> dito\n| a | b |\n|--|--|\n| 1 | 2 |")
+    assert path.endswith("/documents/peca-replica.docx")
+    raw = bytes(spark.read.format("binaryFile").load(path).first().content)
+    z = zipfile.ZipFile(io.BytesIO(raw))
+    root = et.fromstring(z.read("word/document.xml"))
+    w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    text = ["".join(t.text for t in p.iter(w + "t")) for p in root.iter(w + "p")]
+    assert text == ["Um título", "texto & mais x<y", "• item", "dito", "a", "b", "1", "2", ""] and len(z.namelist()) == 3
+    with pytest.raises(ValueError):
+        engine.export_document(" ", "x")
+
+
+def test_stored_index_equals_a_scan(engine, spark):
+    from evidentia.operators import search as se
+
+    q = spark.createDataFrame([("a", "pagamento contrato"), ("b", "citação zzz"), ("c", "!!")], "query_id string, query string")
+    units = engine.store.read("evidence_units", "caso").filter("text IS NOT NULL")
+    index = engine.store.read("postings", "caso")
+    got = se.bm25(q, None, 5, "evidence_id", index=index, stats=se.index_stats(index))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, se.bm25(q, units, 5, "evidence_id").collect())) and got.count() == 3
+
+
 def test_arguments(engine):
     for f in (lambda: engine.search("caso", "x", 51), lambda: engine.open("caso"), lambda: engine.remove_case("caso", "x"), lambda: engine.radar("caso", "z"), lambda: engine.topic_matrix("caso", {})):
         with pytest.raises(ValueError):
