@@ -18,35 +18,47 @@ from evidentia.llm.repetition import quality_rules
 from evidentia.llm.spark_util import n_words, table_cut
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Share of a document's words in recurring lines that makes it a copy as a
+#: whole: the similarity of near-duplicates.
+COPIED = 0.8
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what the quality rules reject: too short or too repetitive."""
+    """Drop what the quality rules reject: too short (null and empty texts are)
+    or too repetitive.  Equal texts are judged alike; an empty table stays so."""
     return quality_rules(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take recurring lines out of the texts; a document that had nothing else
-    goes."""
+    """Take recurring lines out of the texts.  A document with COPIED or more of
+    its words in such lines isn't one with boilerplate in it but a copy; its
+    text stays whole for the next stage to find its like.  No document goes;
+    null texts stay null; equal texts are treated alike."""
     out = drop_recurring_lines(docs.select(*COLUMNS))
-    out = out.filter((F.col("n_dropped") == 0) | (F.col("n_dropped") < F.col("n_lines")))
-    return out.select("doc_id", F.when(F.col("text").isNotNull(), F.col("kept_text")).alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+    whole = F.col("n_words_dropped") >= COPIED * F.col("n_words")
+    text = F.when(whole | F.col("text").isNull(), F.col("text")).otherwise(F.col("kept_text"))
+    return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the smallest id."""
+    """One document of each group of near-duplicates stays, the smallest id;
+    repeated rows of that id all do.  Rows without an id, and texts without
+    words, link with nothing and stay."""
     return one_of_each(docs.select(*COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The source mix: a document is there as often as the mix takes it."""
+    """The source mix: a document is there as often as the mix takes it, once
+    or twice; texts without words aren't taken.  Null sources are a source.
+    Rows that are equal in all columns tie, and any of them is as good."""
     mixed = mix_sources(docs.select(*COLUMNS), n_words(F.col("text")), quality_weight(F.col("text")))
     times = (F.col("taken") / F.col("size")).cast("int")
     return mixed.filter("taken > 0").withColumn("_t", F.explode(F.sequence(F.lit(1), times))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens in sequences of at most 2048."""
+    """Tokens in sequences of at most 2048; a null text is its end mark alone,
+    repeated rows are packed one by one, an empty table gives no sequences."""
     return pack_documents(docs.select("doc_id", "text"))
 
 
