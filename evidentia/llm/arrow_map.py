@@ -8,6 +8,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .words import give_back
+
+
+def tidy(run: Callable) -> Callable:
+    """A grouped function that gives memory back after each group."""
+
+    def then(*args):
+        out = run(*args)
+        give_back()
+        return out
+
+    # the number of arguments tells whether there is a second table
+    return (lambda key, table: then(key, table)) if run.__code__.co_argcount == 2 else (lambda key, table, side: then(key, table, side))
+
 
 def with_text_features(
     df: DataFrame, features: Callable[[pa.Array], dict[str, pa.Array]], fields: list[T.StructField], text: str = "text"
@@ -30,5 +44,6 @@ def with_text_features(
                 got = features(part.column(text))
                 cols = [part.column(c) for c in out_cols] + [got[n] for n in names]
                 yield pa.RecordBatch.from_arrays(cols, names=[*out_cols, *names])
+        give_back()
 
     return df.select(*kept).mapInArrow(run, schema)

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow_map import tidy
+
 U64 = np.uint64
 LIST = "block int, slice int, kind string, payload binary, extra binary"
 ANSWER = "block int, slice int, kind string, payload binary"
@@ -158,7 +160,7 @@ def count_answers(sent: DataFrame, key_bits: int, n_slices: int, answer: Callabl
         return _answered(table, answer(total).astype(np.int64)[inverse], at)
 
     if n_slices <= 1 << COARSE_BITS:
-        return sent.groupBy("slice", "kind").applyInArrow(merge, ANSWER)
+        return sent.groupBy("slice", "kind").applyInArrow(tidy(merge), ANSWER)
 
     down = n_slices.bit_length() - 1 - COARSE_BITS
     group = F.floor(F.col("block") / F.lit(FAN)).cast("int").alias("g")
@@ -173,9 +175,9 @@ def count_answers(sent: DataFrame, key_bits: int, n_slices: int, answer: Callabl
         return _answered(table, answers(side, key[2].as_py())[inverse], at)
 
     lists = sent.select("*", group)
-    fine = lists.groupBy("g", "slice", "kind").applyInArrow(add_up, LIST).groupBy("slice", "kind").applyInArrow(merge, ANSWER)
+    fine = lists.groupBy("g", "slice", "kind").applyInArrow(tidy(add_up), LIST).groupBy("slice", "kind").applyInArrow(tidy(merge), ANSWER)
     back = fine.withColumn("coarse", F.shiftright("slice", down))
-    return lists.groupBy("g", "slice", "kind").cogroup(back.groupBy("block", "coarse", "kind")).applyInArrow(hand_down, ANSWER)
+    return lists.groupBy("g", "slice", "kind").cogroup(back.groupBy("block", "coarse", "kind")).applyInArrow(tidy(hand_down), ANSWER)
 
 
 def answers(side: pa.Table, kind: str) -> np.ndarray:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrow_map import tidy
 from .block_lists import LIST, answers, count_answers, lists_of, n_blocks_for, slices_for, sorted_counts
 from .spark_util import cut, documents
 from .words import SEQ_BASES, Words, chunks, mix, powers
@@ -162,10 +163,10 @@ def drop_recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 5, par
     skip = where.join(home, ["_t1", "_t2"]).filter("_block > home").select("_block", "_t1", "_t2")
     rows = docs.select(*names).withColumns(digest)
     rows = rows.select("*", block).repartition("_block")
-    sent = rows.groupBy("_block").cogroup(skip.groupBy("_block")).applyInArrow(_send(depth, parts, n_slices), LIST)
+    sent = rows.groupBy("_block").cogroup(skip.groupBy("_block")).applyInArrow(tidy(_send(depth, parts, n_slices)), LIST)
     often = count_answers(sent, 64, n_slices, lambda n: n >= min_docs)
     schema = T.StructType([*(docs.schema[c] for c in names), *(T.StructField(c, T.StringType() if c == "kept_text" else T.LongType()) for c in MADE)])
-    return rows.groupBy("_block").cogroup(often.groupBy("block")).applyInArrow(_rewrite(names, depth, parts), schema)
+    return rows.groupBy("_block").cogroup(often.groupBy("block")).applyInArrow(tidy(_rewrite(names, depth, parts)), schema)
 
 
 def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

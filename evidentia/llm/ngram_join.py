@@ -8,11 +8,11 @@ Jaccard similarity reaches the threshold; linked classes form components.
    sketch over all classes (never below the truth).  A shingle of one class
    can't be shared, so a class with too many of them has no partner and is
    done: that is the prefix filter for rare-first orders.
-2. The classes left order their shared shingles by several global orders:
-   rarest first by the estimate's magnitude, ties by a hash of the order's
-   own.  Partners share a token in their prefixes under every order.  The
-   postings of the first order give candidates; those that share no prefix
-   token under the others are dropped before verification.
+2. The classes left order their shared shingles by several global orders: two
+   by the estimate's magnitude, rarest first, with ties by a hash of the order's
+   own, and one by a hash alone.  Partners share a token in their prefixes under
+   every order.  The postings of the first order give candidates; those that
+   share no prefix token under the others are dropped before verification.
 3. Verification intersects the sets exactly.  Within a posting list only
    pairs of different components matter: rounds of stars (one hub per list)
    link what they can, then all pairs left in the lists are looked at, dealt
@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow_map import with_text_features
+from .arrow_map import tidy, with_text_features
 from .block_lists import LIST, answers, count_answers, list_table, lists_of, n_blocks_for
-from .spark_util import cut, documents, salted_join, text_chars
+from .spark_util import collect_garbage, cut, documents, merged, salted_join, text_chars
 from .substring_dedup import Sketch
-from .words import Words, chunks, mix, ranges, sequence_hashes
+from .words import Words, chunks, give_back, mix, ranges, sequence_hashes
 
 U64 = np.uint64
 ORDER_SALTS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
@@ -82,6 +82,7 @@ def set_keys(docs: DataFrame, k: int) -> DataFrame:
             off, h = shingle_sets(b.column("text"), k)
             keys = [pa.array(x) for x in _keys_of(off, h)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("s"), pa.array(np.diff(off), pa.int64()), *keys], names=[f.name for f in fields])
+        give_back()
 
     return docs.select("doc_id", "s", "text").mapInArrow(run, T.StructType(fields))
 
@@ -125,15 +126,16 @@ SURVIVORS = T.StructType(
         T.StructField("sig2", T.ArrayType(T.IntegerType())),
         T.StructField("sig3", T.ArrayType(T.IntegerType())),
         T.StructField("bits", T.ArrayType(T.LongType())),
+        T.StructField("loose", T.IntegerType()),
     ]
 )
 
 
 def _survivors(sk: Sketch, k: int, percent: int):
     """Classes that may have a partner: name, size, shared shingles in the first
-    order, prefix length, 16-bit hashes of the other orders' prefixes, and a
-    bitmap of the shared shingles."""
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+    order, prefix length, 16-bit hashes of the other orders' prefixes, a bitmap
+    of the shared shingles, and how many of them share a bit with another."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int32())
     none = pa.table({f.name: pa.array([], t) for f, t in zip(SURVIVORS, kinds)})
 
     def run(key, table, side):
@@ -153,12 +155,13 @@ def _survivors(sk: Sketch, k: int, percent: int):
             a, b = off[d], off[d + 1]
             x, lv = h[a:b][level[a:b] > 0], level[a:b][level[a:b] > 0]
             q = int(n[d] - (percent * n[d] + 99) // 100 + 1 - (n[d] - shared[d]))
-            order = [np.lexsort((mix(x ^ U64(salt)), lv)) for salt in ORDER_SALTS]
+            # two orders by rarity, whose ties differ, and one by a hash alone
+            order = [np.lexsort((mix(x ^ U64(salt)), lv * (i < 2))) for i, salt in enumerate(ORDER_SALTS)]
             sig = [np.unique((x[o[:q]] >> U64(7)) & U64((1 << SIG_BITS) - 1)).astype(np.int32).tolist() for o in order[1:]]
             marks = np.zeros(BITMAP, bool)
             marks[x >> U64(64 - BITMAP.bit_length() + 1)] = True
             bits = np.packbits(marks, bitorder="little").view("<i8").tolist()
-            rows.append((*names[d], int(n[d]), q, x[order[0]].view(np.int64).tolist(), *sig, bits))
+            rows.append((*names[d], int(n[d]), q, x[order[0]].view(np.int64).tolist(), *sig, bits, len(x) - int(marks.sum())))
         if not rows:
             return none
         cols = list(zip(*rows))
@@ -177,11 +180,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     both = cut(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("label")).select("id", F.least("id", "label").alias("label"))
     while True:
-        near = both.join(labels.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = both.join(merged(labels.withColumnRenamed("id", "v")), "v").groupBy(F.col("u").alias("id")).agg(F.min("label").alias("near"))
+        step = labels.join(merged(near), "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         # shortcut: the label of the label, as it was
         up = labels.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        new = cut(step.join(up, "label").select("id", "old", F.least("label", "up").alias("label")))
+        new = cut(step.join(merged(up), "label").select("id", "old", F.least("label", "up").alias("label")))
         labels = new.select("id", "label")
         if new.filter(F.col("old") != F.col("label")).isEmpty():
             return labels
@@ -192,9 +195,9 @@ def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     components of the graph of labels, which is as small as the links are new."""
     a = labels.select(F.col("id").alias("u"), F.col("label").alias("lu"))
     b = labels.select(F.col("id").alias("v"), F.col("label").alias("lv"))
-    between = links.join(a, "u").join(b, "v").filter(F.col("lu") != F.col("lv")).select(F.col("lu").alias("u"), F.col("lv").alias("v"))
+    between = links.join(merged(a), "u").join(merged(b), "v").filter(F.col("lu") != F.col("lv")).select(F.col("lu").alias("u"), F.col("lv").alias("v"))
     up = connected_components(between).select(F.col("id").alias("label"), F.col("label").alias("up"))
-    return cut(labels.join(up, "label", "left").select("id", F.coalesce("up", "label").alias("label")))
+    return cut(labels.join(merged(up), "label", "left").select("id", F.coalesce("up", "label").alias("label")))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -204,9 +207,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a = small.select(F.col("rep").alias("u"), F.col("s").alias("su"), F.col("n").alias("nu"), F.col("sig2").alias("a2"), F.col("sig3").alias("a3"))
     b = small.select(F.col("rep").alias("v"), F.col("s").alias("sv"), F.col("n").alias("nv"), F.col("sig2").alias("b2"), F.col("sig3").alias("b3"))
     close = (F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent) & F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")
-    cand = pairs.join(a, ["u", "su"]).join(b, ["v", "sv"]).filter(close).select("u", "su", "v", "sv", "nu", "nv")
+    cand = pairs.join(merged(a), ["u", "su"]).join(merged(b), ["v", "sv"]).filter(close).select("u", "su", "v", "sv", "nu", "nv")
     toks = lambda x: sets.select(F.col("rep").alias(x), F.col("s").alias(f"s{x}"), F.col("toks").alias(f"t{x}"))
-    full = cand.join(toks("v"), ["v", "sv"]).join(toks("u"), ["u", "su"])
+    full = cand.join(merged(toks("v")), ["v", "sv"]).join(merged(toks("u")), ["u", "su"])
     both = F.size(F.array_intersect("tu", "tv"))
     return full.withColumn("x", both).filter(F.col("x") * 100 >= (F.col("nu") + F.col("nv") - F.col("x")) * percent).select("u", "v")
 
@@ -231,39 +234,50 @@ def link_components(sets: DataFrame, percent: int, star_rounds: int = 3, part: i
     possible = (F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent) & (most * (100 + percent) >= (F.col("nu") + F.col("nv")) * percent)
     member = ("rep", "s", "label", "n", "m", "at")
     side = lambda x, of="": [F.col(of + c).alias({"rep": x, "at": f"a{x}"}.get(c, c[0] + x)) for c in member]
+    links = None
     for r in range(star_rounds + 1):
-        marked = post.join(labels.withColumnRenamed("id", "rep"), "rep")
+        marked = post.join(merged(labels.withColumnRenamed("id", "rep")), "rep")
         # the hub of a list: its member with the smallest hash of this round (the smallest id at first)
         key = F.struct("rep", "s") if r == 0 else F.struct(F.xxhash64("rep", F.lit(r)), "rep", "s")
         per = marked.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct(*member), key).alias("hub"))
         mixed = cut(per.filter("lo < hi").select("token", "c", "hub"))
-        if mixed.isEmpty():
+        total, top, work = mixed.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.max("c"), F.lit(0)), F.coalesce(F.sum(F.col("c").cast("double") * F.col("c")), F.lit(0.0))).first()
+        if not total:
             break
         if r < star_rounds:
-            pairs = salted_join(marked, mixed, ["token"], "c", ["rep", "s"]).select(*side("u", "hub."), *side("v")).filter((F.col("lu") != F.col("lv")) & possible)
+            pairs = salted_join(marked, mixed, ["token"], "c", ["rep", "s"], sums=(total, top)).select(*side("u", "hub."), *side("v")).filter((F.col("lu") != F.col("lv")) & possible)
         else:
-            pairs = _list_pairs(salted_join(marked, mixed.drop("hub"), ["token"], "c", ["rep", "s"]), mixed, sets, percent, part, pairs_per_task, side, possible)
+            pairs = _list_pairs(salted_join(marked, mixed.drop("hub"), ["token"], "c", ["rep", "s"], sums=(total, top)), work, sets, percent, part, pairs_per_task, side, possible)
         found = cut(_verify(pairs.select("u", "su", "v", "sv").distinct(), sets, percent))
-        if not found.isEmpty():
-            labels = relabel(labels, found)
-    return labels
-
-
-def _list_pairs(members: DataFrame, lists: DataFrame, sets: DataFrame, percent: int, part: int, pairs_per_task: int, side, possible) -> DataFrame:
+        links = found if links is None else links.unionByName(found)
+        if r < star_rounds:  # labels need not be final here: equal ones mean linked, which is all that is used
+            both = found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            near = both.join(merged(labels.withColumnRenamed("id", "v")), "v").groupBy(F.col("u").alias("id")).agg(F.min("label").alias("near"))
+            labels = cut(labels.join(merged(near), "id", "left").select("id", F.least("label", "near").alias("label")))
+        collect_garbage(sets.sparkSession)
+    ids = labels.select("id", F.col("id").alias("label"))
+    if links is None:
+        return ids
+    of = connected_components(links).select("id", F.col("label").alias("of"))
+    return cut(ids.join(merged(of), "id", "left").select("id", F.coalesce("of", "label").alias("label")))
+
+
+def _list_pairs(members: DataFrame, work: float, sets: DataFrame, percent: int, part: int, pairs_per_task: int, side, possible) -> DataFrame:
     """All possible pairs of different components within the lists.  The
     members of a list are dealt to parts of about ``part``; a pair of parts is a
-    cell, and cells are dealt to as many tasks as there are pairs to look at."""
-    work = lists.agg(F.sum(F.col("c") * F.col("c")).cast("double")).first()[0]
+    cell, and cells are dealt to as many tasks as there are pairs to look at
+    (``work``, the lists' squared lengths, is twice that)."""
     n_tasks = int(min(100_000, max(sets.sparkSession.sparkContext.defaultParallelism, work / 2 / pairs_per_task)))
     parts = F.ceil(F.col("c") / F.lit(part)).cast("int")
-    wide = members.join(sets.select("rep", "s", "bits"), ["rep", "s"]).withColumns({"parts": parts, "g": F.pmod(F.xxhash64("rep", "s"), parts).cast("int")})
-    rows = wide.select("token", *side("u"), F.col("bits").alias("bu"), F.col("g").alias("i"), F.explode(F.sequence("g", F.col("parts") - 1)).alias("j"))
-    cols = wide.select("token", *side("v"), F.col("bits").alias("bv"), F.explode(F.sequence(F.lit(0), F.col("g"))).alias("i"), F.col("g").alias("j"))
+    wide = members.join(merged(sets.select("rep", "s", "bits", "loose")), ["rep", "s"]).withColumns({"parts": parts, "g": F.pmod(F.xxhash64("rep", "s"), parts).cast("int")})
+    more = lambda x: [F.col("bits").alias(f"b{x}"), F.col("loose").alias(f"o{x}")]
+    rows = wide.select("token", *side("u"), *more("u"), F.col("g").alias("i"), F.explode(F.sequence("g", F.col("parts") - 1)).alias("j"))
+    cols = wide.select("token", *side("v"), *more("v"), F.explode(F.sequence(F.lit(0), F.col("g"))).alias("i"), F.col("g").alias("j"))
     cell = ["token", "i", "j"]
-    only = lambda a, b: sum((F.bit_count(F.col(a)[i].bitwiseAND(F.bitwise_not(F.col(b)[i]))) for i in range(BITMAP // 64)), F.lit(0))
-    need = (F.col("nu") + F.col("nv")) * percent
-    close = ((F.col("mu") - only("bu", "bv")) * (100 + percent) >= need) & ((F.col("mv") - only("bv", "bu")) * (100 + percent) >= need)
-    pairs = rows.repartition(n_tasks, *cell).join(cols.repartition(n_tasks, *cell), cell)
+    # shingles of one side whose bit the other lacks aren't shared: at most the common bits are, and those that share a bit
+    common = sum((F.bit_count(F.col("bu")[i].bitwiseAND(F.col("bv")[i])) for i in range(BITMAP // 64)), F.lit(0))
+    close = (common + F.least("ou", "ov")) * (100 + percent) >= (F.col("nu") + F.col("nv")) * percent
+    pairs = rows.repartition(n_tasks, *cell).join(merged(cols.repartition(n_tasks, *cell)), cell)
     once = (F.col("i") < F.col("j")) | (F.struct("u", "su") < F.struct("v", "sv"))
     return pairs.filter(once & (F.col("lu") != F.col("lv")) & possible & close)
 
@@ -292,13 +306,13 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, block_bytes
     block = lambda *c: F.pmod(F.xxhash64(*c), F.lit(n_blocks_for(chars, block_bytes))).cast("int")
     blocks = plain.filter("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("_block", block("doc_id", "s")).repartition("_block")
     reps = classes.select("rep", "s", block("rep", "s").alias("block"))
-    sent = blocks.groupBy("_block").cogroup(reps.groupBy("block")).applyInArrow(_send_counts(sk, k), LIST)
+    sent = blocks.groupBy("_block").cogroup(reps.groupBy("block")).applyInArrow(tidy(_send_counts(sk, k)), LIST)
     counted = count_answers(sent, sk.bits, sk.n_slices, _magnitude)
     null = F.lit(None)
     side = counted.withColumns({"rep": null.cast("long"), "s": null.cast("long")}).unionByName(
         reps.select("block", F.lit(0).alias("slice"), F.lit("rep").alias("kind"), null.cast("binary").alias("payload"), "rep", "s")
     )
-    left = cut(blocks.groupBy("_block").cogroup(side.groupBy("block")).applyInArrow(_survivors(sk, k, percent), SURVIVORS))
+    left = cut(blocks.groupBy("_block").cogroup(side.groupBy("block")).applyInArrow(tidy(_survivors(sk, k, percent)), SURVIVORS))
     labels = link_components(left, percent)
     # rows of equal doc_id and different texts are one document: their classes link
     varied = cut(real.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("a"), F.max(F.struct(*key)).alias("b")).filter("a != b").select("doc_id"))
@@ -333,3 +347,14 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return ngram_components(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+#: The same by counting shared shingles of all pairs that share one.
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(t[i:i + 4], ' ') AS s FROM (SELECT doc_id, t, unnest(generate_series(1, greatest(1, len(t) - 4))) AS i FROM w WHERE len(t) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+x AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS x FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM x JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * x >= 80 * (a.n + b.n - x)),
+r AS (SELECT doc_id AS s, doc_id AS r FROM w UNION SELECT r.s, l.v FROM r JOIN l ON l.u = r.r)
+SELECT s AS doc_id, coalesce(n, 0) AS n_shingles, min(r) AS component_id FROM r LEFT JOIN n ON n.doc_id = s GROUP BY s, n"""

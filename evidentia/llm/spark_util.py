@@ -19,6 +19,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Spark deletes checkpoints, shuffle files and broadcasts that nothing
+    refers to any more when the driver's JVM collects garbage, and not before:
+    loops that make many ask for it."""
+    spark._jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -41,23 +48,32 @@ def table_cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a sort-merge join: in loops of many small joins each
+    broadcast would leave a table in the driver's memory until it is cleaned."""
+    return df.hint("merge")
+
+
 #: Keys that get salts of their own in ``salted_join``, at most.
 MOST_HOT = 100_000
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: list[str], n: str, salt_by: list[str], how: str = "inner", floor: int = 1000) -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, on: list[str], n: str, salt_by: list[str], floor: int = 1000, sums: tuple[int, int] | None = None) -> DataFrame:
     """``big`` joined with ``small``, which has one row for each key and in
     ``n`` the number of its rows in ``big``; no task gets many rows of one key.
 
     A key with more rows than ``floor`` and than a MOST_HOT-th of all is dealt
     by a hash of ``salt_by`` to parts of that many rows, and its row in
     ``small`` is repeated for each.  By that rule there are fewer than MOST_HOT
-    such keys, so their list is broadcast.
+    such keys, so their list is broadcast.  ``sums`` are the sum and the largest
+    of ``n``, if they are known.
     """
-    total = small.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    total, top = sums or small.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
     most = max(floor, int(total) // MOST_HOT)
+    if top <= most:
+        return big.join(merged(small), on)
     parts = F.greatest(F.ceil(F.col(n) / F.lit(most)), F.lit(1)).cast("long")
     hot = small.filter(F.col(n) > most).select(*on, parts.alias("_parts"))
     a = big.join(F.broadcast(hot), on, "left").withColumn("_salt", F.pmod(F.xxhash64(*salt_by, F.lit(23)), F.coalesce("_parts", F.lit(1).cast("long")))).drop("_parts")
     b = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    return a.join(b, [*on, "_salt"], how).drop("_salt")
+    return a.join(merged(b), [*on, "_salt"]).drop("_salt")

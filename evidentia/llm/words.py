@@ -7,6 +7,7 @@ characters never split.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +34,25 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         size = max(n, 1 << 16)
         inv = pow(base, -1, 1 << 64)
         got = tuple(np.concatenate([np.ones(1, U64), np.full(size - 1, b, U64)]).cumprod(dtype=U64) for b in (base, inv))
-        if n <= 1 << 23:
+        if size <= 1 << 21:
             _powers[base] = got
     return got
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # not glibc
+    _trim = None
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks, two and
+    more beside an executor's own memory."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64."""
     x = x ^ (x >> U64(30))
