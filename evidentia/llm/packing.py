@@ -13,6 +13,7 @@ bins go to the next level, where blocks of such pieces are packed again.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 
@@ -23,28 +24,49 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .spark_util import cut, documents
-from .words import buffers
+from .words import buffers, chunks, give_back
 
 END_ID = 0
+#: Bytes of texts whose new words are learned together: few enough to stay in a core's cache.
+LEARN_BYTES = 1 << 16
 
 # ---------------------------------------------------------------- tokens
 
 
+#: Lower-case words that composing leaves as they are.
+LETTERS = re.compile("[a-zß-öø-ÿ]+")
+
+
+def _byte_chars() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printing
+    ones for themselves, the others for those from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+BYTE_CHARS = _byte_chars()
+
+
 class WordTokens:
     """Token ids of texts through a cache of words.
 
     The vocabulary's pre-tokenizer drops white space and parts letters from
     punctuation, and its normalizer lower-cases and composes, neither across an
     ASCII separator, so a text's ids are the ids of its words, one after the
-    other, and a letter or digit before a last mark may be cut there.  Words
-    seen for the first time are encoded together, between marks of their own.
-    Texts that hold a special token's string are encoded whole.
+    other, and a word may be cut between a letter or digit and its last marks.
+    Words of Latin letters alone are one pre-token, which goes to the model as
+    it is; other words seen for the first time are encoded together, between
+    marks of their own.  Texts that hold a special token's string are encoded
+    whole.
 
     The cache lives as long as the worker process.  It has two generations of
-    at most ``most`` words; the older one goes when the younger is full.
+    about ``most`` words; the older one goes when the younger is full.
     """
 
-    MARK = b"|"
+    BETWEEN = b"|"
+    #: ASCII marks but the apostrophe, which begins contractions.
+    MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
@@ -52,63 +74,77 @@ class WordTokens:
         self.tok = Tokenizer.from_file(path)
         self.most, self.young, self.old = most, {}, {}
         self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
-        self.mark_id = self._encode(self.MARK)[0]
-        self.ends = {p: self._encode(p).tobytes() for p in (b".", b",", b";", b":", b"!", b"?")}
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
+        self.between_id = self._encode(self.BETWEEN)[0]
 
     def _encode(self, raw: bytes) -> np.ndarray:
         return np.asarray(self.tok.encode_batch_fast([raw.decode()], add_special_tokens=False)[0].ids, "<u4")
 
     def _learn(self, words: set[bytes]) -> None:
+        """Ids of words that aren't in the younger generation."""
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
-        young, old, ends = self.young, self.old, self.ends
-        cores: dict[bytes, list[tuple[bytes, bytes]]] = {}
+        young, old, fresh = self.young, self.old, []
         for w in words:
             got = old.get(w)
-            if got is not None:
+            if got is None:
+                fresh.append(w)
+            else:
                 young[w] = got
-                continue
-            end = ends.get(w[-1:])
-            if end is not None and len(w) > 1 and (w[-2:-1].isalnum() or w[-2] >= 128 and w[:-1].decode()[-1].lower()[-1].isalpha()):
-                core = w[:-1]
-                got = young.get(core) or old.get(core)
-                if got is not None:
-                    young[w] = got + end
-                else:
-                    cores.setdefault(core, []).append((w, end))
+        # after a letter or digit a word's last marks are pre-tokens of their own
+        parts, need = [], set()
+        for w in fresh:
+            core = w.rstrip(self.MARKS)
+            tail = w[len(core) :]
+            if tail and core and (core[-1:].isalnum() or core[-1] >= 128 and core.decode()[-1].lower()[-1].isalpha()):
+                parts.append((w, core, tail))
+                need.add(core)
+                need.add(tail)
             else:
-                cores.setdefault(w, []).append((w, b""))
-        plain = [c for c in cores if self.MARK not in c]
-        for c in cores.keys() - plain:
-            ids = self._encode(c).tobytes()
-            young.update((w, ids + end) for w, end in cores[c])
-        for k in range(0, len(plain), 2000):
-            part = plain[k : k + 2000]
-            ids = self._encode(b" | ".join(part))
-            at = np.flatnonzero(ids == self.mark_id).tolist()
-            raw, first = ids.tobytes(), 0
-            for c, stop in zip(part, [*at, len(ids)]):
-                got = raw[4 * first : 4 * stop]
-                first = stop + 1
-                young[c] = got
-                for w, end in cores[c]:
-                    young[w] = got + end
+                need.add(w)
+        get = lambda x: young.get(x) or old.get(x)
+        plain, tokenize, id_bytes = [], self.tok.model.tokenize, self.id_bytes
+        for w in need:
+            if get(w) is None:
+                low = w.decode().lower()
+                if LETTERS.fullmatch(low):
+                    mapped = low if low.isascii() else low.encode().decode("latin-1").translate(BYTE_CHARS)
+                    young[w] = b"".join([id_bytes[t.id] for t in tokenize(mapped)])
+                else:
+                    plain.append(w)
+        whole = [w for w in plain if self.BETWEEN in w]
+        young.update((w, self._encode(w).tobytes()) for w in whole)
+        if whole:
+            plain = [w for w in plain if self.BETWEEN not in w]
+        between = b" " + self.BETWEEN + b" "
+        for k in range(0, len(plain), 4000):
+            part = plain[k : k + 4000]
+            ids = self._encode(between.join(part))
+            at = (np.flatnonzero(ids == self.between_id) * 4).tolist()
+            raw = ids.tobytes()
+            young.update(zip(part, [raw[i:j] for i, j in zip([0, *(x + 4 for x in at)], [*at, len(raw)])]))
+        young.update([(w, get(core) + get(tail)) for w, core, tail in parts])
+
+    def ids_of(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers; words that
+        are new to the texts are learned together."""
+        split: list[list[bytes] | None] = []
+        for t in texts:
+            odd = b"<|" in t and any(s in t for s in self.special)
+            split.append(None if odd else t.lower().split())
+        words: set[bytes] = set()
+        words.update(*(x for x in split if x is not None))
+        self._learn(words.difference(self.young))
+        try:
+            get = self.young.__getitem__
+            return [self._encode(t).tobytes() if x is None else b"".join(map(get, x)) for t, x in zip(texts, split)]
+        except KeyError:  # a generation ended between: all are learned into the new one
+            self._learn(words.difference(self.young))
+            get = self.young.__getitem__
+            return [self._encode(t).tobytes() if x is None else b"".join(map(get, x)) for t, x in zip(texts, split)]
 
     def ids(self, text: bytes) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        if b"<|" in text and any(s in text for s in self.special):
-            return self._encode(text).tobytes()
-        words, young = text.lower().split(), self.young
-        try:
-            return b"".join([young[w] for w in words])
-        except KeyError:
-            self._learn({w for w in words if w not in young})
-            young = self.young
-            try:
-                return b"".join([young[w] for w in words])
-            except KeyError:  # a generation ended between
-                self._learn({w for w in words if w not in young})
-                return b"".join([self.young[w] for w in words])
+        return self.ids_of([text])[0]
 
 
 _tokens: dict[str, WordTokens] = {}
@@ -145,9 +181,11 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, path: str | None = None,
         for batch in batches:
             rows, piece, start, length, crc, blobs = [], [], [], [], [], []
             data, off = buffers(batch.column("text"))
-            raw = data.tobytes()
-            for r in range(batch.num_rows):
-                ids = words.ids(raw[off[r] : off[r + 1]]) + end
+            raw, found = data.tobytes(), []
+            for i, j, _, _ in chunks(batch.column("text"), LEARN_BYTES):
+                found += words.ids_of([raw[off[r] : off[r + 1]] for r in range(i, j)])
+            for r, ids in enumerate(found):
+                ids += end
                 n = len(ids) // 4
                 for p, s in enumerate(range(0, n, capacity)):
                     part = ids[4 * s : 4 * min(n, s + capacity)]
@@ -159,6 +197,7 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, path: str | None = None,
             if with_ids:
                 cols.append(pa.array(blobs, pa.binary()))
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType(fields))
 
@@ -267,6 +306,8 @@ def _unpack_bins(x: bytes) -> list[list[int]]:
     return bins
 
 
+#: Islands that a task evolves, about.
+ISLANDS_PER_TASK = 8
 ISLAND = "block long, island int, home int, bins int, cost double, lengths binary, genes binary"
 
 
@@ -293,14 +334,18 @@ def _epoch(capacity: int, epoch: int, elites: int):
     return run
 
 
-def pack_blocks(blocks: DataFrame, capacity: int, islands: int, epochs: int, elites: int) -> DataFrame:
-    """blocks: (block, lengths).  One row per block with its best genes."""
+def pack_blocks(blocks: DataFrame, n_blocks: int, capacity: int, islands: int, epochs: int, elites: int) -> DataFrame:
+    """blocks: (block, lengths).  One row per block with its best genes.
+
+    An island is a few kB and 20 to 100 ms of work, so islands are dealt to
+    tasks by number, not by bytes."""
+    n_tasks = -(-n_blocks * islands // ISLANDS_PER_TASK)
     start = blocks.select("block", F.explode(F.array(*map(F.lit, range(islands)))).alias("island"), "lengths", F.lit(None).cast("binary").alias("genes"))
-    state = start.groupBy("block", "island").applyInArrow(_epoch(capacity, 0, elites), ISLAND)
+    state = start.repartition(n_tasks, "block", "island").groupBy("block", "island").applyInArrow(_epoch(capacity, 0, elites), ISLAND)
     for e in range(1, epochs):
         # an elite stays on its island, and the best one goes to the next as well
         moved = state.withColumn("island", F.explode(F.array("home", ((F.col("home") + 1) % islands).cast("int"))))
-        state = moved.groupBy("block", "island").applyInArrow(_epoch(capacity, e, elites), ISLAND)
+        state = moved.repartition(n_tasks, "block", "island").groupBy("block", "island").applyInArrow(_epoch(capacity, e, elites), ISLAND)
     best = F.min_by(F.struct("lengths", "genes"), F.struct("bins", -F.col("cost"), "home", "genes"))
     return state.groupBy("block").agg(best.alias("g")).select("block", "g.*")
 
@@ -323,8 +368,11 @@ def pack(
     materialised input, so equal rows spread as all others do and are packed
     one by one.  Pieces of bins filled below ``well_filled`` go to the next
     level, but for the last.  An empty table gives an empty result; a null or
-    negative length counts as 0; columns must be sortable (no maps).
+    negative length counts as 0; columns must be sortable (no maps).  Columns
+    named like a result are replaced; others may have any name that doesn't
+    begin with ``_``.
     """
+    pieces = pieces.drop("sequence_id", "offset")
     length = F.greatest(F.coalesce(F.col("length"), F.lit(0)), F.lit(0)).cast("long")
     rows = cut(pieces.withColumns({"_len": length, "_uid": F.monotonically_increasing_id()}))
     whole = rows.filter(F.col("_len") >= capacity)
@@ -339,7 +387,7 @@ def pack(
         dealt = todo.withColumn("_block", F.pmod(F.xxhash64("_uid", F.lit(level)), F.lit(n_blocks)))
         items = F.collect_list(F.struct("_len", "_uid", F.struct(*rows.columns).alias("row")))
         blocks = cut(dealt.groupBy("_block").agg(F.sort_array(items, asc=False).alias("items")))
-        packed = cut(_place(blocks, rows.schema, capacity, islands, epochs, elites))
+        packed = cut(_place(blocks, n_blocks, rows.schema, capacity, islands, epochs, elites))
         number = F.col("_block") * spread + F.col("_bin") + F.lit((level + 1) << 58)
         good = F.col("_fill") >= well_filled * capacity
         last = level == levels - 1 or n_blocks == 1
@@ -351,11 +399,11 @@ def pack(
     return out.drop("_len", "_uid")
 
 
-def _place(blocks: DataFrame, row_schema: T.StructType, capacity: int, islands: int, epochs: int, elites: int) -> DataFrame:
+def _place(blocks: DataFrame, n_blocks: int, row_schema: T.StructType, capacity: int, islands: int, epochs: int, elites: int) -> DataFrame:
     """blocks: (_block, items, longest first).  The items' rows, each with
     _block, _bin, _fill (of its bin) and offset."""
     lens = F.transform("items", lambda x: x["_len"])
-    best = pack_blocks(blocks.select(F.col("_block").alias("block"), _int_bytes(lens).alias("lengths")), capacity, islands, epochs, elites)
+    best = pack_blocks(blocks.select(F.col("_block").alias("block"), _int_bytes(lens).alias("lengths")), n_blocks, capacity, islands, epochs, elites)
     joined = blocks.join(best.select(F.col("block").alias("_block"), "genes", "lengths"), "_block").select("_block", "genes", "lengths", F.col("items.row").alias("rows"))
     extra = ("_block", "_bin", "_fill", "offset")
     names = [f.name for f in row_schema]

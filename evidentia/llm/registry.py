@@ -16,4 +16,10 @@ QUERIES = {
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_language_id": language_id.op10_language_id,
 }
-SQL: dict[str, str] = {"op2_line_templates": line_templates.OP2_SQL}
+SQL: dict[str, str] = {
+    "op1_substring_dedup": substring_dedup.OP1_SQL,
+    "op2_line_templates": line_templates.OP2_SQL,
+    "op6_mix_sources": mixing.OP6_SQL,
+    "op7_quality_rules": repetition.OP7_SQL,
+    "op9_ngram_join": ngram_join.OP9_SQL,
+}

@@ -85,8 +85,8 @@ def test_ngram_components(spark, docs):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == brute_components(corpus())
 
 
-@pytest.mark.parametrize("stars,pairs", [(0, 1), (2, 0)])
-def test_ngram_chains_at_the_threshold(spark, stars, pairs):
+@pytest.mark.parametrize("stars,part", [(0, 3), (2, 512)])
+def test_ngram_chains_at_the_threshold(spark, stars, part):
     """Chains of edits, where a hub reaches few members: any mix of star
     rounds and the final pass gives the same components."""
     rnd = random.Random(9)
@@ -95,12 +95,12 @@ def test_ngram_chains_at_the_threshold(spark, stars, pairs):
         w = w[:]
         for _ in range(rnd.randint(1, 2)):
             w[rnd.randrange(60)] = "n%d_%d" % (i, rnd.randrange(10**6))
-        rows.append((i, " ".join(w), "s"))
-    df = table(spark, rows).select("doc_id", "text")
+        rows.append((2**60 + i, " ".join(w), "s"))
+    df = table(spark, [*rows, (None, " ".join(w), "s")]).select("doc_id", "text")
     link = ngram_join.link_components
-    ngram_join.link_components = lambda sets, percent: link(sets, percent, stars, pairs)
+    ngram_join.link_components = lambda sets, percent: link(sets, percent, stars, part)
     try:
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(df).collect()}
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(df).collect() if r.doc_id is not None}
     finally:
         ngram_join.link_components = link
     assert got == brute_components(rows)
@@ -150,9 +150,35 @@ def test_quality_rules(spark, docs):
     assert repetition.quality_rules(docs.limit(0)).count() == 0
 
 
+def test_long_repetitive_text():
+    """A text of 300,000 words, repeated and not, in bounded memory."""
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    text = " ".join("w%d" % (i % 977) for i in range(300_000)) + " " + " ".join("u%d" % i for i in range(1000))
+    got = repetition._features(8)(pa.array([text, "a b", None]))
+    assert got["n_words"].to_pylist() == [301_000, 2, 0] and got["n_repeat_words"].to_pylist() == [300_000, 0, 0]
+    assert got["longest_repeat"].to_pylist() == [300_000 - 977, 0, 0]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 150 * 1024  # kB: under 60 bytes for each byte of text
+
+
 # ---------------------------------------------------------------- sharding and mixing
 
 
+def test_results_replace_columns_of_their_names(spark, docs):
+    size = F.octet_length(F.coalesce("text", F.lit(""))) + 8
+    clash = docs.withColumns({"shard": F.lit("x"), "slot": F.col("doc_id"), "offset": F.lit("y"), "sequence_id": F.lit(0)})
+    out = sharding.shard_by_bytes(clash, size, [F.col("doc_id"), F.col("slot")], 4)
+    assert out.count() == docs.count() and dict(out.dtypes)["shard"] == "int" and out.columns.count("slot") == 1
+    rows = packing.pack(clash.select("offset", "sequence_id", "shard", F.lit(5).alias("length")), 64, block_rows=16)
+    got = rows.collect()
+    assert len(got) == docs.count() and dict(rows.dtypes)["offset"] == "bigint" and {r.offset % 5 for r in got} == {0}
+    extra = docs.withColumns({"_x": F.lit(1), "n_words": F.lit("x"), "kept": F.lit("x"), "n_shingles": F.lit("x"), "component_id": F.lit("x"), "media": F.lit("x")})
+    for f in (substring_dedup.substring_dedup, repetition.quality_rules, ngram_join.ngram_components, gif.gif_digests):
+        made = f(extra)
+        assert made.count() == docs.count() and len(set(made.columns)) == len(made.columns) and "_x" in made.columns
+
+
 def test_shards(spark, docs):
     size = F.octet_length(F.coalesce("text", F.lit(""))) + 8
     big = docs.crossJoin(spark.range(30).select(F.col("id").alias("k"))).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)) * 100 + F.col("k"))
@@ -167,22 +193,52 @@ def test_shards(spark, docs):
     assert len(got) == 55 and sharding.shard_by_bytes(same.limit(0), size, [F.col("doc_id")]).count() == 0
 
 
-def test_mix(spark, docs):
-    d = docs.withColumns({"w": F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)), "q": mixing.quality_weight(F.col("text"))})
-    for bins in (5, 20_000):
-        out = mixing.mix_sources(d, F.col("w"), F.col("q"), rows_per_bin=bins)
-        got = out.toPandas()
-        sizes = defaultdict(int)
-        for _, t, s in corpus():
-            sizes[s] += len(WORD.findall(t or ""))
-        want = brute_targets(sizes)
-        assert len(got) == len(corpus()) and (got.taken <= 2 * got["size"]).all()
-        for s, g in got.groupby("source", dropna=False):
-            s = None if not isinstance(s, str) else s
-            assert abs(g.target.iloc[0] - want[s]) < 1e-6 * max(1, want[s]) and abs(g.taken.sum() - want[s]) <= g["size"].max() / 2 + 1
-    again = mixing.mix_sources(d.repartition(7), F.col("w"), F.col("q"))
-    assert sorted((r.doc_id, r.taken) for r in again.collect()) == sorted(zip(got.doc_id, got.taken))
-    assert mixing.mix_sources(d.limit(0), F.col("w"), F.col("q")).count() == 0
+def brute_sample(rows, share=1.5, most=2.0):
+    """rows: (source, size, key): what each takes, by ordering whole sources."""
+    sizes = defaultdict(int)
+    for s, n, _ in rows:
+        sizes[s] += n
+    targets, took = brute_targets(sizes, share, most), [0] * len(rows)
+    for s, target in targets.items():
+        epochs = int(target // sizes[s]) if sizes[s] else 0
+        rest, upto = target - epochs * sizes[s], 0
+        for i in sorted((i for i, r in enumerate(rows) if r[0] == s), key=lambda i: rows[i][2]):
+            upto += rows[i][1]
+            took[i] = rows[i][1] * (epochs + (upto - rows[i][1] / 2 <= rest))
+    return targets, took
+
+
+@pytest.mark.parametrize("rows_per_bin,bin_bits,few", [(1_000, 10, True), (3, 2, True), (3, 5, False)])
+def test_mix_is_a_weighted_sample(spark, docs, monkeypatch, rows_per_bin, bin_bits, few):
+    """Every refinement of bins takes what ordering whole sources by key takes."""
+    if not few:  # as with very many sources: no broadcast of the plan
+        monkeypatch.setattr(mixing, "MOST_HOT", 0)
+    d = docs.withColumns({"w": mixing.n_words(F.col("text")), "q": F.when(F.col("doc_id") % 3 == 0, 0.01).otherwise(mixing.quality_weight(F.col("text")))})
+    d = d.withColumns({"target": F.lit("clash"), "taken": F.lit(1)})
+    names = sorted(d.columns)
+    u = (F.pmod(F.xxhash64(F.lit(17), *names), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    key = -F.log(u) / F.greatest(F.coalesce("q", F.lit(0.25)), F.lit(1e-6))
+    rows = d.select("doc_id", "source", "w", key.alias("k")).collect()
+    targets, took = brute_sample([(r.source, r.w, r.k) for r in rows])
+    out = mixing.mix_sources(d, F.col("w"), F.col("q"), rows_per_bin=rows_per_bin, bin_bits=bin_bits)
+    got = out.collect()
+    assert sorted(out.columns) == sorted(["doc_id", "text", "lang", "source", "n_chars", "w", "q", *mixing.MADE])
+    assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, t) for r, t in zip(rows, took))
+    assert all(abs(r.target - targets[r.source]) < 1e-6 * max(1, r.target) and r.taken <= 2 * r["size"] for r in got)
+    for s in targets:
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in mine) - targets[s]) <= max(r["size"] for r in mine) / 2 + 1
+
+
+def test_mix_reruns_ties_and_empty(spark, docs):
+    size = F.lit(10)
+    one = [("a", i % 7, "x%d" % (i % 5)) for i in range(60)]  # rows that repeat, ids that repeat with other texts
+    df = spark.createDataFrame(one, "source string, doc_id long, text string")
+    runs = [sorted((r.doc_id, r.text, r.taken) for r in mixing.mix_sources(x, size, F.lit(0.5), share=0.4).collect()) for x in (df, df.repartition(5), df.select("text", "doc_id", "source"))]
+    assert runs[0] == runs[1] == runs[2] and abs(sum(t for _, _, t in runs[0]) - 240) <= 10
+    assert mixing.mix_sources(docs.limit(0), size, F.lit(1.0)).count() == 0
+    none = spark.createDataFrame([(None, 1, None)], "source string, doc_id long, text string")
+    assert mixing.mix_sources(none, F.lit(None).cast("long"), F.lit(None).cast("double")).first().taken == 0
 
 
 def test_better_documents_are_taken_more_often(spark):
@@ -271,6 +327,26 @@ def test_gif_disposal_transparency_interlace():
     assert gif.colour_histogram(a).sum() == 3 * 64
 
 
+def test_gif_cut_short():
+    """Any beginning of a file gives a beginning of its frames."""
+    rng = np.random.default_rng(5)
+    data = gif.encode(rng.integers(0, 40, 576 * 3, dtype=np.uint8).tobytes(), frame_rows=1)
+    local = data[:-1] + b"\x2c" + bytes([0, 0, 0, 0, 2, 0, 1, 0, 0x80, 1, 2, 3, 4, 5, 6, 2]) + gif._sub_blocks(gif.lzw_encode(b"\x01\x00", 2)) + b"\x3b"
+    whole = gif.decode(local)
+    assert len(whole) == 4 and whole[3].rgba[0, :2].tolist() == [[4, 5, 6, 255], [1, 2, 3, 255]]
+    for n in range(3, len(local)):
+        got = gif.decode(local[:n])
+        assert len(got) <= 4 and all((a.indices == b.indices).all() for a, b in zip(got[:-1], whole))
+    with pytest.raises(ValueError):
+        gif.decode(b"PNG")
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.binary(max_size=60), st.integers(2, 8))
+def test_lzw_of_any_bytes(stream, bits):
+    assert len(gif.lzw_decode(stream, bits, 500)) <= 500
+
+
 def test_gif_columns(spark, docs):
     got = {r.doc_id: r for r in gif.gif_digests(docs).collect()}
     full = {r.doc_id: r for r in gif.with_gif(docs.filter("doc_id < 20")).collect()}
@@ -339,24 +415,3 @@ def test_ordinal_columns(spark, docs):
     assert len(out) == len(corpus()) and all(0 <= r.tail_2 <= r.tail_1 <= 1 and abs(r.expected_grade - r.tail_1 - r.tail_2) < 1e-9 for r in out)
     empty = ordinal_quality.train(rated.limit(0), docs, 3)
     assert ordinal_quality.score(docs.limit(0), empty).count() == 0
-
-
-# ---------------------------------------------------------------- lines
-
-
-def test_line_templates_equal_sql(spark, docs):
-    import duckdb
-
-    rnd = random.Random(8)
-    rows = corpus()
-    for i in range(200, 240):
-        head, foot = "Page %d of %d printed on paper" % (i, rnd.randint(1, 9)), "Error code %d at line %d in module alpha" % (i, i * 3)
-        rows.append((i, "\n".join(rnd.sample([head, "own text " + "z%d" % i, foot, "other w%d x y z" % (i % 7), "", "fixed boiler line here"], 5)), "s"))
-    rows += [(300, rows[-3][1], "s"), (300, rows[-3][1], "s"), (None, rows[-4][1], "s")]
-    df = table(spark, rows)
-    got = sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.kept_text) for r in line_templates.drop_recurring_lines(df, block_bytes=3000).collect())
-    c = duckdb.connect()
-    c.register("t0", pa.Table.from_pylist([{"doc_id": i, "text": t} for i, t, _ in rows], schema=pa.schema([("doc_id", pa.int64()), ("text", pa.string())])))
-    want = c.execute("WITH " + line_templates.LINES_SQL.replace("{docs}", "t0") + " SELECT doc_id, n_lines, n_dropped, kept_text FROM line_dedup").fetchall()
-    assert got == sorted((str(a), b, n, k) for a, b, n, k in want) and sum(x[2] for x in got) > 60
-    assert line_templates.drop_recurring_lines(df.limit(0)).count() == 0
