@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrow_map import tidy
 from .block_lists import ANSWER, COARSE_BITS, FAN, LIST, answer_table, answers, count_answers, deltas, list_table, lists_of, n_blocks_for, planes, slice_runs, slices_for, small_numbers, undeltas, unplanes
 from .spark_util import documents, text_chars
 from .words import Words, chunks, mix, ranges, sequence_hashes
@@ -52,8 +53,11 @@ class Windows:
         cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in zip(*parts)] or [np.zeros(0, U64)] * 2 + [np.zeros(0, np.int64)] * 3
         self.h1, self.h2, self.doc, self.start, self.word = cols
         # windows by hash, then by place: the first of a run is the block's first occurrence
-        self.by_hash = np.lexsort((self.h2, self.h1)) if len(self.h1) else np.zeros(0, np.int64)
+        self.by_hash = np.argsort(self.h1, kind="stable")
         a, b = self.h1[self.by_hash], self.h2[self.by_hash]
+        if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():  # windows that differ in the second half alone
+            self.by_hash = np.lexsort((self.h2, self.h1))
+            a, b = self.h1[self.by_hash], self.h2[self.by_hash]
         self.new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
         self.group = np.cumsum(self.new) - 1
         self.head = np.flatnonzero(self.new)  # of each distinct window, in by_hash
@@ -62,8 +66,8 @@ class Windows:
 
 
 class Sketch:
-    """Rows of a count-min sketch: width cells each, a cell of a window by a
-    hash of its first hash."""
+    """Rows of a count-min sketch: width cells each, a cell of a window by the
+    first bits of its first hash, and in further rows by hashes of it."""
 
     def __init__(self, windows: int, depth: int, cells_per_window: int):
         self.depth = depth
@@ -71,14 +75,22 @@ class Sketch:
         self.n_slices = min(slices_for(windows), 1 << (self.bits - 1))
 
     def cells(self, h: np.ndarray, row: int) -> np.ndarray:
-        return mix(h + U64(0x9E3779B97F4A7C15 * (row + 1) & (2**64 - 1))) >> U64(64 - self.bits)
+        if row:
+            h = mix(h + U64(0x9E3779B97F4A7C15 * row & (2**64 - 1)))
+        return h >> U64(64 - self.bits)
 
 
 def _block_cells(h: np.ndarray, copies: np.ndarray, sk: Sketch, row: int):
-    """Distinct cells of a block's distinct windows, ascending; whether each
-    holds two or more windows of the block; each window's index among them."""
+    """Distinct cells of a block's distinct windows (ascending), ascending;
+    whether each holds two or more windows of the block; each window's index
+    among them."""
     cells = sk.cells(h, row)
-    u, inv = np.unique(cells, return_inverse=True)
+    if row:
+        u, inv = np.unique(cells, return_inverse=True)
+    else:  # in order already
+        new = np.ones(len(cells), bool)
+        new[1:] = cells[1:] != cells[:-1]
+        u, inv = cells[new], np.cumsum(new) - 1
     many = np.bincount(inv, copies, minlength=len(u)) >= 2
     return u, many, inv
 
@@ -144,51 +156,69 @@ class _Places:
 
 
 def _send_candidates(sk: Sketch, k: int, n_slices: int):
+    """The candidates with their places; and, in a slice of the block's own,
+    which of its distinct windows they are, for the last pass."""
+
     def run(key, table, side):
         if not table.num_rows:
             return list_table([])
-        w = Windows(table, k)
+        w, block = Windows(table, k), key[0].as_py()
         c = _candidates(w, sk, side)
         first = w.by_hash[w.head[c]]
         doc = w.doc_id[w.doc[first]].astype(np.int64).view(U64) ^ U64(1 << 63)
-        return list_table(_place_lists(key[0].as_py(), min(n_slices, 1 << COARSE_BITS), w.u1[c], w.u2[c], doc, w.start[first].astype(U64)))
+        flags = np.zeros(len(w.u1), bool)
+        flags[c] = True
+        own = (block, -1 - block, "own", np.packbits(flags).tobytes(), b"")
+        return list_table([own, *_place_lists(block, min(n_slices, 1 << COARSE_BITS), w.u1[c], w.u2[c], doc, w.start[first].astype(U64))])
 
     return run
 
 
 def _merge_candidates(sent: DataFrame, n_slices: int) -> DataFrame:
     """The answer for each window sent: does it start earlier elsewhere?  In
-    two levels where there are many slices, as ``count_answers``."""
+    two levels where there are many slices, as ``count_answers``.  A block's own
+    slice (below 0) is handed back to it."""
+
+    def own(table):
+        return answer_table(list(zip(*(table.column(c).to_pylist() for c in ("block", "slice", "kind", "payload")))))
 
     def merge(key, table):
+        if key[0].as_py() < 0:
+            return own(table)
         x = _Places(table)
         return x.answer(table, x.later)
 
     if n_slices <= 1 << COARSE_BITS:
-        return sent.groupBy("slice").applyInArrow(merge, ANSWER)
+        return sent.groupBy("slice").applyInArrow(tidy(merge), ANSWER)
 
     down = n_slices.bit_length() - 1 - COARSE_BITS
 
     def earliest(key, table):
+        g, s = key[0].as_py(), key[1].as_py()
+        if s < 0:
+            return list_table([(g, s, "own", b"", b"")])
         x = _Places(table)
-        return list_table(_place_lists(key[0].as_py(), n_slices, *(c[x.first] for c in x.cols)))
+        return list_table(_place_lists(g, n_slices, *(c[x.first] for c in x.cols)))
 
     def hand_down(key, table, side):
+        if key[1].as_py() < 0:
+            return own(table)
         x = _Places(table)
         return x.answer(table, x.later | (answers(side, "exact") > 0)[x.group])
 
     lists = sent.withColumn("g", F.floor(F.col("block") / F.lit(FAN)).cast("int"))
-    fine = lists.groupBy("g", "slice").applyInArrow(earliest, LIST).groupBy("slice").applyInArrow(merge, ANSWER)
-    back = fine.withColumn("coarse", F.shiftright("slice", down))
-    return lists.groupBy("g", "slice").cogroup(back.groupBy("block", "coarse")).applyInArrow(hand_down, ANSWER)
+    fine = lists.groupBy("g", "slice").applyInArrow(tidy(earliest), LIST).groupBy("slice").applyInArrow(tidy(merge), ANSWER)
+    back = fine.withColumn("coarse", F.when(F.col("slice") < 0, F.col("slice")).otherwise(F.shiftright("slice", down)))
+    return lists.groupBy("g", "slice").cogroup(back.groupBy("block", "coarse")).applyInArrow(tidy(hand_down), ANSWER)
 
 
-def _remove(sk: Sketch, k: int, names: list[str]):
+def _remove(k: int, names: list[str]):
     def run(key, table, side):
         if not table.num_rows:
             return table.select(names).append_column("n_words", pa.array([], pa.int64())).append_column("n_removed", pa.array([], pa.int64())).append_column("kept_text", pa.array([], pa.string()))
         w = Windows(table, k)
-        c = _candidates(w, sk, side)
+        flags = b"".join(p for kind, p in zip(side.column("kind").to_pylist(), side.column("payload").to_pylist()) if kind == "own")
+        c = np.flatnonzero(np.unpackbits(np.frombuffer(flags, np.uint8), count=len(w.u1)))
         later = answers(side, "exact") > 0
         # of a distinct window: is its first occurrence here removed as well?
         first_goes = np.zeros(len(w.u1), bool)
@@ -240,15 +270,26 @@ def substring_dedup(docs: DataFrame, k: int = 20, depth: int = 2, cells_per_wind
     # one exchange of the texts, used by all three passes; rows of one id are apart unless their texts are equal
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")
     rows = docs.select(*names, block.alias("_block")).repartition("_block")
-    sent = rows.groupBy("_block").applyInArrow(_send_sketch(sk, k), LIST)
+    sent = rows.groupBy("_block").applyInArrow(tidy(_send_sketch(sk, k)), LIST)
     repeated = count_answers(sent, sk.bits, sk.n_slices, lambda n: n >= 2)
-    exact = rows.groupBy("_block").cogroup(repeated.groupBy("block")).applyInArrow(_send_candidates(sk, k, n_slices), LIST)
+    exact = rows.groupBy("_block").cogroup(repeated.groupBy("block")).applyInArrow(tidy(_send_candidates(sk, k, n_slices)), LIST)
     first = _merge_candidates(exact, n_slices)
     schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    return rows.groupBy("_block").cogroup(repeated.unionByName(first).groupBy("block")).applyInArrow(_remove(sk, k, names), schema)
+    return rows.groupBy("_block").cogroup(first.groupBy("block")).applyInArrow(tidy(_remove(k, names)), schema)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the words of 20-word windows that start earlier."""
     out = substring_dedup(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+#: The same by joins over whole windows.
+OP1_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS t FROM documents),
+win AS (SELECT rid, doc_id, i, array_to_string(t[i:i + 19], ' ') AS w FROM (SELECT *, unnest(generate_series(1, len(t) - 19)) AS i FROM d WHERE len(t) >= 20)),
+seen AS (SELECT w, min((doc_id, i)) AS first FROM win GROUP BY w HAVING count(*) > 1),
+gone AS (SELECT DISTINCT rid, unnest(generate_series(i, i + 19)) AS k FROM win JOIN seen USING (w) WHERE (doc_id, i) <> first),
+words AS (SELECT rid, unnest(t) AS word, generate_subscripts(t, 1) AS k FROM d),
+kept AS (SELECT words.rid, string_agg(word, ' ' ORDER BY words.k) FILTER (WHERE gone.k IS NULL) AS s, count(gone.k) AS n FROM words LEFT JOIN gone ON gone.rid = words.rid AND gone.k = words.k GROUP BY words.rid)
+SELECT doc_id, len(t) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)"""

@@ -123,7 +123,9 @@ def test_places_in_one_and_two_levels(spark, n_slices):
         for x in zip(h.tolist(), doc.tolist(), start.tolist()):
             first[x[0]] = min(first.get(x[0], x[1:]), x[1:])
     rows = [r for b, (h, doc, start) in lists.items() for r in substring_dedup._place_lists(b, min(n_slices, 1024), h, h ^ np.uint64(9), doc, start)]
+    rows += [(b, -1 - b, "own", b"%d" % b, b"") for b in lists]
     got = substring_dedup._merge_candidates(spark.createDataFrame(block_lists.list_table(rows)), n_slices).toArrow()
     for b, cols in lists.items():
         mine = got.filter(pa.compute.equal(got["block"], b))
+        assert mine.filter(pa.compute.equal(mine["kind"], "own"))["payload"].to_pylist() == [b"%d" % b]
         assert block_lists.answers(mine, "exact").tolist() == [int(first[h] != (d, s)) for h, d, s in zip(*(c.tolist() for c in cols))]
