@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import gif, language_id, line_templates, mixing, ngram_join, ordinal_quality, packing, prefix_trie, repetition, role_repair, sharding, substring_dedup
+from . import gif, language_id, license_scan, line_templates, mixing, ngram_join, ordinal_quality, packing, prefix_trie, repetition, role_repair, sharding, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_pack_sequences": packing.op8_pack_sequences,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_language_id": language_id.op10_language_id,
+    "op11_license_scan": license_scan.op11_license_scan,
     "op12_role_repair": role_repair.op12_role_repair,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
@@ -24,6 +25,7 @@ SQL: dict[str, str] = {
     "op6_mix_sources": mixing.OP6_SQL,
     "op7_quality_rules": repetition.OP7_SQL,
     "op9_ngram_join": ngram_join.OP9_SQL,
+    "op11_license_scan": license_scan.OP11_SQL,
     "op12_role_repair": role_repair.OP12_SQL,
     "op13_prefix_trie": prefix_trie.OP13_SQL,
 }

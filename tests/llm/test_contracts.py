@@ -24,6 +24,9 @@ TYPES = {
     "op8_pack_sequences": {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "sequence_id": "bigint", "offset": "bigint"},
     "op9_ngram_join": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"},
     "op10_language_id": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+    "op11_license_scan": {"doc_id": "bigint", "n_words": "bigint", "n_base": "bigint", "first_word": "bigint", "last_word": "bigint", "base_labels": "string", "labels": "string", "score": "double"},
+    "op12_role_repair": {"conv_id": "bigint", "gaps": "bigint", "blank": "bigint", "duplicate": "bigint", "truncated": "bigint", "illegal": "bigint", "cost": "bigint", "audit": "string", "repaired_sha256": "string"},
+    "op13_prefix_trie": {"conv_id": "bigint", "depth": "bigint", "parent_conv_id": "bigint", "n_convs": "bigint", "n_children": "bigint", "n_leaves": "bigint", "saved_tokens": "bigint", "ends_sha256": "string"},
 }
 TEXTS = [(i, t, s) for i, t, s in corpus(100, 11)]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -35,6 +38,8 @@ def tables(spark, tmp_path_factory):
     for name, texts in (("full", TEXTS), ("empty", [])):
         rows = [(i, t, "en" if i % 3 else "xx", s, None if t is None else len(t)) for i, t, s in texts]
         spark.createDataFrame(rows, SCHEMA).write.parquet(str(root / name / "documents.parquet"))
+        talk = [(i // 3, i % 3, "user" if i % 3 else "assistant", t) for i, t, _ in texts]
+        spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").write.parquet(str(root / name / "conversations.parquet"))
         spark.createDataFrame([(i, int(i % 2), int(i % 5 == 0)) for i, _, _ in texts], "doc_id long, quality int, toxic int").write.parquet(str(root / name / "labels.parquet"))
     return root
 
