@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from evidentia.functions.identity import cite_document, page_range
 from evidentia.functions.text import first_match
+from evidentia.operators.running import running
 
 #: What the source systems stamp on a page.
 PJE_RE = r"(?u)Num\.\s*(\d+)\s*-\s*P[áa]g\.\s*(\d+)"
@@ -102,13 +103,16 @@ def page_to_document(pages: DataFrame, documents: DataFrame, case: str = "case_i
     and every piece keeps its earliest cover, so that pieces are disjoint and a
     page finds its piece by one lookup of the last start at or before it.
     Pieces are cut at every ``PAGE_BLOCK`` pages, so that a window holds one
-    block of a case and a case of any size is spread.
+    block of a case and a case of any size is spread; the running maximum of
+    last pages goes over blocks of documents in the same way.  An interval
+    without a number at either end covers nothing.
     """
     b = documents.select(case, *dict.fromkeys(("num", "first_page", "last_page", *carry)))
     cover = F.struct(F.col("first_page").alias("_f"), F.col("num").alias("_n"), F.struct(*[F.col(c) for c in carry]).alias("doc"))
     # disjoint pieces: a document's interval less what earlier ones cover, which is a prefix of it
-    order = W.partitionBy(case).orderBy("first_page", "num").rowsBetween(W.unboundedPreceding, -1)
-    pieces = b.withColumn("_from", F.greatest(F.col("first_page"), F.coalesce(F.max("last_page").over(order) + 1, F.col("first_page"))))
+    b = b.filter(F.col("first_page").isNotNull() & F.col("last_page").isNotNull()).withColumn("_b", F.floor(F.col("first_page") / PAGE_BLOCK))
+    pieces = running(b, [case], ["_b"], ["first_page", "num"], {"_before": (F.col("last_page"), "max")}, inclusive=False).drop("_b")
+    pieces = pieces.withColumn("_from", F.greatest(F.col("first_page"), F.col("_before") + 1))
     pieces = pieces.filter(F.col("_from") <= F.col("last_page")).select(case, F.col("_from").alias("_at"), F.lit(0).alias("_k"), F.struct(F.col("last_page").alias("_to"), cover.alias("c")).alias("_p"))
     keep = pages.columns
     block = lambda c: F.floor(c / F.lit(PAGE_BLOCK)).cast("long")

@@ -9,8 +9,10 @@ from pyspark.sql import Window as W
 
 from evidentia.functions.identity import event_id, page_of, sorted_evidence
 from evidentia.functions.text import collapse, dates, dense_excerpt, first_match, fold
-from evidentia.operators.docmap import page_to_document
+from evidentia.operators.docmap import PAGE_BLOCK, page_to_document
+from evidentia.operators.running import numbered
 from evidentia.rules import PT_LEGAL, RulePack, first_rule
+from evidentia.sources.shared import written
 
 OCR_READING, NATIVE_READING, EXTRACTION = 0.75, 0.95, 0.8
 
@@ -60,8 +62,26 @@ def extract_events(units: DataFrame, pack: RulePack = PT_LEGAL, case: str = "cas
         F.when(ocr, OCR_READING).otherwise(NATIVE_READING).alias("reading_confidence"), F.lit(EXTRACTION).alias("extraction_confidence"),
         F.when(ocr, "ocr").otherwise("native").alias("source"),
     )
-    n = F.row_number().over(W.partitionBy(case).orderBy("page", "unit_id"))
-    return e.withColumn("raw_event_id", F.concat(F.lit("raw-"), F.lpad(n.cast("string"), 6, "0")))
+    e = written(e).withColumn("_b", page_block(F.col("page")))
+    e = numbered(e, [case], ["_b"], ["page", "unit_id"], "_n").drop("_b")
+    return e.withColumn("raw_event_id", padded("raw-", F.col("_n"), 6)).drop("_n")
+
+
+def padded(prefix: str, n: Column, width: int) -> Column:
+    """``prefix`` and a number of ``width`` digits at least."""
+    s = n.cast("string")
+    return F.concat(F.lit(prefix), F.when(F.length(s) < width, F.lpad(s, width, "0")).otherwise(s))
+
+
+def page_block(page: Column) -> Column:
+    """Blocks of 1,024 pages, those without a number first."""
+    return F.coalesce(F.floor(page / PAGE_BLOCK).cast("long"), F.lit(-(1 << 62)).cast("long"))
+
+
+def by_day(df: DataFrame, day: Column, rest: Column) -> tuple[DataFrame, list[str]]:
+    """``df`` with levels of an order by day and then by what ``rest`` is the
+    first part of: months, days, and parts of a day.  ``day`` isn't null."""
+    return df.withColumns({"_l0": F.substring(day, 1, 7), "_l1": day, "_l2": rest}), ["_l0", "_l1", "_l2"]
 
 
 KEY = ("tipo", "subtipo", "modalidade", "data_documento", "data_juntada")
@@ -119,7 +139,11 @@ def timeline(events: DataFrame, documents: DataFrame, since: str | None = None,
         t = t.filter(F.col("data") >= since)
     if until:
         t = t.filter(F.col("data") <= until)
-    return t.withColumn("position", F.row_number().over(W.partitionBy(case).orderBy(F.col("data").asc_nulls_last(), "_o"))).drop("_o")
+    t = written(t)
+    # of one day events stand first, by id; filings by page
+    part = F.when(F.col("_o.s") == 0, F.concat(F.lit("0"), F.substring(F.coalesce("_o.i", F.lit("")), 1, 7))).otherwise(F.concat(F.lit("1"), F.lpad(F.greatest(page_block(F.col("_o.p")), F.lit(0)).cast("string"), 12, "0")))
+    t, levels = by_day(t, F.coalesce("data", F.lit("~")), part)
+    return numbered(t, [case], levels, [F.col("data").asc_nulls_last(), "_o"], "position").drop("_o", *levels)
 
 
 def confidence_bucket(v: Column) -> Column:
@@ -140,9 +164,11 @@ def radar(events: DataFrame, side: str, deadlines: DataFrame | None = None, trig
     """Two items per triggering event, a deadline candidate and an
     opportunity, each numbered per case; the deadline's reference row if
     ``deadlines`` is given.  Always to be checked, never a conclusion."""
-    e = events.filter(F.col("tipo") == trigger)
-    n = F.row_number().over(W.partitionBy(case).orderBy(F.coalesce("data_documento", "data_juntada"), "event_id"))
-    e = e.withColumn("radar_id", F.concat(F.lit("radar-"), F.lpad(n.cast("string"), 4, "0")))
+    e = written(events.filter(F.col("tipo") == trigger))
+    day = F.coalesce("data_documento", "data_juntada")
+    e, levels = by_day(e, F.coalesce(day, F.lit("")), F.substring(F.coalesce("event_id", F.lit("")), 1, 7))
+    e = numbered(e, [case], levels, [day, "event_id"], "_n").drop(*levels)
+    e = e.withColumn("radar_id", padded("radar-", F.col("_n"), 4)).drop("_n")
     common = (case, "radar_id", F.col("event_id").alias("evento_base"), "evidence_ids", confidence_bucket(F.col("reading_confidence")).alias("reading_confidence"), confidence_bucket(F.col("extraction_confidence")).alias("extraction_confidence"))
     none = F.array().cast("array<string>")
     a = e.select(F.lit("prazo").alias("lista"), *common, F.lit("contestacao").alias("tipo"), F.lit("conferir").alias("status"), F.lit(side).alias("lado_favorecido"), F.lit("Contestacao pode exigir conferencia de tempestividade.").alias("hipotese"), F.array(*map(F.lit, CAVEATS)).alias("ressalvas"), F.lit(None).cast("string").alias("acao_sugerida"), F.lit(deadline_id).alias("_id"))

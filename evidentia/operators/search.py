@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from evidentia.functions.text import dense_excerpt, tokens
+from evidentia.functions.text import dense_excerpt, fold, tokens
 
 K1, B, LEAST_IDF, RRF_K = 1.2, 0.75, 1e-6, 60
 MAX_TERMS = 10_000
@@ -101,7 +101,9 @@ def bm25(
     g = list(group)
     q = queries.select(*g, "query_id", F.posexplode(tokens("query")).alias("_p", "term"))
     qt = q.groupBy(*g, "query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    shape = qt.groupBy(*g, "query_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("qf").alias("n_tokens"))
+    # the query's own size goes with its terms: hits don't have to be gathered by query for it
+    size = W.partitionBy(*g, "query_id")
+    qt = qt.withColumns({"n_terms": F.count(F.lit(1)).over(size), "n_tokens": F.sum("qf").over(size)})
     terms = [r["term"] for r in qt.select("term").distinct().limit(MAX_TERMS + 1).collect()]
     if index is not None:
         # of a stored index only the query's terms are read
@@ -118,15 +120,22 @@ def bm25(
     scored = index.join(qt, [*g, "term"]).join(df, [*g, "term"])
     scored = _with_stats(scored, stats, g)
     part = idf(F.col("n_docs"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    per = scored.groupBy(*g, "query_id", id_col).agg((-F.sum(F.col("qf") * part)).alias("score"), F.count(F.lit(1)).alias("matched"))
-    per = per.join(shape, [*g, "query_id"])
-    per = per.withColumn("_all", F.col("matched") == F.col("n_terms"))
-    any_all = F.max("_all").over(W.partitionBy(*g, "query_id"))
-    # the AND rows if there are any; the window is over the hits of a query
-    per = per.withColumn("_and", any_all).filter(F.col("_all") | (~F.col("_and") & (F.col("n_tokens") >= 2)))
-    per = per.withColumn("mode", F.when(F.col("_all"), "and").otherwise("or")).withColumn("score", F.round("score", 9))
-    ranked = per.withColumn("rank", F.row_number().over(W.partitionBy(*g, "query_id").orderBy("score", id_col)))
-    return ranked.filter(F.col("rank") <= k).select(*g, "query_id", id_col, "mode", "score", "rank")
+    per = scored.groupBy(*g, "query_id", id_col).agg((-F.sum(F.col("qf") * part)).alias("score"), F.count(F.lit(1)).alias("matched"), F.max("n_terms").alias("n_terms"), F.max("n_tokens").alias("n_tokens"))
+    return _best(per.withColumn("score", F.round("score", 9)), k, id_col, g)
+
+
+def _best(hits: DataFrame, k: int | Column, id_col: str, g: list[str]) -> DataFrame:
+    """The ``k`` best of each query's hits (matched, n_terms, n_tokens, score).
+
+    Hits with all terms and the others are ranked apart, so that each task sends
+    ``k`` rows of either on; of those few it is seen whether any has all terms,
+    and the others are dropped where one has.
+    """
+    hits = hits.withColumn("_all", F.col("matched") == F.col("n_terms")).filter(F.col("_all") | (F.col("n_tokens") >= 2))
+    apart = hits.withColumn("rank", F.row_number().over(W.partitionBy(*g, "query_id", "_all").orderBy("score", id_col))).filter(F.col("rank") <= k)
+    any_all = F.max("_all").over(W.partitionBy(*g, "query_id"))  # 2 k rows at most
+    best = apart.withColumn("_and", any_all).filter(F.col("_all") == F.col("_and"))
+    return best.select(*g, "query_id", id_col, F.when(F.col("_all"), "and").otherwise("or").alias("mode"), "score", "rank")
 
 
 def _term_counts(units: DataFrame, terms: list[str], id_col: str, text: str, g: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -137,8 +146,9 @@ def _term_counts(units: DataFrame, terms: list[str], id_col: str, text: str, g:
     rows = toks.select(*g, id_col, F.size("_t").alias("dl"), F.explode(F.concat(wanted, F.array(F.lit("")))).alias("_x"))
     counts = rows.select(*g, id_col, "dl", F.coalesce("_x", F.lit("")).alias("term")).groupBy(*g, id_col, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     none = F.col("term") == ""
-    stats = counts.groupBy(*g).agg(F.count_if(none).alias("n_docs"), F.avg(F.when(none, F.col("dl"))).alias("avg_dl"))
-    return counts, stats
+    # tf is carried so that this aggregate reads the same exchange as the hits, and texts are read once
+    stats = counts.groupBy(*g).agg(F.struct(F.count_if(none).alias("n_docs"), F.avg(F.when(none, F.col("dl"))).alias("avg_dl"), F.sum("tf").alias("cf")).alias("_s"))
+    return counts, stats.filter(F.col("_s.cf") > 0).select(*g, F.col("_s.n_docs").alias("n_docs"), F.col("_s.avg_dl").alias("avg_dl"))
 
 
 def _with_stats(df: DataFrame, stats: DataFrame, g: list[str]) -> DataFrame:
@@ -149,48 +159,38 @@ def _with_stats(df: DataFrame, stats: DataFrame, g: list[str]) -> DataFrame:
     return df.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")
 
 
-def snippets(hits: DataFrame, queries: DataFrame, units: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 24) -> DataFrame:
+#: A token and what stands between it and the next.
+TOKEN_RE, BEFORE_RE = r"([\p{L}\p{N}]+)([^\p{L}\p{N}]*)", r"^[^\p{L}\p{N}]*"
+
+
+def snippets(hits: DataFrame, queries: DataFrame, units: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 24, k: int | None = None) -> DataFrame:
     """``hits`` (query_id, id, ...) with ``snippet``: the window of 24 tokens
     that holds the most distinct query terms, those marked «so», and … where
-    text is left out.  Only texts of hits are joined."""
-    from evidentia.functions.text import python_fold
-
-    import re
-
-    word = re.compile(r"[^\W_]+", re.UNICODE)
-    src = hits.join(queries.select("query_id", "query"), "query_id").join(units.select(id_col, F.col(text).alias("_text")), id_col)
-    names = list(hits.columns)
-    schema = T.StructType([*hits.schema, T.StructField("snippet", T.StringType())])
-
-    def mark(doc: str | None, query: str) -> str | None:
-        if doc is None:
-            return None
-        want = set(word.findall(python_fold(query)))
-        spans = [(m.start(), m.end(), python_fold(m.group())) for m in word.finditer(doc)]
-        if not spans:
-            return doc[:200]
-        at = [i for i, s in enumerate(spans) if s[2] in want]
-        best, first = -1, 0
-        for i in at or [0]:
-            n = len({spans[j][2] for j in at if i <= j < i + window})
-            if n > best:
-                best, first = n, i
-        first = max(0, min(first, len(spans) - window))
-        last = min(len(spans), first + window)
-        out, pos = [], spans[first][0] if first else 0
-        for s, e, f in spans[first:last]:
-            out.append(doc[pos:s])
-            out.append(f"«{doc[s:e]}»" if f in want else doc[s:e])
-            pos = e
-        out.append(doc[pos:] if last == len(spans) else " … ")
-        return ("… " if first else "") + "".join(out)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [mark(t, q) for t, q in zip(b.column("_text").to_pylist(), b.column("query").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(made, pa.string())], names=[*names, "snippet"])
-
-    return src.select(*hits.columns, "query", "_text").mapInArrow(run, schema)
+    text is left out; without a hit the first window, without a token the first
+    200 characters.  Only texts of hits are joined; with ``k`` hits of a query
+    at most the hits are sent to the texts, if they are few.
+
+    The windows that begin at a hit are compared by what they share with the
+    query, an intersection of ``window`` tokens each.
+    """
+    asked = hits.join(queries.select("query_id", F.array_distinct(tokens("query")).alias("_want")), "query_id")
+    if k is not None and queries.count() * k <= MAX_HITS_SENT:
+        asked = F.broadcast(asked)
+    s = units.select(id_col, F.col(text).alias("_text")).join(asked, id_col)
+    part = lambda i: F.regexp_extract_all("_text", F.lit(TOKEN_RE), F.lit(i))
+    s = s.withColumns({"_t": part(1), "_gap": part(2)})
+    s = s.withColumns({"_f": F.split(fold(F.array_join("_t", " ")), " "), "_n": F.size("_t")})
+    token = lambda c, i: F.element_at(F.col(c), i)
+    wanted = lambda i: F.array_contains(F.col("_want"), token("_f", i))
+    s = s.withColumn("_at", F.when(F.col("_n") > 0, F.filter(F.sequence(F.lit(1), F.col("_n")), wanted)))
+    scored = F.transform("_at", lambda i: F.struct(F.size(F.array_intersect("_want", F.slice("_f", i, F.lit(window)))).alias("n"), (-i).alias("i")))
+    s = s.withColumn("_first", F.greatest(F.lit(1), F.least(F.coalesce(-F.array_max(scored)["i"], F.lit(1)), F.col("_n") - window + 1)))
+    s = s.withColumn("_last", F.least("_n", F.col("_first") + window - 1))
+    mark = lambda i: F.when(wanted(i), F.concat(F.lit("«"), token("_t", i), F.lit("»"))).otherwise(token("_t", i))
+    after = lambda i: F.when((i < F.col("_last")) | (F.col("_last") == F.col("_n")), token("_gap", i)).otherwise(" … ")
+    shown = F.array_join(F.transform(F.sequence("_first", "_last"), lambda i: F.concat(mark(i), after(i))), "")
+    before = F.when(F.col("_first") > 1, "… ").otherwise(F.regexp_extract("_text", BEFORE_RE, 0))
+    return s.select(*hits.columns, F.when(F.col("_n") > 0, F.concat(before, shown)).otherwise(F.substring("_text", 1, 200)).alias("snippet"))
 
 
 # ---------------------------------------------------------------- vectors

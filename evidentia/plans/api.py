@@ -252,7 +252,7 @@ class Engine:
                 q = self.spark.createDataFrame([(*r, v) for r, v in zip(rows, vs)], "query_id string, query string, qvec array<double>")
                 vectors = space.select("evidence_id", F.col("vector").alias("embedding"))
         hits = se.hybrid(q, units, vectors, limit, "evidence_id", index=self._t("postings", case_id))
-        snip = se.snippets(hits.select("query_id", "evidence_id"), q.select("query_id", "query"), units, "evidence_id")
+        snip = se.snippets(hits.select("query_id", "evidence_id"), q.select("query_id", "query"), units, "evidence_id", k=limit)
         cites = dm.page_citations(units.select("case_id", "page").distinct(), self.documents(case_id), self._stamped(case_id))
         u = units.select("evidence_id", "case_id", "page", "unit_id")
         return hits.join(snip, ["query_id", "evidence_id"]).join(u, "evidence_id").join(cites.select("case_id", "page", "num", "citacao"), ["case_id", "page"], "left").orderBy("query_id", "rank")
@@ -293,7 +293,7 @@ class Engine:
         index = self._t("postings", case_id)
         hits = se.bm25(q, None, max_items, "evidence_id", index=index, stats=se.index_stats(index)).withColumn("alt", F.col("query_id").cast("int")).withColumn("case_id", F.lit(case_id))
         hits = mx.first_with_hits(hits, "case_id")
-        snip = se.snippets(hits.select("query_id", "evidence_id", "case_id", "rank"), q, units, "evidence_id").withColumnRenamed("snippet", "trecho")
+        snip = se.snippets(hits.select("query_id", "evidence_id", "case_id", "rank"), q, units, "evidence_id", k=max_items).withColumnRenamed("snippet", "trecho")
         names = ev.header_facts(units).filter("papel <> 'valor'").groupBy("case_id").agg(F.collect_list("nome").alias("names"))
         names = self._t("cases", case_id).select("case_id").join(names, "case_id", "left").select("case_id", F.concat(F.coalesce("names", F.array().cast("array<string>")), F.array(*map(F.lit, extra_names or [])).cast("array<string>")).alias("names"))
         ask = self.spark.createDataFrame([(case_id, objective, side)], "case_id string, objetivo string, lado string")

@@ -120,7 +120,7 @@ def missing_vectors(spark: SparkSession, d: str) -> DataFrame:
 @query
 def snippet_topk(spark: SparkSession, d: str) -> DataFrame:
     docs, q = t(spark, d, "documents"), searches(spark)
-    return se.snippets(se.bm25(q, docs, 5).select("query_id", "doc_id", "rank"), q, docs)
+    return se.snippets(se.bm25(q, docs, 5).select("query_id", "doc_id", "rank"), q, docs, k=5)
 
 
 # ---------------------------------------------------------------- text
