@@ -49,8 +49,10 @@ def index_rows(units: DataFrame, id_col: str = "doc_id", text: str = "text", gro
 
 
 def index_stats(index: DataFrame, group: Sequence[str] = ()) -> DataFrame:
-    """(group..., n_docs, avg_dl) of a stored index."""
-    return index.filter(F.col("term") == "").groupBy(*group).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    """(group..., n_docs, avg_dl) of a stored index: the sum of what its writes
+    added, a few rows of each case."""
+    s = index.filter(F.col("term").isNull()).groupBy(*group).agg(F.sum("tf").alias("n_docs"), F.sum("dl").alias("_dl")).filter("n_docs > 0")
+    return s.select(*group, "n_docs", (F.col("_dl") / F.col("n_docs")).alias("avg_dl"))
 
 
 def corpus_stats(units: DataFrame, text: str = "text", group: Sequence[str] = ()) -> DataFrame:

@@ -84,7 +84,7 @@ class Engine:
         led, cases = self._t("page_ledger", case_id), self._t("cases", case_id)
         est = cov.ocr_estimate(led, self._t("approvals", case_id))
         fin = cov.final_status(led, cases, est)
-        jobs = cov.latest_job(self._t("ingest_jobs", case_id)).select("case_id", "job_id").join(fin, "case_id").select("job_id", F.col("final_status").alias("status"), "alerts")
+        jobs = cov.latest_job(self._t("ingest_jobs", case_id)).select("case_id", "job_id").join(fin, "case_id").select("job_id", "case_id", F.col("final_status").alias("status"), "alerts")
         self.store.patch("ingest_jobs", jobs)
         self.store.merge("approvals", est, lambda cur: merge_registry(cur, est.select("case_id", F.col("pending").cast("int").alias("estimated_pages")), ["case_id"]))
         return cov.latest_job(self._t("ingest_jobs", case_id))
@@ -112,7 +112,7 @@ class Engine:
         between("max_pages", max_pages, 1, 10**6), between("max_calls", max_calls, 1, 10**7)
         row = self.spark.createDataFrame([(case_id, True, max_pages, max_calls)], "case_id string, approved boolean, max_pages int, max_calls int").withColumn("approved_at", self._now())
         self.store.merge("approvals", row, lambda cur: merge_registry(cur, row, ["case_id"]))
-        self.store.patch("ingest_jobs", cov.latest_job(self._t("ingest_jobs", case_id)).select("job_id", F.lit("running").alias("status")))
+        self.store.patch("ingest_jobs", cov.latest_job(self._t("ingest_jobs", case_id)).select("job_id", "case_id", F.lit("running").alias("status")))
 
     def resume(self, case_id: str, budget: Budget = Budget(), source: PageSource | None = None) -> DataFrame:
         """Go on with a case under a lease; refuses while another worker is live.

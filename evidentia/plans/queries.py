@@ -123,6 +123,23 @@ def snippet_topk(spark: SparkSession, d: str) -> DataFrame:
     return se.snippets(se.bm25(q, docs, 5).select("query_id", "doc_id", "rank"), q, docs, k=5)
 
 
+@query
+def stored_index_search(spark: SparkSession, d: str) -> DataFrame:
+    """Documents indexed by source in three writes, a third of them twice, then
+    searched over the stored postings and statistics."""
+    from evidentia.streaming.ingest import index_units
+
+    store = st.Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", buckets=16)
+    docs = t(spark, d, "documents").filter("source IS NOT NULL").select(F.col("doc_id").cast("string").alias("evidence_id"), F.col("source").alias("case_id"), "text", "doc_id")
+    for part in (docs.filter("doc_id % 3 < 2").withColumn("text", F.when(F.col("doc_id") % 3 == 1, F.upper("text")).otherwise(F.lit("old words"))), docs.filter("doc_id % 3 = 2"), docs.filter("doc_id % 3 = 0")):
+        index_units(store, part)
+    index = store.read("postings")
+    q = docs.select("case_id").distinct().select("case_id", F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in SEARCHES))).alias("s"))
+    q = q.select("case_id", F.concat_ws("/", "case_id", "s.a").alias("query_id"), F.col("s.b").alias("query"))
+    out = se.bm25(q, None, 3, "evidence_id", group=("case_id",), index=index, stats=se.index_stats(index, ["case_id"]))
+    return out.select("query_id", F.col("evidence_id").cast("long").alias("doc_id"), "mode", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
 # ---------------------------------------------------------------- text
 
 

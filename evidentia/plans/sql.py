@@ -146,6 +146,16 @@ GEN = (("license", r"\blicen[sc]e"), ("german", r"\b(und|der)\b"), ("french", r"
 
 SQL: dict[str, str] = {
     "bm25_or_fallback": f"WITH {bm25(SEARCH, 10)} SELECT query_id, doc_id, mode, rank, round(score, 6) AS score FROM lex",
+    "stored_index_search": f"""WITH d AS (SELECT doc_id, source, {tok("CASE WHEN doc_id % 3 = 1 THEN upper(text) ELSE text END")} AS t FROM documents WHERE source IS NOT NULL AND text IS NOT NULL),
+      st AS (SELECT source, count(*) AS n, avg(len(t)) AS a FROM d GROUP BY source), s AS {SEARCH},
+      qt AS (SELECT query_id, term, count(*) AS qf FROM (SELECT query_id, unnest({tok('query')}) AS term FROM s) GROUP BY ALL), shape AS (SELECT query_id, count(*) AS n_terms, sum(qf) AS n_tokens FROM qt GROUP BY query_id),
+      tf AS (SELECT source, doc_id, dl, term, count(*) AS tf FROM (SELECT source, doc_id, len(t) AS dl, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+      df AS (SELECT source, term, count(*) AS df FROM tf GROUP BY ALL),
+      sc AS (SELECT source, query_id, doc_id, round(-sum(qf * CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 9) AS score, count(*) AS matched
+        FROM tf JOIN qt USING (term) JOIN df USING (source, term) JOIN st USING (source) GROUP BY ALL),
+      pick AS (SELECT *, matched = n_terms AS al, max(matched = n_terms) OVER (PARTITION BY source, query_id) AS any_all FROM sc JOIN shape USING (query_id))
+      SELECT source || '/' || query_id AS query_id, doc_id, CASE WHEN al THEN 'and' ELSE 'or' END AS mode, row_number() OVER (PARTITION BY source, query_id ORDER BY score, doc_id::VARCHAR) AS rank, round(score, 6) AS score
+      FROM pick WHERE al OR (NOT any_all AND n_tokens >= 2) QUALIFY rank <= 3""",
     "bm25_and": f"WITH {bm25(SEARCH, 25)} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM lex WHERE mode = 'and'",
     "term_stats": f"WITH p AS (SELECT doc_id, unnest({tok('text')}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS n FROM p GROUP BY ALL) SELECT term, count(*) AS df, sum(n)::BIGINT AS cf FROM tf GROUP BY term",
     "vector_topk": f"""WITH {NORM} SELECT a.vec_id AS query_id, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_inner_product(a.v, b.v), 9) DESC, b.vec_id) AS rank, round(list_inner_product(a.v, b.v), 6) AS score

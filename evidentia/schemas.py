@@ -14,8 +14,9 @@ EVIDENCE = struct(
     image_ref=struct(page_image_path=S, page_pdf_path=S, region_path=S, bbox=T.ArrayType(D)), ocr=struct(provider=S, model=S, reading_confidence=D, warning=S),
 )
 VECTORS = struct(evidence_id=S, case_id=S, model=S, dim=I, vector=T.ArrayType(T.FloatType()))
-#: A row for each distinct term of a unit, and one with an empty term for its length.
-POSTINGS = struct(evidence_id=S, case_id=S, term=S, tf=L, dl=I)
+#: A row for each distinct term of a unit, one with an empty term for its length,
+#: and rows without a term: units (tf) and tokens (dl) that a write added to a case.
+POSTINGS = struct(evidence_id=S, case_id=S, term=S, tf=L, dl=L)
 LEDGER = struct(
     case_id=S, page=I, page_hash=S, state=S, text_quality_score=D, text_quality_reasons=T.ArrayType(S), native_text_chars=I, native_text_hash=S, piece_type=S, piece_confidence=D,
     ocr_needed=B, ocr_attempts=I, ocr_last_error_kind=S, ocr_last_error_message=S, ocr_yield=S, ocr_prompt_version=I, evidence_ids=T.ArrayType(S), updated_at=TS,

@@ -1,7 +1,8 @@
 """A store of tables on plain Parquet: buckets of cases, a log of versions.
 
-The rows of a table are dealt to BUCKETS by a hash of their case; a version
-names the folders that make up each bucket.  A write makes new folders for the
+The rows of a table are dealt to buckets by a hash of their case; a version
+names the folders that make up each bucket.  A row lies with its case, so new
+rows tell which buckets a write has to read.  A write makes new folders for the
 buckets it touches and then creates the next version's log file, which only one
 writer can: the others read the new version and try again, so no update is
 lost.  New rows are added beside what is there; a bucket is rewritten only
@@ -12,6 +13,7 @@ one version and never see half a write.  Paths go through Spark only.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -22,8 +24,12 @@ from evidentia.functions.identity import finding_id
 from evidentia.schemas import TABLES
 from evidentia.sources.files import Files
 
-#: Buckets of a table, folders of a bucket before it is rewritten, versions that stay for running readers.
-BUCKETS, MAX_FOLDERS, KEPT_VERSIONS = 64, 24, 8
+#: Buckets of a new store's tables, folders of a bucket before it is rewritten;
+#: versions, and time in milliseconds, that old files stay for running readers.
+BUCKETS, MAX_FOLDERS, KEPT_VERSIONS, KEPT_MS = 64, 24, 8, 24 * 3600 * 1000
+#: Tables whose files are sorted, so that their own statistics tell readers what
+#: to skip: columns, and bytes of a row group.
+SORTED = {"postings": (("case_id", "term"), 8 << 20)}
 MAX_FINDINGS, MAX_FINDING_CHARS = 500, 600
 
 
@@ -114,15 +120,30 @@ def usage_totals(usage: DataFrame) -> DataFrame:
 Entry = dict[str, list[str]]
 
 
-def bucket(case: Column) -> Column:
-    return F.pmod(F.xxhash64(case), F.lit(BUCKETS)).cast("int")
+class Store:
+    """Tables under ``root``; see ``evidentia.schemas.TABLES``.
+
+    The number of buckets is fixed by who writes first and kept with the store:
+    a store of 100 TB wants some ten thousand, so that a bucket is some GB.
+    """
 
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root, self.files, self._asked = spark, root.rstrip("/"), Files(spark), buckets
+        self._n: int | None = None
 
-class Store:
-    """Tables under ``root``; see ``evidentia.schemas.TABLES``."""
+    @property
+    def n_buckets(self) -> int:
+        if self._n is None:
+            path = f"{self.root}/buckets"
+            said = self.files.read(path)
+            if said is None:
+                self.files.create(path, str(self._asked))
+                said = self.files.read(path)
+            self._n = int(said or self._asked)
+        return self._n
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark)
+    def bucket(self, case: Column) -> Column:
+        return F.pmod(F.xxhash64(case), F.lit(self.n_buckets)).cast("int")
 
     # versions
 
@@ -145,13 +166,20 @@ class Store:
         return True
 
     def _tidy(self, table: str, n: int) -> None:
-        """Drop old versions, and folders that only those name."""
+        """Drop versions that are old by number and by age, and folders that
+        only those name: a long scan keeps its files."""
         old = [v for v in self._versions(table) if v <= n - KEPT_VERSIONS]
         if len(old) < KEPT_VERSIONS:
             return
+        # a version is in use until the next one replaces it
+        before = int(time.time() * 1000) - KEPT_MS
+        young = next((v for v in old if self.files.modified_ms(f"{self.root}/{table}/log/{v + 1:012d}") > before), None)
+        old = [v for v in old if young is None or v < young]
+        if not old:
+            return
         load = lambda v: json.loads(self.files.read(f"{self.root}/{table}/log/{v:012d}") or "{}")
         folders = lambda vs: {f"{x}/_b={b}" for v in vs for b, xs in load(v).items() for x in xs}
-        for f in folders(old) - folders(v for v in self._versions(table) if v > n - KEPT_VERSIONS):
+        for f in folders(old) - folders(v for v in self._versions(table) if v > old[-1]):
             self.files.delete(f"{self.root}/{table}/data/{f}")
         for v in old:
             self.files.delete(f"{self.root}/{table}/log/{v:012d}")
@@ -169,11 +197,21 @@ class Store:
         cols = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
         name = uuid.uuid4().hex
         path = f"{self.root}/{table}/data/{name}"
-        df.select(*cols).withColumn("_b", bucket(F.col("case_id"))).repartition("_b").write.partitionBy("_b").parquet(path)
+        # a large bucket is written by several tasks, small ones share one
+        dealt = df.select(*cols).withColumn("_b", self.bucket(F.col("case_id"))).hint("rebalance", "_b")
+        write = dealt.write
+        if table in SORTED:
+            order, group = SORTED[table]
+            write = dealt.sortWithinPartitions("_b", *order).write.option("parquet.block.size", group)
+        write.partitionBy("_b").parquet(path)
         return name, {x[3:] for x in self.files.names(path) if x.startswith("_b=")}
 
     def _buckets(self, df: DataFrame) -> set[int]:
-        return {r[0] for r in df.select(bucket(F.col("case_id"))).distinct().collect()}  # at most BUCKETS
+        return {r[0] for r in df.select(self.bucket(F.col("case_id"))).distinct().collect()}  # at most n_buckets
+
+    def _within(self, df: DataFrame) -> set[int] | None:
+        """The buckets of rows that name their case; None: any."""
+        return self._buckets(df) if "case_id" in df.columns else None
 
     # reading and writing
 
@@ -182,17 +220,25 @@ class Store:
         _, entry = self._entry(table)
         if case_id is None:
             return self._frame(table, entry)
-        own = self.spark.range(1).select(bucket(F.lit(case_id))).first()[0]
+        own = self.spark.range(1).select(self.bucket(F.lit(case_id))).first()[0]
         return self._frame(table, entry, [own]).filter(F.col("case_id") == case_id)
 
-    def change(self, table: str, touched: Callable[[DataFrame], set[int]], rows: Callable[[DataFrame], DataFrame], beside: Callable[[DataFrame], set[int]] = lambda _: set()) -> None:
+    def near(self, table: str, rows: DataFrame) -> DataFrame:
+        """The current version's buckets of the cases of ``rows``: all that can
+        hold rows of those cases."""
+        return self._frame(table, self._entry(table)[1], sorted(self._buckets(rows)))
+
+    def change(
+        self, table: str, touched: Callable[[DataFrame], set[int]], rows: Callable[[DataFrame], DataFrame], beside: Callable[[DataFrame], set[int]] = lambda _: set(), within: set[int] | None = None
+    ) -> None:
         """Rewrite the buckets ``touched(current)`` as ``rows(current rows of
         those buckets)``; what it gives for ``beside(current)`` is added to
-        theirs.  If another writer was faster, the same again on its version,
-        unless that left the same buckets alone."""
+        theirs.  ``current`` is read in the buckets ``within`` only, if given.
+        If another writer was faster, the same again on its version, unless that
+        left the same buckets alone."""
         while True:
             n, entry = self._entry(table)
-            whole = self._frame(table, entry)
+            whole = self._frame(table, entry, None if within is None else sorted(within))
             old = touched(whole)
             new = beside(whole) - old
             old |= {b for b in new if len(entry.get(str(b), [])) >= MAX_FOLDERS}
@@ -211,7 +257,7 @@ class Store:
 
     def write(self, table: str, df: DataFrame) -> None:
         """``df`` in place of all rows."""
-        self.change(table, lambda _: set(range(BUCKETS)), lambda _: df)
+        self.change(table, lambda _: set(range(self.n_buckets)), lambda _: df)
 
     def _holding(self, current: DataFrame, keys: DataFrame, names: list[str]) -> set[int]:
         return self._buckets(current.join(keys.select(*names).distinct(), names, "left_semi"))
@@ -223,19 +269,45 @@ class Store:
             new = check_units(new)
         if "case_id" not in new.columns:
             new = new.withColumn("case_id", F.lit(None).cast("string"))
-        self.change(table, lambda cur: self._holding(cur, new, names), lambda cur: upsert(cur, new, names), lambda _: self._buckets(new))
+        own = self._buckets(new)
+        self.change(table, lambda cur: self._holding(cur, new, names), lambda cur: upsert(cur, new, names), lambda _: own, own)
 
     def delete(self, table: str, gone: DataFrame, keys: list[str]) -> None:
-        self.change(table, lambda cur: self._holding(cur, gone, keys), lambda cur: delete(cur, gone, keys))
+        """Rows with the keys of ``gone``; where it names cases, of those only."""
+        self.change(table, lambda cur: self._holding(cur, gone, keys), lambda cur: delete(cur, gone, keys), within=self._within(gone))
 
     def patch(self, table: str, changes: DataFrame) -> None:
         names = list(TABLES[table][1])
-        self.change(table, lambda cur: self._holding(cur, changes, names), lambda cur: patch(cur, changes, names))
+        self.change(table, lambda cur: self._holding(cur, changes, names), lambda cur: patch(cur, changes, names), within=self._within(changes))
 
     def append(self, table: str, rows: DataFrame) -> None:
         """Rows beside those that are there: nothing is read."""
-        self.change(table, lambda _: set(), lambda cur: cur.unionByName(rows, allowMissingColumns=True), lambda _: self._buckets(rows))
+        own = self._buckets(rows)
+        self.change(table, lambda _: set(), lambda cur: cur.unionByName(rows, allowMissingColumns=True), lambda _: own, set())
 
     def merge(self, table: str, cases: DataFrame, rows: Callable[[DataFrame], DataFrame]) -> None:
         """The rows of the buckets of ``cases`` (case_id) as ``rows(current)``."""
-        self.change(table, lambda _: self._buckets(cases), rows)
+        own = self._buckets(cases)
+        self.change(table, lambda _: own, rows, within=own)
+
+    def index(self, units: DataFrame, postings: DataFrame) -> None:
+        """The text index of new or changed ``units`` (case_id, evidence_id):
+        their old postings go, ``postings`` (with a row of an empty term for
+        each unit) are added.
+
+        Beside them go rows without a term: what the case gained in units (tf)
+        and tokens (dl), less what replaced units had.  They are in the same
+        version as the postings, so they can't differ from them; where a bucket
+        is rewritten they become one row for each case.
+        """
+        own = self._buckets(units)
+        unit_rows = lambda df: df.filter("term = ''").select("case_id", F.lit(1).alias("n"), F.col("dl").cast("long").alias("dl"))
+
+        def rows(cur: DataFrame) -> DataFrame:
+            lost = unit_rows(cur.join(units.select("evidence_id").distinct(), "evidence_id", "left_semi")).selectExpr("case_id", "-n AS n", "-dl AS dl")
+            before = cur.filter("term IS NULL").select("case_id", F.col("tf").alias("n"), "dl")
+            gained = unit_rows(postings).unionByName(lost).unionByName(before).groupBy("case_id").agg(F.sum("n").alias("tf"), F.sum("dl").alias("dl"))
+            kept = delete(cur.filter("term IS NOT NULL"), units, ["evidence_id"])
+            return kept.unionByName(postings, allowMissingColumns=True).unionByName(gained, allowMissingColumns=True)
+
+        self.change("postings", lambda cur: self._holding(cur, units, ["evidence_id"]), rows, lambda _: own, own)

@@ -20,6 +20,7 @@ from evidentia.operators.search import index_rows, retrieval_text
 from evidentia.rules import PT_LEGAL, RulePack
 from evidentia.schemas import PAGES
 from evidentia.sources.files import Files, contained, safe_name
+from evidentia.sources.shared import written
 from evidentia.sources.store import Store
 
 
@@ -91,12 +92,19 @@ def page_rows(pages: DataFrame, pack: RulePack = PT_LEGAL, now: Column | None =
 def ingest_batch(store: Store, pages: DataFrame, pack: RulePack = PT_LEGAL) -> None:
     """One micro-batch: pages whose text is settled already are left out;
     evidence is written before the ledger, so that a ledger row always has its
-    evidence; a batch that runs twice changes nothing."""
-    rows = pages.withColumn("hash", sha256(F.coalesce(F.col("text"), F.lit(""))))
-    todo = skip_extracted(rows, store.read("page_ledger")).drop("hash").dropDuplicates(["case_id", "page"])
-    units, ledger = page_rows(todo, pack)
-    old = store.read("evidence_units").select("evidence_id", F.col("hash").alias("_h"))
-    changed = units.select("evidence_id", "hash").join(old, "evidence_id").filter(F.col("hash") != F.col("_h")).select("evidence_id")
+    evidence; a batch that runs twice changes nothing.
+
+    What is to be done is written down once, so that a source is read and parsed
+    once; of the store only the buckets of the batch's cases are read.
+    """
+    rows = pages.withColumn("hash", sha256(F.coalesce(F.col("text"), F.lit("")))).dropDuplicates(["case_id", "page"])
+    rows = written(rows.select("case_id", F.col("page").cast("int").alias("page"), "text", "hash"))
+    todo = written(skip_extracted(rows, store.near("page_ledger", rows)).drop("hash"))
+    if todo.isEmpty():
+        return
+    units, ledger = (written(x) for x in page_rows(todo, pack))
+    old = store.near("evidence_units", units).select("evidence_id", F.col("hash").alias("_h"))
+    changed = units.select("evidence_id", "case_id", "hash").join(old, "evidence_id").filter(F.col("hash") != F.col("_h")).select("evidence_id", "case_id")
     store.delete("evidence_vectors", changed, ["evidence_id"])
     store.upsert("evidence_units", units)
     index_units(store, units)
@@ -108,8 +116,7 @@ def index_units(store: Store, units: DataFrame) -> None:
     """The stored text index of new or changed units: their old postings go,
     the new ones are added beside the rest."""
     units = units.select("evidence_id", "case_id", "text")
-    store.delete("postings", units, ["evidence_id"])
-    store.append("postings", index_rows(units.filter("text IS NOT NULL"), "evidence_id", "text", ("case_id",)))
+    store.index(units, written(index_rows(units.filter("text IS NOT NULL"), "evidence_id", "text", ("case_id",))))
 
 
 def ingest_stream(store: Store, path: str, checkpoint: str, fmt: str = "parquet", pack: RulePack = PT_LEGAL, files_per_batch: int = 50):
@@ -208,7 +215,7 @@ def enrich(store: Store, enricher: Enricher, budget: Budget = Budget(), pack: Ru
     ok = done.filter("error IS NULL")
     eid = evidence_id("case_id", "page", F.lit("ocr001"))
     units = ok.select(eid.alias("evidence_id"), "case_id", "page", F.lit("ocr001").alias("unit_id"), F.lit("ocr_paragraph").alias("unit_type"), F.lit(0).alias("start_offset"), F.length("text").alias("end_offset"), sha256("text").alias("hash"), "text")
-    store.delete("evidence_vectors", done.select(eid.alias("evidence_id")), ["evidence_id"])
+    store.delete("evidence_vectors", done.select(eid.alias("evidence_id"), "case_id"), ["evidence_id"])
     store.upsert("evidence_units", units)
     index_units(store, units)
     y = page_yield("text")["yield"]

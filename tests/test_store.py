@@ -56,6 +56,7 @@ def test_concurrent_writers_lose_nothing(spark, tmp_path, cases):
 def test_old_versions_go_and_buckets_are_rewritten(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(st, "MAX_FOLDERS", 3)
     monkeypatch.setattr(st, "KEPT_VERSIONS", 2)
+    monkeypatch.setattr(st, "KEPT_MS", -1000)
     s = Store(spark, str(tmp_path))
     for k in range(9):
         s.upsert("page_ledger", ledger(spark, [("a", k, "x")]))
@@ -106,3 +107,95 @@ def test_settings():
     assert Settings.from_env(env, "OLD_") == Settings("/r", 7, 3, 25) and number({"X": "0"}, 5, "X") == 0
     with pytest.raises(ValueError):
         Settings.from_env({})
+
+
+def scanned_rows(df):
+    """Rows that the scans of an executed plan gave."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if "Adaptive" in plan.getClass().getSimpleName() else plan
+    todo, n = [plan], 0
+    while todo:
+        p = todo.pop()
+        if p.metrics().contains("numOutputRows") and "FileSourceScan" in p.getClass().getSimpleName():
+            n += p.metrics().apply("numOutputRows").value()
+        if p.getClass().getSimpleName().endswith("QueryStageExec"):
+            todo.append(p.plan())
+        kids = p.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    return n
+
+
+def units_of(spark, rows):
+    return spark.createDataFrame(rows, "evidence_id string, case_id string, text string")
+
+
+def test_index_reads_what_a_search_asks_for(spark, tmp_path, monkeypatch):
+    """A search of one term reads a fraction of the postings, and its statistics
+    a few rows, whatever the number of units."""
+    from evidentia.operators import search as se
+    from evidentia.streaming.ingest import index_units
+
+    monkeypatch.setitem(st.SORTED, "postings", (("case_id", "term"), 64 << 10))
+    s = Store(spark, str(tmp_path), buckets=2)
+    units = spark.range(3000).selectExpr("concat('e', id) AS evidence_id", "'a' AS case_id", "concat_ws(' ', transform(sequence(1, 40), i -> concat('w', (id * 31 + i * 977) % 5000))) AS text").persist()
+    index_units(s, units)
+    index = s.read("postings", "a")
+    n = index.count()
+    assert n == 3000 * 41 + 1
+    assert 0 < scanned_rows(index.filter(F.col("term").isin("w77", "w4999"))) < n / 3
+    assert scanned_rows(index.filter("term IS NULL")) < n / 3
+    q = spark.createDataFrame([("q", "w77 w1054"), ("r", "w4999")], "query_id string, query string")
+    got = se.bm25(q, None, 10, "evidence_id", index=index, stats=se.index_stats(index)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, se.bm25(q, units, 10, "evidence_id").collect()))
+
+
+def test_index_statistics_are_additive(spark, tmp_path):
+    """New, changed, emptied and repeated units; an interrupted batch run again."""
+    from evidentia.operators import search as se
+    from evidentia.streaming.ingest import index_units
+
+    s = Store(spark, str(tmp_path), buckets=4)
+    now = {}
+    for rows in (
+        [("a1", "a", "one two three"), ("a2", "a", ""), ("b1", "b", "one")],
+        [("a1", "a", "one"), ("a3", "a", "four five")],
+        [("a1", "a", "one"), ("a3", "a", "four five")],
+        [("a2", "a", None), ("c1", "c", "x y z"), ("b1", "b", "two two")],
+    ):
+        index_units(s, units_of(spark, rows))
+        now |= {i: (c, t) for i, c, t in rows}
+        stats = {r.case_id: (r.n_docs, round(r.avg_dl, 9)) for r in se.index_stats(s.read("postings"), ["case_id"]).collect()}
+        want = {}
+        for c, t in now.values():
+            if t is not None:
+                want.setdefault(c, []).append(len(t.split()))
+        assert stats == {c: (len(x), round(sum(x) / len(x), 9)) for c, x in want.items()}
+        assert {(r.evidence_id, r.term, r.tf) for r in s.read("postings").filter("term <> ''").collect()} == {(i, w, t.split().count(w)) for i, (c, t) in now.items() if t for w in t.split()}
+
+
+def test_a_write_reads_its_own_buckets(spark, tmp_path, monkeypatch):
+    """The files that a small write looks at don't grow with the table."""
+    s = Store(spark, str(tmp_path), buckets=16)
+    s.upsert("page_ledger", ledger(spark, [(f"c{i}", p, "x") for i in range(200) for p in range(3)]))
+    looked = []
+    frame = Store._frame
+    monkeypatch.setattr(Store, "_frame", lambda self, table, entry, buckets=None: looked.append(None if buckets is None else len(list(buckets))) or frame(self, table, entry, buckets))
+    s.upsert("page_ledger", ledger(spark, [("c7", 1, "y"), ("c7", 9, "y")]))
+    s.patch("page_ledger", ledger(spark, [("c8", 1, "z")]))
+    s.delete("page_ledger", spark.createDataFrame([("c9", 0)], "case_id string, page int"), ["case_id", "page"])
+    s.near("page_ledger", spark.createDataFrame([("c9",)], "case_id string")).count()
+    assert looked and all(n is not None and n <= 1 for n in looked)
+    assert s.read("page_ledger").count() == 600
+    assert Store(spark, str(tmp_path)).n_buckets == 16  # whoever opens it
+
+
+def test_young_versions_stay(spark, tmp_path, monkeypatch):
+    """A reader that began some versions ago still finds its files."""
+    monkeypatch.setattr(st, "KEPT_VERSIONS", 1)
+    s = Store(spark, str(tmp_path))
+    s.upsert("page_ledger", ledger(spark, [("a", 1, "old")]))
+    early = s.read("page_ledger")
+    for k in range(6):
+        s.upsert("page_ledger", ledger(spark, [("a", 1, f"v{k}")]))
+    assert [r.state for r in early.collect()] == ["old"] and s.read("page_ledger").first().state == "v5"
