@@ -88,7 +88,7 @@ STAMPS = (
     r"(?:Documento\s+)?[Aa]ssinado eletronicamente por:?\s*.{0,80}?\d{2}/\d{2}/\d{4}(?:,?\s*(?:[àa]s\s*)?\d{2}:\d{2}(?::\d{2})?)?(?:\s*-\s*[0-9a-f]{4,12})?",
     r"(?iu)Este documento foi gerado pelo usu[áa]rio\s*[\d.*-]{0,24}(?:\s*em\s*\d{2}/\d{2}/\d{4}(?:\s*\d{2}:\d{2}(?::\d{2})?)?)?",
     r"(?iu)N[úu]mero do (?:documento|processo):?\s*[\d.\-]+",
-    r"(?iu)https?://\S+",
+    r"https?://\S+",
     r"(?iu)Fls\.?\s*:?\s*\d+",
 )
 MIN_BEYOND_STAMPS = 120

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from evidentia.functions.text import fold, strip_personal_names
 from evidentia.operators.events import concepts
+from evidentia.operators.running import numbered
 from evidentia.rules import PT_LEGAL, RulePack
 
 SOURCE_KIND = {"inicial": "alegacao_autor", "contestacao": "alegacao_reu", "replica": "replica_autor", "atos_judiciais": "ato_judicial"}
@@ -66,14 +67,43 @@ def bundle_query(objective: Column, texts: Column, names: Column, pack: RulePack
     return F.substring(strip_personal_names(F.concat_ws(" ", objective, F.array_join(found, " ")), names), 1, most)
 
 
+def first_seen(rows: DataFrame, keys: list[str], value: str, place: Column) -> DataFrame:
+    """(keys..., values): the distinct values of each key in the order of their
+    first places.  Values are combined before they are gathered."""
+    seen = rows.groupBy(*keys, value).agg(F.min(place).alias("_at"))
+    return seen.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", value))).alias("_s")).select(*keys, F.transform("_s", lambda x: x[value]).alias(value))
+
+
+def role_pieces(documents: DataFrame, pack: RulePack = PT_LEGAL, case: str = "case_id") -> DataFrame:
+    """(case, role, position, num, paginas, citacao): the documents that stand
+    for a role, in the order of their pages; those of no role are left out."""
+    d = documents.select(case, role_of(F.col("piece_type"), pack).alias("role"), "num", "first_page", "last_page", "citacao").filter(F.col("role") != OUTSIDE)
+    d = numbered(d.withColumn("_b", F.coalesce(F.floor(F.col("first_page") / 1024), F.lit(-1))), [case, "role"], ["_b"], ["first_page", "num"], "position")
+    return d.select(case, "role", "position", "num", F.concat_ws("-", F.col("first_page").cast("string"), F.col("last_page").cast("string")).alias("paginas"), "citacao")
+
+
+def proof_pages(ledger: DataFrame, case: str = "case_id") -> DataFrame:
+    """(case, page, evidence_id, display_ref): every page that is a proof."""
+    ref = F.concat(F.lit("pagina "), F.col("page").cast("string"))
+    return ledger.filter("piece_type = 'comprovante'").select(case, "page", F.try_element_at("evidence_ids", F.lit(1)).alias("evidence_id"), ref.alias("display_ref"))
+
+
+#: Proof pages that a bundle shows; ``proof_pages`` has all of them.
+MOST_PROOFS = 1000
+
+
 def bundles(objectives: DataFrame, facts: DataFrame, ledger: DataFrame, radar: DataFrame, coverage: DataFrame, names: DataFrame, pack: RulePack = PT_LEGAL, case: str = "case_id") -> DataFrame:
     """One bundle per objective (case, objetivo, lado): facts (case, rank,
-    evidence_id, trecho), proofs, theses, gaps and the outside query."""
+    evidence_id, trecho), proofs (the first ``MOST_PROOFS`` pages, and their
+    number), theses in the order in which the radar has them, gaps and the
+    outside query."""
     clean = F.replace(F.replace(F.coalesce("trecho", F.lit("")), F.lit("«")), F.lit("»"))
     f = facts.select(case, "rank", "evidence_id", clean.alias("t"))
     f = f.groupBy(case).agg(F.array_sort(F.collect_list(F.struct("rank", "evidence_id", F.substring("t", 1, 240).alias("texto"), F.substring("t", 1, 500).alias("trecho")))).alias("fatos"))
-    p = ledger.filter("piece_type = 'comprovante'").groupBy(case).agg(F.array_sort(F.collect_list(F.struct("page", F.try_element_at("evidence_ids", F.lit(1)).alias("evidence_id")))).alias("provas"))
-    t = radar.groupBy(case).agg(F.array_sort(F.collect_set("hipotese")).alias("teses"))
+    every = proof_pages(ledger, case)
+    first = every.withColumn("_r", F.row_number().over(W.partitionBy(case).orderBy("page", "evidence_id"))).filter(F.col("_r") <= MOST_PROOFS)
+    p = first.groupBy(case).agg(F.array_sort(F.collect_list(F.struct("page", "evidence_id"))).alias("provas")).join(every.groupBy(case).agg(F.count(F.lit(1)).alias("n_provas")), case)
+    t = first_seen(radar, [case], "hipotese", F.struct(F.when(F.col("lista") == "prazo", 0).otherwise(1), "radar_id")).withColumnRenamed("hipotese", "teses")
     out = objectives
     for x in (f, p, t, coverage.select(case, F.col("critical_gaps").alias("lacunas")), names):
         out = out.join(x, case, "left")

@@ -60,16 +60,26 @@ def missing_ids(asked: DataFrame, known: DataFrame, column: str) -> DataFrame:
     return asked.select(column).filter(F.col(column).isNotNull()).distinct().join(known.select(column), column, "left_anti")
 
 
-def verify_references(evidence_ids: DataFrame, doc_ids: DataFrame, claims: DataFrame | None, units: DataFrame, registered: DataFrame) -> DataFrame:
-    """One row: ok, missing_evidence_ids, missing_doc_ids, failed_claims."""
-    e = missing_ids(evidence_ids, units, "evidence_id").agg(F.array_sort(F.collect_list("evidence_id")).alias("missing_evidence_ids"))
-    d = missing_ids(doc_ids, registered, "doc_id").agg(F.array_sort(F.collect_list("doc_id")).alias("missing_doc_ids"))
-    one = lambda x: x.withColumn("_one", F.lit(1))
-    out = one(e).join(one(d), "_one")
+def reference_outcomes(evidence_ids: DataFrame, doc_ids: DataFrame, claims: DataFrame | None, units: DataFrame, registered: DataFrame) -> DataFrame:
+    """(kind, id): a row for each evidence id or doc id that isn't known and each
+    claim that fails; kind is evidence, doc or claim."""
+    out = missing_ids(evidence_ids, units, "evidence_id").select(F.lit("evidence").alias("kind"), F.col("evidence_id").alias("id"))
+    out = out.unionByName(missing_ids(doc_ids, registered, "doc_id").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id")))
     if claims is not None:
-        v = verify_claims(claims, units, registered).filter("status <> 'ok'").agg(F.array_sort(F.collect_list("claim_id")).alias("failed_claims"))
-        out = out.join(one(v), "_one")
-    else:
-        out = out.withColumn("failed_claims", F.array().cast("array<string>"))
-    ok = (F.size("missing_evidence_ids") == 0) & (F.size("missing_doc_ids") == 0) & (F.size("failed_claims") == 0)
-    return out.select(ok.alias("ok"), "missing_evidence_ids", "missing_doc_ids", "failed_claims")
+        out = out.unionByName(verify_claims(claims, units, registered).filter("status <> 'ok'").select(F.lit("claim").alias("kind"), F.col("claim_id").alias("id")))
+    return out
+
+
+def reference_verdict(outcomes: DataFrame) -> DataFrame:
+    """One row: ok, and how many of each kind are missing or fail."""
+    of = lambda k: F.count_if(F.col("kind") == k)
+    return outcomes.agg((F.count(F.lit(1)) == 0).alias("ok"), of("evidence").alias("missing_evidence"), of("doc").alias("missing_docs"), of("claim").alias("failed_claims"))
+
+
+def verify_references(evidence_ids: DataFrame, doc_ids: DataFrame, claims: DataFrame | None, units: DataFrame, registered: DataFrame) -> DataFrame:
+    """One row with lists: ok, missing_evidence_ids, missing_doc_ids,
+    failed_claims.  For what one caller has asked; ``reference_outcomes`` is the
+    form for any number."""
+    o = reference_outcomes(evidence_ids, doc_ids, claims, units, registered)
+    ids = lambda k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("id"))))
+    return o.agg((F.count(F.lit(1)) == 0).alias("ok"), ids("evidence").alias("missing_evidence_ids"), ids("doc").alias("missing_doc_ids"), ids("claim").alias("failed_claims"))

@@ -285,6 +285,10 @@ class Engine:
         m = mx.topic_matrix(hits, roles, limit, primary)
         return m, mx.matrix_gaps(m, q.select("topic").distinct(), docs.select(mx.role_of(F.col("piece_type"), self.pack).alias("role")).distinct())
 
+    def role_pieces(self, case_id: str | None = None) -> DataFrame:
+        """The documents that stand for each role, in their order."""
+        return mx.role_pieces(self.documents(case_id), self.pack)
+
     def bundle(self, case_id: str, objective: str, side: str, max_items: int = 30, extra_names: list[str] | None = None) -> DataFrame:
         between("max_items", max_items, 1, 50), one_of("lado", side, ("autor", "reu"))
         searches = [f"{objective} {side}".strip(), *mx.FALLBACKS]

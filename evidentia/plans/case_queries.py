@@ -104,8 +104,9 @@ def references_verdict(spark: SparkSession, d: str) -> DataFrame:
     e = t(spark, d, "embeddings").select((F.col("vec_id") * 3).cast("string").alias("evidence_id"))
     asked = t(spark, d, "events").select(F.concat(F.lit("d"), F.col("user_id") % 7).alias("doc_id"))
     reg = spark.createDataFrame([("d0",), ("d1",), ("d5",)], "doc_id string")
-    v = vf.verify_references(e, asked, claims_of_items(spark, d), units, reg)
-    return v.select("ok", *(F.array_join(c, ",").alias(c) for c in ("missing_evidence_ids", "missing_doc_ids", "failed_claims")))
+    o = vf.reference_outcomes(e, asked, claims_of_items(spark, d), units, reg)
+    v = vf.reference_verdict(o).select(F.lit("verdict").alias("kind"), F.when(F.col("ok"), "ok").otherwise(F.concat_ws("/", "missing_evidence", "missing_docs", "failed_claims")).alias("id"))
+    return o.unionByName(v)
 
 
 @query
@@ -226,7 +227,8 @@ def evidence_bundles(spark: SparkSession, d: str) -> DataFrame:
     hits = se.bm25(asks.select(F.col("case_id").alias("query_id"), F.col("case_id").alias("source"), F.lit("the licensed").alias("query")), docs, 4, group=("source",))
     facts = hits.join(docs.select("doc_id", "text"), "doc_id").select(F.col("source").alias("case_id"), "rank", F.col("doc_id").cast("string").alias("evidence_id"), F.col("text").alias("trecho"))
     led = docs.filter("source IS NOT NULL").select(F.col("source").alias("case_id"), F.col("doc_id").alias("page"), F.when(F.col("n_chars") < 60, "comprovante").otherwise("outra").alias("piece_type"), F.array(F.col("doc_id").cast("string")).alias("evidence_ids"))
-    radar = asks.select("case_id", F.explode(F.array(F.lit("tese b"), F.lit("tese a"), F.lit("tese b"))).alias("hipotese"))
+    items = (("oportunidade", "radar-0001", "tese a"), ("prazo", "radar-0002", "tese b"), ("prazo", "radar-0001", "tese c"), ("oportunidade", "radar-0003", "tese b"))
+    radar = asks.select("case_id", F.explode(F.array(*(F.struct(F.lit(a).alias("lista"), F.lit(b).alias("radar_id"), F.lit(c).alias("hipotese")) for a, b, c in items))).alias("i")).select("case_id", "i.*")
     gaps = asks.select("case_id", F.array("lado").alias("critical_gaps"))
     names = asks.select("case_id", F.array(F.lit("Licensed")).alias("names"))
     b = mx.bundles(asks, facts, led, radar, gaps, names)
@@ -236,6 +238,21 @@ def evidence_bundles(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def role_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of each role, in the order of their pages."""
+    o = t(spark, d, "orders")
+    docs = o.select((F.col("o_custkey") % 20).alias("case_id"), F.col("o_orderkey").cast("string").alias("num"), (F.col("o_orderkey") * 3).alias("first_page"), (F.col("o_orderkey") * 3 + 1).alias("last_page"), piece_of(F.col("o_orderkey")).alias("piece_type"), F.concat(F.lit("ID "), "o_orderkey").alias("citacao"))
+    return mx.role_pieces(docs)
+
+
+@query
+def proof_pages(spark: SparkSession, d: str) -> DataFrame:
+    docs = t(spark, d, "documents")
+    led = docs.select(F.col("source").alias("case_id"), F.col("doc_id").alias("page"), F.when(F.col("n_chars") < 400, "comprovante").otherwise("outra").alias("piece_type"), F.when(F.col("doc_id") % 4 > 0, F.array(F.concat(F.lit("e"), "doc_id"))).otherwise(F.array().cast("array<string>")).alias("evidence_ids"))
+    return mx.proof_pages(led)
+
+
 @query
 def outside_queries(spark: SparkSession, d: str) -> DataFrame:
     """Objective and missing concepts of the customer's case, without names."""

@@ -46,8 +46,8 @@ SQL: dict[str, str] = {
       array_to_string(list_filter([CASE WHEN r < total THEN 'ingest_incomplete' END, CASE WHEN pending > 0 THEN 'ocr_pending' END, CASE WHEN NOT penal AND pen > 0 THEN 'area_mismatch' END], lambda a: a IS NOT NULL), ',') AS alerts FROM x""",
     "references_verdict": f"""WITH c AS ({ITEMS}), e AS (SELECT DISTINCT (vec_id * 3)::VARCHAR AS i FROM embeddings ANTI JOIN documents ON doc_id = vec_id * 3), d AS (SELECT DISTINCT 'd' || (user_id % 7) AS i FROM events WHERE 'd' || (user_id % 7) NOT IN ('d0', 'd1', 'd5')),
       v AS (SELECT claim_id AS i FROM c WHERE status <> 'ok' AND NOT (status = 'doc_id_nao_registrado' AND list_has_all(['d0', 'd1', 'd5'], string_split(missing_docs, '|')))),
-      o AS (SELECT (SELECT coalesce(string_agg(i, ',' ORDER BY i), '') FROM e) AS a, (SELECT coalesce(string_agg(i, ',' ORDER BY i), '') FROM d) AS b, (SELECT coalesce(string_agg(i, ',' ORDER BY i), '') FROM v) AS f)
-      SELECT a = '' AND b = '' AND f = '' AS ok, a AS missing_evidence_ids, b AS missing_doc_ids, f AS failed_claims FROM o""",
+      o AS (SELECT 'evidence' AS kind, i AS id FROM e UNION ALL SELECT 'doc', i FROM d UNION ALL SELECT 'claim', i FROM v)
+      SELECT kind, id FROM o UNION ALL SELECT 'verdict', CASE WHEN count(*) = 0 THEN 'ok' ELSE count(*) FILTER (WHERE kind = 'evidence') || '/' || count(*) FILTER (WHERE kind = 'doc') || '/' || count(*) FILTER (WHERE kind = 'claim') END FROM o""",
     "vector_upsert": """WITH n AS (SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 'a' ELSE 'b' END AS model, label + 100 AS label FROM embeddings WHERE vec_id % 3 = 0)
       SELECT vec_id, 'a' AS model, label FROM embeddings e WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.vec_id = e.vec_id AND n.model = 'a') UNION ALL SELECT vec_id, model, label FROM n""",
     "dossier_limits": """WITH b AS (SELECT CASE WHEN length(trim(text)) > 600 THEN substr(trim(text), 1, 600) || ' …' ELSE trim(text) END AS a, doc_id::VARCHAR AS e FROM documents), x AS (SELECT DISTINCT 'ach-' || substr(sha256(a || '|' || e), 1, 12) AS i, length(a) AS n FROM b WHERE length(a) > 0)
@@ -76,7 +76,10 @@ SQL: dict[str, str] = {
       pk AS (SELECT *, max(al) OVER (PARTITION BY source) AS anyall FROM sc), h AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY score, doc_id) AS rank FROM pk WHERE al OR NOT anyall QUALIFY rank <= 4),
       f AS (SELECT h.source, string_agg(h.doc_id || ':' || least(240, length(text)) || ':' || least(500, length(text)), '|' ORDER BY rank) AS fatos, string_agg(h.doc_id::VARCHAR, ',' ORDER BY rank) AS ids FROM h JOIN documents ON documents.doc_id = h.doc_id GROUP BY h.source),
       p AS (SELECT source, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS provas FROM documents WHERE n_chars < 60 GROUP BY source)
-      SELECT st.source AS case_id, fatos, provas, 'tese a|tese b' AS teses, 1::BIGINT AS lacunas, ids AS fundamento FROM st LEFT JOIN f ON f.source = st.source LEFT JOIN p ON p.source = st.source""",
+      SELECT st.source AS case_id, fatos, provas, 'tese c|tese b|tese a' AS teses, 1::BIGINT AS lacunas, ids AS fundamento FROM st LEFT JOIN f ON f.source = st.source LEFT JOIN p ON p.source = st.source""",
+    "role_pieces": f"""WITH x AS (SELECT o_custkey % 20 AS case_id, o_orderkey AS k, {piece('o_orderkey')} AS t FROM orders), r AS (SELECT case_id, k, CASE WHEN t IN ('inicial', 'contestacao') THEN t ELSE 'atos_judiciais' END AS role FROM x WHERE t IN ('inicial', 'contestacao', 'sentenca'))
+      SELECT case_id, role, row_number() OVER (PARTITION BY case_id, role ORDER BY k) AS position, k::VARCHAR AS num, (k * 3) || '-' || (k * 3 + 1) AS paginas, 'ID ' || k AS citacao FROM r""",
+    "proof_pages": "SELECT source AS case_id, doc_id AS page, CASE WHEN doc_id % 4 > 0 THEN 'e' || doc_id END AS evidence_id, 'pagina ' || doc_id AS display_ref FROM documents WHERE n_chars < 400",
     "outside_queries": "SELECT c_custkey, 'cobranca contra [parte] dano moral' AS query FROM customer",
     "json_lists": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type || ',b' ELSE '' END AS items FROM events",
     "file_names": r"""WITH x AS (SELECT page_id, substr(regexp_replace(regexp_replace(lower(strip_accents(url)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60) AS s FROM pages)

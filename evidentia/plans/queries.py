@@ -158,7 +158,7 @@ def quality_confusion(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def ocr_yield(spark: SparkSession, d: str) -> DataFrame:
-    stamped = F.concat("text", F.lit(" Num. "), F.col("doc_id").cast("string"), F.lit(" - Pág. 3 https://pje.example/x?y Fls. 12"))
+    stamped = F.concat("text", F.lit(" Num. "), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, " - Pág. 3 https://pje.example/x?y Fls. 12").otherwise(" - Pág. 3 HTTPS://PJE.example/x?y Fls. 12"))
     x = t(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.col("text")).otherwise(stamped).alias("s"))
     y = tx.page_yield("s")
     return x.select("doc_id", y["yield"].alias("ocr_yield"), y["useful"].cast("long").alias("useful"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from evidentia.functions import text
-
 SEARCHES = (
     ("q1", "the of that"),
     ("q2", "der und zzzabsent"),
@@ -64,9 +62,23 @@ ql AS (SELECT doc_id, list_filter([CASE WHEN useful < 20 THEN 'too_few_useful_ch
   CASE WHEN n > 20 AND spaces / total < 0.04 THEN 'low_space_ratio' END, CASE WHEN lc / total > 0.3 OR (len(lt) > 0 AND useful < 200) THEN 'long_unseparated_sequence' END,
   CASE WHEN (sym + control) / total > 0.15 OR control >= 2 THEN 'gibberish_ratio_high' END], lambda x: x IS NOT NULL) AS r FROM n2)"""
 
-#: The operators' patterns; this dialect has Unicode rules without a flag.
-STAMPS = tuple(p.replace("(?iu)", "(?i)") for p in text.STAMPS)
-MASKS = text.PERSONAL
+#: Stamps of the source systems, written here on their own; this
+#: dialect has Unicode rules without a flag.
+STAMPS = (
+    r"(?i)num\.\s*\d+\s*-\s*p[áa]g\.\s*\d+",
+    r"(?:Documento\s+)?[Aa]ssinado eletronicamente por:?\s*.{0,80}?\d{2}/\d{2}/\d{4}(?:,?\s*(?:[àa]s\s*)?\d{2}:\d{2}(?::\d{2})?)?(?:\s*-\s*[0-9a-f]{4,12})?",
+    r"(?i)este documento foi gerado pelo usu[áa]rio\s*[\d.*-]{0,24}(?:\s*em\s*\d{2}/\d{2}/\d{4}(?:\s*\d{2}:\d{2}(?::\d{2})?)?)?",
+    r"(?i)n[úu]mero do (?:documento|processo):?\s*[\d.\-]+",
+    r"https?://\S+",
+    r"(?i)fls\.?\s*:?\s*\d+",
+)
+#: Numbers and addresses of persons.
+MASKS = (
+    (r"[0-9]{7}-?[0-9]{2}\.?[0-9]{4}\.?[0-9]\.?[0-9]{2}\.?[0-9]{4}", "[processo]"),
+    (r"[0-9]{2}\.?[0-9]{3}\.?[0-9]{3}/?[0-9]{4}-?[0-9]{2}", "[cnpj]"),
+    (r"[0-9]{3}\.?[0-9]{3}\.?[0-9]{3}-?[0-9]{2}", "[cpf]"),
+    (r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9_-]+\.[a-zA-Z0-9_.-]+", "[email]"),
+)
 
 
 def replaced(c: str, pairs) -> str:
@@ -181,7 +193,7 @@ SQL: dict[str, str] = {
     "missing_vectors": "SELECT doc_id, source FROM documents ANTI JOIN embeddings ON doc_id = vec_id WHERE trim(coalesce(text, '')) <> ''",
     "text_quality": f"WITH {QUALITY} SELECT doc_id, greatest(0.0::DOUBLE, round(1.0::DOUBLE - len(r) * 0.22::DOUBLE, 2)) AS score, len(r) > 0 AS needs_ocr, array_to_string(r, ',') AS reasons FROM ql",
     "quality_confusion": f"WITH {QUALITY} SELECT count(*) FILTER (WHERE len(r) > 0 AND quality = 0) AS tp, count(*) FILTER (WHERE len(r) = 0 AND quality <> 0) AS tn, count(*) FILTER (WHERE len(r) > 0 AND quality <> 0) AS fp, count(*) FILTER (WHERE len(r) = 0 AND quality = 0) AS fn FROM ql JOIN labels USING (doc_id)",
-    "ocr_yield": f"""WITH s AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text ELSE text || ' Num. ' || doc_id || ' - Pág. 3 https://pje.example/x?y Fls. 12' END AS s FROM documents), x AS (SELECT doc_id, coalesce(s, '') AS s, {stripped("coalesce(s, '')")} AS c FROM s)
+    "ocr_yield": f"""WITH s AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text ELSE text || ' Num. ' || doc_id || CASE WHEN doc_id % 2 = 0 THEN ' - Pág. 3 https://pje.example/x?y Fls. 12' ELSE ' - Pág. 3 HTTPS://PJE.example/x?y Fls. 12' END END AS s FROM documents), x AS (SELECT doc_id, coalesce(s, '') AS s, {stripped("coalesce(s, '')")} AS c FROM s)
       SELECT doc_id, CASE WHEN c <> s AND len(regexp_extract_all(c, '[\\p{{L}}\\p{{N}}]')) < 120 THEN 'stamp_only' ELSE 'content' END AS ocr_yield, len(regexp_extract_all(c, '[\\p{{L}}\\p{{N}}]')) AS useful FROM x""",
     "pii_strip": f"SELECT doc_id, md5({masked('text', True)}) AS stripped_md5, len(regexp_extract_all({masked('text', False)}, '\\[(cpf|cnpj|email|processo)\\]')) AS masks FROM documents",
     "secret_redact": r"""SELECT doc_id, md5(replace(regexp_replace(regexp_replace(text || ' https://x.example/a?key=abc' || doc_id || '&z=1 AIzaSyA0123456789_abcdefghijk s3cretvalue', 'AIza[0-9A-Za-z_-]{20,}', '[REDACTED]', 'g'),
