@@ -19,9 +19,10 @@ from evidentia.operators import matrix as mx
 from evidentia.operators import search as se
 from evidentia.operators import verify as vf
 from evidentia.rules import PT_LEGAL, RulePack
-from evidentia.sources.pages import PageSource, page_counts
+from evidentia.sources.pages import PageSource, total_pages, unsettled_pages
 from evidentia.sources.docx import docx_bytes
 from evidentia.sources.files import contained
+from evidentia.sources.shared import written
 from evidentia.sources.store import Store, append_findings, merge_registry, usage_totals
 from evidentia.sources.tables import find_deadlines, load_deadlines, load_phases, pieces_of_phase
 from evidentia.streaming.ingest import Budget, Embedder, Enricher, Lease, embed, enrich, ingest_batch, requeue
@@ -68,17 +69,20 @@ class Engine:
     def create_case(self, source: PageSource, area: str = "civil", now: str | None = None) -> DataFrame:
         """Take in all cases of a page source; their job rows."""
         one_of("area", area, ("civil", "penal"))
-        pages = source.pages(self.spark)
         at = F.lit(now).cast("timestamp") if now else self._now()
-        counts = page_counts(pages)
+        counts = written(total_pages(source, self.spark))
         cases = counts.select("case_id", F.lit(area).alias("area"), "total_pages", at.alias("created_at"), at.alias("updated_at"))
         self.store.upsert("cases", cases)  # a case that was deleted is there again
         job = F.concat(F.lit("job-"), F.col("case_id"), F.lit("-"), F.date_format("created_at", "yyyyMMddHHmmss"))
         jobs = self._t("cases").join(counts.select("case_id"), "case_id", "left_semi").select(job.alias("job_id"), "case_id", F.lit("running").alias("status"), "area", "total_pages", "created_at", F.col("created_at").alias("last_heartbeat_at"), F.lit(cov.DEADLINE_MS).cast("long").alias("heartbeat_deadline_ms"))
         self.store.upsert("ingest_jobs", jobs)
-        ingest_batch(self.store, pages, self.pack)
+        ingest_batch(self.store, unsettled_pages(source, self.spark, self._settled()), self.pack)
         return self.finish()
 
+    def _settled(self, case_id: str | None = None) -> DataFrame:
+        """Pages that don't have to be read again."""
+        return self._t("page_ledger", case_id).filter(F.col("state").isin(*cov.SETTLED)).select("case_id", "page")
+
     def finish(self, case_id: str | None = None) -> DataFrame:
         """Final states of the latest jobs and estimates, written back."""
         led, cases = self._t("page_ledger", case_id), self._t("cases", case_id)
@@ -129,7 +133,7 @@ class Engine:
             raise RuntimeError("another worker is live on this case")
         try:
             if source is not None:
-                ingest_batch(self.store, source.pages(self.spark).filter(F.col("case_id") == case_id), self.pack)
+                ingest_batch(self.store, unsettled_pages(source, self.spark, self._settled(case_id)).filter(F.col("case_id") == case_id), self.pack)
             again = requeue(self.store, self.enricher.prompt_version, case_id)
             latest = cov.latest_job(self._t("ingest_jobs", case_id))
             waiting = not self._t("page_ledger", case_id).filter(cov.in_queue(F.col("state"))).isEmpty()

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +21,8 @@ from evidentia.operators import search as se
 from evidentia.operators import verify as vf
 from evidentia.plans.queries import claims_of_items, event_jobs, header_parties, order_ledger, piece_of, query, raw_events, t
 from evidentia.sources import store as st
+from evidentia.sources.files import Files
+from evidentia.sources.shared import shared_folder
 
 NOW = "2024-06-01 00:00:00"
 ORDER_PIECES = ("inicial", "contestacao", "replica", "sentenca", "recurso")
@@ -314,6 +322,34 @@ def radar_lists(spark: SparkSession, d: str) -> DataFrame:
     return ev.radar_union(r).select("case_id", F.size("itens").cast("long").alias("n"), F.array_join(F.slice(F.transform("itens", lambda s: F.concat_ws(":", s["lista"], s["radar_id"])), 1, 5), "|").alias("first_items"))
 
 
+@query
+def archive_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as pages of archives, one for each of twenty cases; two pages of
+    three are settled and stay unparsed."""
+    from evidentia.sources.paged import PagedSource, ZipPages
+
+    root = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
+    Files(spark).write(f"{root}/about", "archives of pages")
+    local = root.removeprefix("file://").removeprefix("file:")
+
+    def pack(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # page by page: an archive is never held as a whole
+        store, at = (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(local)
+        n = 0
+        with store.open_output_stream(f"{at}/case-{key[0].as_py()}.zip") as f, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+            for b in batches:
+                for conv, turn, text in zip(*(b.column(c).to_pylist() for c in ("conv_id", "turn", "text"))):
+                    z.writestr(f"{conv:020d}-{turn:020d}.txt", text or "")
+                    n += 1
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    c = t(spark, d, "conversations").select((F.col("conv_id") % 20).alias("k"), "conv_id", "turn", "text")
+    c.groupBy("k").applyInArrow(pack, "n long").agg(F.sum("n")).collect()  # one number
+    source = PagedSource(f"{root}/*.zip", ZipPages())
+    settled = source.counts(spark).select("case_id", F.explode(F.sequence(F.lit(1), F.col("total_pages"))).alias("page")).filter("page % 3 > 0")
+    return source.pages(spark, settled).select("case_id", "page", F.md5("text").alias("text_md5"), "needs_enrichment")
+
+
 @query
 def text_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Documents as Markdown under their source as title: blocks by kind."""

@@ -77,6 +77,8 @@ SQL: dict[str, str] = {
       f AS (SELECT h.source, string_agg(h.doc_id || ':' || least(240, length(text)) || ':' || least(500, length(text)), '|' ORDER BY rank) AS fatos, string_agg(h.doc_id::VARCHAR, ',' ORDER BY rank) AS ids FROM h JOIN documents ON documents.doc_id = h.doc_id GROUP BY h.source),
       p AS (SELECT source, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS provas FROM documents WHERE n_chars < 60 GROUP BY source)
       SELECT st.source AS case_id, fatos, provas, 'tese c|tese b|tese a' AS teses, 1::BIGINT AS lacunas, ids AS fundamento FROM st LEFT JOIN f ON f.source = st.source LEFT JOIN p ON p.source = st.source""",
+    "archive_pages": r"""WITH x AS (SELECT 'case-' || (conv_id % 20) AS case_id, row_number() OVER (PARTITION BY conv_id % 20 ORDER BY conv_id, turn) AS page, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS s FROM conversations)
+      SELECT case_id, page, md5(s) AS text_md5, length(s) < 20 AS needs_enrichment FROM x WHERE page % 3 = 0""",
     "role_pieces": f"""WITH x AS (SELECT o_custkey % 20 AS case_id, o_orderkey AS k, {piece('o_orderkey')} AS t FROM orders), r AS (SELECT case_id, k, CASE WHEN t IN ('inicial', 'contestacao') THEN t ELSE 'atos_judiciais' END AS role FROM x WHERE t IN ('inicial', 'contestacao', 'sentenca'))
       SELECT case_id, role, row_number() OVER (PARTITION BY case_id, role ORDER BY k) AS position, k::VARCHAR AS num, (k * 3) || '-' || (k * 3 + 1) AS paginas, 'ID ' || k AS citacao FROM r""",
     "proof_pages": "SELECT source AS case_id, doc_id AS page, CASE WHEN doc_id % 4 > 0 THEN 'e' || doc_id END AS evidence_id, 'pagina ' || doc_id AS display_ref FROM documents WHERE n_chars < 400",

@@ -1,8 +1,10 @@
 """Page sources: anything that gives (case_id, page, text) rows.
 
-A page source is a function or object with ``pages(spark) -> DataFrame`` of
-``case_id, page, text``.  Parquet, text files and HTML are built in; a PDF
-source needs a parser on the executors and is plugged in the same way.
+A page source is an object with ``pages(spark) -> DataFrame`` of ``case_id,
+page, text``.  One that knows how many pages its files have says so in
+``counts``; one that can leave out settled pages takes them as a second
+argument.  Parquet, text files and HTML are built in; files of many pages with a
+parser of their own are in ``paged``.
 """
 
 from __future__ import annotations
@@ -91,5 +93,17 @@ class BinarySource:
         return with_need(out.withColumn("text", F.trim(F.regexp_replace("text", SPACE + "+", " "))))
 
 
+def total_pages(source: PageSource, spark: SparkSession) -> DataFrame:
+    """(case_id, total_pages), from the files' own counts where the source has
+    them: the last page that was read isn't the last there is."""
+    return source.counts(spark) if hasattr(source, "counts") else page_counts(source.pages(spark))
+
+
+def unsettled_pages(source: PageSource, spark: SparkSession, settled: DataFrame) -> DataFrame:
+    """The source's pages; without ``settled`` (case_id, page) ones where the
+    source can leave them unparsed."""
+    return source.pages(spark, settled) if hasattr(source, "counts") else source.pages(spark)
+
+
 def page_counts(pages: DataFrame) -> DataFrame:
     return pages.groupBy("case_id").agg(F.max("page").cast("int").alias("total_pages"))
