@@ -6,6 +6,9 @@ a desktop has no place in a query engine and raises ``NotImplementedError``.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,13 +55,18 @@ class Engine:
 
     def __post_init__(self) -> None:
         self.store = Store(self.spark, self.root)
+        self._scope: DataFrame | None = None
 
     def _t(self, table: str, case_id: str | None = None) -> DataFrame:
         """A table's rows, of one case if given, without those of deleted cases."""
-        df = self.store.read(table, case_id)
+        if self._scope is not None and case_id is None:
+            read = lambda x: self.store.near(x, self._scope).join(self._scope, "case_id", "left_semi")
+        else:
+            read = lambda x: self.store.read(x, case_id)
+        df = read(table)
         if table == "cases":
             return df.filter("deleted_at IS NULL")
-        gone = self.store.read("cases", case_id).filter("deleted_at IS NOT NULL").select("case_id")
+        gone = read("cases").filter("deleted_at IS NOT NULL").select("case_id")
         return df.join(gone, "case_id", "left_anti")
 
     def _now(self):
@@ -167,18 +175,76 @@ class Engine:
         """The units that the ledger names, in its order."""
         return cov.ledger_evidence(self._t("page_ledger", case_id), self._t("evidence_units", case_id))
 
-    def write_artifacts(self, folder: str) -> None:
+    #: What the artifacts are made of, and the columns that tell a change.
+    INPUTS = {"cases": ("area", "total_pages", "updated_at"), "ingest_jobs": ("job_id", "status", "alerts"), "page_ledger": ("page", "page_hash", "state", "piece_type", "ocr_yield", "evidence_ids"), "evidence_units": ("evidence_id", "hash"), "approvals": ("approved", "max_pages", "max_calls", "estimated_pages")}
+
+    def fingerprints(self) -> DataFrame:
+        """(case_id, mark): a hash of everything that a case's artifacts show,
+        the same in any order of rows."""
+        parts = []
+        for table, columns in self.INPUTS.items():
+            h = F.xxhash64(F.lit(table), *columns)
+            parts.append(self._t(table).groupBy("case_id").agg(F.bit_xor(h).alias("h"), F.count(F.lit(1)).alias("n"), F.lit(table).alias("t")))
+        every = parts[0]
+        for x in parts[1:]:
+            every = every.unionByName(x)
+        marks = every.groupBy("case_id").agg(F.bit_xor(F.xxhash64("t", "h", "n")).alias("mark"))
+        return marks.join(self._t("cases").select("case_id"), "case_id", "left_semi")
+
+    def write_artifacts(self, folder: str) -> int:
         """Status, jobs, ledger and coverage, documents, events and radar as
-        JSON lines, partitioned by case, below ``folder`` of the store."""
+        JSON lines, partitioned by case, below ``folder`` of the store.
+
+        Only cases that have changed since the last call are computed and
+        written, and those that are gone are removed; their number is returned.
+        The marks of what was written are kept beside and replaced last, so that
+        a call that broke off does its cases again.
+        """
         root = contained(self.root, folder)
-        civil = self._t("cases").filter("area <> 'penal'").select("case_id")
-        events = self.events()
-        tables = {
-            "status": self.status(), "job": cov.latest_job(self._t("ingest_jobs")), "ledger": self._t("page_ledger"), "coverage": self.coverage(), "documents": self.documents(),
-            "events": events, "raw_events": ev.extract_events(self._t("evidence_units").filter("text IS NOT NULL"), self.pack), "radar": ev.radar_union(ev.radar(events.join(civil, "case_id", "left_semi"), "autor")),
-        }
-        for name, df in tables.items():
-            df.write.mode("overwrite").partitionBy("case_id").json(f"{root}/{name}")
+        files = self.store.files
+        said = files.read(f"{root}/_marks/current")
+        now = written(self.fingerprints())
+        none = self.spark.createDataFrame([], "case_id string, mark long")
+        old = self.spark.read.schema(none.schema).parquet(f"{root}/_marks/{said}") if said else none
+        changed = written(now.join(old, ["case_id", "mark"], "left_anti").select("case_id"))
+        gone = old.join(now, "case_id", "left_anti").select("case_id")
+        n = changed.count() + gone.count()
+        if not n:
+            return 0
+        with self._only(changed):
+            civil = self._t("cases").filter("area <> 'penal'").select("case_id")
+            raw = written(ev.extract_events(self._t("evidence_units").filter("text IS NOT NULL"), self.pack))
+            events = written(ev.reconcile(raw))
+            tables = {
+                "status": self.status(), "job": cov.latest_job(self._t("ingest_jobs")), "ledger": self._t("page_ledger"), "coverage": self.coverage(), "documents": self.documents(),
+                "events": events, "raw_events": raw, "radar": ev.radar_union(ev.radar(events.join(civil, "case_id", "left_semi"), "autor")),
+            }
+            for name, df in tables.items():
+                rows = written(df)
+                # a case that has no rows any more keeps no file
+                for r in changed.unionByName(gone).join(rows.select("case_id").distinct(), "case_id", "left_anti").toLocalIterator():
+                    files.delete(f"{root}/{name}/case_id={self._folder_name(r.case_id)}")
+                rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("case_id").json(f"{root}/{name}")
+        mark = uuid.uuid4().hex
+        now.write.parquet(f"{root}/_marks/{mark}")
+        files.write(f"{root}/_marks/current", mark)
+        if said:
+            files.delete(f"{root}/_marks/{said}")
+        return n
+
+    def _folder_name(self, value: str) -> str:
+        """As Spark names the folder of a partition's value."""
+        return self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
+
+    @contextmanager
+    def _only(self, cases: DataFrame) -> Iterator[None]:
+        """Tables read inside have the rows of these cases alone; only their
+        buckets are read."""
+        self._scope = cases
+        try:
+            yield
+        finally:
+            self._scope = None
 
     # 4-6, 16: panels
 

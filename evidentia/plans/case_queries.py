@@ -322,6 +322,27 @@ def radar_lists(spark: SparkSession, d: str) -> DataFrame:
     return ev.radar_union(r).select("case_id", F.size("itens").cast("long").alias("n"), F.array_join(F.slice(F.transform("itens", lambda s: F.concat_ws(":", s["lista"], s["radar_id"])), 1, 5), "|").alias("first_items"))
 
 
+@query
+def enrich_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as pages that a reader of uneven luck reads under ceilings of
+    pages and calls: a seventh always fails, one is always empty, one fails
+    once and one is empty twice."""
+    from evidentia.streaming.ingest import attempt_rounds, outcome_state
+
+    class Uneven:  # local, so that it travels to the workers by value
+        name, prompt_version = "uneven", 1
+
+        def read_attempt(self, case_id: str, page: int, attempt: int) -> tuple[str, int, int]:
+            if page % 7 == 0 or page % 7 == 2 and attempt == 1:
+                raise TimeoutError
+            return ("" if page % 7 == 1 or page % 7 == 3 and attempt < 3 else "read"), 10, attempt
+
+    k = F.col("o_custkey") % 50
+    queue = t(spark, d, "orders").filter("o_orderkey % 3 = 0").select(k.cast("string").alias("case_id"), F.col("o_orderkey").cast("int").alias("page"), F.when(k % 3 == 0, 40).alias("max_pages"), F.when(k % 2 == 0, 50).alias("max_calls"))
+    out = attempt_rounds(queue, Uneven(), backoff_ms=0)
+    return out.select("case_id", "page", "attempts", outcome_state(F.col("error"), F.col("all_empty")).alias("state"), "tokens_in", "tokens_out", "error")
+
+
 @query
 def archive_pages(spark: SparkSession, d: str) -> DataFrame:
     """Turns as pages of archives, one for each of twenty cases; two pages of

@@ -77,6 +77,19 @@ SQL: dict[str, str] = {
       f AS (SELECT h.source, string_agg(h.doc_id || ':' || least(240, length(text)) || ':' || least(500, length(text)), '|' ORDER BY rank) AS fatos, string_agg(h.doc_id::VARCHAR, ',' ORDER BY rank) AS ids FROM h JOIN documents ON documents.doc_id = h.doc_id GROUP BY h.source),
       p AS (SELECT source, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS provas FROM documents WHERE n_chars < 60 GROUP BY source)
       SELECT st.source AS case_id, fatos, provas, 'tese c|tese b|tese a' AS teses, 1::BIGINT AS lacunas, ids AS fundamento FROM st LEFT JOIN f ON f.source = st.source LEFT JOIN p ON p.source = st.source""",
+    "enrich_outcomes": """WITH q AS (SELECT o_custkey % 50 AS k, o_orderkey AS page, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS n FROM orders WHERE o_orderkey % 3 = 0),
+      c AS (SELECT k, page, CASE WHEN k % 2 = 0 THEN 50 ELSE 1000000000 END AS calls, CASE page % 7 WHEN 0 THEN 4 WHEN 1 THEN 4 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 1 END AS needs FROM q WHERE k % 3 <> 0 OR n <= 40),
+      r1 AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY k ORDER BY page) <= calls),
+      s1 AS (SELECT k, count(*) AS spent FROM r1 GROUP BY k),
+      r2 AS (SELECT c.* FROM c JOIN s1 USING (k) LEFT JOIN r1 USING (k, page) WHERE r1.page IS NULL OR c.needs > 1 QUALIFY row_number() OVER (PARTITION BY c.k ORDER BY c.page) <= c.calls - s1.spent),
+      t2 AS (SELECT k, page, (r1.p IS NOT NULL)::INT + (r2.p IS NOT NULL)::INT AS tries, needs, calls FROM c LEFT JOIN (SELECT k, page, page AS p FROM r1) r1 USING (k, page) LEFT JOIN (SELECT k, page, page AS p FROM r2) r2 USING (k, page)),
+      s2 AS (SELECT k, sum(tries) AS spent FROM t2 GROUP BY k),
+      r3 AS (SELECT t2.k, t2.page FROM t2 JOIN s2 USING (k) WHERE tries < needs QUALIFY row_number() OVER (PARTITION BY t2.k ORDER BY t2.page) <= calls - spent),
+      o AS (SELECT t2.k, t2.page, tries + (r3.page IS NOT NULL)::INT AS attempts, needs FROM t2 LEFT JOIN r3 ON r3.k = t2.k AND r3.page = t2.page)
+      SELECT k::VARCHAR AS case_id, page, attempts, CASE WHEN attempts >= needs THEN 'ocr_done' WHEN page % 7 = 1 AND attempts = 3 THEN 'failed_permanent' ELSE 'failed_retryable' END AS state,
+        CASE page % 7 WHEN 0 THEN 0 WHEN 2 THEN 10 * (attempts - 1) ELSE 10 * attempts END AS tokens_in, CASE page % 7 WHEN 0 THEN 0 WHEN 2 THEN attempts * (attempts + 1) // 2 - 1 ELSE attempts * (attempts + 1) // 2 END AS tokens_out,
+        CASE WHEN attempts < needs THEN CASE WHEN page % 7 IN (0, 2) THEN 'TimeoutError' ELSE 'empty' END END AS error
+      FROM o WHERE attempts > 0""",
     "archive_pages": r"""WITH x AS (SELECT 'case-' || (conv_id % 20) AS case_id, row_number() OVER (PARTITION BY conv_id % 20 ORDER BY conv_id, turn) AS page, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS s FROM conversations)
       SELECT case_id, page, md5(s) AS text_md5, length(s) < 20 AS needs_enrichment FROM x WHERE page % 3 = 0""",
     "role_pieces": f"""WITH x AS (SELECT o_custkey % 20 AS case_id, o_orderkey AS k, {piece('o_orderkey')} AS t FROM orders), r AS (SELECT case_id, k, CASE WHEN t IN ('inicial', 'contestacao') THEN t ELSE 'atos_judiciais' END AS role FROM x WHERE t IN ('inicial', 'contestacao', 'sentenca'))

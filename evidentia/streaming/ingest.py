@@ -16,6 +16,7 @@ from evidentia.functions.identity import evidence_id, sha256
 from evidentia.functions.text import page_yield, text_quality
 from evidentia.operators.coverage import DEADLINE_MS, STALE_FACTOR, in_queue, ocr_estimate, requeue_stamp_only, skip_extracted, textual_queue, visual_queue
 from evidentia.operators.events import classify
+from evidentia.operators.running import numbered
 from evidentia.operators.search import index_rows, retrieval_text
 from evidentia.rules import PT_LEGAL, RulePack
 from evidentia.schemas import PAGES
@@ -25,7 +26,8 @@ from evidentia.sources.store import Store
 
 
 class Enricher(Protocol):
-    """Reads a page that has no usable text.  Runs on executors."""
+    """Reads a page that has no usable text.  Runs on executors.  One that wants
+    to know which attempt it is has ``read_attempt(case_id, page, attempt)``."""
 
     name: str
     prompt_version: int
@@ -156,79 +158,133 @@ def requeue(store: Store, prompt_version: int, case_id: str | None = None) -> in
     return n
 
 
-def enrich(store: Store, enricher: Enricher, budget: Budget = Budget(), pack: RulePack = PT_LEGAL, concurrency: int = 2, case_id: str | None = None, owns: Callable[[], bool] = lambda: True) -> DataFrame:
+RESULT = "case_id string, page int, attempt int, text string, tokens_in long, tokens_out long, error string"
+
+
+def attempt_rounds(
+    queue: DataFrame, enricher: Enricher, retries: int = 3, backoff_ms: int = 250, concurrency: int = 2,
+    on_round: Callable[[DataFrame], None] = lambda _: None, wait: Callable[[float], None] = time.sleep,
+) -> DataFrame:
+    """queue (case_id, page, max_pages, max_calls; null: no ceiling) read in
+    rounds: (case_id, page, text, tokens_in, tokens_out, error, attempts,
+    all_empty) of every page that was tried.
+
+    State by page and case, written after each round: attempts, empty answers,
+    calls that the case has spent.  A round tries every waiting page once, the
+    first ones of a case as far as its calls go; a failed one waits for the next
+    round, which begins after a backoff that grows by the round.  The driver
+    waits; no task is held.  Calls of a round are made once: what follows reads
+    what they gave.  ``on_round`` gets what a round has finished.
+    """
+    none = F.lit(2**62).cast("long")
+    block = F.floor(F.col("page") / 1024)
+    q = queue.select("case_id", F.col("page").cast("int").alias("page"), F.coalesce(F.col("max_pages").cast("long"), none).alias("_mp"), F.coalesce(F.col("max_calls").cast("long"), none).alias("_mc"))
+    q = numbered(written(q.withColumn("_b", block)), ["case_id"], ["_b"], ["page"], "_n").filter(F.col("_n") <= F.col("_mp"))
+    state = written(q.select("case_id", "page", "_b", "_mc", F.lit(0).alias("tries"), F.lit(0).alias("empties"), F.lit(False).alias("done")))
+    read = getattr(enricher, "read_attempt", None) or (lambda case, page, attempt: enricher.read(case, page))
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for case, page, tries in zip(pdf.case_id, pdf.page, pdf.tries):
+                text, tin, tout, error = "", 0, 0, None
+                try:
+                    text, tin, tout = read(case, int(page), int(tries) + 1)
+                    error = None if text and text.strip() else "empty"
+                except Exception as e:  # noqa: BLE001 - any failure of the service counts as one
+                    error = type(e).__name__
+                rows.append((case, int(page), int(tries) + 1, text or "", tin, tout, error))
+            yield pd.DataFrame(rows, columns=["case_id", "page", "attempt", "text", "tokens_in", "tokens_out", "error"])
+
+    results: DataFrame | None = None
+    for n in range(1, retries + 1):
+        spent = state.groupBy("case_id").agg(F.sum("tries").alias("_spent"))
+        waiting = numbered(state.filter(~F.col("done")).drop("empties"), ["case_id"], ["_b"], ["page"], "_n")
+        now = waiting.join(spent, "case_id").filter(F.col("_n") <= F.col("_mc") - F.col("_spent"))
+        if n > 1:
+            wait(backoff_ms * (n - 1) / 1000)
+        got = written(now.select("case_id", "page", "tries").repartition(concurrency).mapInPandas(run, RESULT))
+        if got.isEmpty():
+            break
+        results = got if results is None else results.unionByName(got)
+        new = got.select("case_id", "page", F.lit(1).alias("_one"), (F.col("error") == "empty").cast("int").alias("_e"), F.col("error").isNull().alias("_ok"))
+        more = lambda c: F.coalesce(F.col(c), F.lit(0))
+        state = written(state.join(new, ["case_id", "page"], "left").select("case_id", "page", "_b", "_mc", (F.col("tries") + more("_one")).alias("tries"), (F.col("empties") + more("_e")).alias("empties"), F.coalesce("_ok", "done").alias("done")))
+        ended = got.filter((F.col("attempt") == retries) | F.col("error").isNull()).select("case_id", "page")
+        on_round(_outcomes(results, state, retries).join(ended, ["case_id", "page"], "left_semi"))
+    if results is None:
+        return queue.sparkSession.createDataFrame([], OUTCOME)
+    # pages whose case had no calls left for another try
+    on_round(_outcomes(results, state, retries).filter(F.col("error").isNotNull() & (F.col("attempts") < retries)))
+    return _outcomes(results, state, retries)
+
+
+OUTCOME = "case_id string, page int, text string, tokens_in long, tokens_out long, error string, attempts int, all_empty boolean"
+
+
+def _outcomes(results: DataFrame, state: DataFrame, retries: int) -> DataFrame:
+    """The last result of each page, with the tokens of all its attempts."""
+    tokens = results.groupBy("case_id", "page").agg(F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
+    last = results.select("case_id", "page", F.col("attempt").alias("tries"), "text", "error")
+    out = state.join(last, ["case_id", "page", "tries"]).join(tokens, ["case_id", "page"])
+    return out.select("case_id", "page", "text", "tokens_in", "tokens_out", "error", F.col("tries").alias("attempts"), ((F.col("empties") == F.col("tries")) & (F.col("tries") == retries)).alias("all_empty"))
+
+
+def outcome_state(error: Column, all_empty: Column) -> Column:
+    """The ledger state that an outcome gives."""
+    return F.when(error.isNull(), "ocr_done").when(all_empty, "failed_permanent").otherwise("failed_retryable")
+
+
+def enrich(
+    store: Store, enricher: Enricher, budget: Budget = Budget(), pack: RulePack = PT_LEGAL, concurrency: int = 2, case_id: str | None = None,
+    owns: Callable[[], bool] = lambda: True, wait: Callable[[float], None] = time.sleep,
+) -> DataFrame:
     """Read the queue of pages (of one case, if given) with the enricher, as
     far as approval and budget go; returns the outcome rows.
 
     ``owns`` tells whether the lease is still held; it is asked before the
     calls and again before anything is stored, and raises LeaseLost if not.
 
-    The ceilings are applied to the queue before a call is made: with
-    ``retries`` attempts each, at most max_calls // retries pages are taken,
-    so that retries can't overshoot either.  A page whose text is empty at
-    every attempt has failed for good; an error can be tried again.
+    A case's ceilings hold for pages begun and calls made, retries included.
+    Each round's outcomes are stored before the next begins.  A page whose text
+    is empty at every attempt has failed for good; an error can be tried again.
     """
     if not owns():
         raise LeaseLost
     ledger = store.read("page_ledger", case_id)
-    est = ocr_estimate(ledger, store.read("approvals"), budget.threshold)
-    may = est.filter("may_run").select("case_id", F.col("max_pages").alias("_mp"), F.col("max_calls").alias("_mc"))
-    from pyspark.sql import Window as W
-
-    queue = ledger.filter(in_queue(F.col("state"))).join(may, "case_id")
-    most = F.least(
-        F.coalesce("_mp", F.lit(budget.max_pages).cast("int"), F.lit(2**31 - 1)), F.coalesce(F.lit(budget.max_pages).cast("int"), F.lit(2**31 - 1)),
-        F.floor(F.coalesce("_mc", F.lit(budget.max_calls).cast("int"), F.lit(2**31 - 1)) / budget.retries).cast("int"),
-    )
-    queue = queue.withColumn("_r", F.row_number().over(W.partitionBy("case_id").orderBy("page"))).filter(F.col("_r") <= most)
-    retries, backoff = budget.retries, budget.backoff_ms
+    may = ocr_estimate(ledger, store.read("approvals", case_id), budget.threshold).filter("may_run").select("case_id", "max_pages", "max_calls")
+    least = lambda c, most: F.coalesce(F.least(c, F.lit(most).cast("int")), c, F.lit(most).cast("int"))
+    queue = ledger.filter(in_queue(F.col("state"))).select("case_id", "page").join(may, "case_id")
+    queue = queue.select("case_id", "page", least(F.col("max_pages"), budget.max_pages).alias("max_pages"), least(F.col("max_calls"), budget.max_calls).alias("max_calls"))
 
-    def run(batches):
-        import pandas as pd
+    def keep(done: DataFrame) -> None:
+        if not owns():
+            raise LeaseLost
+        _store_outcomes(store, written(done), enricher.prompt_version, pack)
 
-        for pdf in batches:
-            rows = []
-            for case, page in zip(pdf.case_id, pdf.page):
-                text, tin, tout, kind, tries, empty = "", 0, 0, None, 0, 0
-                for attempt in range(1, retries + 1):
-                    tries = attempt
-                    try:
-                        text, a, b = enricher.read(case, int(page))
-                        tin, tout, kind = tin + a, tout + b, None
-                        if text and text.strip():
-                            break
-                        empty += 1
-                        kind = "empty"
-                    except Exception as e:  # noqa: BLE001 - any failure of the service counts as one
-                        kind = type(e).__name__
-                    if attempt < retries:
-                        time.sleep(backoff * attempt / 1000)
-                rows.append((case, int(page), text or "", tin, tout, kind, tries, empty == tries))
-            yield pd.DataFrame(rows, columns=["case_id", "page", "text", "tokens_in", "tokens_out", "error", "attempts", "all_empty"])
-
-    got = queue.select("case_id", "page").repartition(concurrency).mapInPandas(run, "case_id string, page int, text string, tokens_in long, tokens_out long, error string, attempts int, all_empty boolean")
-    path = f"{store.root}/_enriched/{uuid.uuid4().hex}"
-    got.write.parquet(path)  # calls are made once; what follows reads the table
-    if not owns():
-        raise LeaseLost
-    done = store.spark.read.parquet(path)
+    return attempt_rounds(queue, enricher, budget.retries, budget.backoff_ms, concurrency, keep, wait)
+
+
+def _store_outcomes(store: Store, done: DataFrame, prompt_version: int, pack: RulePack) -> None:
+    if done.isEmpty():
+        return
     ok = done.filter("error IS NULL")
     eid = evidence_id("case_id", "page", F.lit("ocr001"))
-    units = ok.select(eid.alias("evidence_id"), "case_id", "page", F.lit("ocr001").alias("unit_id"), F.lit("ocr_paragraph").alias("unit_type"), F.lit(0).alias("start_offset"), F.length("text").alias("end_offset"), sha256("text").alias("hash"), "text")
+    units = written(ok.select(eid.alias("evidence_id"), "case_id", "page", F.lit("ocr001").alias("unit_id"), F.lit("ocr_paragraph").alias("unit_type"), F.lit(0).alias("start_offset"), F.length("text").alias("end_offset"), sha256("text").alias("hash"), "text"))
     store.delete("evidence_vectors", done.select(eid.alias("evidence_id"), "case_id"), ["evidence_id"])
     store.upsert("evidence_units", units)
     index_units(store, units)
     y = page_yield("text")["yield"]
     c = classify(F.col("text"), F.lit(True), pack=pack)
-    state = F.when(F.col("error").isNull(), "ocr_done").when(F.col("all_empty"), "failed_permanent").otherwise("failed_retryable")
     changes = done.select(
-        "case_id", "page", state.alias("state"), F.when(F.col("error").isNull(), y).alias("ocr_yield"), F.when(F.col("error").isNull(), c["piece_type"]).alias("piece_type"), F.col("attempts").alias("ocr_attempts"),
+        "case_id", "page", outcome_state(F.col("error"), F.col("all_empty")).alias("state"), F.when(F.col("error").isNull(), y).alias("ocr_yield"), F.when(F.col("error").isNull(), c["piece_type"]).alias("piece_type"), F.col("attempts").alias("ocr_attempts"),
         F.col("error").alias("ocr_last_error_kind"), F.when(F.col("error").isNull(), F.array(evidence_id("case_id", "page", F.lit("p001")), eid)).alias("evidence_ids"),
-        F.lit(enricher.prompt_version).alias("ocr_prompt_version"), F.current_timestamp().alias("updated_at"),
+        F.lit(prompt_version).alias("ocr_prompt_version"), F.current_timestamp().alias("updated_at"),
     )
     store.patch("page_ledger", changes)
     store.append("ocr_usage", done.select("case_id", F.current_timestamp().alias("at"), "tokens_in", "tokens_out"))
-    return done
 
 
 def embed(
