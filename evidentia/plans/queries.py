@@ -558,4 +558,4 @@ def stream_ingest_counts(spark: SparkSession, d: str) -> DataFrame:
     return event_counts(spark, f"{d}/event[s].parquet", f"{run}/checkpoint", f"{run}/out", schema)
 
 
-from evidentia.plans import case_queries  # noqa: E402, F401 - adds its queries
+from evidentia.plans import case_queries, engine_queries  # noqa: E402, F401 - add their queries

@@ -317,6 +317,6 @@ SQL: dict[str, str] = {
     "stream_ingest_counts": "SELECT event_type, count(*) AS n_events, round(sum(value), 4) AS sum_value FROM events GROUP BY 1",
 }
 
-from evidentia.plans import case_sql  # noqa: E402
+from evidentia.plans import case_sql, engine_sql  # noqa: E402
 
-SQL |= case_sql.SQL
+SQL |= case_sql.SQL | engine_sql.SQL
