@@ -306,8 +306,8 @@ def _unpack_bins(x: bytes) -> list[list[int]]:
     return bins
 
 
-#: Islands that a task evolves, about.
-ISLANDS_PER_TASK = 8
+#: Islands that a task evolves, about, and tasks at most.
+ISLANDS_PER_TASK, MOST_TASKS = 8, 20_000
 ISLAND = "block long, island int, home int, bins int, cost double, lengths binary, genes binary"
 
 
@@ -338,8 +338,9 @@ def pack_blocks(blocks: DataFrame, n_blocks: int, capacity: int, islands: int, e
     """blocks: (block, lengths).  One row per block with its best genes.
 
     An island is a few kB and 20 to 100 ms of work, so islands are dealt to
-    tasks by number, not by bytes."""
-    n_tasks = -(-n_blocks * islands // ISLANDS_PER_TASK)
+    tasks by number, not by bytes; beyond ``MOST_TASKS`` a task has more of
+    them, one after the other."""
+    n_tasks = min(MOST_TASKS, -(-n_blocks * islands // ISLANDS_PER_TASK))
     start = blocks.select("block", F.explode(F.array(*map(F.lit, range(islands)))).alias("island"), "lengths", F.lit(None).cast("binary").alias("genes"))
     state = start.repartition(n_tasks, "block", "island").groupBy("block", "island").applyInArrow(_epoch(capacity, 0, elites), ISLAND)
     for e in range(1, epochs):

@@ -129,3 +129,15 @@ def test_places_in_one_and_two_levels(spark, n_slices):
         mine = got.filter(pa.compute.equal(got["block"], b))
         assert mine.filter(pa.compute.equal(mine["kind"], "own"))["payload"].to_pylist() == [b"%d" % b]
         assert block_lists.answers(mine, "exact").tolist() == [int(first[h] != (d, s)) for h, d, s in zip(*(c.tolist() for c in cols))]
+
+
+def test_packing_in_few_tasks(spark, monkeypatch):
+    """The same sequences, whatever the number of tasks that evolve the islands."""
+    from evidentia.llm import packing
+
+    rows = spark.range(300).selectExpr("id", "cast(1 + (id * 7919) % 900 AS long) AS length")
+    found = []
+    for most in (20_000, 1):
+        monkeypatch.setattr(packing, "MOST_TASKS", most)
+        found.append(sorted((r.id, r.sequence_id, r.offset) for r in packing.pack(rows, 1000, block_rows=32).collect()))
+    assert found[0] == found[1]
