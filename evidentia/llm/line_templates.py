@@ -1,21 +1,25 @@
 r"""Line dedup with a log-template tree.
 
 Lines (between ``\n``) are parsed by a tree of fixed depth: the first level is
-the number of tokens, the next ones the leading tokens; a token with a digit is
-a variable field from the start.  A leaf holds the templates of its lines: each
-line as it is and, if it has ``parts`` tokens or more after the leading ones,
-the line with one of ``parts`` equal parts of those tokens made fields.  So a
-line belongs to a template if it equals it outside the fields, and whether it
-does depends on no other line.  A template recurs if it is found in enough
-documents; its lines are dropped from all documents.
+the number of tokens, the next ones the leading tokens, each by its own child
+or by the wildcard child.  Of the paths whose leaf holds lines of ``min_docs``
+documents or more, a line takes the one with the fewest wildcards (of those the
+fullest one).  A token with a digit is a number field from the start.
+
+A leaf generalises what varies: a token that fewer than ``min_docs`` of its
+documents have at that place is a field.  The other tokens become fields too,
+the rarest first, as long as at most 30 % of the tokens are fields and half are
+literal; so a line has a chain of ever more general templates, and fields may
+stand anywhere, also where some of their values are frequent.  A template recurs
+if it is found in ``min_docs`` documents; lines of recurring templates are
+dropped from all documents.
 
 Documents with equal texts count as one, and a line counts once for a document,
-so whole copies and repeats inside one text are left to other operators.  The
-counts only grow with the input: what is dropped from a table is dropped from
-any larger one.
+so whole copies and repeats inside one text are left to other operators.
 
-Templates are counted over blocks of documents (see block_lists): a leaf or
-template of any frequency is one entry per block, and no leaf is gathered.
+The three steps (leaves, tokens of a leaf, templates) are counts of keys over
+blocks of documents (see block_lists): no leaf is gathered, the order of lines
+is of no account, and a leaf or template of any frequency is one entry per block.
 """
 
 from __future__ import annotations
@@ -27,99 +31,173 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow_map import tidy
-from .block_lists import LIST, answers, count_answers, lists_of, n_blocks_for, slices_for, sorted_counts
+from .block_lists import ANSWER, LIST, answers, count_answers, lists_of, n_blocks_for, slices_for, sorted_counts
 from .spark_util import cut, documents
 from .words import SEQ_BASES, Words, chunks, mix, powers
 
 U64 = np.uint64
-FIELD = "<*>"
-FIELD_HASH = Words(np.frombuffer(FIELD.encode(), np.uint8), np.array([0, len(FIELD)])).hashes()[0]
+NUMBER, WILD = "<*>", "<?>"
+NUMBER_HASH, WILD_HASH = Words(np.frombuffer((NUMBER + WILD).encode(), np.uint8), np.array([0, 3, 6])).hashes()
+LENGTH = U64(0xD1342543DE82EF95)
 MADE = ("n_lines", "n_dropped", "n_words", "n_words_dropped", "kept_text")
 
 
-class Lines:
-    """The lines with a token of a run of texts: text ``doc``, place ``at`` in
-    it, number ``n`` of tokens, and the hashes of their templates (line,
-    1 + parts), 0 for none."""
+def _masks(depth: int) -> list[int]:
+    """Which of the leading tokens are wildcards, the fewest first; not all."""
+    return sorted(range((1 << depth) - 1), key=lambda m: (m.bit_count(), m))
+
+
+class Tree:
+    """The lines with a token of a block: text ``doc``, place ``at`` in it,
+    number ``n`` of tokens; and the tokens' hashes ``h``, line ``line`` and
+    place ``place``."""
+
+    def __init__(self, texts: pa.Array, depth: int):
+        parts = [self._parse(i, data, off) for i, _, data, off in chunks(texts)]
+        doc, at, n, h = (np.concatenate(x) if parts else np.zeros(0, np.int64) for x in (zip(*parts) if parts else [()] * 4))
+        self.doc, self.at, self.n, self.h, self.depth = doc, at, n, h.astype(U64), depth
+        self.first = np.cumsum(n) - n
+        self.line = np.repeat(np.arange(len(n)), n)
+        self.place = np.arange(len(h)) - self.first[self.line]
+        self.base = powers(SEQ_BASES[0], int(n.max()) + 1 if len(n) else 1)[0]
+        self.number = self.h == NUMBER_HASH
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, depth: int, parts: int):
+    @staticmethod
+    def _parse(i: int, data: np.ndarray, off: np.ndarray):
         w = Words(data, off)
-        n_words = len(w.starts)
         doc = np.repeat(np.arange(w.n_docs), w.counts())
         breaks = np.concatenate([[0], np.cumsum(w.buf == 0x0A)])
         line = breaks[w.starts] + doc  # unlike in unlike texts
-        first = np.flatnonzero(np.diff(line, prepend=-1)) if n_words else np.zeros(0, np.int64)
-        self.doc = doc[first]
-        self.at = breaks[w.starts[first]] - breaks[w.doc_start[self.doc]]
-        self.n = n = np.diff(np.append(first, n_words))
+        first = np.flatnonzero(np.diff(line, prepend=-1)) if len(line) else np.zeros(0, np.int64)
+        of = doc[first]
         digits = np.concatenate([[0], np.cumsum((w.buf >= 48) & (w.buf < 58))])
         h = w.hashes()
-        h[digits[w.ends] > digits[w.starts]] = FIELD_HASH
-        # sums of token * base**place, over the tokens and over as many fields
-        fwd, back = powers(SEQ_BASES[0], n_words + 1)
-        tokens, fields = np.zeros(n_words + 1, U64), np.zeros(n_words + 1, U64)
-        np.cumsum(h * fwd[:n_words], out=tokens[1:])
-        np.cumsum(FIELD_HASH * fwd[:n_words], out=fields[1:])
-        literal = np.concatenate([[0], np.cumsum(h != FIELD_HASH)])
-        self.templates = np.zeros((len(first), 1 + parts), U64)
-        for q in range(1 + parts):
-            # tokens i to j, of which a to b are made fields
-            k = np.flatnonzero(n - depth >= parts) if q else np.arange(len(first))
-            i, j, tail = first[k], first[k] + n[k], n[k] - depth
-            a, b = (i + depth + tail * (q - 1) // parts, i + depth + tail * q // parts) if q else (i, i)
-            # a template needs literal tokens, half of all at least
-            good = 2 * (literal[j] - literal[i] - literal[b] + literal[a]) >= n[k]
-            total = tokens[j] - tokens[i] - tokens[b] + tokens[a] + fields[b] - fields[a]
-            key = mix(total * back[i] + n[k].astype(U64) * U64(0xD1342543DE82EF95))
-            self.templates[k[good], q] = np.maximum(key, U64(1))[good]
-
-
-def _parsed(texts: pa.Array, depth: int, parts: int):
-    """Of a block: text, place and tokens of each line, its templates."""
-    cols = [(x.doc + i, x.at, x.n, x.templates) for i, _, data, off in chunks(texts) for x in [Lines(data, off, depth, parts)]]
-    if not cols:
-        return *(np.zeros(0, np.int64),) * 3, np.zeros((0, 1 + parts), U64)
-    return tuple(map(np.concatenate, zip(*cols)))
-
-
-def _send(depth: int, parts: int, n_slices: int):
-    """The block's templates and in how many of its documents each is; of equal
-    texts one counts, and none of those that count in another block."""
-
-    def run(key, table, skip):
+        h[(digits[w.ends] > digits[w.starts]) | (h == WILD_HASH)] = NUMBER_HASH
+        return of + i, breaks[w.starts[first]] - breaks[w.doc_start[of]], np.diff(np.append(first, len(line))), h
+
+    def paths(self) -> np.ndarray:
+        """Keys (line, mask) of the paths of each line, 0 for none."""
+        masks = _masks(self.depth)
+        sums = np.zeros((len(self.n), len(masks) + 1), U64)
+        for k in range(self.depth):
+            has = np.flatnonzero(self.n > k)
+            token = self.h[self.first[has] + k]
+            for q, m in enumerate([*masks, (1 << self.depth) - 1]):
+                sums[has, q] += (WILD_HASH if m >> k & 1 else token) * self.base[k]
+        keys = np.maximum(mix(sums + (self.n.astype(U64) * LENGTH)[:, None]), U64(1))
+        self.wild = keys[:, -1]
+        levels = np.minimum(self.n, self.depth)
+        for q, m in enumerate(masks):
+            keys[m >= (1 << levels) - 1, q] = 0
+        return keys[:, :-1]
+
+    def take_leaves(self, keys: np.ndarray, count: np.ndarray) -> None:
+        """count: documents of each path, 0 if there are too few."""
+        masks = np.array(_masks(self.depth))
+        bits = np.array([m.bit_count() for m in masks.tolist()])
+        score = np.where(count > 0, (self.depth - bits << 40) + count, 0)
+        best = score.argmax(axis=1)
+        each = np.arange(len(self.n))
+        found = score[each, best] > 0 if len(each) else np.zeros(0, bool)
+        levels = np.minimum(self.n, self.depth)
+        mask = np.where(found, masks[best], (1 << levels) - 1)
+        self.leaf = np.where(found, keys[each, best], self.wild)
+        # wild leading tokens, literal ones, and numbers that are not wild
+        lead = self.place < self.depth
+        is_wild = lead & ((mask[self.line] >> np.minimum(self.place, self.depth) & 1) > 0)
+        count_of = lambda x: np.bincount(self.line[x], minlength=len(self.n))
+        self.n_wild, self.n_lead = count_of(is_wild), count_of(lead & ~is_wild & ~self.number)
+        self.n_number = count_of(self.number & ~is_wild)
+        fits = (10 * self.n_wild <= 3 * self.n) & (2 * (self.n - self.n_wild - self.n_number) >= self.n)
+        self.fits = fits
+        self.tail = np.flatnonzero(fits[self.line] & ~lead & ~self.number)
+
+    def supports(self) -> np.ndarray:
+        """Keys of the tokens ``tail`` in their leaves."""
+        t = self.tail
+        return np.maximum(mix(self.leaf[self.line[t]] + mix(self.h[t] + self.place[t].astype(U64) * LENGTH)), U64(1))
+
+    def templates(self, support: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the lines' templates, and the line of each.  support: of the
+        tokens ``tail``, 0 if it is too small."""
+        t = self.tail[support > 0]
+        s, line = support[support > 0], self.line[t]
+        order = np.lexsort((self.place[t], -s, line))
+        t, line = t[order], line[order]
+        # from the tail as fields (numbers stay) to more and more literal tokens
+        n_lit = np.bincount(line, minlength=len(self.n))
+        start = np.cumsum(n_lit) - n_lit
+        numbers = self.number & (self.place >= self.depth)
+        steps = np.zeros(len(t) + 1, U64)
+        np.cumsum((self.h[t] - WILD_HASH) * self.base[self.place[t]], out=steps[1:])
+        tails = np.zeros(len(self.h) + 1, U64)
+        np.cumsum(np.where(numbers, self.base[self.place] * NUMBER_HASH, self.base[self.place] * WILD_HASH), out=tails[1:])
+        ground = tails[self.first + self.n] - tails[self.first]
+        # k tokens of the tail as literals: the fewest that will do, to all
+        n, lead = self.n, self.n_lead
+        least = np.maximum(np.maximum(n - self.n_number - lead - 3 * n // 10, (n + 1) // 2 - lead), 0)
+        many = np.where(self.fits, np.maximum(n_lit - least + 1, 0), 0)
+        of = np.repeat(np.arange(len(n)), many)
+        k = np.arange(len(of)) - (np.cumsum(many) - many)[of] + least[of]
+        key = self.leaf[of] + mix(ground[of] + steps[start[of] + k] - steps[start[of]])
+        return np.maximum(mix(key + LENGTH), U64(1)), of
+
+
+def _looked_up(keys: np.ndarray, side: pa.Table, kind: str) -> np.ndarray:
+    """The answers to the keys that are not 0."""
+    out, some = np.zeros(keys.shape, np.int64), keys > 0
+    out[some] = answers(side, kind)[np.unique(keys[some], return_inverse=True)[1]]
+    return out
+
+
+def _grown(texts: pa.Array, depth: int, side: pa.Table, step: int):
+    """The tree of a block after ``step`` steps; keys and lines of the next."""
+    tree = Tree(texts, depth)
+    keys = tree.paths()
+    if step == 0:
+        return tree, keys.reshape(-1), np.repeat(np.arange(len(tree.n)), keys.shape[1])
+    tree.take_leaves(keys, _looked_up(keys, side, "p"))
+    keys = tree.supports()
+    if step == 1:
+        return tree, keys, tree.line[tree.tail]
+    return tree, *tree.templates(_looked_up(keys, side, "s"))
+
+
+def _send(depth: int, n_slices: int, step: int):
+    """The block's keys of a step and in how many of its documents each is; of
+    equal texts one counts, and none of those that count in another block."""
+
+    def run(key, table, side):
         if not table.num_rows:
             return lists_of([])
-        doc, _, _, templates = _parsed(table.column("text").combine_chunks(), depth, parts)
-        ids = np.stack([table.column(c).to_numpy() for c in ("_t1", "_t2")], axis=1)
-        seen = set(zip(skip.column("_t1").to_pylist(), skip.column("_t2").to_pylist()))
-        counts = np.zeros(len(ids), bool)
-        for d, t in enumerate(map(tuple, ids.tolist())):
+        tree, keys, line = _grown(table.column("text").combine_chunks(), depth, side, step)
+        ids = zip(table.column("_t1").to_pylist(), table.column("_t2").to_pylist())
+        seen = {p for k, p in zip(side.column("kind").to_pylist(), side.column("payload").to_pylist()) if k == "skip"}
+        counts = np.zeros(table.num_rows, bool)
+        for d, t in enumerate(b"%d,%d" % x for x in ids):
             if t not in seen:
                 seen.add(t)
                 counts[d] = True
-        # a template once for each document
-        t, d = templates.reshape(-1), np.repeat(doc, 1 + parts)
-        t, d = t[t > 0], d[t > 0]
+        # a key once for each document
+        t, d = keys[keys > 0], tree.doc[line[keys > 0]]
         order = np.lexsort((d, t))
         t, d = t[order], d[order]
         new = np.ones(len(t), bool)
         new[1:] = (t[1:] != t[:-1]) | (d[1:] != d[:-1])
         keys, n = sorted_counts(t[new], counts[d[new]])
-        return lists_of([(key[0].as_py(), "n", keys, n)], 64, n_slices)
+        return lists_of([(key[0].as_py(), "pst"[step], keys, n)], 64, n_slices)
 
     return run
 
 
-def _rewrite(names: list[str], depth: int, parts: int):
+def _rewrite(names: list[str], depth: int):
     def run(key, table, side):
         texts = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
-        doc, at, n, templates = _parsed(texts, depth, parts)
-        keys, inverse = np.unique(templates, return_inverse=True)
-        none = int(len(keys) > 0 and keys[0] == 0)
-        often = np.concatenate([np.zeros(none, bool), answers(side, "n") > 0])
-        gone = often[inverse.reshape(templates.shape)].any(axis=1) if len(templates) else np.zeros(0, bool)
+        tree, keys, line = _grown(texts, depth, side, 2)
+        doc, n = tree.doc, tree.n
+        gone = np.bincount(line, _looked_up(keys, side, "t"), len(n)) > 0
         kept = texts.to_pylist()
-        for d, lines in _by_doc(doc[gone], at[gone]):
+        for d, lines in _by_doc(doc[gone], tree.at[gone]):
             kept[d] = "\n".join([x for k, x in enumerate(kept[d].split("\n")) if k not in lines])
         sums = [np.bincount(doc[x], n[x] if words else None, len(texts)).astype(np.int64) for words in (False, True) for x in (slice(None), gone)]
         out = table.select(names)
@@ -136,37 +214,43 @@ def _by_doc(doc: np.ndarray, at: np.ndarray):
         yield int(doc[i]), set(at[i:j].tolist())
 
 
-def drop_recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 5, parts: int = 4, block_bytes: int = 6 << 20) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 5, block_bytes: int = 6 << 20) -> DataFrame:
     """All rows and columns of ``docs`` (doc_id, text, ...) plus ``n_lines``
     (with a token), ``n_dropped``, the tokens of those as ``n_words`` and
     ``n_words_dropped``, and ``kept_text``, the other lines as they were.
 
     Dropped is each line one of whose templates is found in ``min_docs``
-    documents of different texts or more.  At least half of a template's tokens
-    are literal; lines of ``depth`` tokens or fewer, and those with fewer than
-    ``parts`` after them, have only their exact template (numbers are fields).
+    documents of different texts or more.  At most 30 % of a template's tokens
+    are fields (numbers apart) and at least half are literal, so lines of three
+    tokens or fewer have only their exact template, numbers apart.
     Lines without a token stay.  A null text has no lines and gives an empty
     ``kept_text``, an empty table an empty result.  doc_id may be null or
     repeated: every row is a document, and rows of equal text count as one and
-    are treated alike.  Input columns named like a result are replaced; other
-    columns may have any name that doesn't begin with ``_t`` or ``_block``.
+    are treated alike.  Input columns named like a result, in any case, are
+    replaced; other columns may have any name that doesn't begin with ``_t`` or
+    ``_block``.
     """
-    names = [c for c in docs.columns if c not in MADE]
+    names = [c for c in docs.columns if c.lower() not in MADE]
     digest = {"_t1": F.xxhash64("text", F.lit(1)), "_t2": F.xxhash64("text", F.lit(2))}
     narrow = cut(docs.select("doc_id", F.length("text").cast("long").alias("n"), *(c.alias(k) for k, c in digest.items())))
     chars = narrow.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    n_slices, n_blocks = slices_for(max(1, chars // 20)), n_blocks_for(chars, block_bytes)
+    n_slices, n_blocks = slices_for(max(1, chars // 6)), n_blocks_for(chars, block_bytes)
     block = F.pmod(F.xxhash64("doc_id", "_t1"), F.lit(n_blocks)).cast("int").alias("_block")
     # texts that are in several blocks count in the first of them
     where = narrow.select(block, "_t1", "_t2").distinct()
     home = where.groupBy("_t1", "_t2").agg(F.min("_block").alias("home"), F.max("_block").alias("last")).filter("home < last")
-    skip = where.join(home, ["_t1", "_t2"]).filter("_block > home").select("_block", "_t1", "_t2")
+    pair = F.concat_ws(",", "_t1", "_t2").cast("binary")
+    skip = where.join(home, ["_t1", "_t2"]).filter("_block > home").select(F.col("_block").alias("block"), F.lit(0).alias("slice"), F.lit("skip").alias("kind"), pair.alias("payload"))
     rows = docs.select(*names).withColumns(digest)
     rows = rows.select("*", block).repartition("_block")
-    sent = rows.groupBy("_block").cogroup(skip.groupBy("_block")).applyInArrow(tidy(_send(depth, parts, n_slices)), LIST)
-    often = count_answers(sent, 64, n_slices, lambda n: n >= min_docs)
+    side = skip
+    for step in range(3):
+        sent = rows.groupBy("_block").cogroup(side.groupBy("block")).applyInArrow(tidy(_send(depth, n_slices, step)), LIST)
+        # leaves and tokens need their counts, templates a yes or no
+        often = count_answers(sent, 64, n_slices, lambda n, most=1 if step == 2 else 1 << 31: np.where(n >= min_docs, np.minimum(n, most), 0))
+        side = side.union(often.select(*(c.split()[0] for c in ANSWER.split(", "))))
     schema = T.StructType([*(docs.schema[c] for c in names), *(T.StructField(c, T.StringType() if c == "kept_text" else T.LongType()) for c in MADE)])
-    return rows.groupBy("_block").cogroup(often.groupBy("block")).applyInArrow(tidy(_rewrite(names, depth, parts)), schema)
+    return rows.groupBy("_block").cogroup(side.filter("kind <> 'skip'").groupBy("block")).applyInArrow(tidy(_rewrite(names, depth)), schema)
 
 
 def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,17 +259,27 @@ def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", "n_words", "n_words_dropped", F.md5("kept_text").alias("kept_md5"))
 
 
-#: The same by joins over whole lines.  {docs} has doc_id and text.
+#: The same by joins over whole lines.  {docs} has doc_id and text; p is a
+#: line's path, m its wildcards, r the rank of a token in its line's chain.
 LINES_SQL = r"""
 doc AS (SELECT row_number() OVER () AS rid, doc_id, md5(coalesce(text, '')) AS th, string_split(coalesce(text, ''), chr(10)) AS ls FROM {docs}),
 ln AS (SELECT rid, th, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM doc),
-tok AS (SELECT *, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM ln),
+tok AS (SELECT *, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') OR x = '<?>' THEN '<*>' ELSE x END) AS t FROM ln),
 dl AS (SELECT DISTINCT t, len(t) AS n, th FROM tok WHERE len(t) > 0),
-pat AS (SELECT t, th, t AS p FROM dl UNION ALL
-  SELECT t, th, list_transform(t, lambda x, i: CASE WHEN i > 3 + (n - 3) * (q - 1) // 4 AND i <= 3 + (n - 3) * q // 4 THEN '<*>' ELSE x END) FROM dl, generate_series(1, 4) g(q) WHERE n >= 7),
-good AS (SELECT * FROM pat WHERE 2 * len(list_filter(p, lambda x: x <> '<*>')) >= len(p)),
-often AS (SELECT p FROM good GROUP BY p HAVING count(DISTINCT th) >= 5),
-bad AS (SELECT DISTINCT t FROM good SEMI JOIN often USING (p)),
+path AS (SELECT t, n, th, m, bit_count(m) AS w, list_transform(t[1:3], lambda x, i: CASE WHEN (m >> (i - 1)::INT) & 1 = 1 THEN '<?>' ELSE x END) AS p
+  FROM dl, generate_series(0, 6) g(m) WHERE m < (1 << least(n, 3)::INT) - 1),
+leaves AS (SELECT n, p, count(DISTINCT th) AS c FROM path GROUP BY ALL HAVING c >= 5),
+own AS (SELECT t, n, arg_min(p, struct_pack(w := w, c := -c, m := m)) AS p FROM path JOIN leaves USING (n, p) GROUP BY t, n),
+leaf AS (SELECT DISTINCT dl.t, dl.n, coalesce(own.p, list_transform(dl.t[1:3], lambda x: '<?>')) AS p FROM dl LEFT JOIN own USING (t)),
+pos AS (SELECT leaf.t, leaf.n, p, th, unnest(range(4, leaf.n + 1)) AS i FROM leaf JOIN dl USING (t)),
+sup AS (SELECT n, p, i, t[i] AS x, count(DISTINCT th) AS s FROM pos WHERE t[i] <> '<*>' GROUP BY ALL HAVING s >= 5),
+rnk AS (SELECT t, pos.i, row_number() OVER (PARTITION BY t ORDER BY s DESC, pos.i) AS r FROM (SELECT DISTINCT t, n, p, i FROM pos) pos JOIN sup ON sup.n = pos.n AND sup.p = pos.p AND sup.i = pos.i AND sup.x = pos.t[pos.i]),
+rks AS (SELECT t, map(list(i), list(r)) AS rk, count(*) AS top FROM rnk GROUP BY t),
+chain AS (SELECT t, n, p, unnest(range(0, coalesce(top, 0) + 1)) AS k, rk FROM leaf LEFT JOIN rks USING (t)),
+tpl AS (SELECT t, n, p || list_transform(t[4:], lambda x, i: CASE WHEN x = '<*>' OR coalesce(rk[i + 3], 1000000000) <= k THEN x ELSE '<?>' END) AS q FROM chain),
+good AS (SELECT t, q FROM tpl WHERE 10 * len(list_filter(q, lambda x: x = '<?>')) <= 3 * n AND 2 * len(list_filter(q, lambda x: x NOT IN ('<?>', '<*>'))) >= n),
+often AS (SELECT q FROM good JOIN dl USING (t) GROUP BY q HAVING count(DISTINCT th) >= 5),
+bad AS (SELECT DISTINCT t FROM good SEMI JOIN often USING (q)),
 kept AS (SELECT tok.rid, string_agg(line, chr(10) ORDER BY k) FILTER (WHERE bad.t IS NULL) AS kept_text, count(*) FILTER (WHERE len(tok.t) > 0) AS n_lines, count(bad.t) AS n_dropped,
   coalesce(sum(len(tok.t)), 0)::BIGINT AS n_words, coalesce(sum(len(bad.t)), 0)::BIGINT AS n_words_dropped
   FROM tok LEFT JOIN bad ON tok.t = bad.t GROUP BY tok.rid),

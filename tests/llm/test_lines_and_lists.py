@@ -61,8 +61,8 @@ def test_one_document_and_its_copies_count_once(spark):
     assert kept(spark, rows) == dict(rows)
 
 
-def test_verdict_does_not_depend_on_other_lines(spark):
-    """Equally common templates of one leaf, and many other lines in it."""
+def test_common_lines_of_one_leaf(spark):
+    """Equally common lines of one leaf, and many other lines in it."""
     common = ["This is the %s of all things" % x for x in ("end", "sum", "head", "last")]
     rows = [(i, own(i) + "\n" + common[i % 4]) for i in range(40)]
     rows += [(100 + i, "This is the " + own(i, 4)) for i in range(300)]
@@ -70,6 +70,52 @@ def test_verdict_does_not_depend_on_other_lines(spark):
     assert all(got[i] == own(i) for i in range(40)) and all(got[100 + i] == "This is the " + own(i, 4) for i in range(300))
 
 
+FIELDS = [
+    "This article was posted by {a} in the category {b} and read many times",
+    "Posted by user {a}",
+    "Posted by user {a} today again",
+    "{a} liked this article and shared it with friends",
+    "The following long notice was written by {a} {b} {c} for the readers of all these pages",
+    "the report was sent by {a} to the office",
+    "In {a} the weather will be {b} on most of the coming days",
+]
+
+
+@pytest.mark.parametrize("values", [0, 10, 4])
+def test_fields_wherever_they_stand(spark, values):
+    """Values of fields that are all different, or some of which are frequent."""
+    name = lambda i, k: own(i * 3 + k if not values else (i * (k + 1) + i // 7) % values + 40 * k, 1)
+    rows = [(i, own(i) + "\n" + "\n".join(x.format(a=name(i, 0), b=name(i, 1), c=name(i, 2)) for x in FIELDS) + "\n" + own(i + 900, 9)) for i in range(60)]
+    assert kept(spark, rows) == {i: own(i) + "\n" + own(i + 900, 9) for i in range(60)}
+
+
+def test_recall_and_precision_of_planted_templates(spark):
+    """Templates with one to three fields at any places among lines of a small
+    vocabulary; each is in 12 documents."""
+    rnd = random.Random(4)
+    vocab = ["v" + "abcdefghijklmnopqrst"[i % 20] * (1 + i // 20) for i in range(300)]
+    plants = []
+    for _ in range(40):
+        n = rnd.randint(7, 20)
+        fields = rnd.sample(range(n), rnd.randint(1, min(3, 3 * n // 10)))
+        plants.append([None if i in fields else rnd.choice(vocab) for i in range(n)])
+    docs, planted, clean = [[] for _ in range(160)], 0, 0
+    for p in plants:
+        for d in rnd.sample(range(160), 12):
+            docs[d].append(" ".join(w or rnd.choice(vocab) for w in p))
+            planted += 1
+    marked = [set(d) for d in docs]
+    for d in docs:
+        for _ in range(8):
+            d.append(" ".join(rnd.choice(vocab) for _ in range(rnd.randint(4, 20))))
+            clean += 1
+    got = kept(spark, [(i, "\n".join(d)) for i, d in enumerate(docs)])
+    left = [set(got[i].split("\n")) for i in range(160)]
+    missed = sum(len(m & x) for m, x in zip(marked, left))
+    wrong = sum(x not in left[i] for i, d in enumerate(docs) for x in d if x not in marked[i])
+    assert missed <= planted // 10 and wrong <= clean // 100
+
+
 def test_short_lines(spark):
     openings = [(i, own(i) + "\nI do not %s %s" % (own(i, 1), own(i + 30, 1))) for i in range(10)]
     exact = [(100 + i, "All rights reserved.\n" + own(i)) for i in range(5)]
