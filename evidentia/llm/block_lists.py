@@ -151,13 +151,15 @@ def _answered(table: pa.Table, values: np.ndarray, at: np.ndarray) -> pa.Table:
     return answer_table([(*r, small_numbers(values[at[i] : at[i + 1]])) for i, r in enumerate(zip(*cols))])
 
 
-def count_answers(sent: DataFrame, key_bits: int, n_slices: int, answer: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+def count_answers(sent: DataFrame, key_bits: int, n_slices: int, answer: Callable[[np.ndarray], np.ndarray], yes_no: str = "") -> DataFrame:
     """sent: lists of blocks, made by ``lists_of``.  To each list the answers to
-    the totals of its keys, numbers below 2**32, as ANSWER rows."""
+    the totals of its keys, numbers below 2**32, as ANSWER rows; to lists of
+    the kind ``yes_no`` 1 at most."""
 
     def merge(key, table):
         _, total, inverse, at = _merged(table)
-        return _answered(table, answer(total).astype(np.int64)[inverse], at)
+        values = answer(total).astype(np.int64)
+        return _answered(table, (np.minimum(values, 1) if key[1].as_py() == yes_no else values)[inverse], at)
 
     if n_slices <= 1 << COARSE_BITS:
         return sent.groupBy("slice", "kind").applyInArrow(tidy(merge), ANSWER)

@@ -6,6 +6,10 @@ or by the wildcard child.  Of the paths whose leaf holds lines of ``min_docs``
 documents or more, a line takes the one with the fewest wildcards (of those the
 fullest one).  A token with a digit is a number field from the start.
 
+A line is in its leaf only if enough of its pairs of neighbouring tokens (places
+1 and 2, 3 and 4, ...) are found in ``min_docs`` documents at that place of as
+long lines: a template leaves a pair whole for all but 30 % of the tokens.
+
 A leaf generalises what varies: a token that fewer than ``min_docs`` of its
 documents have at that place is a field.  The other tokens become fields too,
 the rarest first, as long as at most 30 % of the tokens are fields and half are
@@ -17,7 +21,7 @@ dropped from all documents.
 Documents with equal texts count as one, and a line counts once for a document,
 so whole copies and repeats inside one text are left to other operators.
 
-The three steps (leaves, tokens of a leaf, templates) are counts of keys over
+The three steps (leaves and pairs, tokens of a leaf, templates) are counts of keys over
 blocks of documents (see block_lists): no leaf is gathered, the order of lines
 is of no account, and a leaf or template of any frequency is one entry per block.
 """
@@ -83,7 +87,7 @@ class Tree:
             has = np.flatnonzero(self.n > k)
             token = self.h[self.first[has] + k]
             for q, m in enumerate([*masks, (1 << self.depth) - 1]):
-                sums[has, q] += (WILD_HASH if m >> k & 1 else token) * self.base[k]
+                sums[has, q] += token * self.base[k] if not m >> k & 1 else self.base[k : k + 1] * WILD_HASH
         keys = np.maximum(mix(sums + (self.n.astype(U64) * LENGTH)[:, None]), U64(1))
         self.wild = keys[:, -1]
         levels = np.minimum(self.n, self.depth)
@@ -91,8 +95,16 @@ class Tree:
             keys[m >= (1 << levels) - 1, q] = 0
         return keys[:, :-1]
 
-    def take_leaves(self, keys: np.ndarray, count: np.ndarray) -> None:
-        """count: documents of each path, 0 if there are too few."""
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the pairs of tokens at even places, and the line of each."""
+        at = np.flatnonzero((self.place % 2 == 0) & (self.place + 1 < self.n[self.line]))
+        line = self.line[at]
+        where = mix((self.n[line] << 32 | self.place[at]).astype(U64))
+        return np.maximum(mix(self.h[at] * self.base[0] + self.h[at + 1] * powers(SEQ_BASES[0], 2)[0][1] + where), U64(1)), line
+
+    def take_leaves(self, keys: np.ndarray, count: np.ndarray, whole: np.ndarray) -> None:
+        """count: documents of each path, 0 if there are too few; whole: pairs
+        of each line that are in enough documents."""
         masks = np.array(_masks(self.depth))
         bits = np.array([m.bit_count() for m in masks.tolist()])
         score = np.where(count > 0, (self.depth - bits << 40) + count, 0)
@@ -102,15 +114,17 @@ class Tree:
         levels = np.minimum(self.n, self.depth)
         mask = np.where(found, masks[best], (1 << levels) - 1)
         self.leaf = np.where(found, keys[each, best], self.wild)
-        # wild leading tokens, literal ones, and numbers that are not wild
-        lead = self.place < self.depth
-        is_wild = lead & ((mask[self.line] >> np.minimum(self.place, self.depth) & 1) > 0)
-        count_of = lambda x: np.bincount(self.line[x], minlength=len(self.n))
-        self.n_wild, self.n_lead = count_of(is_wild), count_of(lead & ~is_wild & ~self.number)
-        self.n_number = count_of(self.number & ~is_wild)
-        fits = (10 * self.n_wild <= 3 * self.n) & (2 * (self.n - self.n_wild - self.n_number) >= self.n)
-        self.fits = fits
-        self.tail = np.flatnonzero(fits[self.line] & ~lead & ~self.number)
+        # of the lines with enough pairs: wild leading tokens, literal ones, and
+        # numbers that are not wild
+        able = whole >= self.n // 2 - 3 * self.n // 10
+        some = np.flatnonzero(able[self.line])
+        line, place, number = self.line[some], self.place[some], self.number[some]
+        lead = place < self.depth
+        is_wild = lead & ((mask[line] >> np.minimum(place, self.depth) & 1) > 0)
+        count_of = lambda x: np.bincount(line[x], minlength=len(self.n))
+        self.n_wild, self.n_lead, self.n_number = count_of(is_wild), count_of(lead & ~is_wild & ~number), count_of(number & ~is_wild)
+        self.fits = able & (10 * self.n_wild <= 3 * self.n) & (2 * (self.n - self.n_wild - self.n_number) >= self.n)
+        self.tail = some[self.fits[line] & ~lead & ~number]
 
     def supports(self) -> np.ndarray:
         """Keys of the tokens ``tail`` in their leaves."""
@@ -127,12 +141,13 @@ class Tree:
         # from the tail as fields (numbers stay) to more and more literal tokens
         n_lit = np.bincount(line, minlength=len(self.n))
         start = np.cumsum(n_lit) - n_lit
-        numbers = self.number & (self.place >= self.depth)
         steps = np.zeros(len(t) + 1, U64)
         np.cumsum((self.h[t] - WILD_HASH) * self.base[self.place[t]], out=steps[1:])
-        tails = np.zeros(len(self.h) + 1, U64)
-        np.cumsum(np.where(numbers, self.base[self.place] * NUMBER_HASH, self.base[self.place] * WILD_HASH), out=tails[1:])
-        ground = tails[self.first + self.n] - tails[self.first]
+        some = np.flatnonzero(self.fits[self.line] & (self.place >= self.depth))
+        fields = self.base[self.place[some]] * np.where(self.number[some], NUMBER_HASH, WILD_HASH)
+        tails = np.concatenate([np.zeros(1, U64), np.cumsum(fields, dtype=U64)])
+        ends = np.cumsum(np.where(self.fits, np.maximum(self.n - self.depth, 0), 0))
+        ground = np.diff(tails[ends], prepend=U64(0))
         # k tokens of the tail as literals: the fewest that will do, to all
         n, lead = self.n, self.n_lead
         least = np.maximum(np.maximum(n - self.n_number - lead - 3 * n // 10, (n + 1) // 2 - lead), 0)
@@ -156,7 +171,9 @@ def _grown(texts: pa.Array, depth: int, side: pa.Table, step: int):
     keys = tree.paths()
     if step == 0:
         return tree, keys.reshape(-1), np.repeat(np.arange(len(tree.n)), keys.shape[1])
-    tree.take_leaves(keys, _looked_up(keys, side, "p"))
+    pairs, line = tree.pairs()
+    whole = np.bincount(line, _looked_up(pairs, side, "d"), len(tree.n)).astype(np.int64)
+    tree.take_leaves(keys, _looked_up(keys, side, "p"), whole)
     keys = tree.supports()
     if step == 1:
         return tree, keys, tree.line[tree.tail]
@@ -178,14 +195,17 @@ def _send(depth: int, n_slices: int, step: int):
             if t not in seen:
                 seen.add(t)
                 counts[d] = True
-        # a key once for each document
-        t, d = keys[keys > 0], tree.doc[line[keys > 0]]
-        order = np.lexsort((d, t))
-        t, d = t[order], d[order]
-        new = np.ones(len(t), bool)
-        new[1:] = (t[1:] != t[:-1]) | (d[1:] != d[:-1])
-        keys, n = sorted_counts(t[new], counts[d[new]])
-        return lists_of([(key[0].as_py(), "pst"[step], keys, n)], 64, n_slices)
+        lists = [("pst"[step], keys, line), *([("d", *tree.pairs())] if step == 0 else [])]
+        rows = []
+        for kind, keys, line in lists:
+            # a key once for each document; lines are in their documents' order
+            line, keys = line[keys > 0], keys[keys > 0]
+            order = np.argsort(keys, kind="stable")
+            t, d = keys[order], tree.doc[line[order]]
+            new = np.ones(len(t), bool)
+            new[1:] = (t[1:] != t[:-1]) | (d[1:] != d[:-1])
+            rows.append((key[0].as_py(), kind, *sorted_counts(t[new], counts[d[new]])))
+        return lists_of(rows, 64, n_slices)
 
     return run
 
@@ -247,7 +267,7 @@ def drop_recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 5, blo
     for step in range(3):
         sent = rows.groupBy("_block").cogroup(side.groupBy("block")).applyInArrow(tidy(_send(depth, n_slices, step)), LIST)
         # leaves and tokens need their counts, templates a yes or no
-        often = count_answers(sent, 64, n_slices, lambda n, most=1 if step == 2 else 1 << 31: np.where(n >= min_docs, np.minimum(n, most), 0))
+        often = count_answers(sent, 64, n_slices, lambda n, most=1 if step == 2 else 1 << 31: np.where(n >= min_docs, np.minimum(n, most), 0), "d")
         side = side.union(often.select(*(c.split()[0] for c in ANSWER.split(", "))))
     schema = T.StructType([*(docs.schema[c] for c in names), *(T.StructField(c, T.StringType() if c == "kept_text" else T.LongType()) for c in MADE)])
     return rows.groupBy("_block").cogroup(side.filter("kind <> 'skip'").groupBy("block")).applyInArrow(tidy(_rewrite(names, depth)), schema)
@@ -266,11 +286,15 @@ doc AS (SELECT row_number() OVER () AS rid, doc_id, md5(coalesce(text, '')) AS t
 ln AS (SELECT rid, th, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM doc),
 tok AS (SELECT *, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') OR x = '<?>' THEN '<*>' ELSE x END) AS t FROM ln),
 dl AS (SELECT DISTINCT t, len(t) AS n, th FROM tok WHERE len(t) > 0),
+pr AS (SELECT t, n, th, unnest(range(1, n, 2)) AS i FROM dl),
+twos AS (SELECT n, i, t[i] AS x, t[i + 1] AS y FROM pr GROUP BY ALL HAVING count(DISTINCT th) >= 5),
+able AS (SELECT l.t, l.n FROM (SELECT DISTINCT t, n FROM dl) l LEFT JOIN (SELECT pr.t, count(DISTINCT pr.i) AS c FROM pr JOIN twos ON pr.n = twos.n AND pr.i = twos.i AND pr.t[pr.i] = x AND pr.t[pr.i + 1] = y GROUP BY pr.t) w ON l.t = w.t
+  WHERE coalesce(c, 0) >= l.n // 2 - 3 * l.n // 10),
 path AS (SELECT t, n, th, m, bit_count(m) AS w, list_transform(t[1:3], lambda x, i: CASE WHEN (m >> (i - 1)::INT) & 1 = 1 THEN '<?>' ELSE x END) AS p
   FROM dl, generate_series(0, 6) g(m) WHERE m < (1 << least(n, 3)::INT) - 1),
 leaves AS (SELECT n, p, count(DISTINCT th) AS c FROM path GROUP BY ALL HAVING c >= 5),
 own AS (SELECT t, n, arg_min(p, struct_pack(w := w, c := -c, m := m)) AS p FROM path JOIN leaves USING (n, p) GROUP BY t, n),
-leaf AS (SELECT DISTINCT dl.t, dl.n, coalesce(own.p, list_transform(dl.t[1:3], lambda x: '<?>')) AS p FROM dl LEFT JOIN own USING (t)),
+leaf AS (SELECT DISTINCT dl.t, dl.n, coalesce(own.p, list_transform(dl.t[1:3], lambda x: '<?>')) AS p FROM dl SEMI JOIN able USING (t) LEFT JOIN own USING (t)),
 pos AS (SELECT leaf.t, leaf.n, p, th, unnest(range(4, leaf.n + 1)) AS i FROM leaf JOIN dl USING (t)),
 sup AS (SELECT n, p, i, t[i] AS x, count(DISTINCT th) AS s FROM pos WHERE t[i] <> '<*>' GROUP BY ALL HAVING s >= 5),
 rnk AS (SELECT t, pos.i, row_number() OVER (PARTITION BY t ORDER BY s DESC, pos.i) AS r FROM (SELECT DISTINCT t, n, p, i FROM pos) pos JOIN sup ON sup.n = pos.n AND sup.p = pos.p AND sup.i = pos.i AND sup.x = pos.t[pos.i]),
