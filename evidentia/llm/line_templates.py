@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from .arrow_map import tidy
 from .block_lists import ANSWER, LIST, answers, count_answers, lists_of, n_blocks_for, slices_for, sorted_counts
 from .spark_util import cut, documents
-from .words import SEQ_BASES, Words, chunks, mix, powers
+from .words import SEQ_BASES, Words, chunks, mix, powers, ranges
 
 U64 = np.uint64
 NUMBER, WILD = "<*>", "<?>"
@@ -53,31 +53,30 @@ def _masks(depth: int) -> list[int]:
 
 class Tree:
     """The lines with a token of a block: text ``doc``, place ``at`` in it,
-    number ``n`` of tokens; and the tokens' hashes ``h``, line ``line`` and
-    place ``place``."""
+    number ``n`` of tokens; the tokens' hashes ``h``, and each line's ``first``
+    token among them."""
 
     def __init__(self, texts: pa.Array, depth: int):
         parts = [self._parse(i, data, off) for i, _, data, off in chunks(texts)]
         doc, at, n, h = (np.concatenate(x) if parts else np.zeros(0, np.int64) for x in (zip(*parts) if parts else [()] * 4))
         self.doc, self.at, self.n, self.h, self.depth = doc, at, n, h.astype(U64), depth
         self.first = np.cumsum(n) - n
-        self.line = np.repeat(np.arange(len(n)), n)
-        self.place = np.arange(len(h)) - self.first[self.line]
         self.base = powers(SEQ_BASES[0], int(n.max()) + 1 if len(n) else 1)[0]
-        self.number = self.h == NUMBER_HASH
 
     @staticmethod
     def _parse(i: int, data: np.ndarray, off: np.ndarray):
         w = Words(data, off)
-        doc = np.repeat(np.arange(w.n_docs), w.counts())
-        breaks = np.concatenate([[0], np.cumsum(w.buf == 0x0A)])
-        line = breaks[w.starts] + doc  # unlike in unlike texts
-        first = np.flatnonzero(np.diff(line, prepend=-1)) if len(line) else np.zeros(0, np.int64)
-        of = doc[first]
-        digits = np.concatenate([[0], np.cumsum((w.buf >= 48) & (w.buf < 58))])
+        n_words = len(w.starts)
+        # a line begins with the first word of a text or after a newline
+        newline = np.flatnonzero(w.buf == 0x0A)
+        first = np.union1d(w.woff[:-1], np.searchsorted(w.starts, newline))
+        first = first[first < n_words]
+        of = np.searchsorted(w.woff, first, "right") - 1
+        at = np.searchsorted(newline, w.starts[first]) - np.searchsorted(newline, w.doc_start[of])
         h = w.hashes()
-        h[(digits[w.ends] > digits[w.starts]) | (h == WILD_HASH)] = NUMBER_HASH
-        return of + i, breaks[w.starts[first]] - breaks[w.doc_start[of]], np.diff(np.append(first, len(line))), h
+        h[h == WILD_HASH] = NUMBER_HASH
+        h[np.searchsorted(w.starts, np.flatnonzero((w.buf >= 48) & (w.buf < 58)), "right") - 1] = NUMBER_HASH
+        return of + i, at, np.diff(np.append(first, n_words)), h
 
     def paths(self) -> np.ndarray:
         """Keys (line, mask) of the paths of each line, 0 for none."""
@@ -95,11 +94,17 @@ class Tree:
             keys[m >= (1 << levels) - 1, q] = 0
         return keys[:, :-1]
 
+    @staticmethod
+    def _places(lines: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Line and place of ``n`` tokens of each of the lines."""
+        return np.repeat(lines, n), ranges(np.zeros(len(n), np.int64), n)
+
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the pairs of tokens at even places, and the line of each."""
-        at = np.flatnonzero((self.place % 2 == 0) & (self.place + 1 < self.n[self.line]))
-        line = self.line[at]
-        where = mix((self.n[line] << 32 | self.place[at]).astype(U64))
+        line, place = self._places(np.arange(len(self.n)), self.n // 2)
+        place *= 2
+        at = self.first[line] + place
+        where = mix((self.n[line] << 32 | place).astype(U64))
         return np.maximum(mix(self.h[at] * self.base[0] + self.h[at + 1] * powers(SEQ_BASES[0], 2)[0][1] + where), U64(1)), line
 
     def take_leaves(self, keys: np.ndarray, count: np.ndarray, whole: np.ndarray) -> None:
@@ -117,34 +122,36 @@ class Tree:
         # of the lines with enough pairs: wild leading tokens, literal ones, and
         # numbers that are not wild
         able = whole >= self.n // 2 - 3 * self.n // 10
-        some = np.flatnonzero(able[self.line])
-        line, place, number = self.line[some], self.place[some], self.number[some]
+        lines = np.flatnonzero(able)
+        line, place = self._places(lines, self.n[lines])
+        number = self.h[self.first[line] + place] == NUMBER_HASH
         lead = place < self.depth
         is_wild = lead & ((mask[line] >> np.minimum(place, self.depth) & 1) > 0)
         count_of = lambda x: np.bincount(line[x], minlength=len(self.n))
         self.n_wild, self.n_lead, self.n_number = count_of(is_wild), count_of(lead & ~is_wild & ~number), count_of(number & ~is_wild)
         self.fits = able & (10 * self.n_wild <= 3 * self.n) & (2 * (self.n - self.n_wild - self.n_number) >= self.n)
-        self.tail = some[self.fits[line] & ~lead & ~number]
+        tail = self.fits[line] & ~lead
+        self.rest = line[tail], place[tail], number[tail]
+        self.tail = line[tail & ~number], place[tail & ~number]
 
     def supports(self) -> np.ndarray:
         """Keys of the tokens ``tail`` in their leaves."""
-        t = self.tail
-        return np.maximum(mix(self.leaf[self.line[t]] + mix(self.h[t] + self.place[t].astype(U64) * LENGTH)), U64(1))
+        line, place = self.tail
+        return np.maximum(mix(self.leaf[line] + mix(self.h[self.first[line] + place] + place.astype(U64) * LENGTH)), U64(1))
 
     def templates(self, support: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the lines' templates, and the line of each.  support: of the
         tokens ``tail``, 0 if it is too small."""
-        t = self.tail[support > 0]
-        s, line = support[support > 0], self.line[t]
-        order = np.lexsort((self.place[t], -s, line))
-        t, line = t[order], line[order]
+        line, place = (x[support > 0] for x in self.tail)
+        order = np.lexsort((place, -support[support > 0], line))
+        line, place = line[order], place[order]
+        token = self.h[self.first[line] + place]
         # from the tail as fields (numbers stay) to more and more literal tokens
         n_lit = np.bincount(line, minlength=len(self.n))
         start = np.cumsum(n_lit) - n_lit
-        steps = np.zeros(len(t) + 1, U64)
-        np.cumsum((self.h[t] - WILD_HASH) * self.base[self.place[t]], out=steps[1:])
-        some = np.flatnonzero(self.fits[self.line] & (self.place >= self.depth))
-        fields = self.base[self.place[some]] * np.where(self.number[some], NUMBER_HASH, WILD_HASH)
+        steps = np.concatenate([np.zeros(1, U64), np.cumsum((token - WILD_HASH) * self.base[place], dtype=U64)])
+        _, place, number = self.rest
+        fields = self.base[place] * np.where(number, NUMBER_HASH, WILD_HASH)
         tails = np.concatenate([np.zeros(1, U64), np.cumsum(fields, dtype=U64)])
         ends = np.cumsum(np.where(self.fits, np.maximum(self.n - self.depth, 0), 0))
         ground = np.diff(tails[ends], prepend=U64(0))
@@ -176,7 +183,7 @@ def _grown(texts: pa.Array, depth: int, side: pa.Table, step: int):
     tree.take_leaves(keys, _looked_up(keys, side, "p"), whole)
     keys = tree.supports()
     if step == 1:
-        return tree, keys, tree.line[tree.tail]
+        return tree, keys, tree.tail[0]
     return tree, *tree.templates(_looked_up(keys, side, "s"))
 
 
