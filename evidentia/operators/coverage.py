@@ -65,9 +65,15 @@ def skip_extracted(pages: DataFrame, ledger: DataFrame, case: str = "case_id") -
     return pages.join(prior, [case, "page", "hash"], "left_anti")
 
 
+def nearest_ms(at: Column) -> Column:
+    """Milliseconds since 1970 that are nearest to a time, halves away from 0:
+    ``unix_millis`` cuts what is below a millisecond."""
+    return F.round(F.unix_micros(at.cast("timestamp")) / 1000).cast("long")
+
+
 def liveness(heartbeat: Column, now: Column, deadline_ms: Column | int = DEADLINE_MS, factor: int = STALE_FACTOR) -> Column:
     """struct(live, age_ms): whether the last sign is at most factor deadlines old."""
-    age = F.unix_millis(now.cast("timestamp")) - F.unix_millis(heartbeat.cast("timestamp"))
+    age = nearest_ms(now) - nearest_ms(heartbeat)
     return F.struct((age <= deadline_ms * F.lit(factor)).alias("live"), age.alias("age_ms"))
 
 

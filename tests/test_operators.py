@@ -153,3 +153,17 @@ def test_claims(spark):
     reg = spark.createDataFrame([("d1",)], "doc_id string")
     got = {r.claim_id: r.status for r in vf.verify_claims(c, u, reg).collect()}
     assert got == {"ok": "ok", "forged": "trecho_nao_encontrado", "unknown": "evidencia_inexistente", "literal": "literal_nao_suportado", "doc": "doc_id_nao_registrado", "none": "evidencia_inexistente", "null": "evidencia_inexistente"}
+
+
+def test_ages_count_from_the_nearest_millisecond(spark):
+    """As the SQL's epoch_ms: 149,999.4 ms ago is 149,999 and so two minutes, not 150,000 and three."""
+    import duckdb
+
+    signs = ["2024-05-31 23:57:30.000600", "2024-05-31 23:57:30.000500", "2024-05-31 23:57:30.000499", "2024-05-31 23:57:29.999500", "1969-12-31 23:59:59.998500"]
+    df = spark.createDataFrame([(s,) for s in signs], "s string")
+    age = cov.liveness(F.col("s"), F.lit("2024-06-01 00:00:00"))["age_ms"]
+    want = [duckdb.execute("select epoch_ms(timestamp '2024-06-01') - epoch_ms(?::timestamp)", [s]).fetchall()[0][0] for s in signs]
+    assert [r[0] for r in df.select(age).collect()] == want and want[:3] == [149_999, 149_999, 150_000]
+    jobs = df.selectExpr("s AS case_id", "'running' AS status", "s::timestamp AS last_heartbeat_at", "30000L AS heartbeat_deadline_ms", "0 AS n_needs_ocr", "array(0) AS needs_ocr")
+    said = {r.case_id: r.execucao for r in cov.status_view(jobs, F.lit("2024-06-01 00:00:00").cast("timestamp")).collect()}
+    assert said[signs[0]].endswith("~2 min") and said[signs[2]].endswith("~3 min")
