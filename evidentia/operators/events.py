@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from evidentia.functions.identity import event_id, page_of, sorted_evidence
-from evidentia.functions.text import collapse, dates, dense_excerpt, first_match, fold
+from evidentia.functions.text import bound, collapse, dates, dense_excerpt, first_match, fold
 from evidentia.operators.docmap import PAGE_BLOCK, page_to_document
 from evidentia.operators.running import numbered
 from evidentia.rules import PT_LEGAL, RulePack, first_rule
@@ -274,8 +274,7 @@ def argmax_candidates(candidates: DataFrame, keys: list[str], score: str, order:
 
 def concepts(text: Column, pack: RulePack = PT_LEGAL) -> Column:
     """The pack's terms that the folded text holds, in the pack's order."""
-    f = fold(text)
-    return F.filter(F.array(*map(F.lit, pack.concepts)), lambda t: F.contains(f, t))
+    return bound(fold(text), lambda f: F.filter(F.array(*map(F.lit, pack.concepts)), lambda t: F.contains(f, t)))
 
 
 def summary(facts: DataFrame, ledger: DataFrame, events: DataFrame, cases: DataFrame, pack: RulePack = PT_LEGAL, case: str = "case_id") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from evidentia.functions.text import fold, strip_personal_names
+from evidentia.functions.text import bound, fold, strip_personal_names
 from evidentia.operators.events import concepts
 from evidentia.operators.running import numbered
 from evidentia.rules import PT_LEGAL, RulePack
@@ -63,7 +63,7 @@ def first_with_hits(hits: DataFrame, key: str = "query_id") -> DataFrame:
 def bundle_query(objective: Column, texts: Column, names: Column, pack: RulePack = PT_LEGAL, most: int = 300) -> Column:
     """A search text for outside: objective and the concepts of the facts that
     it lacks, without personal data."""
-    found = F.filter(concepts(texts, pack), lambda c: ~F.contains(fold(objective), c))
+    found = bound(fold(objective), lambda f: F.filter(concepts(texts, pack), lambda c: ~F.contains(f, c)))
     return F.substring(strip_personal_names(F.concat_ws(" ", objective, F.array_join(found, " ")), names), 1, most)
 
 

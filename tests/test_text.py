@@ -132,9 +132,9 @@ def test_excerpts_and_concepts_make_each_text_once(spark):
     from evidentia.operators.matrix import bundle_query
 
     df = spark.createDataFrame([("Num. 12 - Pág. 3 " + "ação de cobrança " * 20, "Cobrança"), ("curto", "x"), ("", ""), (None, None)], "t string, o string")
-    plan = lambda c: df.select(c.alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    plan = lambda c: df.select(c.alias("c"))._jdf.queryExecution().optimizedPlan().toString().lower()
     assert plan(dense_excerpt("t")).count("ssinado eletronicamente") == 1
-    assert "contains(lambda" in plan(concepts(F.col("t"))) and "contains(CASE" not in plan(bundle_query(F.col("o"), F.col("t"), F.array("o")))
+    assert "contains(lambda" in plan(concepts(F.col("t"))) and "contains(case" not in plan(bundle_query(F.col("o"), F.col("t"), F.array("o")))
     got = df.select(dense_excerpt("t").alias("e"), concepts(F.col("t")).alias("c")).collect()
     assert got[0].e == ("ação de cobrança " * 20)[:240] + " …" and got[0].c == ["cobranca"]
     assert [r.e for r in got[1:]] == ["curto", None, None] and [r.c for r in got[1:]] == [[], [], None]
