@@ -2,8 +2,9 @@
 
 Pages of a file are counted from its header, in tasks; pages that are settled
 already are taken out before anything is parsed; what is left is dealt out by
-blocks of pages, and a task opens a file once for each block.  The parser is
-plugged in; archives of page files are built in.
+blocks of pages in their order, so that a task has neighbouring blocks of few
+files and opens each once: opening may cost as much as the file has pages.  The
+parser is plugged in; archives of page files are built in.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.text import case_slug, collapse
 from evidentia.sources.pages import with_need
+from evidentia.sources.shared import written
 
-#: Pages that one opening of a file reads.
-BLOCK_PAGES = 64
+#: Pages of a file that stay in one task, and tasks for each core.
+BLOCK_PAGES, TASKS_PER_CORE = 64, 2
 
 
 class PageParser(Protocol):
@@ -104,23 +106,24 @@ class PagedSource:
         todo = self.files(spark).filter("total_pages > 0").select("case_id", "path", F.explode(F.sequence(F.lit(1), F.col("total_pages"))).alias("page"))
         if settled is not None:
             todo = todo.join(settled.select("case_id", F.col("page").cast("int").alias("page")), ["case_id", "page"], "left_anti")
-        todo = todo.withColumn("_b", F.floor((F.col("page") - 1) / self.block_pages))
-        todo = todo.repartition("path", "_b").sortWithinPartitions("path", "_b", "page").select("case_id", "path", "_b", "page")
+        # written, as finding the ranges reads it too; the number of tasks is fixed, so that openings don't grow with the pages
+        todo = written(todo.withColumn("_b", F.floor((F.col("page") - 1) / self.block_pages)).select("case_id", "path", "_b", "page"))
+        todo = todo.repartitionByRange(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, "path", "_b").sortWithinPartitions("path", "page")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, file, doc = None, None, None
             try:
                 for b in batches:
                     texts, errors = [], []
-                    for path, block, page in zip(*(b.column(c).to_pylist() for c in ("path", "_b", "page"))):
+                    for path, page in zip(*(b.column(c).to_pylist() for c in ("path", "page"))):
                         text, error = "", None
                         try:
-                            if (path, block) != at:
+                            if path != at:
                                 if file is not None:
                                     file.close()
                                 at, file = None, opener(path)
                                 doc = parser.open(file)
-                                at = (path, block)
+                                at = path
                             text = parser.page(doc, page)
                         except Exception as e:  # noqa: BLE001 - a page's failure is the page's
                             error = f"{type(e).__name__}: {e}"

@@ -62,3 +62,20 @@ def test_engine_takes_the_files_own_count(spark, tmp_path):
     first = len(open(log).readlines())
     e.create_case(source, now="2024-05-02 00:00:00")
     assert sorted({int(x) for x in open(log).readlines()[first:]}) == [6, 7]
+
+
+def test_openings_do_not_grow_with_the_pages(spark, tmp_path):
+    """Opening an archive reads its whole directory: once a task, not once a block."""
+    log = str(tmp_path / "log")
+
+    class Opened(ZipPages):
+        def open(self, file):
+            with open(log, "a") as f:
+                f.write("x\n")
+            return super().open(file)
+
+    archive(tmp_path / "a.zip", [f"page {i}" for i in range(4_000)])
+    source = PagedSource(str(tmp_path / "*.zip"), Opened(), block_pages=8)
+    assert source.parsed(spark).filter("error IS NULL").count() == 4_000
+    # 500 blocks, dealt to two tasks a core; and the count of the pages
+    assert len(open(log).readlines()) <= 2 * spark.sparkContext.defaultParallelism + 3
