@@ -39,13 +39,38 @@ def postings(units: DataFrame, id_col: str = "doc_id", text: str = "text", group
     return term.groupBy(*keep, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def count_terms(tokens: pa.Array, rows: int = 512) -> pa.Array:
+    """struct(dl, terms) of each list of tokens: its length, and its distinct
+    terms with their counts, an empty term once among them.  Null is no list."""
+    out = []
+    for i in range(0, len(tokens), rows):
+        part = tokens.slice(i, rows)
+        sizes, flat = _sizes(part), pa.compute.dictionary_encode(part.flatten())
+        n, width = len(part), len(flat.dictionary) + 1
+        codes = np.concatenate([np.zeros(n, np.int64), np.asarray(flat.indices, np.int64) + 1])
+        key, tf = np.unique(np.concatenate([np.arange(n), np.repeat(np.arange(n), sizes)]) * width + codes, return_counts=True)
+        names = pa.concat_arrays([pa.array([""], pa.string()), flat.dictionary.cast(pa.string())])
+        pairs = pa.StructArray.from_arrays([names.take(pa.array(key % width)), pa.array(tf, pa.int64())], names=["term", "tf"])
+        terms = pa.ListArray.from_arrays(pa.array(np.searchsorted(key // width, np.arange(n + 1)), pa.int32()), pairs)
+        out.append(pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), terms], names=["dl", "terms"]))
+    return pa.concat_arrays(out) if out else pa.array([], pa.struct([("dl", pa.int32()), ("terms", pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())])))]))
+
+
 def index_rows(units: DataFrame, id_col: str = "doc_id", text: str = "text", group: Sequence[str] = ()) -> DataFrame:
-    """Postings to be stored: (group..., id, term, tf, dl), with a row of an
-    empty term for each unit, which carries its length into the statistics."""
+    """Postings to be stored: (group..., id, dl, term, tf), with a row of an
+    empty term for each unit, which carries its length into the statistics.
+
+    A unit is one row, so its terms are counted where it lies, without an
+    exchange of all postings.
+    """
+
+    @F.arrow_udf("struct<dl: int, terms: array<struct<term: string, tf: bigint>>>")
+    def counted(tokens: pa.Array) -> pa.Array:
+        return count_terms(tokens)
+
     keep = [*group, id_col]
-    toks = units.select(*keep, F.coalesce(tokens(text), F.array().cast("array<string>")).alias("_t"))
-    term = toks.select(*keep, F.size("_t").alias("dl"), F.explode(F.concat("_t", F.array(F.lit("")))).alias("term"))
-    return term.groupBy(*keep, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    toks = units.select(*keep, counted(F.coalesce(tokens(text), F.array().cast("array<string>"))).alias("_c"))
+    return toks.select(*keep, F.col("_c.dl").alias("dl"), F.explode("_c.terms").alias("_t")).select(*keep, "dl", "_t.term", "_t.tf")
 
 
 def index_stats(index: DataFrame, group: Sequence[str] = ()) -> DataFrame:

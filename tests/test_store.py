@@ -199,3 +199,17 @@ def test_young_versions_stay(spark, tmp_path, monkeypatch):
     for k in range(6):
         s.upsert("page_ledger", ledger(spark, [("a", 1, f"v{k}")]))
     assert [r.state for r in early.collect()] == ["old"] and s.read("page_ledger").first().state == "v5"
+
+
+def test_postings_are_counted_without_an_exchange(spark):
+    from collections import Counter
+
+    from evidentia.operators.search import index_rows
+
+    texts = ["Ação e acao, e", "", None, "x " * 700 + "y", "!!", "é É e"]
+    df = spark.createDataFrame([(f"e{i}", "c", t) for i, t in enumerate(texts)] * 1, "evidence_id string, case_id string, text string")
+    rows = index_rows(df, "evidence_id", "text", ("case_id",))
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    want = {"e0": ["acao", "e", "acao", "e"], "e1": [], "e2": [], "e3": ["x"] * 700 + ["y"], "e4": [], "e5": ["e"] * 3}
+    got = {(r.case_id, r.evidence_id, r.dl, r.term, r.tf) for r in rows.collect()}
+    assert got == {("c", k, len(ts), w, n) for k, ts in want.items() for w, n in [*Counter(ts).items(), ("", 1)]}

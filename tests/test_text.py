@@ -137,4 +137,4 @@ def test_excerpts_and_concepts_make_each_text_once(spark):
     assert "contains(lambda" in plan(concepts(F.col("t"))) and "contains(case" not in plan(bundle_query(F.col("o"), F.col("t"), F.array("o")))
     got = df.select(dense_excerpt("t").alias("e"), concepts(F.col("t")).alias("c")).collect()
     assert got[0].e == ("ação de cobrança " * 20)[:240] + " …" and got[0].c == ["cobranca"]
-    assert [r.e for r in got[1:]] == ["curto", None, None] and [r.c for r in got[1:]] == [[], [], None]
+    assert [r.e for r in got[1:]] == ["curto", None, None] and [r.c for r in got[1:]] == [[], [], []]
