@@ -39,38 +39,71 @@ def postings(units: DataFrame, id_col: str = "doc_id", text: str = "text", group
     return term.groupBy(*keep, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def count_terms(tokens: pa.Array, rows: int = 512) -> pa.Array:
-    """struct(dl, terms) of each list of tokens: its length, and its distinct
-    terms with their counts, an empty term once among them.  Null is no list."""
-    out = []
-    for i in range(0, len(tokens), rows):
-        part = tokens.slice(i, rows)
-        sizes, flat = _sizes(part), pa.compute.dictionary_encode(part.flatten())
-        n, width = len(part), len(flat.dictionary) + 1
-        codes = np.concatenate([np.zeros(n, np.int64), np.asarray(flat.indices, np.int64) + 1])
-        key, tf = np.unique(np.concatenate([np.arange(n), np.repeat(np.arange(n), sizes)]) * width + codes, return_counts=True)
-        names = pa.concat_arrays([pa.array([""], pa.string()), flat.dictionary.cast(pa.string())])
-        pairs = pa.StructArray.from_arrays([names.take(pa.array(key % width)), pa.array(tf, pa.int64())], names=["term", "tf"])
-        terms = pa.ListArray.from_arrays(pa.array(np.searchsorted(key // width, np.arange(n + 1)), pa.int32()), pairs)
-        out.append(pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), terms], names=["dl", "terms"]))
-    return pa.concat_arrays(out) if out else pa.array([], pa.struct([("dl", pa.int32()), ("terms", pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())])))]))
-
-
-def index_rows(units: DataFrame, id_col: str = "doc_id", text: str = "text", group: Sequence[str] = ()) -> DataFrame:
+def sorted_postings(batch: pa.RecordBatch, group: Sequence[str], id_col: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """(group..., id, dl, term, tf) of a batch of units with their tokens ``_t``:
+    the distinct terms of each, an empty term once among them.  Runs of units of
+    about ``most`` tokens are each in the order of group, term and unit."""
+    sizes = _sizes(batch.column("_t"))
+    ends = np.cumsum(sizes + 1)
+    i, n_rows = 0, batch.num_rows
+    while i < n_rows:
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+        part, size, n = batch.slice(i, j - i), sizes[i:j], j - i
+        flat = pa.compute.dictionary_encode(part.column("_t").flatten())
+        names = pa.concat_arrays([pa.array([""], flat.dictionary.type), flat.dictionary])
+        by_name, place = _order(names)
+        case = np.zeros(n, np.int64)
+        for g in group:
+            codes = pa.compute.dictionary_encode(part.column(g), null_encoding="encode")
+            case = case * len(codes.dictionary) + _order(codes.dictionary)[1][np.asarray(codes.indices)]
+            case = np.unique(case, return_inverse=True)[1]
+        unit = np.concatenate([np.arange(n), np.repeat(np.arange(n), size)])
+        term = place[np.concatenate([np.zeros(n, np.int64), np.asarray(flat.indices, np.int64) + 1])]
+        key, tf = np.unique((case[unit] * len(names) + term) * n + unit, return_counts=True)
+        unit, term = key % n, by_name[key // n % len(names)]
+        at = pa.array(unit)
+        made = [pa.array(size[unit]), names.take(pa.array(term)), pa.array(tf, pa.int64())]
+        yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in (*group, id_col)), *made], names=[*group, id_col, "dl", "term", "tf"])
+        i = j
+
+
+def _order(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of distinct values in their order, and the place of each in it."""
+    by_value = np.asarray(pa.compute.sort_indices(values), np.int64)
+    place = np.empty(len(values), np.int64)
+    place[by_value] = np.arange(len(values))
+    return by_value, place
+
+
+def index_rows(units: DataFrame, id_col: str = "doc_id", text: str = "text", group: Sequence[str] = (), totals: bool = False) -> DataFrame:
     """Postings to be stored: (group..., id, dl, term, tf), with a row of an
-    empty term for each unit, which carries its length into the statistics.
+    empty term for each unit, which carries its length into the statistics; with
+    ``totals`` also, for each group of a task, a row without a unit and a term:
+    its units (tf) and tokens (dl).
 
     A unit is one row, so its terms are counted where it lies, without an
-    exchange of all postings.
+    exchange of all postings.  They leave in long sorted runs, which the sort
+    of a stored table merges instead of sorting them anew.
     """
-
-    @F.arrow_udf("struct<dl: int, terms: array<struct<term: string, tf: bigint>>>")
-    def counted(tokens: pa.Array) -> pa.Array:
-        return count_terms(tokens)
-
     keep = [*group, id_col]
-    toks = units.select(*keep, counted(F.coalesce(tokens(text), F.array().cast("array<string>"))).alias("_c"))
-    return toks.select(*keep, F.col("_c.dl").alias("dl"), F.explode("_c.terms").alias("_t")).select(*keep, "dl", "_t.term", "_t.tf")
+    schema = T.StructType([*(T.StructField(c, units.schema[c].dataType) for c in keep), T.StructField("dl", T.LongType()), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, tuple[int, int]] = {}
+        kinds = None
+        for b in batches:
+            for made in sorted_postings(b, group, id_col):
+                if totals:
+                    kinds, of = made.schema, pa.table(made).filter(pa.compute.equal(made.column("term"), ""))
+                    for *g, n, dl in zip(*(x.to_pylist() for x in of.group_by(list(group)).aggregate([("dl", "count"), ("dl", "sum")]).select([*group, "dl_count", "dl_sum"]).columns)):
+                        had = sums.get(tuple(g), (0, 0))
+                        sums[tuple(g)] = had[0] + n, had[1] + dl
+                yield made
+        if sums:
+            rows = [dict(zip(group, g)) | {"tf": n, "dl": dl} for g, (n, dl) in sums.items()]
+            yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+
+    return units.select(*keep, F.coalesce(tokens(text), F.array().cast("array<string>")).alias("_t")).mapInArrow(run, schema)
 
 
 def index_stats(index: DataFrame, group: Sequence[str] = ()) -> DataFrame:

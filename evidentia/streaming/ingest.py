@@ -117,8 +117,7 @@ def ingest_batch(store: Store, pages: DataFrame, pack: RulePack = PT_LEGAL) -> N
 def index_units(store: Store, units: DataFrame) -> None:
     """The stored text index of new or changed units: their old postings go,
     the new ones are added beside the rest."""
-    units = units.select("evidence_id", "case_id", "text")
-    store.index(units, written(index_rows(units.filter("text IS NOT NULL"), "evidence_id", "text", ("case_id",))))
+    store.index(units.select("evidence_id", "case_id", "text"), lambda dealt: index_rows(dealt, "evidence_id", "text", ("_b", "case_id"), totals=True))
 
 
 def ingest_stream(store: Store, path: str, checkpoint: str, fmt: str = "parquet", pack: RulePack = PT_LEGAL, files_per_batch: int = 50):

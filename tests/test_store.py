@@ -213,3 +213,55 @@ def test_postings_are_counted_without_an_exchange(spark):
     want = {"e0": ["acao", "e", "acao", "e"], "e1": [], "e2": [], "e3": ["x"] * 700 + ["y"], "e4": [], "e5": ["e"] * 3}
     got = {(r.case_id, r.evidence_id, r.dl, r.term, r.tf) for r in rows.collect()}
     assert got == {("c", k, len(ts), w, n) for k, ts in want.items() for w, n in [*Counter(ts).items(), ("", 1)]}
+
+
+def test_postings_are_written_where_their_texts_were_dealt(spark, tmp_path, monkeypatch):
+    """Texts go through an exchange, their postings don't; a large bucket is
+    several tasks; what a write replaces is found by the units' own rows."""
+    from evidentia.operators import search as se
+    from evidentia.streaming.ingest import index_units
+
+    monkeypatch.setattr(st, "TASK_CHARS", (2000, 2000))
+    placed, held = [], []
+    put, buckets = Store._put, Store._buckets
+    monkeypatch.setattr(Store, "_put", lambda self, table, df, new=None: placed.append(new) or put(self, table, df, new))
+    monkeypatch.setattr(Store, "_buckets", lambda self, df: held.append(df) or buckets(self, df))
+    s = Store(spark, str(tmp_path), buckets=4)
+    texts = {f"e{i}": (f"c{i % 7 * (i % 2)}", f"w{i} w{i % 5} a") for i in range(1200)}
+    index_units(s, units_of(spark, [(k, *v) for k, v in texts.items()]).repartition(3).persist())
+    texts |= {f"e{i}": (f"c{i % 7 * (i % 2)}", None if i % 3 else "b b") for i in range(0, 1200, 50)}
+    index_units(s, units_of(spark, [(k, *texts[k]) for k in texts if int(k[1:]) % 50 == 0]))
+    plan = placed[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "Exchange" not in plan[: plan.index("MapInArrow")]
+    assert placed[0].rdd.getNumPartitions() > 4
+    assert 0 < scanned_rows(held[-1]) < 1200 * 4
+    want = {(k, c, w, t.split().count(w), len(t.split())) for k, (c, t) in texts.items() if t for w in {*t.split(), ""}}
+    assert {(r.evidence_id, r.case_id, r.term, r.tf if r.term else 0, r.dl) for r in s.read("postings").filter("term IS NOT NULL").collect()} == want
+    live = [(c, len(t.split())) for c, t in texts.values() if t]
+    assert {(r.case_id, r.n_docs, round(r.avg_dl, 9)) for r in se.index_stats(s.read("postings"), ["case_id"]).collect()} == {(c, len(x), round(sum(x) / len(x), 9)) for c in {c for c, _ in live} for x in [[n for d, n in live if d == c]]}
+
+
+def test_more_replaced_units_than_are_sent(spark, tmp_path, monkeypatch):
+    from evidentia.streaming.ingest import index_units
+
+    monkeypatch.setattr(st, "MAX_GONE_SENT", 3)
+    s = Store(spark, str(tmp_path), buckets=2)
+    index_units(s, units_of(spark, [(f"e{i}", "a", "x y") for i in range(20)]))
+    index_units(s, units_of(spark, [(f"e{i}", "a", "z") for i in range(10)]))
+    assert sorted((r.evidence_id, r.term) for r in s.read("postings").filter("term <> ''").collect()) == sorted([(f"e{i}", "z") for i in range(10)] + [(f"e{i}", w) for i in range(10, 20) for w in "xy"])
+
+
+def test_runs_of_postings_are_in_order():
+    import pyarrow as pa
+
+    from evidentia.operators.search import sorted_postings
+
+    rows = [("b", "e1", ["é", "a", "a"]), (None, "e2", []), ("a", "e3", ["z", "b"]), ("b", "e4", ["a"]), ("a", "e5", ["a"] * 9)]
+    batch = pa.RecordBatch.from_pylist([{"case_id": c, "id": i, "_t": ts} for c, i, ts in rows], schema=pa.schema([("case_id", pa.string()), ("id", pa.string()), ("_t", pa.list_(pa.string()))]))
+    for most in (1, 6, 100):
+        runs = [r.to_pylist() for r in sorted_postings(batch, ["case_id"], "id", most)]
+        for r in runs:
+            keys = [(x["case_id"] or "~", x["term"].encode(), [i for _, i, _ in rows].index(x["id"])) for x in r]
+            assert keys == sorted(keys)
+        assert {(x["id"], x["term"], x["tf"], x["dl"]) for r in runs for x in r} == {(i, w, ts.count(w) or 1, len(ts)) for _, i, ts in rows for w in {*ts, ""}}
+        assert len(runs) == {1: 5, 6: 3, 100: 1}[most]
