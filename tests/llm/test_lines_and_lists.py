@@ -187,3 +187,43 @@ def test_packing_in_few_tasks(spark, monkeypatch):
         monkeypatch.setattr(packing, "MOST_TASKS", most)
         found.append(sorted((r.id, r.sequence_id, r.offset) for r in packing.pack(rows, 1000, block_rows=32).collect()))
     assert found[0] == found[1]
+
+
+def test_leaves_are_handed_on(monkeypatch):
+    """Lines take the leaves that the step before found for them, in any order
+    of rows, without their paths and pairs."""
+    Tree = line_templates.Tree
+    texts = [f"alpha beta gamma delta x{i}y eps zeta\nq{'abcde'[i % 5]} beta gamma delta more of it\n{' '.join(chr(97 + i) + w for w in 'pqrstu')}" for i in range(9)]
+    tree = Tree(pa.array(texts), 3)
+    keys = tree.paths()
+    pairs, line = tree.pairs()
+    count = lambda k: np.where((n := np.unique(k, return_inverse=True, return_counts=True))[2][n[1]].reshape(k.shape) >= 5, 5, 0) * (k > 0)
+    tree.take_leaves(keys, count(keys), np.bincount(line, count(pairs) > 0, len(tree.n)).astype(np.int64))
+    raw = tree.leaves()
+    assert tree.fits.any() and not tree.fits.all() and 0 < len(raw) // 17 < tree.fits.sum()
+    monkeypatch.setattr(Tree, "paths", None)
+    monkeypatch.setattr(Tree, "pairs", None)
+    for order in (list(range(9)), list(range(8, -1, -1))):
+        other = Tree(pa.array([texts[i] for i in order]), 3)
+        other.put_leaves(raw)
+        whole = np.ones(len(other.tail[0]), np.int64)
+        assert sorted(other.supports().tolist()) == sorted(tree.supports().tolist())
+        assert sorted(other.templates(whole)[0].tolist()) == sorted(tree.templates(whole)[0].tolist())
+    none = Tree(pa.array(["", None, "a b"]), 3)
+    none.put_leaves(b"")
+    assert not none.fits.any() and len(none.templates(np.zeros(0, np.int64))[0]) == 0
+
+
+@pytest.mark.parametrize("coarse", [10, 0])
+def test_rows_pass_through_the_counts(spark, monkeypatch, coarse):
+    bl = block_lists
+    monkeypatch.setattr(bl, "COARSE_BITS", coarse)
+    keys = np.array([3, 1 << 62, 3 << 62], np.uint64)
+    made = [r for b in (0, 1) for r in bl.lists_of([(b, "k", keys, np.array([1, 2, 3]))], 64, 4).to_pylist()]
+    made += [{"block": b, "slice": b, "kind": "own", "payload": bytes([b]), "extra": b""} for b in (0, 1)]
+    sent = spark.createDataFrame([tuple(r[c] for c in ("block", "slice", "kind", "payload", "extra")) for r in made], bl.LIST)
+    got = bl.count_answers(sent, 64, 4, lambda n: n, "", "own").collect()
+    assert sorted((r.block, bytes(r.payload)) for r in got if r.kind == "own") == [(0, b"\0"), (1, b"\1")]
+    for b in (0, 1):
+        parts = sorted((r.slice, bytes(r.payload)) for r in got if r.kind == "k" and r.block == b)
+        assert np.concatenate([bl.un_small_numbers(p) for _, p in parts]).tolist() == [2, 4, 6]
